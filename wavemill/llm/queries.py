@@ -22,6 +22,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
 def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
