@@ -34,6 +34,12 @@ def op4_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op5_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
