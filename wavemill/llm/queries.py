@@ -40,6 +40,12 @@ def op5_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op6_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
