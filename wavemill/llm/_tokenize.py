@@ -11,12 +11,11 @@ import re
 import numpy as np
 
 #: Pieces held at most; beyond it the table is emptied, which costs time and changes no result.
-CACHE = 400_000
+CACHE = 600_000
 #: One space between two characters that are no white space: a byte-level pre-token may begin there and none reaches across.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: White space that is dropped and that ends every pre-token.
 _AT_SPACE = re.compile(r"[ \n\t\r]+")
-
 _TAIL = ".,;:!?%&$*#|()"
 _TOGETHER = 200
 
@@ -32,23 +31,24 @@ class Encoder:
         drops_space = self.tokenizer.normalizer is not None
         self.split = self._words if drops_space else self._spaced
         self.known: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
         (self.digit,) = self.tokenizer.encode("1", add_special_tokens=False).ids
 
     @staticmethod
-    def _spaced(text: str) -> list[str]:
-        if "  " in text or not text.isprintable():  # other white space may stand beside a space
-            return _BEFORE_SPACE.split(text)
-        first, *rest = text.split(" ")
-        if rest and not rest[-1]:  # a space at the end stays with the piece before it
-            rest.pop()
-            if not rest:
-                return [first + " "]
-            rest[-1] += " "
-        return [*([first] if first else []), *(" " + x for x in rest)]
+    def _spaced(text: str) -> tuple[list[str], list[list[str]]]:
+        """(pieces, for each piece the words that follow it, each after one space)."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or not text.replace("\n", "x").isprintable():
+            return _BEFORE_SPACE.split(text), []
+        heads, rests = [], []
+        for line in text.split("\n"):  # a line break between two other characters is a pre-token of its own
+            first, *rest = line.split(" ")
+            heads += [first] if not heads else ["\n", first]
+            rests += [rest] if not rests else [[], rest]
+        return heads, rests
 
     @staticmethod
-    def _words(text: str) -> list[str]:
-        return _AT_SPACE.split(text)
+    def _words(text: str) -> tuple[list[str], list[list[str]]]:
+        return (text.split(" ") if text.isprintable() else _AT_SPACE.split(text)), []
 
     def _learn(self, new: list[str]) -> None:
         """Puts the pieces into the table.
@@ -56,15 +56,15 @@ class Encoder:
         A word is encoded without the ASCII punctuation behind it, where every pre-token ends; plain words go to the library
         many in one string, set apart by a digit, which is a pre-token and an id of its own.
         """
-        cores: dict[str, str] = {}
+        cores: list[tuple[str, str]] = []
         plain, other = set(), set()
         for p in new:
             core = p.rstrip(_TAIL)
             letters = core[1:] if core[:1] == " " else core
-            if letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:  # its lower case is no letter alone
-                cores[p] = core
+            if letters.isascii() and letters.isalpha() or letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:  # its lower case is no letter alone
                 plain.add(core)
                 if core != p:
+                    cores.append((p, core))
                     other.add(p[len(core) :])
             else:
                 other.add(p)
@@ -79,16 +79,25 @@ class Encoder:
             for p, c in zip(some, [*cuts, len(ids)], strict=True):
                 self.known[p] = raw[4 * begin : 4 * c]
                 begin = c + 1
-        self.known.update((p, self.known[c] + self.known[p[len(c) :]]) for p, c in cores.items() if c != p)
+        self.known.update((p, self.known[c] + self.known[p[len(c) :]]) for p, c in cores)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null is empty."""
-        cut = [self.split(t) if t else [] for t in texts]
-        pieces = set().union(*cut)
-        if len(self.known) + len(pieces) > CACHE:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-        self._learn([p for p in pieces if p not in self.known])
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        cut = [self.split(t) if t else ([], []) for t in texts]
+        plain = set().union(*(c[0] for c in cut))
+        after = set().union(*(r for c in cut for r in c[1]))
+        if len(self.known) + len(self.after) + len(plain) + len(after) > CACHE:
+            self.known = {p: self.known[p] for p in plain if p in self.known}
+            self.after = {p: self.after[p] for p in after if p in self.after}
+        new = [p for p in after if p not in self.after]
+        spaced = [" " + p for p in new]
+        self._learn([p for p in plain if p not in self.known] + [p for p in spaced if p not in self.known])
+        self.after.update(zip(new, map(self.known.__getitem__, spaced), strict=True))
+        for p in spaced:
+            if p not in plain:
+                del self.known[p]
+        known, follows = self.known.__getitem__, self.after.__getitem__
+        return [b"".join(map(known, heads)) if not rests else b"".join([known(h) + b"".join(map(follows, r)) for h, r in zip(heads, rests, strict=True)]) for heads, rests in cut]
 
 
 _encoders: dict[str, Encoder] = {}

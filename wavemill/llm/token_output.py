@@ -29,12 +29,12 @@ from pyspark.sql.window import Window
 from ._shared import filesystem, fresh, slack, written
 
 MAGIC = b"S8B1"
-BLOCK_IDS = 2048
+BLOCK_IDS = 1024
 #: How many values a word holds, and the bits of each, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Ids that are encoded at once.
-CHUNK_IDS = 1 << 18
+CHUNK_IDS = 1 << 19
 
 
 def encode_blocks(values: np.ndarray) -> list[np.ndarray]:
@@ -42,21 +42,27 @@ def encode_blocks(values: np.ndarray) -> list[np.ndarray]:
     n = len(values)
     if not n:
         return []
-    values = values.astype(np.uint64)
     if int(values.max()) >> 60:
         raise ValueError("a value has more than 60 bits")
-    block_end = np.minimum((np.arange(n) // BLOCK_IDS + 1) * BLOCK_IDS, n)
-    room = block_end - np.arange(n)
-    choice = np.full(n, 15, dtype=np.int64)
-    for s in range(14, -1, -1):
-        if s == 13 or s == 14 or int(values.min()) >> int(BITS[s]) == 0:
-            bad = np.zeros(n + 1, dtype=np.int32)
-            np.cumsum(values >> np.uint64(BITS[s]) != 0, out=bad[1:])
-            count = int(COUNTS[s])
-            if count > n:
-                continue
-            fits = (bad[count:] - bad[: n + 1 - count] == 0) & (room[: n + 1 - count] >= count)
-            choice[: n + 1 - count][fits] = s
+    narrow = values.astype(np.uint32) if int(values.max()) >> 32 == 0 else values.astype(np.uint64)
+    rows = -(-n // BLOCK_IDS)
+    grid = np.full(rows * BLOCK_IDS, np.iinfo(narrow.dtype).max, dtype=narrow.dtype)  # what follows the last value fits nowhere
+    grid[:n] = narrow
+    grid = grid.reshape(rows, BLOCK_IDS)
+    choice = np.full(grid.shape, 15, dtype=np.int8)
+    for s in range(14, -1, -1):  # the last that fits holds most values
+        run, count = grid < (1 << int(BITS[s])), int(COUNTS[s])
+        if int(run.sum()) < count:
+            break  # so do the narrower ones
+        width = 1
+        while width < count:  # run[i]: values i to i + width fit
+            step = min(width, count - width)
+            run[:, :-step] &= run[:, step:]
+            run[:, -step:] = False
+            width += step
+        np.putmask(choice, run, np.int8(s))
+    choice = choice.ravel()
+    values = values.astype(np.uint64)
     at = np.arange(0, n, BLOCK_IDS)
     block = np.arange(len(at))
     took_at, took_block = [], []
@@ -68,7 +74,7 @@ def encode_blocks(values: np.ndarray) -> list[np.ndarray]:
         at, block = at[on], block[on]
     at = np.concatenate(took_at)
     at.sort()
-    sel = choice[at]
+    sel = choice[at].astype(np.int64)
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in range(2, 16):
         here = np.flatnonzero(sel == s)
