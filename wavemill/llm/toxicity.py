@@ -6,7 +6,7 @@ It is fitted on the driver from at most ``max_rows`` labelled rows (a documented
 goes to the tasks holds at most ``max_terms`` terms and so has a fixed size. Scoring is a narrow step over whole texts.
 
 A null or empty text has the score of no terms at all. Labels other than 0 and 1 and null labels or ids are not learned from; of
-repeated labels of one id the largest holds. Without any usable label every score is 0.
+repeated labels of one id the largest holds. When all usable labels are alike every score is that label, and 0 without any.
 Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -95,39 +95,14 @@ def _raw(m: Model, ptr: np.ndarray, at: np.ndarray) -> np.ndarray:
     return m.w0 + _sums(m.w[at], ptr) + 0.5 * (s * s - _sums(v * v, ptr)).sum(axis=1)
 
 
-def likelihood_ratio(toxic: np.ndarray, counts: np.ndarray, all_toxic: float, n: int) -> np.ndarray:
-    """G statistic of the table (has the term, is toxic) for each term."""
-
-    def part(seen, row, column):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(seen > 0, seen * np.log(seen * n / (row * column)), 0.0)
-
-    clean = counts - toxic
-    without, other = n - counts, n - all_toxic
-    return 2 * (part(toxic, counts, all_toxic) + part(clean, counts, other) + part(all_toxic - toxic, without, all_toxic) + part(other - clean, without, other))
-
-
-def fit(docs: list[np.ndarray], labels: np.ndarray, max_terms: int = MAX_TERMS, epochs: int = 20, rate: float = 0.02, l2: float = 5e-4, seed: int = 7) -> Model:
-    """Adam on the log loss; docs hold the distinct term hashes of each row."""
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
-    keys, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    toxic = np.bincount(at, weights=np.repeat(labels, [len(d) for d in docs]), minlength=len(keys)) if len(docs) else np.zeros(0)
-    ratio = likelihood_ratio(toxic, counts, float(labels.sum()), len(labels))
-    use = (counts >= LEAST_ROWS) & (ratio >= LEAST_RATIO)
-    keys, ratio = keys[use], ratio[use]
-    if len(keys) > max_terms:
-        keys = np.sort(keys[np.argsort(-ratio, kind="stable")[:max_terms]])
+def fit(keys: np.ndarray, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.02, l2: float = 5e-4, seed: int = 7) -> Model:
+    """Adam on the log loss; keys are the model's term hashes in ascending order, docs hold the places among them of each row's terms."""
     rng = np.random.default_rng(seed)
-    k = len(keys)
-    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
+    k, rows = len(keys), docs
+    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
     m = Model(keys, np.zeros(k), rng.normal(0, 0.01, (k, FACTORS)), float(np.log(share / (1 - share))))
-    if not k or not len(labels):
-        m.w0 = m.w0 if len(labels) else -30.0
+    if not k:
         return m
-    rows = []
-    for d in docs:
-        at = np.minimum(np.searchsorted(keys, d), k - 1)
-        rows.append(at[keys[at] == d])
     first, second = [np.zeros(k), np.zeros((k, FACTORS))], [np.zeros(k), np.zeros((k, FACTORS))]
     step = 0
     for _ in range(epochs):
@@ -153,26 +128,40 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, max_terms: int = MAX_TERMS,
     return m
 
 
-def term_rows(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The kept columns and the distinct term hashes of each row, as bytes."""
+def _distinct(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, term) pairs in order, once each."""
+    order = np.lexsort((found, rows))
+    rows, found = rows[order], found[order]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])
+    return rows[new], found[new]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def telling_terms(rows: DataFrame, n: int, toxic: int, most: int) -> np.ndarray:
+    """Sorted hashes of the at most ``most`` terms that tell most about the label of rows (_text, _y).
+
+    A slice of texts sends a row for each of its terms; the sums, the statistic and the choice are made on the executors.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n, rows, found in terms(batch.column(0)):
-                order = np.lexsort((found, rows))
-                rows, found = rows[order], found[order]
-                new = np.ones(len(rows), dtype=bool)
-                new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])
-                rows, found = rows[new], found[new]
-                ptr = np.searchsorted(rows, np.arange(n + 1))
-                parts = [found[ptr[i] : ptr[i + 1]].tobytes() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c + 1).slice(first, n) for c in range(len(keep))), pa.array(parts, pa.binary())], names=[*keep, "terms"])
+            y = batch.column(1).to_numpy()
+            for first, _, at, found in terms(batch.column(0)):
+                at, found = _distinct(at, found)
+                keys, back, seen = np.unique(found, return_inverse=True, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"term": keys.view(np.int64), "n": seen, "t": np.bincount(back, weights=y[first + at], minlength=len(keys)).astype(np.int64)})
 
-    source = docs.select(text, *keep)
-    return source.mapInArrow(run, source.select(*keep).withColumn("terms", F.lit(b"")).schema)
+    def part(seen: str, row: str, column: str) -> str:
+        return f"coalesce(CASE WHEN ({seen}) > 0 THEN ({seen}) * ln(({seen}) * {float(n)} / (({row}) * {column})) END, 0)"
 
+    a, b = float(toxic), float(n - toxic)
+    ratio = "2 * (" + " + ".join([part("t", "n", str(a)), part("n - t", "n", str(b)), part(f"{a} - t", f"{n} - n", str(a)), part(f"{b} - (n - t)", f"{n} - n", str(b))]) + ")"
+    sums = rows.mapInArrow(count, "term long, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    chosen = sums.where(f"n >= {LEAST_ROWS} AND n < {n}").withColumn("ratio", F.expr(ratio)).where(f"ratio >= {LEAST_RATIO}")
+    return np.sort(np.array([r.term for r in chosen.orderBy(F.desc("ratio"), "term").limit(most).select("term").collect()], dtype=np.int64).view(np.uint64))
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
     """Fits on at most max_rows labelled rows of docs; those whose crc32(id) mod 4 is 2 are never learned from."""
     slack(docs, [id_col, text_col], "toxicity")
     slack(labels, [id_col, label_col], "toxicity labels")
@@ -182,9 +171,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
     known = known.limit(max_rows)  # 12 bytes a row: a bound on what is broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(known), "_id")
-    got = term_rows(rows, "_text", ["_id", "_y"]).limit(2 * max_rows).toPandas().sort_values(["_id", "_y", "terms"])
-    return fit([np.frombuffer(t, dtype=np.uint64) for t in got["terms"]], got["_y"].to_numpy(dtype=float))
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
+    rows = docs.select(F.col(id_col).alias("_id"), text).join(F.broadcast(known), "_id")
+    counted = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("t")).first()
+    if not 0 < counted.t < counted.n:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), 30.0 if counted.t else -30.0)
+    keys = telling_terms(rows.select("_text", "_y"), counted.n, counted.t, max_terms)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, size, at, found in terms(batch.column(0)):
+                near = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
+                hit = keys[near] == found if len(keys) else np.zeros(len(found), dtype=bool)
+                at, mine = _distinct(at[hit], near[hit])
+                ptr = np.searchsorted(at, np.arange(size + 1))
+                mine = mine.astype("<i4")
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, size) for c in (1, 2)), pa.array([mine[ptr[i] : ptr[i + 1]].tobytes() for i in range(size)], pa.binary())], names=["_id", "_y", "terms"])
+
+    source = rows.select("_text", "_id", "_y")
+    held = source.mapInArrow(hold, source.select("_id", "_y").withColumn("terms", F.lit(b"")).schema)
+    got = held.groupBy("_id").agg(F.max("_y").alias("y"), F.max("terms").alias("terms")).toPandas().sort_values("_id")  # max_rows rows, model terms only
+    return fit(keys, [np.frombuffer(t, dtype="<i4").astype(np.int64) for t in got["terms"]], got["y"].to_numpy(dtype=float))
 
 
 def learned_from(id_col: str) -> str:
