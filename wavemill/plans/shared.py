@@ -1,0 +1,16 @@
+"""Cutting the lineage of iterative plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder of spark.checkpoint.dir, which all executors share.
+
+    The setting is read from the session; a folder under /tmp is taken only where it is unset (local tests).
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+    return df.checkpoint(eager=True)
