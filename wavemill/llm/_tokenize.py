@@ -10,8 +10,8 @@ import re
 
 import numpy as np
 
-#: Pieces held at most; beyond it the table is emptied, which costs time and changes no result.
-CACHE = 600_000
+#: Pieces held at most, in two generations: when the younger is full the older is dropped, which costs time and changes no result.
+CACHE = 800_000
 #: One space between two characters that are no white space: a byte-level pre-token may begin there and none reaches across.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: White space that is dropped and that ends every pre-token.
@@ -31,24 +31,19 @@ class Encoder:
         drops_space = self.tokenizer.normalizer is not None
         self.split = self._words if drops_space else self._spaced
         self.known: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         (self.digit,) = self.tokenizer.encode("1", add_special_tokens=False).ids
 
     @staticmethod
-    def _spaced(text: str) -> tuple[list[str], list[list[str]]]:
-        """(pieces, for each piece the words that follow it, each after one space)."""
+    def _spaced(text: str) -> list[str]:
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or not text.replace("\n", "x").isprintable():
-            return _BEFORE_SPACE.split(text), []
-        heads, rests = [], []
-        for line in text.split("\n"):  # a line break between two other characters is a pre-token of its own
-            first, *rest = line.split(" ")
-            heads += [first] if not heads else ["\n", first]
-            rests += [rest] if not rests else [[], rest]
-        return heads, rests
+            return _BEFORE_SPACE.split(text)
+        # Every space stands between two other characters and begins a piece; so does a line break, which is a piece of its own.
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     @staticmethod
-    def _words(text: str) -> tuple[list[str], list[list[str]]]:
-        return (text.split(" ") if text.isprintable() else _AT_SPACE.split(text)), []
+    def _words(text: str) -> list[str]:
+        return text.split(" ") if text.isprintable() else _AT_SPACE.split(text)
 
     def _learn(self, new: list[str]) -> None:
         """Puts the pieces into the table.
@@ -83,21 +78,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null is empty."""
-        cut = [self.split(t) if t else ([], []) for t in texts]
-        plain = set().union(*(c[0] for c in cut))
-        after = set().union(*(r for c in cut for r in c[1]))
-        if len(self.known) + len(self.after) + len(plain) + len(after) > CACHE:
-            self.known = {p: self.known[p] for p in plain if p in self.known}
-            self.after = {p: self.after[p] for p in after if p in self.after}
-        new = [p for p in after if p not in self.after]
-        spaced = [" " + p for p in new]
-        self._learn([p for p in plain if p not in self.known] + [p for p in spaced if p not in self.known])
-        self.after.update(zip(new, map(self.known.__getitem__, spaced), strict=True))
-        for p in spaced:
-            if p not in plain:
-                del self.known[p]
-        known, follows = self.known.__getitem__, self.after.__getitem__
-        return [b"".join(map(known, heads)) if not rests else b"".join([known(h) + b"".join(map(follows, r)) for h, r in zip(heads, rests, strict=True)]) for heads, rests in cut]
+        if 2 * len(self.known) > CACHE:
+            self.old, self.known = self.known, {}
+        known, cut = self.known, [self.split(t) if t else [] for t in texts]
+        found = [list(map(known.get, c)) for c in cut]
+        absent = {p for c, f in zip(cut, found, strict=True) for p, x in zip(c, f, strict=True) if x is None}
+        old = self.old
+        known.update((p, old[p]) for p in absent if p in old)
+        self._learn([p for p in absent if p not in known])
+        return [b"".join([known[p] if x is None else x for p, x in zip(c, f, strict=True)] if None in f else f) for c, f in zip(cut, found, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
