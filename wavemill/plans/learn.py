@@ -159,7 +159,7 @@ def learn(
 
     def note(i: int, step: str, value: float) -> None:
         nonlocal started
-        out.trace.append((i, step, value, time.time() - started))
+        out.trace.append((i, step, float(value), time.time() - started))
         started = time.time()
 
     for i in range(n_iter):
@@ -254,7 +254,7 @@ def learn_univariate(x: DataFrame, n_atoms: int, n_times_atom: int, times: int,
         encoder = E.Encoder(d[:, None], now, solver_z, solver_z_kwargs or {})
         table = settled(encoder.encode(table))
         stats = encoder.statistics(table)
-        out.trace.append((i, "z", stats.cost, time.time() - started))
+        out.trace.append((i, "z", float(stats.cost), time.time() - started))
         started = time.time()
         if not stats.nnz.any():
             warnings.warn("all codes are zero; the regularisation is too strong", stacklevel=2)
@@ -269,7 +269,7 @@ def learn_univariate(x: DataFrame, n_atoms: int, n_times_atom: int, times: int,
             d = dic.update_joint_dual(equations, right) if func_d == "joint" else dic.update_block(d, equations, right, 1, projection)
         after = E.Encoder(d[:, None], now).statistics(table).cost
         out.d, out.reg = d[:, None], now
-        out.trace.append((i, "d", after, time.time() - started))
+        out.trace.append((i, "d", float(after), time.time() - started))
         started = time.time()
         if callback:
             callback(i, out, out.trace)

@@ -162,6 +162,6 @@ class OnlineCDL(ConvolutionalDictionaryLearning):
             self._d = L._d_step(self._d, new, rank1, self.channels, solver_d, constraint, p.get("window", False), p.get("solver_d_kwargs") or {})
             got.d = L._full(self._d, rank1, self.channels)
             got.uv = dic.flip(self._d, self.channels) if rank1 else None
-        got.trace.append((len(got.trace), "partial", new.cost, 0.0))
+        got.trace.append((len(got.trace), "partial", float(new.cost), 0.0))
         got.table = table
         return E.codes(table, len(got.d))
