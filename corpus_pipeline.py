@@ -17,16 +17,16 @@ from wavemill.llm.queries import tokenizer_path
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the factorization machine, fitted on the labelled rows of docs, scores at its threshold or above."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score_documents(docs, toxicity.train(docs, labels), name="_score")
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, labels), name="__wm_score")
+    return scored.where(F.col("__wm_score") < toxicity.THRESHOLD).drop("__wm_score")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, once; a row without an id is held only against such rows."""
-    digest = F.unhex(F.sha2(exact_dedup.normalised(F.col("text")), 256)).alias("_digest")
-    groups = exact_dedup.shared_digests(docs).select(F.col("digest").alias("_digest"), "keep_id")
-    dropped = docs.select("doc_id", digest).join(groups, "_digest").where("doc_id <> keep_id").select("doc_id", "_digest").distinct()
-    key = ["doc_id", "_digest"]
+    digest = F.unhex(F.sha2(exact_dedup.normalised(F.col("text")), 256)).alias("__wm_digest")
+    groups = exact_dedup.shared_digests(docs).select(F.col("digest").alias("__wm_digest"), "keep_id")
+    dropped = docs.select("doc_id", digest).join(groups, "__wm_digest").where("doc_id <> keep_id").select("doc_id", "__wm_digest").distinct()
+    key = ["doc_id", "__wm_digest"]
     # Both steps want the rows by this key: the texts are shuffled once.
     return docs.select(*docs.columns, digest).join(dropped, key, "left_anti").dropDuplicates(key).select(*docs.columns)
 

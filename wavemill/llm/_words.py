@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once; bounds the temporary arrays (about 40 bytes for each byte of text).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,7 +50,7 @@ class Hasher:
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
-            self.up, self.down = _powers(self.seed + 1, max(n, 2 * len(self.up), 1 << 16))
+            self.up, self.down = _powers(self.seed + 1, max(n + n // 4, 1 << 16))
 
     def _prefix(self, values: np.ndarray) -> np.ndarray:
         self._grow(len(values) + 1)
@@ -79,10 +80,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -98,6 +101,15 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def parts(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, bytes, offsets) of slices of a text column; only one slice is lower-cased at a time."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    for i, j in slices(buffers(column)[1], most):
+        part = column.slice(i, j - i)
+        yield i, j - i, *buffers(pc.utf8_lower(part) if lower else part)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, bounds): byte spans of the words, and the first word of each row (one more at the end).
 

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +32,9 @@ BLOCK_BYTES = 1 << 24
 
 def tokens(column: pa.Array, hasher: W.Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, token hashes, bounds) of slices of a text column."""
-    data, offsets = W.buffers(pc.utf8_lower(column))
-    for i, j in W.slices(offsets):
-        part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    for i, n, part, cuts in W.parts(column, lower=True):
         s, e, bounds = W.words(part, cuts, W.ALNUM[part])
-        yield i, j - i, hasher.spans(part, s, e), bounds
+        yield i, n, hasher.spans(part, s, e), bounds
 
 
 def _free_windows(marked: np.ndarray, size: int) -> np.ndarray:
@@ -191,3 +188,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part = against(spark.sparkContext.broadcast(block))
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without a hit: a narrow filter for each block, so no text is shuffled."""
+    slack(docs, [text_col], "clean")
+    slack(benchmark, [item_col, item_text_col], "clean benchmark")
+    at = docs.columns.index(text_col)
+
+    def without(rows: DataFrame, sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = np.zeros(batch.num_rows, dtype=bool)
+                hit[[r for r, *_ in sent.value.hits(batch.column(at))]] = True
+                yield batch.filter(pa.array(~hit)) if hit.any() else batch
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for block in blocks(benchmark, item_col, item_text_col, least, threshold, block_bytes):
+        docs = without(docs, docs.sparkSession.sparkContext.broadcast(block))
+    return docs

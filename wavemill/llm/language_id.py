@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +73,9 @@ def trigrams(data: np.ndarray, inside: np.ndarray, first: np.ndarray) -> np.ndar
 
 def sliced(column: pa.Array) -> Iterator[tuple]:
     """(first row, rows, bytes, row offsets, inside, word starts, word ends, word bounds) of slices."""
-    data, offsets = W.buffers(pc.utf8_lower(column))
-    for i, j in W.slices(offsets, SLICE_BYTES):
-        part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    for i, n, part, cuts in W.parts(column, lower=True, most=SLICE_BYTES):
         inside = LETTERS[part]
-        yield i, j - i, part, cuts, inside, *W.words(part, cuts, inside)
+        yield i, n, part, cuts, inside, *W.words(part, cuts, inside)
 
 
 @dataclass

@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,23 +31,23 @@ LEAST_ROWS = 4
 LEAST_RATIO = 15.0
 PREFIX_BYTES = (4, 5, 6)
 FACTORS = 4
+#: Rows of a step, and the fewest steps of a fit.
+BATCH, LEAST_STEPS = 512, 600
 THRESHOLD = 0.3
 
 
 def terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row, term hash) for slices of a text column; terms repeat."""
     hasher = W.Hasher(17)
-    data, offsets = W.buffers(pc.utf8_lower(column))
-    for i, j in W.slices(offsets):
-        part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    for i, n_rows, part, cuts in W.parts(column, lower=True):
         s, e, bounds = W.words(part, cuts, W.ALNUM[part])
-        rows = np.repeat(np.arange(j - i), np.diff(bounds))
+        rows = np.repeat(np.arange(n_rows), np.diff(bounds))
         found, where = [hasher.spans(part, s, e)], [rows]
         for n in PREFIX_BYTES:
             long = np.flatnonzero(e - s > n)
             found.append(W.mix(hasher.spans(part, s[long], s[long] + n) + W.U64(n)))
             where.append(rows[long])
-        yield i, j - i, np.concatenate(where), np.concatenate(found)
+        yield i, n_rows, np.concatenate(where), np.concatenate(found)
 
 
 @dataclass
@@ -99,16 +98,16 @@ def fit(keys: np.ndarray, docs: list[np.ndarray], labels: np.ndarray, epochs: in
     """Adam on the log loss; keys are the model's term hashes in ascending order, docs hold the places among them of each row's terms."""
     rng = np.random.default_rng(seed)
     k, rows = len(keys), docs
-    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
+    share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
     m = Model(keys, np.zeros(k), rng.normal(0, 0.01, (k, FACTORS)), float(np.log(share / (1 - share))))
     if not k:
         return m
     first, second = [np.zeros(k), np.zeros((k, FACTORS))], [np.zeros(k), np.zeros((k, FACTORS))]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, LEAST_STEPS // -(-len(rows) // BATCH))):
         order = rng.permutation(len(rows))
-        for b in range(0, len(order), 512):
-            some = order[b : b + 512]
+        for b in range(0, len(order), BATCH):
+            some = order[b : b + BATCH]
             at = np.concatenate([rows[i] for i in some])
             ptr = np.concatenate([[0], np.cumsum([len(rows[i]) for i in some])])
             s = _sums(m.v[at], ptr)
@@ -200,8 +199,9 @@ def learned_from(id_col: str) -> str:
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with the score of each row; a narrow step."""
+    """docs with the score of each row, in place of a column of that name; a narrow step."""
     slack(docs, [text_col], "score_documents")
+    docs = docs.drop(name) if name != text_col else docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
