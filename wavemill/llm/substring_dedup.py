@@ -41,11 +41,9 @@ FLIP = 0x5DEECE66D
 
 def _sliced(column: pa.Array, hasher: W.Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, word hashes, bounds) of slices."""
-    data, offsets = W.buffers(column)
-    for i, j in W.slices(offsets):
-        part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    for i, n, part, cuts in W.parts(column):
         s, e, bounds = W.words(part, cuts, ~W.SPACE[part])
-        yield i, j - i, hasher.spans(part, s, e), bounds
+        yield i, n, hasher.spans(part, s, e), bounds
 
 
 def _anchors(values: np.ndarray, bounds: np.ndarray, hasher: W.Hasher, anchor: int, window: int, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +69,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     covered = np.zeros(period, dtype=bool)
     covered[[c % period for c in cover]] = True
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = every.where("id IS NOT NULL")
     kind = rows.schema["id"].dataType.simpleString()
 
     def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +85,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 some = pa.array(np.flatnonzero(size >= window))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).take(some), *(_longs(k).take(some) for k in keys)], names=["id", "k1", "k2"])
 
-    whole = rows.where("id IS NOT NULL").mapInArrow(sequence, f"id {kind}, k1 long, k2 long")
+    whole = rows.mapInArrow(sequence, f"id {kind}, k1 long, k2 long")
     least = whole.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     least = least.select((F.col("k1").bitwiseXOR(F.lit(FLIP))).alias("k"), F.col("k2").alias("k2_"), "first")
     copies = whole.withColumn("k", F.col("k1").bitwiseXOR(F.lit(FLIP))).join(least, "k").where("k2 = k2_ AND id > first").groupBy("id").agg(F.first("first").alias("copy_of"))
@@ -147,16 +146,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], span), pa.array(out[3], pa.binary()).cast(pa.string())], names=[id_col, "n_words", "n_removed", "removed", "text"])
 
-    # All three joins are left joins of the same rows by id: Spark shuffles the texts once.
+    # All three joins read the same rows by id, with the same filter, so Spark shuffles the texts once.
     alone = rows.join(copies.hint("shuffle_hash"), "id", "left")
-    found = alone.where("copy_of IS NULL AND id IS NOT NULL").select("id", "text").mapInArrow(anchors, f"id {kind}, h long")
+    found = alone.where("copy_of IS NULL").select("id", "text").mapInArrow(anchors, f"id {kind}, h long")
     flipped = F.col("h").bitwiseXOR(F.lit(FLIP)).alias("k")
-    shared = found.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(flipped)
-    mine = found.select("id", "h", flipped).join(shared, "k").groupBy("id").agg(F.collect_list("h").alias("shared"))
+    # A document sends an anchor once, so a count tells whether another has it (or a repeated row, which costs time only).
+    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(flipped)
+    back = F.col("k").bitwiseXOR(F.lit(FLIP)).alias("h")
+    mine = found.select("id", flipped).join(shared, "k").select("id", back).groupBy("id").agg(F.collect_list("h").alias("shared"))
     near = rows.join(mine.hint("shuffle_hash"), "id", "left").where("shared IS NOT NULL").select("id", "text", "shared")
     seen = near.mapInArrow(windows, f"id {kind}, h long, x int, at int")
-    first = seen.groupBy("h", "x").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(flipped, F.col("x").alias("x_"), "lo")
+    first = seen.groupBy("h", "x").agg(F.min("id").alias("lo"), F.count("*").alias("n")).where("n > 1").select(flipped, F.col("x").alias("x_"), "lo")
     repeats = seen.select("id", "at", "x", flipped).join(first, "k").where("x = x_ AND id > lo").groupBy("id").agg(F.collect_list("at").alias("marks"))
     marked = rows.join(copies.hint("shuffle_hash"), "id", "left").join(repeats.hint("shuffle_hash"), "id", "left").select("id", "text", "copy_of", "marks")
+    marked = marked.unionByName(every.where("id IS NULL"), allowMissingColumns=True).select("id", "text", "copy_of", "marks")
     out = f"`{id_col}` {kind}, n_words long, n_removed long, removed array<struct<start:int,length:int>>, text string"
     return marked.mapInArrow(cleaned, out)
