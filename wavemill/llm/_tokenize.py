@@ -6,12 +6,13 @@ ids of the text; ids are little-endian unsigned 32-bit integers throughout.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 
 #: Pieces held at most, in two generations: when the younger is full the older is dropped, which costs time and changes no result.
-CACHE = 800_000
+CACHE = 400_000
 #: One space between two characters that are no white space: a byte-level pre-token may begin there and none reaches across.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: White space that is dropped and that ends every pre-token.
@@ -24,6 +25,7 @@ class Encoder:
     """Encodes texts with a tokenizer file, without special tokens; their strings in a text are ordinary text."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would also keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
