@@ -61,7 +61,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = shared_digests(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    return rows.join(groups, "digest", "left").select(
+    # The second key has both sides dealt anew, so the rows of a hot group can be split among tasks.
+    second = F.xxhash64("digest").alias("second")
+    return rows.select("*", second).join(groups.select("*", second), ["digest", "second"], "left").select(
         F.col("id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
