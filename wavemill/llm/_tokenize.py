@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Pieces held at most, in two generations: when the younger is full the older is dropped, which costs time and changes no result.
-CACHE = 400_000
+CACHE = 1_000_000
 #: One space between two characters that are no white space: a byte-level pre-token may begin there and none reaches across.
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: White space that is dropped and that ends every pre-token.
