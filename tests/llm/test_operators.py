@@ -153,6 +153,65 @@ def test_near_dedup_large_bucket(spark):
     assert got == jaccard_classes(rows) and len(set(got.values())) == 2
 
 
+def template_family(n=1000, seed=0, first=0, own=(0, 76)):
+    """Rows of n different texts: 300 shingles of a template and some of their own; two of at most 75 together are linked."""
+    rng = np.random.RandomState(seed)
+    common = [f"t{seed}x{i}" for i in range(304)]
+    return [(first + i, " ".join(common + [f"o{seed}x{i}x{k}" for k in range(rng.randint(*own))]), None, None, None) for i in range(n)]
+
+
+def test_near_dedup_template_family(spark):
+    """Links that are between members of a large bucket, none of them a centre, are found too."""
+    from wavemill.llm.near_dedup import near_dedup
+
+    rows = template_family()
+    got = {r.doc_id: r.class_id for r in near_dedup(spark.createDataFrame(rows, nasty.SCHEMA)).collect()}
+    want = jaccard_classes(rows)
+    assert len(set(want.values())) < len(want)
+    assert sum(got[d] != want[d] for d in want) == 0
+
+
+def test_near_dedup_blocks():
+    """Two blocks against brute force: earlier shared bands, the order of ids, size bounds and what connects classes."""
+    from wavemill.llm import near_dedup as N
+
+    rng = np.random.RandomState(1)
+    n = 60
+    sets = [np.unique(np.concatenate([np.arange(rng.randint(60, 90)), rng.randint(1000, 1020, rng.randint(20))])).astype(np.int32) for _ in range(n)]
+    keys = rng.randint(0, 3, (n, N.BANDS)).astype(np.int64)
+    keys[:, 2] = 7
+    classes, minor = rng.randint(0, 9, n), rng.uniform(size=n) < 0.5
+    minor[:20] = True
+    classes[minor] += 1
+    classes[~minor] = 0
+    side = np.arange(n) < 20
+    table = pa.table({"band": np.full(n, 2, np.int32), "id": np.arange(n) * 3 % n + np.arange(n) * n, "class_id": classes, "minor": minor, "of_left": side, "shingles": [s.tolist() for s in sets], "bands": [k.tolist() for k in keys]}).cast(
+        pa.schema({"band": pa.int32(), "id": pa.int64(), "class_id": pa.int64(), "minor": pa.bool_(), "of_left": pa.bool_(), "shingles": pa.list_(pa.int32()), "bands": pa.list_(pa.int64())})
+    )
+    ids = table["id"].to_numpy()
+    want = {}
+    for i in range(20):
+        for j in range(20, n):
+            c = len(np.intersect1d(sets[i], sets[j]))
+            sim = c / (len(sets[i]) + len(sets[j]) - c)
+            if classes[i] != classes[j] and sim >= 0.8 and (keys[i, :2] != keys[j, :2]).all() and (not minor[j] or ids[i] < ids[j]):
+                want[min(ids[i], ids[j]), max(ids[i], ids[j])] = sim
+    got = {(r["a"], r["b"]): r["similarity"] for r in N.block_links(table, 0.8).to_pylist()}
+    assert got and got.items() <= want.items()
+    of = dict(zip(ids.tolist(), classes.tolist(), strict=True))
+
+    def joined(pairs):
+        group = {c: {c} for c in of.values()}
+        for a, b in pairs:
+            both = group[of[a]] | group[of[b]]
+            for c in both:
+                group[c] = both
+        return {frozenset(g) for g in group.values()}
+
+    assert joined(got) == joined(want)
+    assert N.block_links(table, 1.01).num_rows == 0
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     from wavemill.llm import _darts as D
     from wavemill.llm import _words as U

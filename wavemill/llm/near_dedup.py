@@ -8,10 +8,10 @@ components of the links. Words are runs of letters and digits, lower-cased; a te
    (1 - 0.8**4)**24 = 3e-6.
 3. In each band a bucket's texts are compared with two of its members, the smallest id and the smallest hash for that band: as many
    pairs as members. Similarities are exact, from the shingle sets.
-4. Where a bucket's members still fall into several classes, those of different classes are compared with each other: directly in
-   buckets of at most SMALL texts; larger ones are first split by bands of a second signature, so their members must share
-   twice as many coordinates, and split buckets that are still large get two centres again. Buckets are
-   sets of distinct texts, SMALL bounds the pairs of a member, and nothing is left out of a bucket.
+4. Where a bucket's members still fall into several classes, every two of them that are of different classes are compared, whatever
+   the bucket's size: as rows in buckets of at most SMALL texts, by matrix products of blocks of BLOCK texts in larger ones, where each
+   pair is taken in the first band it shares and the members of the largest class are not held against each other. No pair of
+   texts that shares a band and could join two classes is left out.
 
 Null ids are classes of their own (class_id null). Null and empty texts and texts without a word are linked to nothing. A repeated row
 is in the class of its text. Extra columns are ignored; an empty table gives an empty result.
@@ -35,8 +35,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 WIDTH, BANDS = 4, 24
 SMALL = 16
-#: A pair that shares a band shares one of so many finer ones with probability 0.96, and it shares ten bands on average.
-SPLITS = 6
+#: Texts of a block; a task holds two blocks with their shingles at a time.
+BLOCK = 128
+#: Shingles of a slice of the incidence matrices whose product counts what two blocks have in common.
+COLUMNS = 4096
 #: Bits of the table that tells which ids to read again; ids that share a bit are read too and fall out in the join.
 ID_BITS = 23
 
@@ -145,6 +147,93 @@ def _open(rows: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
     return known.join(mixed, key)
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) numbers of shingles that two texts share."""
+    values, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    mine = owner < len(left)
+    both = (np.bincount(at[mine], minlength=len(values)) > 0) & (np.bincount(at[~mine], minlength=len(values)) > 0)
+    column = np.cumsum(both) - 1
+    used = both[at]
+    owner, at = owner[used], column[at[used]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(both.sum()), COLUMNS):
+        part = slice(*np.searchsorted(at, [lo, lo + COLUMNS]))
+        m = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        m[owner[part], at[part] - lo] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _joining(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of the first pairs of classes (a, b) that are enough to connect what all of them connect."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (p := top(x)) != (q := top(y)):
+            root[p] = q
+            out.append(i)
+    return out
+
+
+def block_links(table: pa.Table, similarity: float) -> pa.Table:
+    """Links (a, b, similarity) between the two blocks of a bucket, as many as connect the classes that links connect.
+
+    Rows with of_left are the left block, all outside the bucket's largest class; minor tells the same of the right block's.
+    """
+    table = table.combine_chunks()
+    left = table["of_left"].to_numpy()
+    column = lambda name: table[name].to_numpy()
+    lists = table["shingles"].chunk(0) if table["shingles"].num_chunks else pa.array([], pa.list_(pa.int32()))
+    ptr, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    keys = table["bands"].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    ids, classes, size, band = column("id"), column("class_id"), np.diff(ptr), column("band")[0]
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    pair = classes[x][:, None] != classes[y][None, :]
+    # Of two texts outside the largest class one meeting is enough, and of the bands that two texts share the first.
+    pair &= (ids[x][:, None] < ids[y][None, :]) | ~column("minor")[y][None, :]
+    pair &= np.minimum(size[x][:, None], size[y][None, :]) >= similarity * np.maximum(size[x][:, None], size[y][None, :])
+    for earlier in range(band):
+        pair &= keys[x, earlier][:, None] != keys[y, earlier][None, :]
+    x, y, pair = x[pair.any(1)], y[pair.any(0)], pair[pair.any(1)][:, pair.any(0)]
+    p = q = np.zeros(0, np.int64)
+    ratio = np.zeros(0)
+    if pair.any():
+        common = _common([values[ptr[i] : ptr[i + 1]] for i in x], [values[ptr[i] : ptr[i + 1]] for i in y])
+        found = common / (size[x][:, None] + size[y][None, :] - common)
+        i, j = np.nonzero(pair & (found >= similarity))
+        some = _joining(classes[x[i]], classes[y[j]])
+        i, j = i[some], j[some]
+        p, q, ratio = ids[x[i]], ids[y[j]], found[i, j]
+    return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q), "similarity": ratio})
+
+
+def _rest(rows: DataFrame, reps: DataFrame, sets: DataFrame, key: list[str], similarity: float) -> DataFrame:
+    """(a, b, similarity): links that connect classes in buckets of any size; each pair of a bucket's classes is compared whole.
+
+    A bucket is cut into blocks, those of its largest class only meet the others. Each block travels once for each block it meets.
+    """
+    counts = rows.groupBy(*key, "class_id").agg(F.count("*").alias("c"))
+    tops = counts.groupBy(*key).agg(F.max_by("class_id", F.struct("c", "class_id")).alias("top"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("others"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    placed = rows.drop("n").join(tops, key).select(*key, "id", "class_id", (F.col("class_id") != F.col("top")).alias("minor"), F.xxhash64("id", F.lit(BLOCK)).alias("h"), blocks("others").alias("ni"), blocks("all").alias("nj"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
+    first = placed.where("minor").select(*key, "id", "class_id", "minor", F.lit(True).alias("of_left"), mine("ni").alias("i"), each("nj").alias("j"))
+    second = placed.select(*key, "id", "class_id", "minor", F.lit(False).alias("of_left"), each("ni").alias("i"), mine("nj").alias("j"))
+    whole = sets.join(rows.select("id").distinct(), "id", "left_semi").join(reps, "id").select("id", "shingles", "bands")
+    met = first.union(second).join(whole, "id")
+    return met.groupBy(*key, "i", "j").applyInArrow(lambda t: block_links(t, similarity), "a long, b long, similarity double")
+
+
 def links(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(links a, b, similarity; classes id, class_id) among texts (id, bands)."""
     each = reps.select("id", F.posexplode("bands").alias("band", "value"))
@@ -157,35 +246,19 @@ def links(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, similari
     classes = written(components(found), "classes")
 
     left = written(_open(rows, classes, key), "open")
-    small = _across(left.where(f"n <= {SMALL}"), key)
-    large = left.where(f"n > {SMALL}").select("id", *key)
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            offsets = column.offsets.to_numpy()
-            values = column.values.to_numpy(zero_copy_only=False).view(np.uint32)[offsets[0] : offsets[-1]]
-            out = bands(W.mix(values.astype(W.U64)), offsets.astype(np.int64) - offsets[0], WIDTH, BANDS, 0x5EED)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out.ravel().view(np.int64), np.arange(len(out) + 1) * BANDS, pa.int64())], names=["id", "finer"])
-
-    finer = sets.join(large.select("id").distinct(), "id", "left_semi").select("id", "shingles").mapInArrow(again, "id long, finer array<long>")
-    fine = ["band", "value", "finer_band", "finer_value"]
-    # Each band takes SPLITS of the finer bands, one after another: together all of them are used.
-    mine = F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda i: F.pmod(F.col("band") * SPLITS + i, F.lit(BANDS)))
-    split = large.join(finer, "id").withColumn("finer_band", F.explode(mine)).select("id", *key, "finer_band", F.element_at("finer", F.col("finer_band") + 1).alias("finer_value"))
-    split = written(_open(split, classes, fine).where("n > 1"), "finer")
-    more = small.union(_across(split.where(f"n <= {SMALL}"), fine)).union(_stars(split.where(f"n > {SMALL}"), fine)).distinct()
-    more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+    small = written(_across(left.where(f"n <= {SMALL}"), key).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = verified(small, sets, similarity).union(_rest(left.where(f"n > {SMALL}"), reps, sets, key, similarity))
+    more = written(more, "links")
     if more.isEmpty():
         return found, classes
-    found = found.union(written(verified(more, sets, similarity), "links"))
+    found = found.union(more.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     return found, written(components(found), "classes")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: id, class_id (smallest id of the class), class_size, n_links, kept.
 
-    n_links counts the verified links of the row's text with other texts; kept is whether the row's id is the class id.
+    n_links counts the verified links of the row's text with other texts, of which large buckets only look for what joins classes; kept is whether the row's id is the class id.
     """
     slack(docs, [id_col, text_col], "near_dedup")
     table = written(signed(docs, id_col, text_col), "signed")
