@@ -7,7 +7,7 @@ import corpus_pipeline as P
 import numpy as np
 import pytest
 from tests.llm import nasty
-from tests.llm.test_operators import jaccard_classes, toxic_tables
+from tests.llm.test_operators import jaccard_classes, template_family, toxic_tables
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,14 @@ def test_stages(spark, corpus):
     assert set(pieces["doc_id"].dropna()) == {d for d, _ in key(kept3) if d is not None}
 
 
+def test_near_stage_keeps_one_of_a_template_family(spark, sf):
+    """Of a large family with similarities around 0.8, and of a second one beside it, one document of each true class stays."""
+    rows = template_family() + template_family(300, seed=1, first=5_000)
+    kept = dict(P.STAGES)["near dedup"](spark, spark.createDataFrame(rows, nasty.SCHEMA), sf)
+    classes = jaccard_classes(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes.values()))
+
+
 def test_run_and_empty(spark, corpus, tmp_path):
     assert P.run(spark, corpus).count() > 0
     for t in ("documents", "labels", "benchmark"):
