@@ -28,23 +28,25 @@ def evoked(epochs: DataFrame, n_epochs: int) -> DataFrame:
     return epochs.groupBy("k", "o").agg((F.sum("z") / float(n_epochs)).alias("mean"))
 
 
-def surrogate_events(n_surrogates: int, events_each: int, samples: int, lo: int, hi: int, seed: int):
-    """Rows (surrogate, epoch, sample) of distinct random times whose window lies inside; drawn on the driver in one order."""
-    import numpy as np
+def surrogate_events(events: DataFrame, n_surrogates: int, samples: int, lo: int, hi: int, seed: int) -> DataFrame:
+    """(surrogate, epoch, sample): for each surrogate as many random times as there are events, their windows inside the axis.
+
+    A time is a hash of the event and the surrogate's number, so it is alike in every run and no table of times is drawn anywhere.
+    """
+    each = events.withColumn("surrogate", F.explode(F.sequence(F.lit(0), F.lit(n_surrogates - 1))))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), "surrogate", "sample")), 1, 8), 16, 10).cast("long")
+    return each.select("surrogate", "epoch", (F.lit(-min(lo, 0)) + drawn % (samples - max(hi, 0) + min(lo, 0))).cast("long").alias("sample"))
 
-    rng = np.random.RandomState(seed)
-    out = []
-    for s in range(n_surrogates):
-        for e, t in enumerate(np.sort(rng.choice(np.arange(-min(lo, 0), samples - max(hi, 0)), events_each, replace=False)).tolist()):
-            out.append((s, e, int(t)))
-    return out
 
+def surrogate_evoked(axis: DataFrame, events: DataFrame, lo: int, hi: int, n_events: int) -> DataFrame:
+    """(surrogate, k, o, mean) for all surrogates in one job; events (surrogate, epoch, sample), ``n_events`` of each surrogate.
 
-def surrogate_evoked(axis: DataFrame, events: DataFrame, lo: int, hi: int) -> DataFrame:
-    """(surrogate, k, o, mean) for all surrogates in one job; events (surrogate, epoch, sample)."""
-    around = events.withColumn("o", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).select("surrogate", "o", (F.col("sample") + F.col("o")).cast("long").alias("sample"))
-    n = events.groupBy("surrogate").agg(F.countDistinct("epoch").alias("n"))
-    return axis.join(around, "sample").groupBy("surrogate", "k", "o").agg(F.sum("z").alias("s")).join(n, "surrogate").select("surrogate", "k", "o", (F.col("s") / F.col("n")).alias("mean"))
+    Times that several surrogates drew, and one more than once, are summed up first: the join then has a row for each time at most.
+    """
+    times = events.groupBy("surrogate", "sample").agg(F.count("*").alias("n"))
+    around = times.withColumn("o", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).select("surrogate", "n", "o", (F.col("sample") + F.col("o")).cast("long").alias("sample"))
+    sums = axis.join(around, "sample").groupBy("surrogate", "k", "o").agg(F.sum(F.col("z") * F.col("n")).alias("s"))
+    return sums.select("surrogate", "k", "o", (F.col("s") / float(n_events)).alias("mean"))
 
 
 def evoked_thresholds(surrogates: DataFrame, atoms: DataFrame, ids: DataFrame, width: int, q: float) -> DataFrame:
@@ -103,12 +105,14 @@ def geometric_mean(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.exp(F.avg(F.log(value))).alias("gmean"))
 
 
-def window_distance(windows: DataFrame) -> DataFrame:
-    """One row (cost): mean squared distance over pairs of z-scored windows (window, i, x), in closed form.
+def window_distance(windows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, cost): mean squared distance over pairs of z-scored windows (*by, window, i, x), in closed form.
 
     The sum over pairs of |a - b|^2 is n sum |a|^2 - |sum a|^2: two aggregations instead of a join of all pairs.
     """
-    stats = windows.groupBy("window").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    scored = windows.join(stats, "window").select("window", "i", ((F.col("x") - F.col("m")) / F.col("s")).alias("x"))
-    by_i = scored.groupBy("i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
-    return by_i.agg((2 * F.sum(F.col("n") * F.col("q") - F.col("s") * F.col("s")) / F.max(F.col("n") * (F.col("n") - 1))).alias("cost"))
+    by = by or []
+    stats = windows.groupBy(*by, "window").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    scored = windows.join(stats, [*by, "window"]).select(*by, "window", "i", ((F.col("x") - F.col("m")) / F.col("s")).alias("x"))
+    by_i = scored.groupBy(*by, "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
+    cost = 2 * F.sum(F.col("n") * F.col("q") - F.col("s") * F.col("s")) / F.max(F.col("n") * (F.col("n") - 1))
+    return by_i.groupBy(*by).agg(cost.alias("cost"))

@@ -111,10 +111,13 @@ def explained_variance(z: DataFrame, d: DataFrame, channels: int, times: int, tr
     return every.select("k", value.alias("variance")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("variance"), "k")))  # one row for each atom
 
 
-def nnz_per_atom(z: DataFrame, d: DataFrame, positions: int) -> DataFrame:
-    """(k, nnz, density) of every atom, unused ones too."""
+def nnz_per_atom(z: DataFrame, d: DataFrame, valid: int, trials: DataFrame) -> DataFrame:
+    """(k, nnz, density) of every atom, unused ones too; density is over the ``valid`` positions of all trials."""
     used = z.where("z <> 0").groupBy("k").agg(F.count("*").alias("nnz"))
-    return d.select("k").distinct().join(used, "k", "left").select("k", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"), (F.coalesce("nnz", F.lit(0)) / float(positions)).alias("density"))
+    positions = trials.agg((F.countDistinct("trial") * float(valid)).alias("positions"))
+    every = d.select("k").distinct().join(used, "k", "left").crossJoin(positions)  # one row
+    nnz = F.coalesce("nnz", F.lit(0)).cast("long")
+    return every.select("k", nnz.alias("nnz"), (nnz / F.col("positions")).alias("density"))
 
 
 def cross_correlation_score(x: DataFrame, hat: DataFrame) -> DataFrame:

@@ -268,10 +268,10 @@ def explained_variance(s, d):
     return O.explained_variance(z, atoms, P5, T, x).withColumn("variance", F.round("variance", 6))
 
 
-@query(_EVENTS, f"SELECT k, count(*) AS nnz, count(*) / {float(1000 * TV)} AS density FROM z GROUP BY k")
+@query(_EVENTS, f"SELECT k, count(*) AS nnz, count(*) / ((SELECT count(*) FROM trials) * {float(TV)}) AS density FROM z GROUP BY k")
 def nnz_per_atom(s, d):
-    _, z, atoms = _xzd(s, d)
-    return O.nnz_per_atom(z, atoms, 1000 * TV)
+    x, z, atoms = _xzd(s, d)
+    return O.nnz_per_atom(z, atoms, TV, x)
 
 
 @query(_EVENTS, """SELECT trial, round(CASE WHEN xx > 0 AND hh > 0 THEN xh / sqrt(xx * hh) END, 9) AS score FROM (
@@ -391,9 +391,9 @@ def equalize_zeropad(s, d):
     return P.equalize(V.event_signal(s, d), "zeropad")
 
 
-@query(_SHIPPING, f"SELECT trial, CAST(w AS INTEGER) AS window, channel, CAST(t - w * 75 AS INTEGER) AS t, x FROM s, range({(V.SHIPDAYS - 100) // 75 + 1}) r(w) WHERE t - w * 75 BETWEEN 0 AND 99 AND w < 20")
+@query(_SHIPPING, f"SELECT trial, CAST(w AS INTEGER) AS window, channel, CAST(t - w * 75 AS INTEGER) AS t, x FROM s, range({(V.SHIPDAYS - 100) // 75 + 1}) r(w) WHERE t - w * 75 BETWEEN 0 AND 99")
 def trial_windows(s, d):
-    return P.sliding_trials(V.shipping_signal(s, d), V.SHIPDAYS, 100, 25, 20)
+    return P.sliding_trials(V.shipping_signal(s, d), V.SHIPDAYS, 100, 25)
 
 
 @query(_EMBEDDINGS, f"SELECT trial, 0 AS channel, CAST(t - i * 2 AS INTEGER) AS t, CAST(i AS INTEGER) AS i, x FROM e, range(5) r(i) WHERE t - i * 2 BETWEEN 0 AND {E - 1 - 8}")
@@ -444,13 +444,20 @@ def evoked_average(s, d):
     return A.evoked(A.epoch_codes(axis, ev, _LO, _HI), ev.count())
 
 
-_SURROGATES = A.surrogate_events(8, 12, 15 * TV, _LO, _HI, 5)
-_SURROGATE_SQL = _AXIS + ", su AS (SELECT * FROM (VALUES " + ", ".join(map(str, _SURROGATES)) + f") w(surrogate, epoch, sample)), sm AS (SELECT surrogate, k, CAST(axis.sample - su.sample AS INTEGER) AS o, sum(z) / 12.0 AS mean FROM axis JOIN su ON axis.sample - su.sample BETWEEN {_LO} AND {_HI} GROUP BY ALL)"
+N_SURROGATES, _SEED = 100, 5
+#: As many times for each surrogate as there are events, anywhere on the axis, by the first 32 bits of an MD5 that both engines have.
+_SURROGATE_SQL = _AXIS + f""", whole AS (SELECT (max(trial) + 1) * {TV} AS samples FROM trials),
+su AS (SELECT CAST(s AS INTEGER) AS surrogate, sample AS epoch, {-_LO} + CAST('0x' || substr(md5({_SEED} || '/' || s || '/' || sample), 1, 8) AS BIGINT) % (samples - {_HI - _LO}) AS sample
+       FROM (SELECT ev.sample, samples, s FROM ev, whole, range({N_SURROGATES}) r(s))),
+sm AS (SELECT surrogate, k, CAST(axis.sample - su.sample AS INTEGER) AS o, sum(z) / CAST((SELECT count(*) FROM ev) AS DOUBLE) AS mean
+       FROM (SELECT surrogate, sample, unnest(range({_LO}, {_HI + 1})) + sample AS at FROM su) su JOIN axis ON axis.sample = su.at GROUP BY ALL)"""
 
 
 def _surrogate_means(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    ev = s.createDataFrame(_SURROGATES, "surrogate int, epoch int, sample long")
-    return ev, A.surrogate_evoked(A.on_one_axis(V.event_codes(s, d, TV), TV), ev, _LO, _HI)
+    axis, ev = _epochs(s, d)
+    samples = V.event_signal(s, d).agg(((F.max("trial") + 1) * TV).alias("samples")).first().samples
+    drawn = A.surrogate_events(ev, N_SURROGATES, samples, _LO, _HI, _SEED)
+    return drawn, A.surrogate_evoked(axis, drawn, _LO, _HI, ev.count())
 
 
 @query(_EVENTS + ",\n" + _SURROGATE_SQL, "SELECT surrogate, k, o, round(mean, 9) AS mean FROM sm")
@@ -509,7 +516,14 @@ def geometric_mean(s, d):
     return A.geometric_mean(V.event_signal(s, d).where("x > 0").withColumn("x", F.col("x").cast("double")), ["channel"], "x").withColumn("gmean", F.round("gmean", 6))
 
 
-@query(_EMBEDDINGS + f", w AS (SELECT trial, t // 16 AS win, t % 16 AS i, CAST(x AS DOUBLE) AS x FROM e WHERE trial = 0), n AS (SELECT win, i, (x - avg(x) OVER (PARTITION BY win)) / stddev_pop(x) OVER (PARTITION BY win) AS x FROM w), p AS (SELECT a.win AS v, b.win AS w, sum((a.x - b.x) * (a.x - b.x)) AS s FROM n a JOIN n b ON a.i = b.i AND a.win < b.win GROUP BY ALL)", "SELECT round(avg(s), 6) AS cost FROM p")
+_WINDOWS = """, w AS (SELECT trial, t // 16 AS win, t % 16 AS i, CAST(x AS DOUBLE) AS x FROM e),
+n AS (SELECT trial, win, i, (x - avg(x) OVER (PARTITION BY trial, win)) / stddev_pop(x) OVER (PARTITION BY trial, win) AS x FROM w),
+p AS (SELECT trial, a.win AS v, b.win AS w, sum((a.x - b.x) * (a.x - b.x)) AS s FROM n a JOIN n b USING (trial, i) WHERE a.win < b.win GROUP BY ALL)"""
+
+
+@query(_EMBEDDINGS + _WINDOWS, "SELECT trial, round(avg(s), 6) AS cost FROM p GROUP BY trial")
 def window_distance(s, d):
-    w = V.embedding_signal(s, d).where("trial = 0").select(F.floor(F.col("t") / 16).alias("window"), (F.col("t") % 16).alias("i"), F.col("x").cast("double").alias("x"))
-    return A.window_distance(w).select(F.round("cost", 6).alias("cost"))
+    """The windows of every vector, four each."""
+    at = V.embedding_signal(s, d)
+    w = at.select("trial", F.floor(F.col("t") / 16).alias("window"), (F.col("t") % 16).alias("i"), F.col("x").cast("double").alias("x"))
+    return A.window_distance(w, ["trial"]).select("trial", F.round("cost", 6).alias("cost"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir, which all executors share.
 
-    The setting is read from the session; a folder under /tmp is taken only where it is unset (local tests).
+    Where it is unset a local master, whose tasks run on this machine, gets a temporary folder; a cluster gets an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)

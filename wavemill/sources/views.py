@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 EPOCH_2024 = 1704067200
 HOURS = 720
@@ -18,15 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with the rank of a low-cardinality column among its sorted distinct values."""
-    values = F.sort_array(F.collect_set(column))
-    known = df.agg(values.alias("_all"))  # one row of distinct values
-    return df.crossJoin(F.broadcast(known)).withColumn(name, (F.array_position("_all", F.col(column)) - 1).cast("int")).drop("_all")
+    """df with the rank of a low-cardinality column among its sorted distinct values; rows without a value are left out.
+
+    The ranked values are a table of their own, joined by equality: Spark broadcasts it only if it is small.
+    """
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    ranked = values.withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))  # one row for each distinct value
+    return df.join(ranked, column)
 
 
 def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trial = user, channel = event type, t = hour, x = cents; zeros are left out."""
-    ev = table(spark, sf_dir, "events").select("user_id", "event_type", F.floor((F.unix_timestamp("ts") - EPOCH_2024) / 3600).cast("int").alias("t"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    hour = F.floor((F.unix_timestamp("ts") - EPOCH_2024) / 3600).cast("int").alias("t")
+    ev = table(spark, sf_dir, "events").select("user_id", "event_type", hour, F.round(F.col("value") * 100).cast("long").alias("cents"))
     return dense_index(ev, "event_type", "channel").groupBy(F.col("user_id").alias("trial"), "channel", "t").agg(F.sum("cents").alias("x"))
 
 
