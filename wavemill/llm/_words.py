@@ -134,3 +134,16 @@ def window_starts(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     rows = np.repeat(np.arange(len(n)), n)
     begin = np.cumsum(n) - n
     return np.arange(n.sum()) - begin[rows] + bounds[:-1][rows], rows
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One text for each row: its spans starts[i], ends[i] for i from bounds[r] to bounds[r + 1], with one space between."""
+    size = ends - starts + 1
+    upto = np.concatenate([[0], np.cumsum(size)])
+    out = np.append(data, np.uint8(0x20))[np.repeat(starts - upto[:-1], size) + np.arange(upto[-1])]
+    out[upto[1:] - 1] = 0x20
+    some = np.diff(bounds) > 0
+    keep = np.ones(len(out), dtype=bool)
+    keep[upto[bounds[1:][some]] - 1] = False  # no space behind the last
+    offsets = upto[bounds] - np.concatenate([[0], np.cumsum(some)])
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(out[keep].tobytes())).cast(pa.string())
