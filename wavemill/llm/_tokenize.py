@@ -1,94 +1,187 @@
 """Token ids of whole texts with the tokenizers library, each distinct piece encoded once.
 
-A text is cut only where the tokenizer can never join what lies on both sides, so the ids of the pieces, put together, are the
-ids of the text; ids are little-endian unsigned 32-bit integers throughout.
+A text is cut only where the tokenizer's own splitting ends a pre-token, so the ids of the pieces, put together, are the ids of the
+text. Cutting, looking up and putting together are NumPy over a slice of texts; the library sees a piece when it is new. Texts with
+the string of a special token, with control characters or with white space beyond ASCII go to the library whole.
+Ids are little-endian unsigned 32-bit integers throughout.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces held at most, in two generations: when the younger is full the older is dropped, which costs time and changes no result.
-CACHE = 1_000_000
-#: One space between two characters that are no white space: a byte-level pre-token may begin there and none reaches across.
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
-#: White space that is dropped and that ends every pre-token.
-_AT_SPACE = re.compile(r"[ \n\t\r]+")
-_TAIL = ".,;:!?%&$*#|()"
+from . import _words as W
+
+#: Pieces held at most, and bytes of pieces longer than LONGEST; a full table is emptied, which costs time and changes no result.
+CACHE, LONGEST = 1_000_000, 64
 _TOGETHER = 200
+_WHITE, _LETTER, _DIGIT, _OTHER = range(4)
+#: Byte classes of ASCII; what continues a longer UTF-8 sequence counts as a letter.
+_CLASS = np.full(256, _OTHER, dtype=np.int8)
+_CLASS[[0x20, 0x09, 0x0A, 0x0D]] = _WHITE
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+#: Lead bytes of blocks that hold letters only, but for two signs and a letter whose lower case is more than a letter,
+#: which are looked for apart; a word with any other, or with an apostrophe, stays whole.
+_ODD = np.zeros(256, dtype=bool)
+_ODD[0xC0:] = True
+_ODD[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = False
+_ODD[0x27] = True
+#: White space beyond ASCII, and control characters.
+_STRANGE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{80}-\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file, without special tokens; their strings in a text are ordinary text."""
+    """Encodes texts with a tokenizer file, as the library does by default but for add_special_tokens=False."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would also keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        drops_space = self.tokenizer.normalizer is not None
-        self.split = self._words if drops_space else self._spaced
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.keeps_space = self.tokenizer.normalizer is None
+        special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.strange = "|".join([_STRANGE, *map(re.escape, sorted(special))])
         (self.digit,) = self.tokenizer.encode("1", add_special_tokens=False).ids
-
-    @staticmethod
-    def _spaced(text: str) -> list[str]:
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or not text.replace("\n", "x").isprintable():
-            return _BEFORE_SPACE.split(text)
-        # Every space stands between two other characters and begins a piece; so does a line break, which is a piece of its own.
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        return text.split(" ") if text.isprintable() else _AT_SPACE.split(text)
-
-    def _learn(self, new: list[str]) -> None:
-        """Puts the pieces into the table.
-
-        A word is encoded without the ASCII punctuation behind it, where every pre-token ends; plain words go to the library
-        many in one string, set apart by a digit, which is a pre-token and an id of its own.
-        """
-        cores: list[tuple[str, str]] = []
-        plain, other = set(), set()
-        for p in new:
-            core = p.rstrip(_TAIL)
-            letters = core[1:] if core[:1] == " " else core
-            if letters.isascii() and letters.isalpha() or letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:  # its lower case is no letter alone
-                plain.add(core)
-                if core != p:
-                    cores.append((p, core))
-                    other.add(p[len(core) :])
-            else:
-                other.add(p)
-        rest = [p for p in other if p not in self.known]
-        self.known.update((p, np.asarray(e.ids, dtype="<u4").tobytes()) for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True))
-        many = [p for p in plain if p not in self.known]
-        for i in range(0, len(many), _TOGETHER):
-            some = many[i : i + _TOGETHER]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["1".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.digit).tolist()
-            raw, begin = ids.tobytes(), 0
-            for p, c in zip(some, [*cuts, len(ids)], strict=True):
-                self.known[p] = raw[4 * begin : 4 * c]
-                begin = c + 1
-        self.known.update((p, self.known[c] + self.known[p[len(c) :]]) for p, c in cores)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes; null is empty."""
-        if 2 * len(self.known) > CACHE:
-            self.old, self.known = self.known, {}
-        known, cut = self.known, [self.split(t) if t else [] for t in texts]
-        found = [list(map(known.get, c)) for c in cut]
-        absent = {p for c, f in zip(cut, found, strict=True) for p, x in zip(c, f, strict=True) if x is None}
-        old = self.old
-        known.update((p, old[p]) for p in absent if p in old)
-        self._learn([p for p in absent if p not in known])
-        return [b"".join([known[p] if x is None else x for p, x in zip(c, f, strict=True)] if None in f else f) for c, f in zip(cut, found, strict=True)]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.bytes = 0  # of pieces longer than LONGEST
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.begin, self.count = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the pieces of a slice of texts."""
+        n = len(data)
+        kind = _CLASS[data]
+        white = kind == _WHITE
+        first = np.zeros(n + 1, dtype=bool)
+        first[offsets] = True
+        change = np.ones(n, dtype=bool)
+        change[1:] = (kind[1:] != kind[:-1]) | first[1:n]
+        begins = change & (white | np.concatenate([[True], white[:-1]]) | first[:n])  # of words between white space, and of white space
+        odd = _ODD[data]
+        odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+        if odd.any():
+            word = np.cumsum(begins) - 1
+            whole = np.zeros(int(word[-1]) + 1, dtype=bool)
+            whole[word[odd]] = True
+            change &= ~whole[word] | begins
+        if not self.keeps_space:
+            starts = np.flatnonzero(change & ~white)
+            ends = np.append(np.flatnonzero(change), n)
+            return starts, ends[np.searchsorted(ends, starts, side="right")]
+        # The last of some white space before a word is a piece of its own, with the word if it is a space.
+        last = np.zeros(n, dtype=bool)
+        last[:-1] = white[:-1] & ~white[1:] & ~first[1:n]
+        change |= last
+        change[1:] &= ~(last[:-1] & (data[:-1] == 0x20))
+        starts = np.flatnonzero(change)
+        return starts, np.append(starts[1:], n)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, new: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of pieces; runs of letters or signs go to the library many in one string, set apart by a digit, an id of its own."""
+        texts = [p.decode() for p in new]
+        plain = [i for i, t in enumerate(texts) if (b := t[1:] if t[0] == " " and len(t) > 1 else t).isalpha() or b.isascii() and not any(c.isalnum() or c in "' \n\t\r" for c in b)]
+        out: list = [None] * len(new)
+        for i in range(0, len(plain), _TOGETHER):
+            some = plain[i : i + _TOGETHER]
+            ids = np.array(self._library(["1".join([texts[j] for j in some])])[0], dtype=np.uint32)
+            cuts = np.flatnonzero(ids == self.digit)
+            if len(cuts) != len(some) - 1:
+                raise RuntimeError("a piece was joined to its neighbour")
+            for j, part in zip(some, np.split(ids, cuts), strict=True):
+                out[j] = part[1:] if j != some[0] else part
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
+            out[i] = np.array(ids, dtype=np.uint32)
+        return out
+
+    def _store(self, new: list[bytes]) -> np.ndarray:
+        """Numbers of new pieces, whose ids are put behind those of all others."""
+        found = self._encoded(new)
+        at, size = len(self.known), np.array([len(x) for x in found], dtype=np.int64)
+        total = int(size.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + len(new) > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        self.flat[self.used : self.used + total] = np.concatenate(found)
+        self.count[at : at + len(new)] = size
+        self.begin[at : at + len(new)] = self.used + np.cumsum(size) - size
+        self.used += total
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        return np.arange(at, at + len(new))
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of each of some pieces."""
+        numbers = np.array([self.known.get(p, -1) for p in pieces], dtype=np.int64)
+        absent = np.flatnonzero(numbers < 0)
+        if len(absent):
+            new = dict.fromkeys(pieces[i] for i in absent.tolist())
+            self._store(list(new))
+            numbers[absent] = [self.known[pieces[i]] for i in absent.tolist()]
+        return numbers
+
+    def _ordinary(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of texts without anything strange."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        starts, ends = self._pieces(data, offsets)
+        size = ends - starts
+        raw = data.tobytes() + bytes(16)
+        eight = np.ndarray(len(data) + 8, dtype="<u8", buffer=raw, strides=(1,))  # the eight bytes from each byte on
+        low = eight[starts] & _MASK[np.minimum(size, 8)]
+        high = eight[np.minimum(starts + 8, len(data))] & _MASK[np.clip(size - 8, 0, 8)]
+        key = W.mix(low ^ W.mix(high + size.astype(W.U64)))
+        long = np.flatnonzero(size > 16)
+        key[long] = long.astype(W.U64)  # each on its own
+        which, _ = pd.factorize(key)
+        first = np.full(int(which.max()) + 1 if len(which) else 0, -1, dtype=np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        same = (low == low[first][which]) & (high == high[first][which]) & (size == size[first][which])
+        if not same.all():  # two pieces with one key: look each up by itself
+            first, which = np.arange(len(starts)), np.arange(len(starts))
+        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.known) + len(pieces) > CACHE or self.bytes > CACHE:
+            self._clear()
+        self.bytes += int(size[first][size[first] > LONGEST].sum())
+        numbers = self._numbers(pieces)[which]
+        many = self.count[numbers]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        ids = self.flat[np.repeat(self.begin[numbers] - upto[:-1], many) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(starts, offsets)]
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, rows, ids, bounds) of slices of a text column; null is empty."""
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        if column.null_count:
+            column = column.fill_null("")
+        for i, j in W.slices(W.buffers(column)[1]):
+            part = column.slice(i, j - i)
+            strange = pc.match_substring_regex(part, self.strange)
+            if not pc.any(strange).as_py():
+                yield i, j - i, *self._ordinary(*W.buffers(part))
+                continue
+            strange = strange.to_numpy(zero_copy_only=False)
+            ids, bounds = self._ordinary(*W.buffers(part.filter(pa.array(~strange))))
+            whole = iter(self._library(part.filter(pa.array(strange)).to_pylist()))
+            ordinary = iter(np.split(ids, bounds[1:-1]))
+            rows = [np.array(next(whole), dtype=np.uint32) if s else next(ordinary) for s in strange.tolist()]
+            yield i, j - i, np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
 _encoders: dict[str, Encoder] = {}

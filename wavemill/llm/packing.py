@@ -129,7 +129,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     slack(docs, [id_col, text_col], "pack_documents")
     schema = T.StructType([T.StructField(id_col, T.LongType()), *PIECES.fields[1:], *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,9 +139,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
-                for i in range(0, batch.num_rows, 250):
-                    part = batch.slice(i, 250)
-                    yield from ((d, x + end) for d, x in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True))
+                for i, n, ids, bounds in encode(batch.column(1)):
+                    raw, bounds = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4").tobytes(), bounds + np.arange(n + 1)
+                    for d, a, b in zip(batch.column(0).slice(i, n).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                        yield d, raw[4 * a : 4 * b]
 
         for out in pack_partition(rows(), TaskContext.get().partitionId() << 32, capacity, with_ids):
             if out:

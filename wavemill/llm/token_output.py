@@ -1,16 +1,20 @@
 """Token ids as binary files in Simple-8b, a word-aligned code.
 
 A file is one range of ids in ascending order: documents are range-partitioned by id, sorted within the partition and encoded in
-batches; a partition of any size streams through, one block of ids in memory at a time.
+batches. A partition of any size streams through: a file is closed at file_ids ids or file_docs documents and the next one begun, so a
+task holds some blocks of ids and the tables of one file.
 
 Layout of a file, all integers little-endian:
-  ``S8B1``, then blocks of 64-bit words, then the document table (int64 id, int64 number of ids, for each document), then
+  ``S8B1``, then blocks of 64-bit words, then the document table (int64 id, int64 number of ids, for each document; a negative
+  number means that there are as many ids and that the document's id is null), then
   the block table (int64 byte offset, int64 first id's index, int64 ids, for each block), then a footer of three
   int64: documents, blocks, byte offset of the document table, and ``S8B1`` again.
 A word is a 4-bit selector in its top bits and as many values as fit in the other 60. Selectors 0 and 1 stand for runs of 240 and
 120 zeros; selector 15 is the escape, one literal value of up to 60 bits. A block holds BLOCK_IDS ids at most and is decoded alone.
 
-Null texts are empty; an empty document is its end id. Rows that repeat an id are ordered by text and all kept; a null id sorts first.
+Null texts are empty; an empty document is its end id. Texts are encoded as the library does by default: the string of a special token
+in a text is that token. Rows that repeat an id are all kept, in the order of a hash of the text and then of the text; a null id sorts
+first. A very long text is encoded whole, as a slice of its own.
 Extra columns are ignored; an empty table gives no file and an empty result.
 """
 
@@ -35,6 +39,8 @@ COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Ids that are encoded at once.
 CHUNK_IDS = 1 << 19
+#: A file is closed once it holds so many ids or documents.
+FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20
 
 
 def encode_blocks(values: np.ndarray) -> list[np.ndarray]:
@@ -104,15 +110,17 @@ class Writer:
     """Streams documents into one file."""
 
     def __init__(self, out) -> None:
-        self.out, self.at, self.ids = out, len(MAGIC), 0
-        self.docs: list[tuple[int, int]] = []
-        self.blocks: list[tuple[int, int, int]] = []
+        self.out, self.at, self.ids, self.n_docs = out, len(MAGIC), 0, 0
+        self.docs: list[np.ndarray] = []
+        self.blocks: list[np.ndarray] = []
         self.held: list[np.ndarray] = []
         self.held_ids = 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+    def add(self, doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents one behind the other; known tells which doc_ids are not null."""
+        self.docs.append(np.stack([np.where(known, doc_ids, 0), np.where(known, counts, -counts)], axis=1).astype("<i8"))
+        self.n_docs += len(counts)
         self.held.append(ids)
         self.held_ids += len(ids)
         if self.held_ids >= CHUNK_IDS:
@@ -121,21 +129,24 @@ class Writer:
     def _flush(self, upto: int) -> None:
         values = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
         blocks = encode_blocks(values[:upto])
-        for i, words in enumerate(blocks):
-            self.blocks.append((self.at, self.ids, min(BLOCK_IDS, upto - i * BLOCK_IDS)))
-            self.at += 8 * len(words)
-            self.ids += self.blocks[-1][2]
         if blocks:
+            size = np.array([8 * len(words) for words in blocks])
+            first = np.arange(0, upto, BLOCK_IDS)
+            self.blocks.append(np.stack([self.at + np.cumsum(size) - size, self.ids + first, np.minimum(BLOCK_IDS, upto - first)], axis=1).astype("<i8"))
+            self.at += int(size.sum())
+            self.ids += upto
             self.out.write(np.concatenate(blocks).astype("<u8").tobytes())
         self.held, self.held_ids = [values[upto:]], len(values) - upto
 
     def close(self) -> None:
         self._flush(self.held_ids)
-        table = np.array(self.docs, dtype="<i8").tobytes() + np.array(self.blocks, dtype="<i8").tobytes()
-        self.out.write(table + struct.pack("<3q", len(self.docs), len(self.blocks), self.at) + MAGIC)
+        for table in (*self.docs, *self.blocks):
+            self.out.write(table.tobytes())
+        self.out.write(struct.pack("<3q", self.n_docs, sum(len(b) for b in self.blocks), self.at) + MAGIC)
+        self.out.close()
 
 
-def read_documents(source, size: int) -> Iterator[tuple[int, np.ndarray]]:
+def read_documents(source, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
     """(id, ids as uint32) of each document of an open file, by its block table; memory holds a few blocks and one document."""
 
     def at(offset: int, n: int) -> bytes:
@@ -153,6 +164,8 @@ def read_documents(source, size: int) -> Iterator[tuple[int, np.ndarray]]:
     step = max(1, CHUNK_IDS // BLOCK_IDS)
     have, b = np.zeros(0, np.uint32), 0
     for doc_id, n in docs.tolist():
+        if n < 0:
+            doc_id, n = None, -n
         parts = [have]
         got = len(have)
         while got < n:
@@ -166,15 +179,16 @@ def read_documents(source, size: int) -> Iterator[tuple[int, np.ndarray]]:
         have = have[n:]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", where: str | None = None) -> DataFrame:
-    """Writes the files and returns one row for each: path, part, bytes, n_docs, n_ids, start (ids of all files before it).
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", where: str | None = None, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Writes the files and returns one row for each: path, part, file, bytes, n_docs, n_ids, start (ids of all files before it).
 
     A task writes under a name of its own and then renames, so a task that runs again or twice leaves the same file.
     """
     slack(docs, [id_col, text_col], "write_tokens")
     where = where or fresh(docs.sparkSession, "tokens")
-    end = np.array([end_id], dtype="<u4").tobytes()
-    schema = "path string, part int, bytes long, n_docs long, n_ids long"
+    schema = "path string, part int, file int, bytes long, n_docs long, n_ids long"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -182,29 +196,35 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         from ._tokenize import encoder
 
         task, encode = TaskContext.get(), encoder(tokenizer).encode
-        writer = out = None
-        for batch in batches:
-            for i in range(0, batch.num_rows, 250):
-                part = batch.slice(i, 250)
-                if writer is None and part.num_rows:
-                    fs, folder = filesystem(where)
-                    fs.create_dir(folder)
-                    final, temp = f"{folder}/{task.partitionId():08d}.s8b", f"{folder}/_{task.taskAttemptId()}.tmp"
-                    out = fs.open_output_stream(temp)
-                    writer = Writer(out)
-                for d, x in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    writer.add(-(1 << 63) if d is None else d, np.frombuffer(x + end, dtype="<u4"))
-        if writer is not None:
+        fs, folder = filesystem(where)
+        writer, file = None, 0
+
+        def close() -> pa.RecordBatch:
             writer.close()
-            out.close()
             fs.move(temp, final)
             size = fs.get_file_info(final).size
-            yield pa.RecordBatch.from_pydict({"path": [final], "part": pa.array([task.partitionId()], pa.int32()), "bytes": [size], "n_docs": [len(writer.docs)], "n_ids": [writer.ids]})
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((final, task.partitionId(), file, size, writer.n_docs, writer.ids), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for i, n, ids, bounds in encode(batch.column(1)):
+                if writer is None:
+                    fs.create_dir(folder)
+                    final, temp = f"{folder}/{task.partitionId():08d}-{file:05d}.s8b", f"{folder}/_{task.taskAttemptId()}-{file}.tmp"
+                    writer = Writer(fs.open_output_stream(temp, compression=None))
+                doc = batch.column(0).slice(i, n)
+                known = doc.is_valid().to_numpy(zero_copy_only=False)
+                writer.add(doc.fill_null(0).to_numpy(), known, np.diff(bounds) + 1, np.insert(ids, bounds[1:], np.uint32(end_id)))
+                if writer.ids + writer.held_ids >= file_ids or writer.n_docs >= file_docs:
+                    yield close()
+                    writer, file = None, file + 1
+        if writer is not None:
+            yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    order = ["id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     files = written(ordered.mapInArrow(run, schema), "token-files")
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file
+    before = F.sum("n_ids").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file
     return files.withColumn("path", F.concat(F.lit(where + "/"), F.element_at(F.split("path", "/"), -1))).withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 
 
@@ -220,7 +240,7 @@ def read_tokens(files: DataFrame, id_col: str = "doc_id", with_ids: bool = False
                 with fs.open_input_file(name) as source:
                     for doc_id, ids in read_documents(source, source.size()):
                         raw = ids.astype("<u4").tobytes()
-                        for c, v in zip(rows, (None if doc_id == -(1 << 63) else doc_id, start, len(ids), zlib.crc32(raw), raw if with_ids else b""), strict=True):
+                        for c, v in zip(rows, (doc_id, start, len(ids), zlib.crc32(raw), raw if with_ids else b""), strict=True):
                             c.append(v)
                         start += len(ids)
                         if len(rows[0]) >= (256 if with_ids else 8192):
