@@ -3,11 +3,13 @@
 Writing: records of equal payloads of at least MIN_REVISIT bytes are one response and revisits of it; the decision comes from
 an aggregation by payload digest over narrow rows, and only then does each page's record go to a file. Each record is a gzip
 member of its own, as the format asks, and each written record gives an index row: path, offset, length, URL, digest.
-Reading: any selection of index rows is dealt out by file, sorted by offset, and neighbouring byte ranges are fetched together.
+Reading: any selection of index rows is dealt out by file and stretch of it, as many tasks as the selected bytes call for, sorted by
+offset, and neighbouring byte ranges are fetched together.
 
 A null payload is empty, a null URL is the empty URL. Of equal payloads the row of the smallest id is the response; rows that
 repeat both id and payload are all responses if theirs is the smallest id. A null id is larger than any. An empty table gives
-no file and an empty index. Extra columns are ignored.
+no file and an empty index. Extra columns are ignored. A payload of any
+length is one record, held whole by one task.
 """
 
 from __future__ import annotations
@@ -28,14 +30,16 @@ MIN_REVISIT = 100
 FILE_BYTES = 1 << 27
 #: Byte ranges at most so far apart are fetched together, up to so many bytes at once.
 GAP_BYTES, RANGE_BYTES = 1 << 16, 1 << 23
+#: Bytes of archives that a task reads back, about.
+TASK_BYTES = 1 << 26
 INDEX = "page_id long, url string, path string, offset long, length long, payload_digest string, payload_bytes long, record_type string, refers_to long"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page_id: int | None, digest: str, url: str) -> str:
-    """A record's URN, alike whenever the same page is written."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {url}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """A record's URN, alike whenever a page of this id and payload is written."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
 
 
 def build_record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -45,12 +49,12 @@ def build_record(page_id: int | None, url: str, payload: bytes, digest: str, ref
     block = http + (payload if refers_to is None else b"")
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": record_id(page_id, digest, url),
+        "WARC-Record-ID": record_id(page_id, digest),
         "WARC-Date": DATE,
         "WARC-Target-URI": "".join(c for c in url if c not in "\r\n"),
         "WARC-Payload-Digest": f"sha256:{digest}",
         "X-Page-ID": "" if page_id is None else str(page_id),
-        **({} if refers_to is None else {"WARC-Profile": REVISIT_PROFILE, "X-Refers-To-Page-ID": str(refers_to)}),
+        **({} if refers_to is None else {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page-ID": str(refers_to)}),
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
@@ -94,6 +98,12 @@ def _decided(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     return rows.join(keyed, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows as Python values, a few at a time."""
+    for i in range(0, batch.num_rows, 256):
+        yield from zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True)
+
+
 def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", where: str | None = None) -> DataFrame:
     """Writes the archives; returns their index (INDEX), a table in the shared folder.
 
@@ -118,8 +128,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         names = [x.split()[0] for x in INDEX.split(", ")]
         kinds = [pa.int64() if x.endswith("long") else pa.string() for x in INDEX.split(", ")]
         for batch in batches:
-            for i in range(batch.num_rows):
-                page_id, url, payload, digest, refers_to = (batch.column(c)[i].as_py() for c in range(5))
+            for page_id, url, payload, digest, refers_to in _rows(batch):
                 if out is None:
                     name = f"{task.partitionId():06d}-{part:04d}"
                     final, temp, at, rows = f"{folder}/{name}.warc.gz", f"{folder}/_{name}.{task.taskAttemptId()}.tmp", 0, []
@@ -166,7 +175,11 @@ def read_warc(index: DataFrame, with_payload: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    dealt = index.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+    # The rows are few bytes and stand for many: tasks are counted by the archives' bytes, and a file is dealt out in stretches.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    stretch = F.floor(F.col("offset") / RANGE_BYTES)
+    dealt = index.select("path", "offset", "length").repartition(tasks, "path", stretch).sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(run, schema)
 
 
