@@ -2,8 +2,9 @@
 
 With one more shard only the rows that move into the new shard change place, one in ``shards + 1`` on average.
 The jump runs in NumPy over whole Arrow batches; its key is the first 64 bits of the MD5 of the id's decimal text, so any
-engine can repeat it. Slots number the rows of a shard without gaps: rows are counted by (shard, bucket) with partial sums, the
-small table of counts gives each bucket its first slot, and only one bucket is ever sorted together.
+engine can repeat it. Texts are read once, for a narrow table of ids, sizes and checksums. Slots number the rows of a shard without gaps:
+rows are counted by (shard, bucket) with partial sums, the small table of counts gives each bucket its first slot, and only one bucket is
+ever sorted together.
 
 A null id hashes as the text ``null``; a null text has size 1 and the checksum of no bytes; repeated rows each get a slot of
 their own. An empty table gives an empty result; extra columns are ignored.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._shared import slack
+from ._shared import slack, written
 
 #: Rows of a bucket, about; the number of buckets follows the number of rows.
 BUCKET_ROWS = 20_000
@@ -59,14 +60,17 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", name: st
     if shards < 1:
         raise ValueError("shards must be 1 or more")
     slack(docs, [id_col], "assign_shards")
-    return docs.withColumn(name, _jump_udf(shards)(id_key(F.col(id_col))))
+    return docs.withColumn(name, _jump_udf(shards)(id_key(F.col(f"`{id_col}`"))))
 
 
-def slots(rows: DataFrame, order: list[str], shard: str = "shard", buckets: int | None = None) -> DataFrame:
-    """rows with ``slot``, gapless from 0 in each shard; ``order`` decides within a bucket."""
-    if buckets is None:
-        buckets = max(1, rows.count() // BUCKET_ROWS)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+def slots(rows: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
+    """rows with ``slot``, gapless from 0 in each shard; ``order`` decides within a bucket.
+
+    A bucket is picked by ``order`` and by the task that wrote the row, so rows that are alike in all of it spread over buckets too.
+    """
+    rows = written(rows.withColumn("_task", F.spark_partition_id()), "slots")
+    buckets = max(1, rows.count() // BUCKET_ROWS)
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order, "_task"), F.lit(buckets)).cast("int")).drop("_task")
     counts = rows.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = counts.select(shard, "_bucket", before.alias("_first"))  # one row for each bucket, BUCKET_ROWS times fewer than rows
@@ -77,7 +81,7 @@ def slots(rows: DataFrame, order: list[str], shard: str = "shard", buckets: int
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     slack(docs, [id_col, text_col], "shard_documents")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = assign_shards(assign_shards(rows, shards, id_col), shards + 1, id_col, "grown_shard")
     return slots(rows, [id_col, "text_crc32", "size"]).select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
