@@ -53,8 +53,7 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, k: int, weights: np.nda
     owner = np.repeat(np.arange(sets), np.diff(bounds))
     part = None
     if weights is not None:  # an element of weight w is cut into cells of weight 1, the last of which may be a part of one
-        total = np.zeros(sets)
-        np.add.at(total, owner, weights)
+        total = np.bincount(owner, weights=weights, minlength=sets)
         cells = np.ceil(weights).astype(np.int64)
         layer = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
         elements = mix(np.repeat(elements, cells) + layer.astype(U64) * U64(0xD1B54A32D192ED03))

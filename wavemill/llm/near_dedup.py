@@ -1,20 +1,22 @@
 """Near-duplicate classes by DartMinHash signatures, banded joining and exact verification.
 
-Two texts are linked when the Jaccard similarity of their sets of five-word shingles is 0.8 or more; classes are the connected
-components of the links. Words are runs of letters and digits, lower-cased; a text of fewer words is one shingle.
+Two texts are linked when the weighted Jaccard similarity of their five-word shingles is 0.8 or more, a shingle's weight being the number
+of times it occurs; classes are the connected components of the links. Words are runs of letters and digits, lower-cased; a text of
+fewer words is one shingle. Shingles are 64-bit hashes in signatures and 32 bits of them in comparisons.
 
 1. Texts of the same word sequence are one text from here on, whatever their number; each keeps one representative.
-2. Signatures of BANDS x WIDTH coordinates are cut into bands; at similarity 0.8 two texts share no band with probability
+2. Weighted signatures of BANDS x WIDTH coordinates are cut into bands; at similarity 0.8 two texts share no band with probability
    (1 - 0.8**4)**24 = 3e-6.
 3. In each band a bucket's texts are compared with two of its members, the smallest id and the smallest hash for that band: as many
-   pairs as members. Similarities are exact, from the shingle sets.
+   pairs as members.
 4. Where a bucket's members still fall into several classes, every two of them that are of different classes are compared, whatever
    the bucket's size: as rows in buckets of at most SMALL texts, by matrix products of blocks of BLOCK texts in larger ones, where each
    pair is taken in the first band it shares and the members of the largest class are not held against each other. No pair of
    texts that shares a band and could join two classes is left out.
 
 Null ids are classes of their own (class_id null). Null and empty texts and texts without a word are linked to nothing. A repeated row
-is in the class of its text. Extra columns are ignored; an empty table gives an empty result.
+is in the class of its text. A very long text is one slice of a task and one list of shingles. Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import _darts as D
 from . import _words as W
-from ._shared import slack, written
+from ._shared import column, dealt_join, discard, slack, written
 from .components import components
 
 SHINGLE = 5
@@ -39,8 +41,8 @@ SMALL = 16
 BLOCK = 128
 #: Shingles of a slice of the incidence matrices whose product counts what two blocks have in common.
 COLUMNS = 4096
-#: Bits of the table that tells which ids to read again; ids that share a bit are read too and fall out in the join.
-ID_BITS = 23
+#: Bits of the table that tells which ids to read again, about eight for each id; ids that share a bit are read too and fall out in the join.
+LEAST_BITS, MOST_BITS = 16, 26
 
 
 def shingles(column: pa.Array, width: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -61,10 +63,18 @@ def shingles(column: pa.Array, width: int = SHINGLE) -> Iterator[tuple[int, int,
         yield i, rows_here, found, np.searchsorted(rows, np.arange(rows_here + 1)), sequence, n
 
 
-def bands(found: np.ndarray, bounds: np.ndarray, width: int, count: int, salt: int) -> np.ndarray:
-    """(sets, count) band values of DartMinHash signatures."""
-    elements = W.mix(found ^ W.U64(salt)) if salt else found
-    sig = D.signatures(elements, bounds, width * count).reshape(-1, count, width)
+def counted(found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles of each text, how often each occurs, bounds)."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((found, owner))
+    found, owner = found[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])])[: len(found)])
+    return found[first], np.diff(np.append(first, len(found))), np.searchsorted(owner[first], np.arange(len(bounds)))
+
+
+def bands(elements: np.ndarray, counts: np.ndarray, bounds: np.ndarray, width: int, count: int) -> np.ndarray:
+    """(texts, count) band values of DartMinHash signatures of shingles weighted by their counts."""
+    sig = D.signatures(elements, bounds, width * count, counts.astype(np.float64)).reshape(-1, count, width)
     out = np.zeros(sig.shape[:2], dtype=W.U64)
     for x in range(width):
         out = W.mix(out ^ sig[:, :, x])
@@ -82,36 +92,45 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for i, n, found, bounds, sequence, words in shingles(batch.column(1)):
                 some = np.flatnonzero(words > 0)
-                values = bands(found, bounds, WIDTH, BANDS, 0)[some]
+                values = bands(*counted(found, bounds), WIDTH, BANDS)[some]
                 total = np.concatenate([np.zeros(1, W.U64), np.cumsum(W.mix(found), dtype=W.U64)])
                 second = (total[bounds[1:]] - total[bounds[:-1]])[some]
                 lists = _lists(values.ravel().view(np.int64), np.arange(len(some) + 1) * BANDS, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).take(pa.array(some)), pa.array(sequence[some].view(np.int64)), pa.array(second.view(np.int64)), lists], names=["id", "key1", "key2", "bands"])
+                keys = [pa.array(sequence[some].view(np.int64)), pa.array(second.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).take(pa.array(some)), *keys, lists], names=["id", "key1", "key2", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
+    rows = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
     return rows.mapInArrow(run, "id long, key1 long, key2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, shingles) of the rows whose id is in ids, one row for each id; shingles are 32 bits of the hashes, in order.
 
-    A bitmap of 2**ID_BITS bits (a fixed bound) keeps most other texts from being cut at all; the join decides.
+    The second occurrence of a shingle in a text has a hash of its own, and so on: what two such sets share and hold are the sums of
+    smaller and of larger weights. A bitmap of at most 2**MOST_BITS bits keeps most other texts from being cut at all; the join decides.
     """
-    bit = f"pmod(xxhash64(id), {1 << ID_BITS})"
-    bitmap = ids.groupBy(F.expr(f"shiftright({bit}, 6)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} & 63 AS int)))").alias("bits"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("word", F.expr(f"shiftright({bit}, 6)"))
-    near = rows.join(F.broadcast(bitmap), "word").where(f"(bits & shiftleft(1L, cast({bit} & 63 AS int))) != 0").select("id", "text")
+    bits = 1 << min(max((8 * ids.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    word, bit = F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) & 63 AS int))")
+    bitmap = ids.groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text")).withColumn("word", word)
+    near = rows.join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, n, found, bounds, _, _ in shingles(batch.column(1)):
-                owner = np.repeat(np.arange(n), np.diff(bounds))
-                pair = np.unique(owner.astype(W.U64) << W.U64(32) | found >> W.U64(32))
+                elements, counts, upto = counted(found, bounds)
+                owner = np.repeat(np.repeat(np.arange(n), np.diff(upto)), counts)
+                layer = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                each = W.mix(np.repeat(elements, counts) + layer.astype(W.U64) * W.U64(0x9E3779B97F4A7C15))
+                pair = np.unique(owner.astype(W.U64) << W.U64(32) | each >> W.U64(32))
                 ptr = np.searchsorted(pair >> W.U64(32), np.arange(n + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), _lists((pair & W.U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), ptr, pa.int32())], names=["id", "shingles"])
+                lists = _lists((pair & W.U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), ptr, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), lists], names=["id", "shingles"])
 
     # An id that repeats with different texts would bring several sets; one is kept, the same in every run.
-    return near.mapInArrow(run, "id long, shingles array<int>").join(ids, "id", "left_semi").groupBy("id").agg(F.max_by("shingles", F.xxhash64("shingles")).alias("shingles"))
+    sets = near.mapInArrow(run, "id long, shingles array<int>").join(ids, "id", "left_semi")
+    return sets.groupBy("id").agg(F.max_by("shingles", F.xxhash64("shingles")).alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -121,14 +140,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     both = both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.withColumn("similarity", F.col("common") / (F.size("x") + F.size("y") - F.col("common"))).where(F.col("similarity") >= similarity).select("a", "b", "similarity")
+    ratio = F.col("common") / (F.size("x") + F.size("y") - F.col("common"))
+    return both.withColumn("similarity", ratio).where(F.col("similarity") >= similarity).select("a", "b", "similarity")
 
 
 def _stars(rows: DataFrame, key: list[str]) -> DataFrame:
     """(a, b) with a < b: every row's id with two members of its bucket, where they are of other classes than the row."""
     member = F.struct("id", "class_id")
     centres = rows.groupBy(*key).agg(F.min_by(member, F.struct("class_id", "id")).alias("c1"), F.min_by(member, F.xxhash64("id", *key)).alias("c2"))
-    near = rows.join(centres, key)
+    near = dealt_join(rows, centres, key)
     pair = lambda c: near.where(f"{c}.class_id <> class_id").select(F.least(f"{c}.id", "id").alias("a"), F.greatest(f"{c}.id", "id").alias("b"))
     return pair("c1").union(pair("c2")).distinct()
 
@@ -143,8 +163,9 @@ def _across(rows: DataFrame, key: list[str]) -> DataFrame:
 def _open(rows: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
     """Rows of the buckets whose members are of several classes, with class_id and the bucket's size n."""
     known = rows.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    mixed = known.groupBy(*key).agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    return known.join(mixed, key)
+    sums = known.groupBy(*key).agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
+    mixed = sums.where("lo <> hi").drop("lo", "hi")
+    return dealt_join(known, mixed, key)
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -224,7 +245,7 @@ def _rest(rows: DataFrame, reps: DataFrame, sets: DataFrame, key: list[str], sim
     counts = rows.groupBy(*key, "class_id").agg(F.count("*").alias("c"))
     tops = counts.groupBy(*key).agg(F.max_by("class_id", F.struct("c", "class_id")).alias("top"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("others"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    placed = rows.drop("n").join(tops, key).select(*key, "id", "class_id", (F.col("class_id") != F.col("top")).alias("minor"), F.xxhash64("id", F.lit(BLOCK)).alias("h"), blocks("others").alias("ni"), blocks("all").alias("nj"))
+    placed = dealt_join(rows.drop("n"), tops, key).select(*key, "id", "class_id", (F.col("class_id") != F.col("top")).alias("minor"), F.xxhash64("id", F.lit(BLOCK)).alias("h"), blocks("others").alias("ni"), blocks("all").alias("nj"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
     first = placed.where("minor").select(*key, "id", "class_id", "minor", F.lit(True).alias("of_left"), mine("ni").alias("i"), each("nj").alias("j"))
@@ -234,49 +255,48 @@ def _rest(rows: DataFrame, reps: DataFrame, sets: DataFrame, key: list[str], sim
     return met.groupBy(*key, "i", "j").applyInArrow(lambda t: block_links(t, similarity), "a long, b long, similarity double")
 
 
-def links(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(links a, b, similarity; classes id, class_id) among texts (id, bands)."""
+def classes_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, class_id) of the texts (id, bands) that are linked to another."""
     each = reps.select("id", F.posexplode("bands").alias("band", "value"))
-    shared = each.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     key = ["band", "value"]
-    rows = written(each.join(shared, key), "buckets")
+    shared = each.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = written(dealt_join(each, shared, key), "buckets")
     tested = written(_stars(rows.withColumn("class_id", F.col("id")), key), "pairs")
     sets = written(shingle_sets(docs, rows.select("id").distinct(), id_col, text_col), "shingles")
     found = written(verified(tested, sets, similarity), "links")
-    classes = written(components(found), "classes")
+    classes = components(found)
 
     left = written(_open(rows, classes, key), "open")
     small = written(_across(left.where(f"n <= {SMALL}"), key).join(tested, ["a", "b"], "left_anti"), "pairs")
     more = verified(small, sets, similarity).union(_rest(left.where(f"n > {SMALL}"), reps, sets, key, similarity))
     more = written(more, "links")
-    if more.isEmpty():
-        return found, classes
-    found = found.union(more.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-    return found, written(components(found), "classes")
+    if not more.isEmpty():
+        discard(classes)
+        classes = components(found.union(more))
+    discard(rows, tested, sets, found, left, small, more)
+    return classes
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: id, class_id (smallest id of the class), class_size, n_links, kept.
-
-    n_links counts the verified links of the row's text with other texts, of which large buckets only look for what joins classes; kept is whether the row's id is the class id.
-    """
+    """One row for each row of docs: id, class_id (smallest id of the class), class_size, kept (whether the row's id is the class id)."""
     slack(docs, [id_col, text_col], "near_dedup")
     table = written(signed(docs, id_col, text_col), "signed")
     key = ["key1", "key2"]
     texts = written(table.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
-    found, classes = links(texts.select("id", "bands"), docs, id_col, text_col, similarity)
-    degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    known = texts.select(*key, "id", "copies").join(classes, "id", "left").join(degree, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    classes = classes_of(texts.select("id", "bands"), docs, id_col, text_col, similarity)
+    known = texts.select(*key, "id", "copies").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     size = known.groupBy("class_id").agg(F.sum("copies").alias("class_size")).where("class_size > 1")
     # Only texts that are not alone are joined back, all others are their own class.
-    alike = known.join(size, "class_id").select(*key, "class_id", "class_size", "n_links")
-    alone = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("id"))
-    rows = table.select("id", *key).distinct().join(alike, key)
-    rows = rows.groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("class_size").alias("class_size"), F.max("n_links").alias("n_links"))
-    return alone.join(rows, "id", "left").select(
-        F.col(id_col),
+    alike = known.join(size, "class_id").select(*key, "class_id", "class_size")
+    rows = dealt_join(table.select("id", *key).distinct(), alike, key)
+    # An id that repeats with texts of several classes is in the smallest of them.
+    rows = rows.groupBy("id").agg(F.min(F.struct("class_id", "class_size")).alias("class"))
+    rows = written(rows.select("id", "class.*"), "members")
+    discard(table, texts, classes)
+    every = docs.select(column(id_col).alias(id_col), column(id_col).cast("long").alias("id"))
+    return every.join(rows, "id", "left").select(
+        column(id_col).alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (F.col("class_id").isNull() | (F.col("class_id") == F.col("id"))).alias("kept"),
     )
