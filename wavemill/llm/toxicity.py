@@ -2,12 +2,15 @@
 
 Terms are the lower-cased words of a text and the first bytes of longer words, each a 64-bit hash, present or absent. The machine
 adds to the linear weights one factor vector for each term, whose inner products are learned pairwise interactions.
-It is fitted on the driver from at most ``max_rows`` labelled rows (a documented bound, taken by a hash of the id); the model that
-goes to the tasks holds at most ``max_terms`` terms and so has a fixed size. Scoring is a narrow step over whole texts.
+It is fitted on the driver from at most ``max_rows`` labelled rows (a documented bound: those with the smallest hashes of their ids, so
+every run learns from the same rows); the model that goes to the tasks has a fixed size, at most ``max_terms`` terms of each of two
+kinds: terms that tell about the label alone, and terms that are frequent enough for pairs of them to be seen together, which may tell
+about it only in pairs and are held by a stronger penalty. Scoring is a narrow step over whole texts.
 
 A null or empty text has the score of no terms at all. Labels other than 0 and 1 and null labels or ids are not learned from; of
-repeated labels of one id the largest holds. When all usable labels are alike every score is that label, and 0 without any.
-Extra columns are ignored; an empty table gives an empty result.
+repeated labels of one id the largest holds; rows that repeat an id are each scored, and one of them is learned from. When all usable
+labels are alike every score is that label, and 0 without any. Terms of equal statistics are taken in the order of their hashes. A very
+long text is one slice of a task. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,25 +24,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import slack
+from ._shared import column, slack
 
 MAX_ROWS = 30_000
 MAX_TERMS = 1 << 13
 #: A term must occur in so many of the rows that are learned from.
 LEAST_ROWS = 4
-#: A term's likelihood ratio statistic against the label must reach this; the rest tell nothing about it.
+#: A term tells about the label alone if its likelihood ratio statistic against it reaches this.
 LEAST_RATIO = 15.0
+#: Of others, those stay of which two that do not depend on each other would be expected together in so many of the rows.
+LEAST_PAIRS = 20
 PREFIX_BYTES = (4, 5, 6)
 FACTORS = 4
+#: Penalties of terms that tell alone, and of those that do not.
+TELLING_L2, FLAT_L2 = 5e-4, 2e-3
 #: Rows of a step, and the fewest steps of a fit.
 BATCH, LEAST_STEPS = 512, 600
 THRESHOLD = 0.3
 
 
-def terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row, term hash) for slices of a text column; terms repeat."""
     hasher = W.Hasher(17)
-    for i, n_rows, part, cuts in W.parts(column, lower=True):
+    for i, n_rows, part, cuts in W.parts(texts, lower=True):
         s, e, bounds = W.words(part, cuts, W.ALNUM[part])
         rows = np.repeat(np.arange(n_rows), np.diff(bounds))
         found, where = [hasher.spans(part, s, e)], [rows]
@@ -59,11 +66,11 @@ class Model:
     v: np.ndarray
     w0: float
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        out = np.zeros(len(column))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        out = np.zeros(len(texts))
         seen = np.zeros(1 << 20, dtype=bool)
         seen[(self.keys & W.U64((1 << 20) - 1)).astype(np.int64)] = True
-        for first, n, rows, found in terms(column):
+        for first, n, rows, found in terms(texts):
             if not len(self.keys):
                 out[first : first + n] = _squash(np.full(n, self.w0))
                 continue
@@ -94,8 +101,12 @@ def _raw(m: Model, ptr: np.ndarray, at: np.ndarray) -> np.ndarray:
     return m.w0 + _sums(m.w[at], ptr) + 0.5 * (s * s - _sums(v * v, ptr)).sum(axis=1)
 
 
-def fit(keys: np.ndarray, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.02, l2: float = 5e-4, seed: int = 7) -> Model:
-    """Adam on the log loss; keys are the model's term hashes in ascending order, docs hold the places among them of each row's terms."""
+def fit(keys: np.ndarray, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.02, l2: float | np.ndarray = 5e-4, seed: int = 7) -> Model:
+    """Adam on the log loss; keys are the model's term hashes in ascending order, docs hold the places among them of each row's terms.
+
+    l2 is the penalty of all terms or of each.
+    """
+    l2 = np.broadcast_to(np.asarray(l2, dtype=float), (len(keys),))
     rng = np.random.default_rng(seed)
     k, rows = len(keys), docs
     share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
@@ -119,7 +130,7 @@ def fit(keys: np.ndarray, docs: list[np.ndarray], labels: np.ndarray, epochs: in
             e = err[by]
             own = np.bincount(at, weights=e, minlength=k)
             gw = own + l2 * m.w
-            gv = np.stack([np.bincount(at, weights=e * s[by, f], minlength=k) for f in range(FACTORS)], axis=1) - own[:, None] * m.v + 4 * l2 * m.v
+            gv = np.stack([np.bincount(at, weights=e * s[by, f], minlength=k) for f in range(FACTORS)], axis=1) - own[:, None] * m.v + 4 * l2[:, None] * m.v
             for x, g, a, q in ((m.w, gw, first[0], second[0]), (m.v, gv, first[1], second[1])):
                 a += 0.1 * (g - a)
                 q += 0.001 * (g * g - q)
@@ -136,8 +147,8 @@ def _distinct(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[new], found[new]
 
 
-def telling_terms(rows: DataFrame, n: int, toxic: int, most: int) -> np.ndarray:
-    """Sorted hashes of the at most ``most`` terms that tell most about the label of rows (_text, _y).
+def chosen_terms(rows: DataFrame, n: int, toxic: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, whether each tells about the label alone) of the model's terms for rows (_text, _y).
 
     A slice of texts sends a row for each of its terms; the sums, the statistic and the choice are made on the executors.
     """
@@ -148,34 +159,43 @@ def telling_terms(rows: DataFrame, n: int, toxic: int, most: int) -> np.ndarray:
             for first, _, at, found in terms(batch.column(0)):
                 at, found = _distinct(at, found)
                 keys, back, seen = np.unique(found, return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"term": keys.view(np.int64), "n": seen, "t": np.bincount(back, weights=y[first + at], minlength=len(keys)).astype(np.int64)})
+                toxic_rows = np.bincount(back, weights=y[first + at], minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"term": keys.view(np.int64), "n": seen, "t": toxic_rows})
 
     def part(seen: str, row: str, column: str) -> str:
         return f"coalesce(CASE WHEN ({seen}) > 0 THEN ({seen}) * ln(({seen}) * {float(n)} / (({row}) * {column})) END, 0)"
 
     a, b = float(toxic), float(n - toxic)
-    ratio = "2 * (" + " + ".join([part("t", "n", str(a)), part("n - t", "n", str(b)), part(f"{a} - t", f"{n} - n", str(a)), part(f"{b} - (n - t)", f"{n} - n", str(b))]) + ")"
+    cells = [("t", "n", a), ("n - t", "n", b), (f"{a} - t", f"{n} - n", a), (f"{b} - (n - t)", f"{n} - n", b)]
+    ratio = "2 * (" + " + ".join(part(seen, row, str(column)) for seen, row, column in cells) + ")"
     sums = rows.mapInArrow(count, "term long, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    chosen = sums.where(f"n >= {LEAST_ROWS} AND n < {n}").withColumn("ratio", F.expr(ratio)).where(f"ratio >= {LEAST_RATIO}")
-    return np.sort(np.array([r.term for r in chosen.orderBy(F.desc("ratio"), "term").limit(most).select("term").collect()], dtype=np.int64).view(np.uint64))
+    known = sums.where(f"n >= {LEAST_ROWS} AND n < {n}").withColumn("ratio", F.expr(ratio))
+    telling = known.where(f"ratio >= {LEAST_RATIO}").orderBy(F.desc("ratio"), "term").limit(most).select("term", F.lit(True).alias("telling"))
+    pairs = known.where(f"ratio < {LEAST_RATIO} AND n * n >= {LEAST_PAIRS} * {n}")
+    flat = pairs.orderBy(F.desc("n"), "term").limit(most).select("term", F.lit(False).alias("telling"))
+    found = telling.union(flat).collect()  # 2 * most rows
+    keys = np.array([r.term for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r.telling for r in found], dtype=bool)[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
     """Fits on at most max_rows labelled rows of docs; those whose crc32(id) mod 4 is 2 are never learned from."""
     slack(docs, [id_col, text_col], "toxicity")
     slack(labels, [id_col, label_col], "toxicity labels")
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(f"_id IS NOT NULL AND _y IN (0, 1) AND {learned_from('_id')}")
-    known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
+    known = labels.select(column(id_col).alias("_id"), column(label_col).cast("int").alias("_y"))
+    known = known.where(f"_id IS NOT NULL AND _y IN (0, 1) AND {learned_from('_id')}").groupBy("_id").agg(F.max("_y").alias("_y"))
     n = known.count()
     if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    known = known.limit(max_rows)  # 12 bytes a row: a bound on what is broadcast
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
-    rows = docs.select(F.col(id_col).alias("_id"), text).join(F.broadcast(known), "_id")
+        place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+        # Somewhat more than are wanted, so that few rows are sorted; of those the first.
+        known = known.where(place < int((1 << 30) * min(1.0, 1.1 * max_rows / n))).orderBy(place, "_id").limit(max_rows)
+    text = F.coalesce(column(text_col), F.lit("")).alias("_text")
+    rows = docs.select(column(id_col).alias("_id"), text).join(F.broadcast(known), "_id")  # max_rows rows of 12 bytes
     counted = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("t")).first()
     if not 0 < counted.t < counted.n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), 30.0 if counted.t else -30.0)
-    keys = telling_terms(rows.select("_text", "_y"), counted.n, counted.t, max_terms)
+    keys, telling = chosen_terms(rows.select("_text", "_y"), counted.n, counted.t, max_terms)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,12 +205,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 at, mine = _distinct(at[hit], near[hit])
                 ptr = np.searchsorted(at, np.arange(size + 1))
                 mine = mine.astype("<i4")
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, size) for c in (1, 2)), pa.array([mine[ptr[i] : ptr[i + 1]].tobytes() for i in range(size)], pa.binary())], names=["_id", "_y", "terms"])
+                packed = pa.array([mine[ptr[i] : ptr[i + 1]].tobytes() for i in range(size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, size) for c in (1, 2)), packed], names=["_id", "_y", "terms"])
 
     source = rows.select("_text", "_id", "_y")
     held = source.mapInArrow(hold, source.select("_id", "_y").withColumn("terms", F.lit(b"")).schema)
     got = held.groupBy("_id").agg(F.max("_y").alias("y"), F.max("terms").alias("terms")).toPandas().sort_values("_id")  # max_rows rows, model terms only
-    return fit(keys, [np.frombuffer(t, dtype="<i4").astype(np.int64) for t in got["terms"]], got["y"].to_numpy(dtype=float))
+    learned = [np.frombuffer(t, dtype="<i4").astype(np.int64) for t in got["terms"]]
+    return fit(keys, learned, got["y"].to_numpy(dtype=float), l2=np.where(telling, TELLING_L2, FLAT_L2))
 
 
 def learned_from(id_col: str) -> str:
@@ -216,5 +238,6 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", name:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, held_out, score, predicted of every row."""
     model = train(docs, labels, id_col, text_col)
-    scored = score_documents(docs.select(F.col(id_col), F.col(text_col).alias("_text")), model, "_text")
-    return scored.select(id_col, F.coalesce(F.expr(f"NOT ({learned_from(id_col)})"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = score_documents(docs.select(column(id_col).alias("_id"), column(text_col).alias("_text")), model, "_text")
+    held_out = F.coalesce(F.expr(f"NOT ({learned_from('_id')})"), F.lit(False))
+    return scored.select(column("_id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
