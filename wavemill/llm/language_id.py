@@ -5,9 +5,10 @@ around it. A language is a candidate for a word only if it uses the script of th
 the words of a text, with a fixed penalty for each switch, gives spans; a text's language is that of most letter bytes in them
 and its score is the share of those bytes. The recursion runs over many texts at once, a word of each in every step.
 
-Learned from at most ``max_rows`` rows a language (a documented bound, taken by a hash of the id). A null text or one without a
-letter is ``und`` with score 0, and so is every text when nothing was learned. Extra columns are ignored; an empty table gives
-an empty result.
+Learned from about ``max_rows`` rows a language at most (a documented bound, taken by a hash of the id, so every run learns from the
+same rows). A null text or one without a letter is ``und`` with score 0, and so is every text when nothing was learned; null ids are
+labelled but not learned from. Of languages that tie the first by name is taken; repeated rows get the same label each. A very long text is
+one slice of a task, with a score for each of its words and languages. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._shared import column as named
 from ._shared import slack
 from .toxicity import learned_from
 
@@ -124,7 +126,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     longest = int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # rows with more than t items
     switched = np.zeros((n, states), dtype=bool)
-    source = np.zeros(n, dtype=np.int8)
+    source = np.zeros(n, dtype=np.min_scalar_type(states))
     best = np.zeros((len(order), states), dtype=np.float64)
     for t in range(longest):
         a = active[t]
@@ -151,7 +153,8 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
     """Counts trigrams and scripts on the executors, in at most about max_rows rows of each language."""
     slack(docs, [id_col, text_col, lang_col], "language_id")
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(f"_lang IS NOT NULL AND _text IS NOT NULL AND _id IS NOT NULL AND {learned_from('_id')}")
+    known = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"), named(lang_col).alias("_lang"))
+    known = known.where(f"_lang IS NOT NULL AND _text IS NOT NULL AND _id IS NOT NULL AND {learned_from('_id')}")
     share = known.groupBy("_lang").agg(F.count("*").alias("_n"))  # one row for each language
     share = share.select("_lang", F.least(F.lit(1 << 30), F.lit((1 << 30) * max_rows) / F.col("_n")).cast("long").alias("_most"))
     rows = known.join(F.broadcast(share), "_lang").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.col("_most")).select("_lang", "_text")
@@ -198,10 +201,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             score = np.where(lang < 0, 0.0, score)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[lang], pa.string()), pa.array(score)], names=[id_col, "held_out", "lang_pred", "score"])
 
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    held = F.coalesce(F.expr(f"NOT ({learned_from(id_col)})"), F.lit(False))
-    rows = docs.select(F.col(id_col), held.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), letter.alias("_letter"))
-    schema = rows.select(id_col, "held_out").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    letter = F.coalesce(named(text_col).rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(named(id_col).alias("_id"), F.coalesce(named(text_col), F.lit("")).alias("_text"), letter.alias("_letter"))
+    held = F.coalesce(F.expr(f"NOT ({learned_from('_id')})"), F.lit(False))
+    rows = rows.select(named("_id").alias(id_col), held.alias("held_out"), "_text", "_letter")
+    schema = rows.select(named(id_col), "held_out").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -221,8 +225,8 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                 at = np.flatnonzero(new)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[at] + i)), pa.array(at - bounds[rows[at]]), pa.array(np.diff(np.append(at, len(s)))), pa.array(np.array(m.langs, dtype=object)[label[at]], pa.string())], names=[id_col, "first_word", "n_words", "lang"])
 
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    schema = rows.select(id_col).withColumns({"first_word": F.lit(0).cast("long"), "n_words": F.lit(0).cast("long"), "lang": F.lit("")}).schema
+    rows = docs.select(named(id_col).alias(id_col), F.coalesce(named(text_col), F.lit("")).alias("_text"))
+    schema = rows.select(named(id_col)).withColumns({"first_word": F.lit(0).cast("long"), "n_words": F.lit(0).cast("long"), "lang": F.lit("")}).schema
     return rows.mapInArrow(run, schema)
 
 
