@@ -9,8 +9,11 @@ Tokens are runs of letters and digits, lower-cased; case, punctuation and white
 query set: it is read in blocks of at most BLOCK_BYTES of text (a single item may exceed that), each sent to the tasks once, and
 every block is held against all documents in a narrow step, so neither hot items nor copies meet in one task.
 
-Null and empty texts have no tokens and no hits; items of fewer than LEAST tokens are too short to tell and have none; a repeated
-document row has hits of its own. Extra columns are ignored; empty tables give an empty result.
+Items of fewer than LEAST tokens, which hold no seed, are matched whole: a text with all their tokens in a row is a hit, once.
+
+Null and empty texts have no tokens and no hits, and null and empty items are in no text; a repeated document row, and a repeated item, has
+hits of its own. Of matches of one length the first in the item, then in the text, is marked first. A very long text is one slice of a
+task. Extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._shared import column as named
 from ._shared import slack
 
 LEAST = 5
@@ -103,17 +107,29 @@ class Block:
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
         at, rows = W.window_starts(bounds, least)
         seeds = hasher.windows(flat, at, least) if len(at) else np.zeros(0, np.uint64)
+        #: By number of tokens: hashes of the items that are too short for a seed, with their numbers.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, least):
+            mine = np.flatnonzero(np.diff(bounds) == n)
+            if len(mine):
+                whole = hasher.windows(flat, bounds[mine], n)
+                by = np.argsort(whole, kind="stable")
+                self.short[n] = whole[by], mine[by]
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.seed_item, self.seed_at = seeds[order], rows[order], (at - bounds[rows])[order]
 
     def hits(self, column: pa.Array) -> Iterator[tuple[int, int, float, list[tuple[int, int, int]]]]:
         """(row, item number, coverage, tiles) of the pairs whose coverage reaches the threshold."""
-        if not len(self.seeds):
+        if not len(self.seeds) and not self.short:
             return
         hasher = W.Hasher(29)
         known = np.zeros(1 << 20, dtype=bool)
         known[(self.seeds & W.U64((1 << 20) - 1)).astype(np.int64)] = True
         for first, n, values, bounds in tokens(column, hasher):
+            for size, (whole, item) in self.short.items():
+                yield from self._whole(first, values, bounds, size, whole, item, hasher)
+            if not len(self.seeds):
+                continue
             at, rows = W.window_starts(bounds, self.least)
             if not len(at):
                 continue
@@ -124,6 +140,21 @@ class Block:
             for r in np.unique(rows[near]).tolist():
                 yield from self._row(first + r, values[bounds[r] : bounds[r + 1]], at[near[rows[near] == r]] - bounds[r], windows[near[rows[near] == r]], hasher)
 
+    def _whole(self, first: int, values: np.ndarray, bounds: np.ndarray, size: int, whole: np.ndarray, item: np.ndarray, hasher: W.Hasher) -> Iterator[tuple]:
+        """Hits of items of ``size`` tokens, at their first place in each text."""
+        at, rows = W.window_starts(bounds, size)
+        if not len(at):
+            return
+        windows = hasher.windows(values, at, size)
+        lo, hi = np.searchsorted(whole, windows, "left"), np.searchsorted(whole, windows, "right")
+        seen: set[tuple[int, int]] = set()
+        for x in np.flatnonzero(hi > lo).tolist():
+            for k in item[lo[x] : hi[x]].tolist():
+                pair = (int(rows[x]), k)
+                if pair not in seen and (self.items[k] == values[at[x] : at[x] + size]).all():
+                    seen.add(pair)
+                    yield first + pair[0], k, 1.0, [(0, int(at[x] - bounds[rows[x]]), size)]
+
     def _row(self, row: int, text: np.ndarray, at: np.ndarray, windows: np.ndarray, hasher: W.Hasher) -> Iterator[tuple]:
         lo, hi = np.searchsorted(self.seeds, windows, "left"), np.searchsorted(self.seeds, windows, "right")
         many = hi - lo
@@ -147,7 +178,7 @@ class Block:
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int, threshold: float, most: int = BLOCK_BYTES) -> Iterator[Block]:
     """The benchmark, block by block; the driver holds one block at a time."""
     ids, texts, size = [], [], 0
-    for item, text in benchmark.select(item_col, text_col).toLocalIterator():
+    for item, text in benchmark.select(named(item_col), named(text_col)).toLocalIterator():
         if text is None:
             continue
         if ids and size + len(text.encode()) > most:
@@ -165,7 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     slack(docs, [id_col, text_col], "contaminated")
     slack(benchmark, [item_col, item_text_col], "contaminated benchmark")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
+    rows = docs.select(named(id_col).alias(id_col), named(text_col).alias("_text")).where("_text IS NOT NULL")
     tile = "array<struct<item_token:int,doc_token:int,length:int>>"
     key, other = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {key}, `{item_col}` {other}, coverage double, tiles {tile}"
