@@ -29,9 +29,11 @@ def byte_bpe():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return path, t
+    return path, Tokenizer.from_file(path)
+
+
+#: The strings of special tokens in texts, and ids at the ends of their range.
+SPECIAL = [(-(1 << 63), "x <|endoftext|> y", None, None, None), (1 << 53, "<|startoftext|>a <|endoftext|>", None, None, None)]
 
 
 def test_substring_dedup(spark, docs, plain):
@@ -59,6 +61,17 @@ def test_substring_dedup(spark, docs, plain):
     assert substring_dedup(nasty.empty(spark)).count() == 0
 
 
+def test_substring_dedup_repeated_ids(spark):
+    """Of two texts under one id each loses only what it has in common with a smaller id; extra columns clash and hold dots."""
+    from wavemill.llm.substring_dedup import substring_dedup
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b + " tail"), (4, "  " + a.replace(" ", "\n\t ") + " ")]
+    df = spark.createDataFrame([(d, t, 1, 2, "z") for d, t in rows], "doc_id long, text string, row int, `copy.of` int, id string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in substring_dedup(df).collect())
+    assert got == Counter([(1, 60, 0, a), (2, 60, 60, ""), (2, 60, 0, b), (3, 60, 60, ""), (3, 61, 60, "tail"), (4, 60, 60, "")])
+
+
 def test_substring_dedup_small_windows(spark):
     """Many short repeats at every offset: the cover misses none."""
     from wavemill.llm.substring_dedup import substring_dedup
@@ -288,12 +301,14 @@ def test_token_output(spark, docs, plain):
     from wavemill.llm.token_output import encode_documents
 
     path, t = byte_bpe()
+    plain = [*plain, *SPECIAL]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in SPECIAL], "doc_id long, text string"))
     ids = {d: np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4") for d, x, *_ in plain if d is not None}
     got = encode_documents(docs, path, 0).orderBy("start").collect()
     assert len(got) == len(plain)
     at = 0
-    order = [r.doc_id if r.doc_id is not None else -1 for r in got]
-    assert order == sorted(order)
+    order = [r.doc_id if r.doc_id is not None else -(1 << 64) for r in got]
+    assert order == sorted(order) and -(1 << 63) in order
     for r in got:
         assert r.start == at
         at += r.n_tokens
@@ -302,18 +317,40 @@ def test_token_output(spark, docs, plain):
     assert encode_documents(nasty.empty(spark), path, 0).count() == 0
 
 
+def test_token_files_roll(spark, plain):
+    """Small files: the order over files and the whole of the ids stay."""
+    from wavemill.llm import token_output as S
+
+    path, t = byte_bpe()
+    one = spark.createDataFrame([r[:2] for r in plain] * 3, "doc_id long, text string").coalesce(1)
+    files = S.write_tokens(one, path, 0, file_docs=5, file_ids=100_000)
+    got = S.read_tokens(files, with_ids=True).orderBy("start").collect()
+    assert files.count() >= 3 and len(got) == 3 * len(plain)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    want = Counter((d, tuple(t.encode(x or "", add_special_tokens=False).ids + [0])) for d, x, *_ in plain)
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == {k: 3 * n for k, n in want.items()}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_pieces_are_whole_encodings(name):
+def test_pieces_are_whole_encodings(name, monkeypatch):
+    """Against the library as it comes, special tokens in texts included."""
     import random
 
     import public_tokenizers
+    from tokenizers import Tokenizer
+    from wavemill.llm import _tokenize as T
     from wavemill.llm._tokenize import Encoder
 
     e, rng = Encoder(public_tokenizers.path(name)), random.Random(1)
     parts = ["a", "b", "S", "'s", "'t", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", " ", "　", "é", "é", "Σ", "ς", "1", "²", "!", "?", "<|endoftext|>", "‍", "😀", "ß", "İ", "\r", " ̈", "中", "\x00"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
-    for t, raw in zip(texts, e.encode(texts), strict=True):
-        assert raw == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    parts += ["\xa0", "×", "÷", "привет", "ſ", "\x0b", "don't", "'ll", "12", "\u0345", "\u0482", "<|", "|>", "<|EndOfText|>", "a" * 70]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000))]
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for full in (1 << 20, 300):  # a table that is emptied again and again
+        monkeypatch.setattr(T, "CACHE", full)
+        got = [ids[a:b].tolist() for _, _, ids, bounds in e.encode(pa.array(texts)) for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == want
 
 
 def test_packing(spark, docs, plain):
@@ -323,7 +360,8 @@ def test_packing(spark, docs, plain):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    plain = [*plain, *SPECIAL]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in SPECIAL], "doc_id long, text string"))
     ids = {d: np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4") for d, x, *_ in plain if d is not None}
     got = pack_documents(docs, path, 2, 512).toPandas()
     assert got.groupby("sequence_id")["length"].sum().max() <= 512
@@ -442,6 +480,64 @@ def test_decontamination(spark, docs):
     assert contaminated(docs, bench.where("1 = 0")).count() == 0
 
 
+def test_decontamination_short_items(spark):
+    from wavemill.llm.decontamination import contaminated
+
+    rows = spark.createDataFrame([(1, "Say too short, friend"), (2, "short too"), (3, "too, SHORT!"), (3, "too short too short"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "too short"), (7, "too short"), (8, "friend"), (9, "?!"), (10, "")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.coverage) for r in contaminated(rows, bench).collect())
+    assert got == Counter({(1, 7, 1.0): 2, (3, 7, 1.0): 4, (1, 8, 1.0): 1})
+
+
+def covered(item, text, least=5):
+    """Tokens of the item under a tiling that marks the longest common run again and again."""
+    free_p, free_t, total = [True] * len(item), [True] * len(text), 0
+    while True:
+        best, run = (0, 0, 0), [0] * (len(text) + 1)
+        for i in range(len(item) - 1, -1, -1):
+            new = [0] * (len(text) + 1)
+            for j in range(len(text) - 1, -1, -1):
+                if free_p[i] and free_t[j] and item[i] == text[j]:
+                    new[j] = run[j + 1] + 1
+                    best = max(best, (new[j], -i, -j))
+            run = new
+        n, i, j = best[0], -best[1], -best[2]
+        if n < least:
+            return total
+        total += n
+        free_p[i : i + n], free_t[j : j + n] = [False] * n, [False] * n
+
+
+def test_decontamination_against_brute_force(spark):
+    """A whole table of documents with whole, cut, reordered and thinned items against a plain tiling of every pair."""
+    from wavemill.llm.decontamination import contaminated
+
+    rng = np.random.RandomState(5)
+    words = [f"w{i}" for i in range(25)]
+    items = [rng.choice(words, rng.randint(3, 26)).tolist() for _ in range(12)]
+    rows = []
+    for d in range(90):
+        text = rng.choice(words, rng.randint(0, 30)).tolist()
+        for _ in range(rng.randint(0, 3)):
+            item = items[rng.randint(len(items))]
+            cut = rng.randint(0, len(item))
+            part = item[cut:] + ["sep"] * rng.randint(0, 2) + item[: rng.randint(0, cut + 1)]
+            at = rng.randint(len(text) + 1)
+            text[at:at] = part
+        rows.append((d, text))
+    want = {}
+    for d, text in rows:
+        for k, item in enumerate(items):
+            share = covered(item, text, min(5, len(item))) / len(item)
+            if share >= 0.5:
+                want[d, k] = share
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in contaminated(docs, bench).collect()}
+    assert len(want) > 40 and set(got) == set(want)
+    assert all(got[p] == pytest.approx(want[p]) for p in want)
+
+
 def toxic_tables(spark, n=600):
     rng = np.random.RandomState(0)
     docs, labels = [], []
@@ -486,6 +582,36 @@ def test_factors_learn_an_interaction():
     assert s[3] > 0.7 and max(s[:3]) < 0.3
 
 
+def test_toxicity_of_a_pair(spark):
+    """Two frequent words of which each alone tells nothing, as a text is toxic when it has both or neither."""
+    from wavemill.llm.toxicity import THRESHOLD, chosen_terms, score_documents, terms, train
+
+    rng = np.random.RandomState(3)
+    rows = []
+    for i in range(4000):
+        x, y = rng.uniform(size=2) < 0.5
+        w = rng.choice(nasty.WORDS, rng.randint(5, 20)).tolist() + ["grub"] * int(x) + ["folk"] * int(y)
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(x == y)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    pair = {int(k) for _, _, _, h in terms(pa.array(["grub", "folk"])) for k in h.view(np.int64)}
+    model = train(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    assert pair <= set(model.keys.view(np.int64).tolist())
+    got = score_documents(d, model).toPandas()
+    held = got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)
+    assert (((got["score"] >= 0.5) == (got["toxic"] == 1))[held]).mean() > 0.95
+    keys, telling = chosen_terms(d.select(d.text.alias("_text"), d.toxic.alias("_y")), 4000, int(got["toxic"].sum()), 100)
+    assert len(keys) == len(telling) and not telling[np.isin(keys.view(np.int64), list(pair))].any() and 0 < THRESHOLD < 1
+
+
+def test_toxicity_sample_is_repeatable(spark):
+    from wavemill.llm.toxicity import train
+
+    d, labels = toxic_tables(spark, 400)
+    a, b = train(d, labels, max_rows=60), train(d.repartition(7), labels.repartition(5), max_rows=60)
+    assert len(a.keys) and (a.keys == b.keys).all() and a.w == pytest.approx(b.w) and a.v == pytest.approx(b.v)
+
+
 def test_language_id(spark, docs):
     from wavemill.llm.language_id import identify, language_spans, train, viterbi
 
@@ -511,6 +637,9 @@ def test_language_id(spark, docs):
     short = s[:6]
     best = max(product(range(3), repeat=6), key=lambda p: sum(short[i, c] for i, c in enumerate(p)) - 1.5 * sum(a != b for a, b in zip(p, p[1:])))
     assert viterbi(np.concatenate([short, s]), np.array([0, 6, 6, 46]), 1.5)[:6].tolist() == list(best)
+    many = np.zeros((3, 300))
+    many[:, 200] = 1.0
+    assert viterbi(many, np.array([0, 3]), 1.0).tolist() == [200] * 3  # more languages than a small number can count
     assert (identify(d, train(d.where("1 = 0"))).toPandas()["lang_pred"] == "und").all()
     assert identify(nasty.empty(spark), model).count() == 0
 
