@@ -5,9 +5,12 @@ from collections import Counter
 
 import corpus_pipeline as P
 import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import nasty
-from tests.llm.test_operators import jaccard_classes, template_family, toxic_tables
+from tests.llm.test_operators import covered, jaccard_classes, template_family, toxic_tables
+from tokenizers import Tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +24,7 @@ def corpus(spark, tmp_path_factory):
     rows += [(20_000 + i, " ".join([f"u{i}_{k}" for k in range(20)] + item + [f"v{i}"]), None, None, None) for i in range(5)]
     order = rng.permutation(len(rows))
     docs = spark.createDataFrame([rows[i] for i in order], nasty.SCHEMA).repartition(4)
+    docs = docs.withColumns({c: F.lit(v) for c, v in (nasty.EXTRA | {"meta.lang": "xx", "keep_id": 3, "word": 1}).items()})
     docs.write.parquet(f"{folder}/documents.parquet")
     labels.write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -45,9 +49,8 @@ def test_stages(spark, corpus):
     lower = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
     best = {}
     for d, t in before:
-        if d is not None:
-            best[lower(t)] = max(best.get(lower(t), d), d)
-    assert {d for d, _ in after if d is not None} == set(best.values())
+        best[lower(t)] = max(best.get(lower(t), -(1 << 64)), -(1 << 64) if d is None else d)
+    assert Counter((d, lower(t)) for d, t in after) == Counter((None if d == -(1 << 64) else d, t) for t, d in best.items())
 
     kept2 = stage[names[2]](spark, kept, corpus).cache()
     classes = jaccard_classes([(d, t) for d, t in after])
@@ -57,9 +60,22 @@ def test_stages(spark, corpus):
     lost = {d for d, _ in key(kept2) - key(kept3)}
     assert lost and lost <= set(range(20_000, 20_005)) and kept3.columns == docs.columns
 
+    item = {tuple(f"q{i}" for i in range(30))}
+    words = lambda t: (t or "").lower().split()
+    for d, t in key(kept2):  # against a plain tiling of every text that has any of the item
+        w = words(t)
+        hit = any(covered(list(x), w) >= 15 for x in item) if set(w) & set(next(iter(item))) else False
+        assert (d in lost) == hit or (d is None and not hit)
+
     pieces = stage[names[4]](spark, kept3, corpus).toPandas()
     assert pieces.groupby("sequence_id")["length"].sum().max() <= 4096
     assert set(pieces["doc_id"].dropna()) == {d for d, _ in key(kept3) if d is not None}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    want = Counter((d, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in key(kept3).elements())
+    sizes = pieces.drop_duplicates(["doc_id", "doc_tokens"])
+    assert {(r.doc_id, r.doc_tokens) for r in sizes.dropna().itertuples()} == {k for k in want if k[0] is not None}
+    assert pieces["length"].sum() == sum(n * c for (_, n), c in want.items())
 
 
 def test_near_stage_keeps_one_of_a_template_family(spark, sf):

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +59,18 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow over all columns of df, whatever they are called; run's columns are taken in the order of the schema."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=[f"_{i}" for i in range(batch.num_columns)])
+
+    plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    inside = StructType([StructField(f"_{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return plain.mapInArrow(named, inside).toDF(*schema.names)
+
+
 def dealt_join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Inner join with a table that was summed up by key.
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._shared import column as named
-from ._shared import slack
+from ._shared import map_batches, slack
 
 LEAST = 5
 THRESHOLD = 0.5
@@ -234,7 +234,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 hit[[r for r, *_ in sent.value.hits(batch.column(at))]] = True
                 yield batch.filter(pa.array(~hit)) if hit.any() else batch
 
-        return rows.mapInArrow(run, rows.schema)
+        return map_batches(rows, run, rows.schema)
 
     for block in blocks(benchmark, item_col, item_text_col, least, threshold, block_bytes):
         docs = without(docs, docs.sparkSession.sparkContext.broadcast(block))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import column, slack
+from ._shared import column, map_batches, slack
 
 MAX_ROWS = 30_000
 MAX_TERMS = 1 << 13
@@ -229,10 +229,9 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", name:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(batch.column(at)))], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(batch.column(at)))], names=[*batch.schema.names, "score"])
 
-    names = docs.columns
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
+    return map_batches(docs, run, docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
