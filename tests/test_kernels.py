@@ -136,3 +136,91 @@ def test_motifs_recover_a_shape():
     assert np.abs(np.correlate(atom, shape, "full")).max() > 0.8
     _, starts, costs = motifs.match_windows(x.ravel()[:800], 16, 4, 6, 500)
     assert len(starts) == 6 and (np.diff(starts) > 4).all() and len(costs)
+
+
+def test_adaptive_proximal_steps_agree(data):
+    _, x, d, reg = data
+    best = csc.cost(x, csc.lgcd(x, d, reg, tol=1e-7), d, reg)
+    for solver in ("ista", "fista"):
+        assert np.isclose(csc.cost(x, csc.encode(x, d, reg, solver=solver, tol=1e-8, adaptive=True), d, reg), best, rtol=1e-5)
+    with pytest.raises(ValueError, match="positive"):
+        csc.encode(x, d, reg, solver="l-bfgs", positive=False)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_gram_operator(data, weighted):
+    rng, x, d, _ = data
+    n = x.shape[1] - 5
+    w = np.abs(rng.randn(x.shape[1])) if weighted else None
+    op = csc.GramOperator(d, n, w)
+    z = rng.randn(4, n)
+    r = csc.reconstruct(z, d)
+    assert np.allclose(op @ z.ravel(), csc.correlate(r if w is None else w * r, d).ravel())
+    small = csc.GramOperator(d, 10, None if w is None else w[:15])
+    full = small.dense()
+    assert np.allclose(full, full.T) and np.linalg.eigvalsh(full)[0] > -1e-9
+    assert np.isclose(csc.lipschitz(d, None if w is None else w[None, :15], 10), np.linalg.eigvalsh(full)[-1], rtol=1e-3)
+    with pytest.raises(ValueError, match="samples"):
+        csc.GramOperator(d, 10, np.ones(3))
+
+
+@pytest.mark.parametrize("scale", [0.01, 1.0, 10.0])
+def test_joint_dual_is_optimal(scale):
+    rng = np.random.RandomState(0)
+    z = np.abs(rng.randn(3, 60)) * (rng.uniform(size=(3, 60)) < 0.3)
+    ztz, ztx = csc.statistics(z, csc.reconstruct(z, rng.randn(3, 1, 6) * scale) + 0.1 * rng.randn(1, 65), 6)
+    blocks = dic.toeplitz_blocks(ztz)
+    d = dic.update_joint_dual(blocks, ztx[:, 0])
+    step = 1 / np.linalg.eigvalsh(blocks.transpose(0, 2, 1, 3).reshape(18, 18))[-1]
+    moved = dic.project_d(d[:, None] - step * (dic.apply_ztz(ztz, d[:, None]) - ztx))
+    assert np.abs(moved[:, 0] - d).max() < 1e-6 and np.linalg.norm(d, axis=1).max() <= 1 + 1e-9
+
+
+def test_step_searches_and_windowers(data):
+    rng, x, d, reg = data
+    z = csc.lgcd(x, d, reg)
+    ztz, ztx = csc.statistics(z, x, 6)
+    args = (ztz, ztx, float((x * x).sum()))
+    start = dic.project_d(rng.randn(*d.shape))
+    a, b = (dic.fit_cost(dic.update_full(start, *args, max_iter=500, momentum=False, search=how), *args) for how in ("bound", "doubling"))
+    assert np.isclose(a, b, rtol=1e-4) and b < dic.fit_cost(start, *args)
+    with pytest.raises(ValueError, match="search"):
+        dic.update_full(start, *args, search="x")
+    win = dic.Windower(True, 6)
+    assert np.allclose(win.remove(win.apply(d))[:, :, 1:-1], d[:, :, 1:-1]) and np.allclose(dic.Windower(False, 6, 3).apply(np.ones((1, 9))), 1)
+
+
+def test_alternate_takes_the_step_of_its_curvature(data):
+    """With enough steps both alternate solvers reach the same point of u, from where v goes on."""
+    rng, x, d, reg = data
+    z = csc.lgcd(x, d, reg)
+    ztz, ztx = csc.statistics(z, x, 6)
+    args = (ztz, ztx, float((x * x).sum()))
+    uv = dic.project_uv(rng.randn(4, 9), 3)
+    a, b = (dic.update_uv(uv, 3, *args, solver, "separate", max_iter=5000, tol=1e-14) for solver in ("alternate", "alternate_adaptive"))
+    assert np.isclose(dic.fit_cost(dic.full(a, 3), *args), dic.fit_cost(dic.full(b, 3), *args), rtol=1e-4)
+
+
+def test_assignment_is_the_best():
+    from itertools import permutations
+
+    rng = np.random.RandomState(0)
+    for n, m in [(1, 1), (3, 3), (4, 6)]:
+        loss = rng.randn(n, m)
+        found = dic.assignment(loss)
+        assert loss[np.arange(n), found].sum() == pytest.approx(min(sum(loss[i, p[i]] for i in range(n)) for p in permutations(range(m), n)))
+
+
+def test_outer_sums_add_up():
+    x, atom = np.random.RandomState(0).randn(10, 40), np.random.RandomState(1).randn(8)
+    assert np.allclose(motifs.outer_sum(x[:4], atom) + motifs.outer_sum(x[4:], atom), motifs.outer_sum(x, atom))
+
+
+def test_checks():
+    from wavemill.functions import checks as C
+
+    assert C.check_dimensions((2, 3, 4), "NPT", P=3) == (2, 3, 4) and C.check_same_length(a=[1], b=[2]) == 1
+    assert C.check_random_state(3).randint(100) == np.random.RandomState(3).randint(100)
+    for bad in (lambda: C.check_dimensions((2, 3), "NPT"), lambda: C.check_dimensions((2, 3), "NT", T=4), lambda: C.check_random_state("x"), lambda: C.check_same_length(a=[1], b=[])):
+        with pytest.raises(ValueError):
+            bad()

@@ -100,3 +100,112 @@ def test_options_are_checked(signal, kw, match):
 def test_atoms_table_holds_the_array(spark):
     d = np.arange(12.0).reshape(2, 2, 3)
     assert {(r.k, r.channel, r.l): r.d for r in atoms_table(spark, d).collect()} == {i: float(v) for i, v in np.ndenumerate(d)}
+
+
+def test_encoder_contract(spark, signal):
+    """Partial codes, partial statistics, another dictionary, and what is refused."""
+    x, d, _ = signal
+    table = E.blocks(x, 1, T).cache()
+    encoder = E.Encoder(d[:, None], 0.1)
+    some = spark.createDataFrame([(0,), (3,)], "trial long")
+    part = encoder.encode_partial(table, some).cache()
+    whole = {r.trial: r.z for r in encoder.encode(table).collect()}
+    assert {r.trial: r.z for r in part.collect()} == {t: whole[t] for t in (0, 3)}
+    first = encoder.statistics(part)
+    second = encoder.partial_statistics(part, first, 0.5)
+    assert np.allclose(second.ztz, 1.5 * first.ztz) and np.allclose(second.ztx, 1.5 * first.ztx) and second.trials == 2
+    encoder.set_d(np.concatenate([encoder.d, encoder.d[:1]]))
+    assert encoder.statistics(encoder.encode(table)).ztz.shape[0] == K + 1
+    encoder.update_reg(table, 0.5, "per_atom")
+    assert np.allclose(encoder.reg, 0.5 * E.lambda_max(table, encoder.d))
+    encoder.update_reg(table, 0.5, "shared")
+    assert np.allclose(encoder.reg, 0.5 * E.lambda_max(table, encoder.d).max())
+    for bad in (lambda: encoder.set_d(d[:, None, :-1]), lambda: E.Encoder(d, 0.1), lambda: E.Encoder(d[:, None], [0.1] * 3), lambda: E.Encoder(d[:, None], -1.0), lambda: E.Encoder(d[:, None], 0.1, "l-bfgs", positive=False), lambda: encoder.update_reg(table, 1.0, "x")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.9, 1.0])
+def test_lambda_quantile_is_over_all_places(signal, q):
+    from wavemill.kernels import csc
+
+    x, d, _ = signal
+    table = E.blocks(x, 1, T).cache()
+    every = np.concatenate([csc.correlate(np.frombuffer(r.x).reshape(1, -1), d[:, None]) for r in table.collect()], axis=1)
+    assert np.allclose(E.lambda_max(table, d[:, None], q), np.quantile(every, q, axis=1))
+
+
+def test_weighted_blocks(spark, signal):
+    from pyspark.sql import functions as F
+
+    x, d, _ = signal
+    w = x.select("trial", "t").distinct().withColumn("w", F.col("t") + 1.0)
+    row = E.blocks(x, 1, T, w, scale=2.0).where("trial = 1").first()
+    at = {r.t: r.x for r in x.where("trial = 1").collect()}
+    assert np.allclose(np.frombuffer(row.x), [at.get(t, 0.0) / 2 for t in range(T)]) and np.allclose(np.frombuffer(row.w), [t + 1.0 if t in at else 0.0 for t in range(T)])
+
+
+def test_batches_hold_every_trial_once(signal):
+    table = E.blocks(signal[0], 1, T).cache()
+    parts = [[r.trial for r in L.batch_of(table, i, 2, N, "cyclic", 7).collect()] for i in range(3)]
+    assert sorted(t for p in parts for t in p) == list(range(N))
+    assert [r.trial for r in L.batch_of(table, 4, 2, N, "cyclic", 7).collect()] == parts[1]
+    assert all(len(L.batch_of(table, i, 2, N, "random", 7).collect()) == 2 for i in range(3))
+
+
+@pytest.mark.parametrize("how", ["greedy", "chunk", "random"])
+def test_unused_atoms_are_drawn_anew(signal, how):
+    """An atom that never fires gives way, however its successor is drawn."""
+    start = np.zeros((K, 1, LENGTH))
+    start[0] = signal[1][0]
+    start[1, 0, 0] = -1e-6
+    got = L.learn(signal[0], K, LENGTH, 1, T, n_iter=1, reg=0.05, rank1=False, D_init=start, D_resample=how, random_state=0, rescale=False)
+    assert got.d.shape == (K, 1, LENGTH)
+    patch = L.resampled(E.blocks(signal[0], 1, T), how, start, LENGTH, 1, T, np.random.RandomState(0)) if how != "greedy" else np.ones((1, LENGTH))
+    assert patch.shape == (1, LENGTH) and patch.any()
+    with pytest.raises(ValueError, match="D_resample"):
+        L.learn(signal[0], K, LENGTH, 1, T, n_iter=1, D_resample="x")
+
+
+def test_atoms_are_sorted_by_variance(signal):
+    from wavemill.kernels import csc
+
+    got = L.learn(signal[0], K, LENGTH, 1, T, n_iter=2, reg=0.05, lmbd_max="scaled", sort_atoms=True, random_state=0, D_init="chunk")
+    parts = [np.concatenate([csc.reconstruct(np.frombuffer(r.z).reshape(K, -1)[k : k + 1], got.d[k : k + 1]).ravel() for r in got.table.collect()]).var() for k in range(K)]
+    stats = E.Encoder(got.d, 0.0).statistics(got.table)
+    assert np.allclose(L.explained_variances(got.d, stats, T), parts) and parts[0] >= parts[1] * 0.99
+
+
+def test_init_dictionary(signal):
+    assert L.init_dictionary(signal[0], K, LENGTH, 1, T, D_init="chunk", random_state=0).shape == (K, 1 + LENGTH)
+    with pytest.raises(ValueError, match="greedy"):
+        L.init_dictionary(signal[0], K, LENGTH, 1, T, D_init="greedy")
+
+
+def test_loaders(spark, tmp_path):
+    from wavemill.sources import files, loaders
+    from wavemill.streaming.online import trial_stream
+
+    rng = np.random.RandomState(0)
+    t = np.arange(400)
+    rows = [(n, p, int(i), float(np.sin(2 * np.pi * 10 * i / 100) + 0.5 * np.sin(2 * np.pi * 30 * i / 100) + 0.01 * rng.randn())) for n in range(1) for p in range(2) for i in t]
+    x = spark.createDataFrame(rows, "trial long, channel int, t int, x double")
+    files.write_signal(x, str(tmp_path / "x"), 2)
+    got = loaders.load_data(spark, str(tmp_path / "x"), 400, 100.0, n_splits=4, notch=(30.0,), low=None).toPandas()
+    assert set(got["trial"]) == {0, 1, 2, 3} and got["t"].max() == 99 and got["x"].std(ddof=0) == pytest.approx(1)
+    spectrum = np.abs(np.fft.rfft(got[(got["trial"] == 1) & (got["channel"] == 0)].sort_values("t")["x"]))
+    assert spectrum[10] > 20 * spectrum[30]
+    events = spark.createDataFrame([(50, 1), (200, 1), (395, 1)], "sample long, event_id int")
+    cut = loaders.load_data(spark, str(tmp_path / "x"), 400, 100.0, events=events, epoch=(-10, 20), low=None, to_sfreq=100.0)
+    assert {r.trial for r in cut.select("trial").distinct().collect()} == {50, 200} and cut.count() == 2 * 2 * 31
+    assert loaders.epochs(x, events, -10, 20, reject=0.1).count() == 0
+    one = loaders.load_one_record(spark, str(tmp_path / "x"), 100.0, channels=[1], to_sfreq=50.0)
+    assert one.count() == 200 and {r.channel for r in one.select("channel").distinct().collect()} == {1}
+    assert loaders.load_records(spark, str(tmp_path / "x"), 1).selectExpr("stddev_pop(x)").first()[0] == pytest.approx(1)
+    (tmp_path / "in").mkdir()
+    x.coalesce(1).write.parquet(str(tmp_path / "flat"))
+    next((tmp_path / "flat").glob("*.parquet")).rename(tmp_path / "in" / "a.parquet")
+    (tmp_path / "in" / "broken.parquet").write_bytes(b"no parquet")
+    seen = []
+    loaders.each_record(trial_stream(spark, str(tmp_path / "in")), lambda df, i: seen.append(df.selectExpr("stddev_pop(x)").first()[0]), str(tmp_path / "check")).awaitTermination()
+    assert seen == [pytest.approx(1)]

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from wavemill.plans import model_queries as M
 from wavemill.plans import queries as Q
 from wavemill.sources import views as V
 
@@ -25,9 +26,10 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
     return df.astype(str).sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+@pytest.mark.parametrize("name", sorted(Q.QUERIES) + sorted(M.SQL))
 def test_matches_duckdb(spark, sf, duck, name):
-    got, want = Q.QUERIES[name](spark, sf).toPandas(), duck.execute(Q.SQL[name]).df()
+    found, sql = Q.QUERIES | M.QUERIES, Q.SQL | M.SQL
+    got, want = found[name](spark, sf).toPandas(), duck.execute(sql[name]).df()
     assert len(got) and sorted(got.columns) == sorted(want.columns)
     pd.testing.assert_frame_equal(tidy(got), tidy(want))
 

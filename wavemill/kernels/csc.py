@@ -142,18 +142,56 @@ def lipschitz(d: np.ndarray, w: np.ndarray | None, n: int, seed: int = 0, rounds
     return max(new, 1e-12)
 
 
-def proximal(x, d, reg, z0=None, tol: float = 1e-4, max_iter: int = 15_000, positive: bool = True, frozen: bool = False, momentum: bool = True, w=None, fixed_steps: int | None = None, restart: bool = False) -> np.ndarray:
-    """ISTA or FISTA with a fixed step; ``fixed_steps`` runs exactly so many."""
+class GramOperator:
+    """z -> D'(w * D z) over flat codes of K * valid values, the block-circulant matrix of the normal equations, never formed.
+
+    ``@`` applies it to a vector or to the columns of a matrix; ``dense`` forms it, for small problems.
+    """
+
+    def __init__(self, d: np.ndarray, valid: int, w: np.ndarray | None = None) -> None:
+        self.d, self.valid, self.w = d, valid, None if w is None else np.asarray(w).reshape(1, -1)
+        if self.w is not None and self.w.shape[1] != valid + d.shape[2] - 1:
+            raise ValueError(f"w has {self.w.shape[1]} samples, not {valid + d.shape[2] - 1}")
+        self.shape = (len(d) * valid,) * 2
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        if v.ndim == 2:
+            return np.stack([self @ c for c in v.T], axis=1)
+        r = reconstruct(v.reshape(len(self.d), self.valid), self.d)
+        return correlate(r if self.w is None else self.w * r, self.d).ravel()
+
+    def dense(self) -> np.ndarray:
+        return self @ np.eye(self.shape[0])
+
+
+def proximal(x, d, reg, z0=None, tol: float = 1e-4, max_iter: int = 15_000, positive: bool = True, frozen: bool = False, momentum: bool = True, w=None, fixed_steps: int | None = None, restart: bool = False, adaptive: bool = False, step: float | None = None) -> np.ndarray:
+    """ISTA or FISTA with a fixed step, by default by the largest curvature; ``fixed_steps`` runs exactly so many iterations.
+
+    ``adaptive`` doubles and halves the step as it goes.
+    """
     n = x.shape[1] - d.shape[2] + 1
     z = np.zeros((d.shape[0], n)) if z0 is None else np.array(z0, dtype=float)
     support = z != 0 if frozen else None
     reg = np.asarray(reg, dtype=float).reshape(-1, 1)
-    step = 0.99 / lipschitz(d, w, n)
+    step = step or (1.0 if adaptive else 0.99 / lipschitz(d, w, n))
     y, a = z.copy(), 1.0
+
+    def moved(g: np.ndarray) -> np.ndarray:
+        out = shrink(y - step * g, step * reg, positive)
+        return out if support is None else np.where(support, out, 0.0)
+
     for _ in range(max_iter if fixed_steps is None else fixed_steps):
-        new = shrink(y - step * gradient(x, y, d, w), step * reg, positive)
-        if support is not None:
-            new = np.where(support, new, 0.0)
+        g = gradient(x, y, d, w)
+        if adaptive:  # the longest step of 2s, s, s / 2 and so on under which the quadratic bound holds
+            here, step = cost(x, y, d, 0.0, w), 2 * step
+            while True:
+                new = moved(g)
+                by = new - y
+                if step < 1e-18 or cost(x, new, d, 0.0, w) <= here + np.sum(g * by) + np.sum(by * by) / (2 * step) + 1e-12 * abs(here):
+                    break
+                step /= 2
+        else:
+            new = moved(g)
         change = new - z
         if momentum:
             if restart and np.sum((y - new) * change) > 0:
@@ -231,5 +269,7 @@ def encode(x, d, reg, z0=None, solver: str = "lgcd", positive: bool = True, froz
     if solver in ("ista", "fista"):
         return proximal(x, d, reg, z0, positive=positive, frozen=frozen, momentum=solver == "fista", w=w, **options)
     if solver in ("l-bfgs", "l_bfgs"):
+        if not positive:
+            raise ValueError("l-bfgs codes are positive; use lgcd, ista or fista")
         return lbfgs(x, d, reg, z0, frozen=frozen, w=w, **options)
     raise ValueError(f"solver must be one of {', '.join(SOLVERS)}, not {solver!r}")

@@ -62,16 +62,73 @@ def fit_cost(d: np.ndarray, ztz: np.ndarray, ztx: np.ndarray, xtx: float) -> flo
     return float(0.5 * np.sum(d * apply_ztz(ztz, d)) - np.sum(d * ztx) + 0.5 * xtx)
 
 
-def descend(start: np.ndarray, cost, grad, prox, max_iter: int = 50, tol: float = 1e-8, momentum: bool = True) -> np.ndarray:
-    """Projected gradient with momentum, backtracking steps and a restart whenever the cost would rise."""
+class Windower:
+    """Multiplies the atoms' time courses by a Tukey window, and divides it out again; with ``on`` false it leaves them alone."""
+
+    def __init__(self, on: bool, length: int, channels: int = 0) -> None:
+        self.w = np.concatenate([np.ones(channels), tukey(length) if on else np.ones(length)])
+
+    def apply(self, d: np.ndarray) -> np.ndarray:
+        return d * self.w
+
+    def remove(self, d: np.ndarray) -> np.ndarray:
+        return np.where(self.w > 1e-6, d / self.w, 0.0)
+
+
+def largest_eigenvalue(apply, shape: tuple[int, ...], seed: int = 0, rounds: int = 100) -> float:
+    """Of a symmetric linear map, by power iteration."""
+    v, value = np.random.RandomState(seed).randn(*shape), 0.0
+    for _ in range(rounds):
+        v = apply(v / max(float(np.linalg.norm(v)), 1e-300))
+        new = float(np.linalg.norm(v))
+        if abs(new - value) <= 1e-6 * new:
+            break
+        value = new
+    return max(new, 1e-12)
+
+
+def doubling_step(cost, value: float, x: np.ndarray, g: np.ndarray, prox, step: float, most: int = 30) -> tuple[np.ndarray, float, float]:
+    """(point, its cost, step): the step is doubled while that lowers the cost further, or halved until it lowers it at all."""
+    try_at = lambda s: (lambda new: (new, cost(new)))(prox(x - s * g))
+    new, found = try_at(step)
+    if found <= value:
+        for _ in range(most):
+            further, lower = try_at(2 * step)
+            if lower >= found:
+                break
+            new, found, step = further, lower, 2 * step
+        return new, found, step
+    for _ in range(most):
+        step /= 2
+        new, found = try_at(step)
+        if found <= value:
+            return new, found, step
+    return x, value, step
+
+
+def descend(start: np.ndarray, cost, grad, prox, max_iter: int = 50, tol: float = 1e-8, momentum: bool = True, fixed_step: float | None = None, search: str = "bound") -> np.ndarray:
+    """Projected gradient with momentum, and a restart whenever the cost would rise.
+
+    Steps are halved until a quadratic bound holds ("bound") or doubled and halved by the cost ("doubling", without momentum), or fixed.
+    """
+    if search not in ("bound", "doubling"):
+        raise ValueError(f"search must be bound or doubling, not {search!r}")
     x = prox(start)
-    y, a, step, value = x.copy(), 1.0, 1.0, cost(x)
+    y, a, step, value = x.copy(), 1.0, fixed_step or 1.0, cost(x)
+    if search == "doubling":
+        for _ in range(max_iter):
+            new, found, step = doubling_step(cost, value, x, grad(x), prox, step)
+            done = value - found <= tol * max(abs(value), 1e-12)
+            x, value = new, found
+            if done:
+                break
+        return x
     for _ in range(max_iter):
         g, here = grad(y), cost(y)
         while True:
             new = prox(y - step * g)
             move = new - y
-            if cost(new) <= here + np.sum(g * move) + np.sum(move * move) / (2 * step) + 1e-12 * abs(here) or step < 1e-18:
+            if fixed_step or cost(new) <= here + np.sum(g * move) + np.sum(move * move) / (2 * step) + 1e-12 * abs(here) or step < 1e-18:
                 break
             step /= 2
         found = cost(new)
@@ -84,44 +141,53 @@ def descend(start: np.ndarray, cost, grad, prox, max_iter: int = 50, tol: float
         y = new + (a - 1) / b * (new - x) if momentum else new
         a = b if momentum else 1.0
         done = value - found <= tol * max(abs(value), 1e-12)
-        x, value, step = new, found, step * 2
+        x, value, step = new, found, fixed_step or step * 2
         if done:
             break
     return x
 
 
-def update_full(d, ztz, ztx, xtx, max_iter: int = 50, tol: float = 1e-8, momentum: bool = True, window: bool = False) -> np.ndarray:
-    w = tukey(d.shape[2]) if window else np.ones(d.shape[2])
-    inner = descend(np.where(w > 1e-6, d / w, 0.0), lambda e: fit_cost(e * w, ztz, ztx, xtx), lambda e: (apply_ztz(ztz, e * w) - ztx) * w, lambda e: project_d(e * w) / w, max_iter, tol, momentum)
-    return inner * w
+def update_full(d, ztz, ztx, xtx, max_iter: int = 50, tol: float = 1e-8, momentum: bool = True, window: bool = False, search: str = "bound") -> np.ndarray:
+    """Full-rank atoms (K, P, L) in the unit ball."""
+    win = Windower(window, d.shape[2])
+    cost = lambda e: fit_cost(win.apply(e), ztz, ztx, xtx)
+    grad = lambda e: win.apply(apply_ztz(ztz, win.apply(e)) - ztx)
+    prox = lambda e: project_d(win.apply(e)) / win.w
+    return win.apply(descend(win.remove(d), cost, grad, prox, max_iter, tol, momentum, search=search))
 
 
 def update_uv(uv, channels: int, ztz, ztx, xtx, solver: str = "alternate_adaptive", constraint: str = "separate", max_iter: int = 50, tol: float = 1e-8, window: bool = False) -> np.ndarray:
-    """"joint" moves u and v together; "alternate" and "alternate_adaptive" move u, then v."""
+    """"joint" moves u and v together; "alternate", with a step of one over the largest curvature, and "alternate_adaptive" u, then v."""
     if solver not in ("joint", "alternate", "alternate_adaptive"):
         raise ValueError(f"solver_d must be joint, alternate or alternate_adaptive for rank-1 atoms, not {solver!r}")
     if solver != "joint" and constraint != "separate":
         raise ValueError("alternate solvers need uv_constraint='separate'")
-    length = uv.shape[1] - channels
-    w = np.concatenate([np.ones(channels), tukey(length) if window else np.ones(length)])
+    win = Windower(window, uv.shape[1] - channels, channels)
 
     def cost(x):
-        return fit_cost(full(x * w, channels), ztz, ztx, xtx)
+        return fit_cost(full(win.apply(x), channels), ztz, ztx, xtx)
+
+    def pull(g, x):
+        """The gradient g of the full atoms as one of u and v."""
+        u, v = split(win.apply(x), channels)
+        return win.apply(np.concatenate([np.einsum("kpl,kl->kp", g, v), np.einsum("kpl,kp->kl", g, u)], axis=1))
 
     def grad(x):
-        u, v = split(x * w, channels)
-        g = apply_ztz(ztz, full(x * w, channels)) - ztx
-        return np.concatenate([np.einsum("kpl,kl->kp", g, v), np.einsum("kpl,kp->kl", g, u)], axis=1) * w
+        return pull(apply_ztz(ztz, full(win.apply(x), channels)) - ztx, x)
 
-    prox = lambda x: project_uv(x * w, channels, constraint) / w
-    x = prox(np.where(w > 1e-6, uv / w, 0.0))
+    prox = lambda x: project_uv(win.apply(x), channels, constraint) / win.w
+    x = prox(win.remove(uv))
     if solver == "joint":
-        return descend(x, cost, grad, prox, max_iter, tol) * w
-    mask_u = (np.arange(uv.shape[1]) < channels).astype(float)
-    for mask in (mask_u, 1 - mask_u):
-        fixed = x.copy()
-        x = descend(x, cost, lambda y, m=mask: grad(y) * m, lambda y, m=mask, f=fixed: prox(y) * m + f * (1 - m), max_iter, tol, momentum=False)
-    return x * w
+        return win.apply(descend(x, cost, grad, prox, max_iter, tol))
+    of_u = (np.arange(uv.shape[1]) < channels).astype(float)
+    for mask in (of_u, 1 - of_u):
+        fixed = x * (1 - mask)
+        step = None
+        if solver == "alternate":  # the cost is quadratic in either part
+            curve = lambda y, m=mask, f=fixed: pull(apply_ztz(ztz, full(win.apply(y * m + f), channels)), y * m + f) * m
+            step = 0.99 / largest_eigenvalue(curve, x.shape)
+        x = descend(x, cost, lambda y, m=mask: grad(y) * m, lambda y, m=mask, f=fixed: prox(y) * m + f, max_iter, tol, momentum=False, fixed_step=step)
+    return win.apply(x)
 
 
 def unit_norm_dual(lhs: np.ndarray, rhs: np.ndarray) -> np.ndarray:
@@ -169,25 +235,74 @@ def update_block(d: np.ndarray, blocks: np.ndarray, ztx: np.ndarray, n_iter: int
     return d
 
 
-def update_joint_dual(blocks: np.ndarray, ztx: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """All univariate atoms together: the normal equations with a multiplier for each norm, multipliers by ascent."""
+def update_joint_dual(blocks: np.ndarray, ztx: np.ndarray, max_iter: int = 200, tol: float = 1e-9) -> np.ndarray:
+    """All univariate atoms together: the normal equations with a multiplier for each norm.
+
+    The dual is concave in the multipliers; projected Newton steps with backtracking climb it until its projected gradient vanishes.
+    """
     k, _, length, _ = blocks.shape
     lhs, rhs = blocks.transpose(0, 2, 1, 3).reshape(k * length, k * length), ztx.reshape(-1)
-    lam = np.full(k, 1e-3 * max(float(np.trace(lhs)) / (k * length), 1e-12))
-    for _ in range(rounds):
-        d = np.linalg.lstsq(lhs + np.diag(np.repeat(lam, length)), rhs, rcond=None)[0].reshape(k, length)
-        norm = np.linalg.norm(d, axis=1)
-        new = np.maximum(lam * norm**1.0, 0.0)
-        new = np.where((norm <= 1) & (lam < 1e-9), 0.0, new)
-        if np.abs(new - lam).max() <= 1e-10 * max(1.0, lam.max()):
+    lhs = lhs + 1e-10 * max(float(np.trace(lhs)) / len(lhs), 1e-12) * np.eye(len(lhs))
+
+    def dual(lam: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        m = lhs + np.diag(np.repeat(lam, length))
+        d = np.linalg.solve(m, rhs)
+        return -0.5 * float(rhs @ d) - 0.5 * float(lam.sum()), d.reshape(k, length), m
+
+    lam = np.full(k, max(float(np.trace(lhs)) / len(lhs), 1e-12))
+    value, d, m = dual(lam)
+    for _ in range(max_iter):
+        g = 0.5 * ((d * d).sum(axis=1) - 1)
+        free = (lam > 0) | (g > 0)
+        if np.abs(np.where(free, g, 0.0)).max(initial=0.0) <= tol:
             break
-        lam = new
+        sides = np.zeros((k * length, k))
+        for i in range(k):
+            sides[i * length : (i + 1) * length, i] = d[i]
+        curve = (sides.T @ np.linalg.solve(m, sides))[np.ix_(free, free)]
+        way = np.zeros(k)
+        way[free] = np.linalg.solve(curve + 1e-14 * np.trace(curve) * np.eye(len(curve)), g[free])
+        step = 1.0
+        while step > 1e-12:
+            new = np.maximum(lam + step * way, 0.0)
+            higher, d_new, m_new = dual(new)
+            if higher >= value + 1e-4 * float(g @ (new - lam)):
+                break
+            step /= 2
+        else:
+            break
+        lam, value, d, m = new, higher, d_new, m_new
     return d / np.maximum(1.0, np.linalg.norm(d, axis=1, keepdims=True))
 
 
-def recovery_score(v: np.ndarray, found: np.ndarray) -> float:
-    """1 - largest cross-correlation, averaged over atoms under the best assignment."""
-    from itertools import permutations
+def assignment(loss: np.ndarray) -> np.ndarray:
+    """For each row the column of the assignment of least total loss, rows not more than columns: shortest augmenting paths."""
+    n, m = loss.shape
+    row_price, column_price = np.zeros(n), np.zeros(m + 1)
+    row_of = np.full(m + 1, -1)
+    for i in range(n):
+        row_of[m], j = i, m
+        dist, back, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, dtype=bool)
+        while row_of[j] >= 0:
+            done[j] = True
+            r = row_of[j]
+            reach = loss[r] - row_price[r] - column_price[:m]
+            better = ~done[:m] & (reach < dist)
+            dist[better], back[better] = reach[better], j
+            at = np.where(done[:m], np.inf, dist)
+            j = int(at.argmin())
+            delta = at[j]
+            row_price[row_of[done]] += delta
+            column_price[done] -= delta
+            dist[~done[:m]] -= delta
+        while j != m:
+            row_of[j], j = row_of[back[j]], back[j]
+    out = np.zeros(n, dtype=int)
+    out[row_of[:m][row_of[:m] >= 0]] = np.flatnonzero(row_of[:m] >= 0)
+    return out
 
+
+def recovery_score(v: np.ndarray, found: np.ndarray) -> float:
+    """1 - largest cross-correlation, averaged over atoms under the best assignment; no fewer atoms are found than looked for."""
     loss = np.array([[1 - np.abs(np.correlate(a, b, "full")).max() / max(float(a @ a), 1e-300) for b in found] for a in v])
-    return min(float(np.mean([loss[i, p] for i, p in enumerate(perm)])) for perm in permutations(range(len(found)), len(v)))
+    return float(loss[np.arange(len(v)), assignment(loss)].mean())

@@ -6,16 +6,21 @@ import numpy as np
 
 
 def align(x: np.ndarray, atom: np.ndarray, max_shift: int | None = None) -> np.ndarray:
-    """(N, L): of each series the patch that correlates most with the atom, its sign set to agree."""
+    """(N, L): of each series the patch whose mean-free, normalised correlation with the atom is largest in size."""
     length = len(atom)
     patches = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)
     if max_shift is not None:
         patches = patches[:, : max_shift + 1]
-    norm = np.linalg.norm(patches, axis=2) + np.finfo(np.float32).eps
-    c = (patches @ atom) / norm
-    at = np.abs(c).argmax(axis=1)
-    rows = np.arange(len(x))
-    return patches[rows, at] * np.sign(c[rows, at])[:, None]
+    centred = atom - atom.mean()
+    norm = np.sqrt(np.maximum((patches * patches).sum(axis=2) - length * patches.mean(axis=2) ** 2, 0.0)) + np.finfo(np.float32).eps
+    c = (patches @ centred) / (norm * (np.linalg.norm(centred) or 1.0))
+    return patches[np.arange(len(x)), np.abs(c).argmax(axis=1)]
+
+
+def outer_sum(x: np.ndarray, atom: np.ndarray, max_shift: int | None = None) -> np.ndarray:
+    """(L, L): the sum of outer products of the aligned patches; sums of parts of the series add up to that of all."""
+    patches = align(x, atom, max_shift)
+    return patches.T @ patches
 
 
 def _top_generalised(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -27,6 +32,24 @@ def _top_generalised(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
+def apart(atoms: list[np.ndarray], length: int) -> np.ndarray:
+    """(L, L): what a new atom's energy is measured against, so that it stays apart from shifts of those before it."""
+    b = np.eye(length)
+    for old in atoms:
+        for shift in range(1 - length, length):
+            moved = np.zeros(length)
+            lo, hi = max(0, shift), min(length, length + shift)
+            moved[lo:hi] = old[lo - shift : hi - shift]
+            b += np.outer(moved, moved)
+    return b
+
+
+def next_atom(total: np.ndarray, b: np.ndarray, atom: np.ndarray) -> np.ndarray:
+    """The atom of most energy over the summed outer products, its sign that of the atom before."""
+    new = _top_generalised(total, b)
+    return new * (np.sign(new @ atom) or 1.0)
+
+
 def motif_atoms(x: np.ndarray, n_atoms: int, length: int, n_iter: int = 10, max_shift: int | None = None, seed: int = 0) -> np.ndarray:
     """(K, L): atoms of most energy over aligned patches, each kept apart from shifts of those before it."""
     rng = np.random.RandomState(seed)
@@ -35,17 +58,9 @@ def motif_atoms(x: np.ndarray, n_atoms: int, length: int, n_iter: int = 10, max_
         i, s = rng.randint(len(x)), rng.randint(x.shape[1] - length + 1)
         atom = x[i, s : s + length].copy()
         atom /= np.linalg.norm(atom) or 1.0
-        b = np.eye(length)
-        for old in atoms:
-            for shift in range(1 - length, length):
-                moved = np.zeros(length)
-                lo, hi = max(0, shift), min(length, length + shift)
-                moved[lo:hi] = old[lo - shift : hi - shift]
-                b += np.outer(moved, moved)
+        b = apart(atoms, length)
         for _ in range(n_iter):
-            patches = align(x, atom, max_shift)
-            new = _top_generalised(patches.T @ patches, b)
-            new *= np.sign(new @ atom) or 1.0
+            new = next_atom(outer_sum(x, atom, max_shift), b, atom)
             done = np.abs(new - atom).max() < 1e-8
             atom = new
             if done:
@@ -66,8 +81,9 @@ def match_windows(x: np.ndarray, length: int, gap: int, n_windows: int | None =
     """(mean window, starts, costs): window starts moved one at a time by simulated annealing, more than ``gap`` apart."""
     rng = np.random.RandomState(seed)
     if starts is None:
-        n_windows = max(2, len(x) // (2 * (length + gap))) if n_windows is None else n_windows
-        starts = np.arange(n_windows) * ((len(x) - length) // n_windows)
+        # by default a window every two gaps, as far as windows of this length fit
+        n_windows = max(2, (len(x) - length) // (2 * gap)) if n_windows is None else n_windows
+        starts = np.arange(n_windows) * max(1, (len(x) - length) // n_windows)
     starts = np.array(starts)
     cost, costs = window_cost(x, starts, length), []
     best = (cost, starts.copy())

@@ -21,8 +21,8 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifft(f * weight))[: len(x)]
 
 
-def fir_filter(x: np.ndarray, sfreq: float, low: float | None = None, high: float | None = None, taps: int = 101) -> np.ndarray:
-    """Zero-phase windowed-sinc filter: pass between low and high (None: open)."""
+def fir_taps(sfreq: float, low: float | None = None, high: float | None = None, taps: int = 101) -> np.ndarray:
+    """A symmetric windowed-sinc filter: pass between low and high (None: open)."""
     if taps % 2 == 0:
         raise ValueError("taps must be odd")
     t = np.arange(taps) - taps // 2
@@ -36,6 +36,12 @@ def fir_filter(x: np.ndarray, sfreq: float, low: float | None = None, high: floa
     h = lowpass(high) if high is not None else h
     if low is not None:
         h = h - (np.convolve(h, lowpass(low), "same") if high is not None else lowpass(low))
+    return h
+
+
+def fir_filter(x: np.ndarray, sfreq: float, low: float | None = None, high: float | None = None, taps: int = 101) -> np.ndarray:
+    """Zero-phase filtering, the ends continued by their point reflections."""
+    h = fir_taps(sfreq, low, high, taps)
     pad = min(len(x) - 1, taps // 2)
     wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad else x
     return np.convolve(wide, h, "same")[pad : pad + len(x)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +71,17 @@ def activation_density(z: DataFrame, bandwidth: int, share: float = 0.01) -> Dat
     return moved.groupBy("k", (F.col("t") + F.col("o") - half).alias("t")).agg(F.sum(F.col("z") * F.col("w")).alias("density"))
 
 
+def kernel_density(z: DataFrame, bandwidth: int) -> DataFrame:
+    """(k, t, density): a Blackman kernel estimate of where an atom is active, each activation by its share of the atom's total; sums to one."""
+    half, centre = bandwidth // 2, F.col("o")
+    kernel = blackman(centre, bandwidth)
+    whole = sum(0.42 - 0.5 * math.cos(2 * math.pi * o / (bandwidth - 1)) + 0.08 * math.cos(4 * math.pi * o / (bandwidth - 1)) for o in range(bandwidth))
+    at = z.groupBy("k", "t").agg(F.sum("z").cast("double").alias("z"))
+    share = at.join(at.groupBy("k").agg(F.sum("z").alias("all")), "k").withColumn("z", F.col("z") / F.col("all"))
+    moved = share.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(bandwidth - 1))))
+    return moved.groupBy("k", (F.col("t") + F.col("o") - half).alias("t")).agg(F.sum(F.col("z") * kernel / whole).alias("density"))
+
+
 def box_energy(dense_z: DataFrame, width: int) -> DataFrame:
     """(trial, k, t, e): sum over the ``width`` samples that end at t."""
     frame = Window.partitionBy("trial", "k").orderBy("t").rowsBetween(1 - width, 0)

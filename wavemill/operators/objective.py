@@ -50,6 +50,12 @@ def feasible_objective(x: DataFrame, z: DataFrame, d: DataFrame, reg: float) ->
     return objective(x, scaled, inside, reg)
 
 
+def feasible_objective_univariate(x: DataFrame, z: DataFrame, d: DataFrame, reg: float) -> DataFrame:
+    """The same for signals (trial, t, x) and atoms (k, l, d) without channels."""
+    one = lambda df: df.withColumn("channel", F.lit(0))
+    return feasible_objective(one(x), z, one(d), reg)
+
+
 def gradient_z(x: DataFrame, z: DataFrame, d: DataFrame, reg: float, valid: int) -> DataFrame:
     """(trial, k, t, g) where the residual reaches; elsewhere the gradient is reg."""
     c = C.atom_correlation(C.residual(x, z, d), d, valid, "r")

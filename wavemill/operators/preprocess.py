@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as K
+from ..functions.checks import needs
 
 
 def split_signal(x: DataFrame, times: int, n_splits: int, taper: bool = False) -> DataFrame:
@@ -18,11 +19,13 @@ def split_signal(x: DataFrame, times: int, n_splits: int, taper: bool = False) -
 
 def as_univariate(x: DataFrame) -> DataFrame:
     """(trial, t, x) becomes a signal of one channel."""
+    needs(x, ["trial", "t", "x"], ["channel"])
     return x.select("trial", F.lit(0).alias("channel"), "t", "x")
 
 
 def as_multivariate(x: DataFrame) -> DataFrame:
     """(channel, t, x) becomes a signal of one trial."""
+    needs(x, ["channel", "t", "x"], ["trial"])
     return x.select(F.lit(0).cast("long").alias("trial"), "channel", "t", "x")
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,26 +20,32 @@ from ..kernels import csc
 BLOCKS = "trial long, x binary, w binary, z binary"
 
 
-def blocks(x: DataFrame, channels: int, times: int, w: DataFrame | None = None) -> DataFrame:
-    """(trial, x, w, z) of a long signal; absent samples are zeros, w (trial, t, w) are sample weights, z is null."""
-    rows = x.select("trial", "channel", "t", F.col("x").cast("double").alias("x"))
-    if w is not None:
-        rows = rows.unionByName(w.select("trial", F.lit(-1).alias("channel"), "t", F.col("w").cast("double").alias("x")))
-    weighted = w is not None
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        sample = pdf["channel"] >= 0
-        at = pdf[sample]
-        dense = np.zeros((channels, times))
-        dense[at["channel"], at["t"]] = at["x"]
-        weights = None
-        if weighted:
-            weights = np.zeros(times)
-            weights[pdf.loc[~sample, "t"]] = pdf.loc[~sample, "x"]
-            weights = weights.tobytes()
-        return pd.DataFrame({"trial": [pdf["trial"].iloc[0]], "x": [dense.tobytes()], "w": [weights], "z": [None]})
+def blocks(x: DataFrame, channels: int, times: int, w: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
+    """(trial, x, w, z) of a long signal over ``scale``; absent samples are zeros, w (trial, t, w) are sample weights, z is null.
 
-    return rows.groupBy("trial").applyInPandas(pack, BLOCKS)
+    A trial's samples are gathered on the JVM as (place, value) pairs; Python only lays them out, many trials at a time.
+    """
+    rows = x.select("trial", (F.col("channel") * times + F.col("t")).cast("int").alias("i"), F.col("x").cast("double").alias("v"))
+    if w is not None:
+        rows = rows.unionByName(w.select("trial", (F.lit(channels * times) + F.col("t")).cast("int").alias("i"), F.col("w").cast("double").alias("v")))
+    packed = rows.groupBy("trial").agg(F.collect_list(F.struct("i", "v")).alias("at"))
+    size, weighted = channels * times, w is not None
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            bounds, pairs = lists.offsets.to_numpy(), lists.values
+            place, value = (pairs.field(c).to_numpy(zero_copy_only=False)[pairs.offset :] for c in (0, 1))
+            xs, ws = [], []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                row = np.zeros(size + times * weighted)
+                row[place[a:b]] = value[a:b]
+                xs.append((row[:size] / scale).tobytes())
+                ws.append(row[size:].tobytes() if weighted else None)
+            columns = [batch.column(0), *(pa.array(c, pa.binary()) for c in (xs, ws, [None] * len(xs)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["trial", "x", "w", "z"])
+
+    return packed.mapInArrow(lay, BLOCKS)
 
 
 def _array(raw, rows: int) -> np.ndarray | None:
@@ -58,6 +65,14 @@ class Encoder:
     def __post_init__(self) -> None:
         if self.solver not in (*csc.SOLVERS, "l_bfgs"):
             raise ValueError(f"solver_z must be one of {', '.join(csc.SOLVERS)}, not {self.solver!r}")
+        if np.ndim(self.d) != 3:
+            raise ValueError(f"the dictionary has {np.ndim(self.d)} dimensions, not atoms, channels and length")
+        if np.size(self.reg) not in (1, len(self.d)):
+            raise ValueError(f"{np.size(self.reg)} regularisations for {len(self.d)} atoms")
+        if np.min(self.reg) < 0:
+            raise ValueError("the regularisation must not be negative")
+        if not self.positive and self.solver in ("l-bfgs", "l_bfgs"):
+            raise ValueError("l-bfgs codes are positive; use lgcd, ista or fista")
 
     def encode(self, table: DataFrame, warm: bool = True, unbiased: bool = False) -> DataFrame:
         """The block table with new codes; ``unbiased`` refits them on their support without regularisation."""
@@ -78,6 +93,35 @@ class Encoder:
 
         return table.mapInPandas(run, BLOCKS)
 
+    def set_d(self, d: np.ndarray) -> None:
+        """Takes another dictionary, of the same channels and length; a regularisation for each atom must fit it."""
+        if d.ndim != 3 or d.shape[1:] != self.d.shape[1:]:
+            raise ValueError(f"the dictionary has shape {d.shape}, not (atoms, {self.d.shape[1]}, {self.d.shape[2]})")
+        if np.size(self.reg) not in (1, len(d)):
+            raise ValueError(f"{np.size(self.reg)} regularisations for {len(d)} atoms")
+        self.d = d
+
+    def update_reg(self, table: DataFrame, share: float, mode: str) -> None:
+        """The regularisation as a share of the present lambda max: of all atoms ("scaled", "shared") or of each ("per_atom")."""
+        if mode not in ("fixed", "scaled", "shared", "per_atom"):
+            raise ValueError(f"mode must be fixed, scaled, shared or per_atom, not {mode!r}")
+        if mode == "fixed":
+            self.reg = np.asarray(share, dtype=float)
+            return
+        top = lambda_max(table, self.d)
+        self.reg = np.asarray(share, dtype=float) * (top if mode == "per_atom" else top.max())
+
+    def encode_partial(self, table: DataFrame, trials: DataFrame) -> DataFrame:
+        """The blocks of some trials (a table with a trial column) with new codes, from zero."""
+        return self.encode(table.join(trials.select("trial"), "trial", "left_semi"), warm=False)
+
+    def partial_statistics(self, table: DataFrame, older: Statistics | None, alpha: float) -> Statistics:
+        """Sums over the table's trials plus alpha times older ones."""
+        new = self.statistics(table)
+        if older is not None:
+            new.ztz, new.ztx, new.xtx = new.ztz + alpha * older.ztz, new.ztx + alpha * older.ztx, new.xtx + alpha * older.xtx
+        return new
+
     def statistics(self, table: DataFrame) -> Statistics:
         """Sums over all trials."""
         d, reg = self.d, np.broadcast_to(np.asarray(self.reg, dtype=float).reshape(-1), (self.d.shape[0],))
@@ -171,20 +215,58 @@ def worst_patch(table: DataFrame, d: np.ndarray | None, length: int, channels: i
 
 
 def lambda_max(table: DataFrame, d: np.ndarray, q: float = 1.0) -> np.ndarray:
-    """(K,): the largest (or q-quantile of the trial maxima's) correlation of each atom."""
+    """(K,): each atom's largest correlation with the (weighted) signal over all trials and places, or its q-quantile over them."""
     k, channels, _ = d.shape
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def correlations(pdf: pd.DataFrame) -> Iterator[np.ndarray]:
+        for x, w in zip(pdf["x"], pdf["w"], strict=True):
+            x, w = _array(x, channels), _array(w, 1)
+            yield csc.correlate(x if w is None else w * x, d)
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for x, w in zip(pdf["x"], pdf["w"], strict=True):
-                x, w = _array(x, channels), _array(w, 1)
-                yield pd.DataFrame({"k": np.arange(k), "m": csc.correlate(x if w is None else w * x, d).max(axis=1)})
-
-    top = F.max("m") if q >= 1.0 else F.percentile("m", q)
-    found = table.mapInPandas(run, "k int, m double").groupBy("k").agg(top.alias("m")).toPandas()
-    out = np.zeros(k)
-    out[found["k"]] = found["m"]
-    return out
+            for c in correlations(pdf):
+                yield pd.DataFrame({"k": np.arange(k), "lo": c.min(axis=1), "hi": c.max(axis=1), "n": c.shape[1]})
+
+    found = table.mapInPandas(ends, "k int, lo double, hi double, n long").groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).toPandas().set_index("k")
+    if found.empty:
+        return np.zeros(k)
+    lo, hi, n = (found[c].reindex(range(k)).to_numpy() for c in ("lo", "hi", "n"))
+    if q >= 1.0:
+        return hi.astype(float)
+    rank = q * (n - 1)
+    values = [_nth(table, correlations, k, lo, hi, np.floor(rank).astype(int) + up) for up in (0, 1)]
+    share = rank - np.floor(rank)
+    return np.where(share > 0, values[0] + share * (values[1] - values[0]), values[0])
+
+
+def _nth(table: DataFrame, correlations, k: int, lo: np.ndarray, hi: np.ndarray, rank: np.ndarray, bins: int = 4096) -> np.ndarray:
+    """The value of a rank (from 0) for each atom: histograms over ever narrower ranges, until one value is left in it.
+
+    A round sends a histogram for each atom and task; equal values count together, so ties need no further rounds.
+    """
+    lo, hi, below = lo.astype(float).copy(), hi.astype(float).copy(), np.zeros(k, dtype=np.int64)
+    for _ in range(40):
+        edges = [np.unique(np.linspace(lo[a], hi[a], bins + 1)) for a in range(k)]
+
+        def count(batches: Iterator[pd.DataFrame], edges=edges) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for c in correlations(pdf):
+                    for a, e in enumerate(edges):
+                        v = c[a][(c[a] >= e[0]) & (c[a] <= e[-1])]
+                        at, n = np.unique(np.searchsorted(e, v, side="right"), return_counts=True)
+                        least = [v[np.searchsorted(e, v, side="right") == i] for i in at]
+                        yield pd.DataFrame({"k": a, "i": at, "n": n, "lo": [x.min() for x in least], "hi": [x.max() for x in least]})
+
+        sums = table.mapInPandas(count, "k int, i int, n long, lo double, hi double").groupBy("k", "i").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()  # bins rows an atom
+        for a, mine in sums.sort_values("i").groupby("k"):
+            upto = below[a] + mine["n"].cumsum().to_numpy()
+            at = min(int(np.searchsorted(upto, rank[a], side="right")), len(mine) - 1)
+            below[a] = upto[at] - mine["n"].iloc[at]
+            lo[a], hi[a] = mine["lo"].iloc[at], mine["hi"].iloc[at]
+        if (lo == hi).all():
+            return lo
+    raise RuntimeError("the quantile did not settle")
 
 
 def encode_long_signal(x: DataFrame, d: np.ndarray, reg: float, channels: int, times: int, block: int, tol: float = 1e-3, rounds: int = 60) -> DataFrame:

@@ -68,10 +68,7 @@ def initial_dictionary(table: DataFrame, n_atoms: int, length: int, channels: in
     elif how == "greedy":
         return np.zeros((0, *shape[1:]))
     elif how == "chunk":
-        trials = np.array([r.trial for r in table.select("trial").orderBy("trial").collect()])  # one id a trial
-        at = [(k, int(trials[rng.randint(len(trials))]), int(rng.randint(times - length + 1))) for k in range(n_atoms)]
-        found = {r.trial: np.frombuffer(r.x, dtype=float).reshape(channels, -1) for r in table.where(F.col("trial").isin([t for _, t, _ in at])).select("trial", "x").collect()}  # n_atoms trials at most
-        d = np.stack([found[t][:, s : s + length] for _, t, s in at])
+        d = random_patches(table, n_atoms, length, channels, times, rng)
         d = dic.rank1(d) if rank1 else d
     else:
         raise ValueError(f"D_init must be random, chunk, greedy or an array, not {how!r}")
@@ -80,6 +77,40 @@ def initial_dictionary(table: DataFrame, n_atoms: int, length: int, channels: in
     return _project(d, rank1, channels, constraint)
 
 
+def random_patches(table: DataFrame, n: int, length: int, channels: int, times: int, rng: np.random.RandomState) -> np.ndarray:
+    """(n, P, L): patches at random places of random trials, of different ones as far as there are so many."""
+    order = F.xxhash64("trial", F.lit(int(rng.randint(2**31 - 1))))
+    drawn = [np.frombuffer(r.x, dtype=float).reshape(channels, -1) for r in table.select("trial", "x").orderBy(order, "trial").limit(n).collect()]  # n trials
+    if not drawn:
+        raise ValueError("there is no trial to take a patch from")
+    starts = rng.randint(times - length + 1, size=n)
+    return np.stack([drawn[i % len(drawn)][:, s : s + length] for i, s in enumerate(starts.tolist())])
+
+
+def batch_of(table: DataFrame, i: int, size: int, trials: int, selection: str, seed: int) -> DataFrame:
+    """The blocks of the i-th batch of trials, picked on the executors by a hash of the trial.
+
+    "random" takes ``size`` trials, others each time; "cyclic" deals all trials into ``ceil(trials / size)`` batches of about that size
+    once and for all, and takes them in turn.
+    """
+    if selection == "random":
+        chosen = table.select("trial").orderBy(F.xxhash64("trial", F.lit(seed + i)), "trial").limit(size)
+        return table.join(chosen, "trial", "left_semi")
+    parts = max(1, -(-trials // size))
+    return table.where(F.pmod(F.xxhash64("trial", F.lit(seed)), F.lit(parts)) == i % parts)
+
+
+def resampled(table: DataFrame, how: str, d: np.ndarray, length: int, channels: int, times: int, rng: np.random.RandomState) -> np.ndarray:
+    """(P, L): a patch for an atom that is not used: of largest error ("greedy"), at a random place ("chunk") or noise ("random")."""
+    if how == "greedy":
+        return E.worst_patch(table, d, length, channels)
+    if how == "chunk":
+        return random_patches(table, 1, length, channels, times, rng)[0]
+    if how == "random":
+        return rng.randn(channels, length)
+    raise ValueError(f"D_resample must be greedy, chunk or random, not {how!r}")
+
+
 def _project(d: np.ndarray, rank1: bool, channels: int, constraint: str) -> np.ndarray:
     return dic.project_uv(d, channels, constraint) if rank1 else dic.project_d(d)
 
@@ -116,6 +147,7 @@ def learn(
     solver_d: str = "auto",
     solver_d_kwargs: dict | None = None,
     D_init=None,
+    D_resample: str = "greedy",
     eps: float = 1e-10,
     unbiased_z_hat: bool = False,
     sort_atoms: bool = False,
@@ -137,14 +169,20 @@ def learn(
         raise ValueError(f"algorithm must be one of {', '.join(ALGORITHMS)}, not {algorithm!r}")
     solver_d, constraint = resolve_solver(solver_d, uv_constraint, rank1)
     params = {"alpha": 0.8, "batch_size": 1, "batch_selection": "random"} | (algorithm_params or {})
+    if unknown := set(params) - {"alpha", "batch_size", "batch_selection"}:
+        raise ValueError(f"algorithm_params has no {', '.join(sorted(unknown))}")
+    if params["batch_selection"] not in ("random", "cyclic"):
+        raise ValueError(f"batch_selection must be random or cyclic, not {params['batch_selection']!r}")
+    if D_resample not in ("greedy", "chunk", "random"):
+        raise ValueError(f"D_resample must be greedy, chunk or random, not {D_resample!r}")
     rng = np.random.RandomState(random_state)
-    table = settled(E.blocks(x, channels, times))
-    scale = 1.0
-    if rescale:
-        s = x.agg(F.sum(F.col("x").cast("double")).alias("s"), F.sum(F.col("x").cast("double") * F.col("x")).alias("q")).first()
-        n = table.count() * channels * times
-        scale = float(np.sqrt(max(s.q / n - (s.s / n) ** 2, 0.0))) or 1.0
-        table = settled(E.blocks(x.withColumn("x", F.col("x").cast("double") / scale), channels, times))
+    value = F.col("x").cast("double")
+    s = x.agg(F.sum(value).alias("s"), F.sum(value * value).alias("q"), F.countDistinct("trial").alias("trials")).first()
+    if not s.trials:
+        raise ValueError("the signal has no trial")
+    n = s.trials * channels * times
+    scale = float(np.sqrt(max(s.q / n - (s.s / n) ** 2, 0.0))) or 1.0 if rescale else 1.0
+    table = settled(E.blocks(x, channels, times, scale=scale))
     d = initial_dictionary(table, n_atoms, n_times_atom, channels, times, "greedy" if algorithm == "greedy" and D_init is None else D_init, rank1, constraint, window, random_state)
     patch = lambda t, a: _add(d, E.worst_patch(t, a, n_times_atom, channels), rank1, channels, constraint, window)
     if not len(d):
@@ -153,7 +191,7 @@ def learn(
     if lmbd_max == "scaled":
         reg0 = reg0 * E.lambda_max(table, _full(d, rank1, channels)).max()
     out = Learned(_full(d, rank1, channels), None, reg0)
-    trials = [r.trial for r in table.select("trial").orderBy("trial").collect()] if algorithm in ("online", "stochastic") else []
+    deal = int(rng.randint(2**31 - 1))
     decayed: E.Statistics | None = None
     started = time.time()
 
@@ -175,27 +213,27 @@ def learn(
             table = settled(encoder.encode(table))
             stats = encoder.statistics(table)
         else:
-            size = min(params["batch_size"], len(trials))
-            chosen = rng.choice(len(trials), size, replace=False) if params["batch_selection"] == "random" else (i * size + np.arange(size)) % len(trials)
-            part = encoder.encode(table.where(F.col("trial").isin([trials[c] for c in chosen])), warm=False)
-            new = encoder.statistics(settled(part))
-            alpha = params["alpha"] if algorithm == "online" else 0.0
-            if decayed is not None:
-                new.ztz, new.ztx, new.xtx = new.ztz + alpha * decayed.ztz, new.ztx + alpha * decayed.ztx, new.xtx + alpha * decayed.xtx
-            stats = decayed = new
+            part = batch_of(table, i, params["batch_size"], s.trials, params["batch_selection"], deal)
+            part = settled(encoder.encode(part, warm=False))
+            stats = encoder.partial_statistics(part, decayed, params["alpha"] if algorithm == "online" else 0.0)
+            if not stats.trials:
+                continue  # a batch that no trial fell into
+            decayed = stats
         note(i, "z", stats.cost)
         if not stats.nnz.any():
             warnings.warn("all codes are zero; the regularisation is too strong", stacklevel=2)
-            break
+            if algorithm in ("batch", "greedy"):
+                break
+            continue
         d = _d_step(d, stats, rank1, channels, solver_d, constraint, window, solver_d_kwargs or {})
         out.d, out.reg = _full(d, rank1, channels), now
         note(i, "d", _objective(out.d, stats, now))
         if callback:
             callback(i, out, out.trace)
-        dead = np.flatnonzero(stats.nnz < 1)
+        dead = np.flatnonzero(stats.nnz < 2)
         if len(dead) and algorithm in ("batch", "greedy"):
-            fresh = _add(d[:0], E.worst_patch(table, out.d, n_times_atom, channels), rank1, channels, constraint, window)
-            d[dead[0]] = fresh[0]
+            fresh = resampled(table, D_resample, out.d, n_times_atom, channels, times, rng)
+            d[dead[0]] = _add(d[:0], fresh, rank1, channels, constraint, window)[0]
             continue
         if algorithm in ("batch", "greedy") and len(d) == n_atoms and i:
             values = out.pobj
@@ -207,7 +245,7 @@ def learn(
     encoder = E.Encoder(out.d, out.reg, solver_z, solver_z_kwargs or {})
     table = settled(encoder.encode(table, warm=algorithm in ("batch", "greedy")))
     if sort_atoms:
-        gain = np.array([float(np.sum(dic.apply_ztz(encoder.statistics(table).ztz, out.d)[k] * out.d[k])) for k in range(len(out.d))])
+        gain = explained_variances(out.d, encoder.statistics(table), channels * times)
         order = np.argsort(-gain, kind="stable")
         d, out.d = d[order], out.d[order]
         out.reg = out.reg[order] if np.ndim(out.reg) and len(np.ravel(out.reg)) == len(order) else out.reg
@@ -222,6 +260,22 @@ def learn(
     return out
 
 
+def explained_variances(d: np.ndarray, stats: E.Statistics, samples: int) -> np.ndarray:
+    """(K,): the variance of each atom's own part over all trials of so many samples, from the statistics of its (positive) codes."""
+    n = stats.trials * samples
+    squares = np.array([np.sum(dic.apply_ztz(stats.ztz[k : k + 1, k : k + 1], d[k : k + 1]) * d[k : k + 1]) for k in range(len(d))])
+    sums = stats.l1 * d.sum(axis=(1, 2))
+    return squares / n - (sums / n) ** 2
+
+
+def init_dictionary(x: DataFrame, n_atoms: int, n_times_atom: int, channels: int, times: int, uv_constraint: str = "separate", rank1: bool = True, window: bool = False, D_init="random", random_state: int | None = None) -> np.ndarray:
+    """A dictionary to begin with, of a long signal; "greedy" has none to give before anything is learned."""
+    if isinstance(D_init, str) and D_init == "greedy":
+        raise ValueError("a greedy dictionary begins without atoms; use random, chunk or an array")
+    table = settled(E.blocks(x, channels, times)) if isinstance(D_init, str) and D_init == "chunk" else E.blocks(x, channels, times)
+    return initial_dictionary(table, n_atoms, n_times_atom, channels, times, D_init, rank1, uv_constraint, window, random_state)
+
+
 def _add(d: np.ndarray, patch: np.ndarray, rank1: bool, channels: int, constraint: str, window: bool) -> np.ndarray:
     length = patch.shape[1]
     atom = dic.rank1(patch[None]) if rank1 else patch[None]

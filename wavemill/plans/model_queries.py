@@ -1,4 +1,4 @@
-"""Registered queries of the encoders and learners, which SQL cannot express; tests hold them against properties."""
+"""Registered queries of the encoders and learners; where SQL cannot express one, tests hold it against properties."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from ..sources import views as V
 from . import encode as E
 from . import learn as L
 from .model import OnlineCDL, atoms_table
+from .shared import settled
 
 QUERIES: dict = {}
+SQL: dict[str, str] = {}
 DAY = 24
 
 
@@ -26,6 +28,22 @@ def query(f):
     return f
 
 
+#: Vectors as series of 64 samples, in thousandths.
+_SERIES = f"""e AS (SELECT vec_id AS trial, CAST(i - 1 AS INTEGER) AS t, round(CAST(embedding[i] AS DOUBLE) * 1000) AS x
+    FROM embeddings, range(1, {V.EMBEDDING + 1}) r(i))"""
+_TURN = f"2 * pi() / {V.EMBEDDING}"
+
+
+def checked(sql: str):
+    """Registers a query of the vectors' series with its SQL."""
+
+    def keep(f):
+        SQL[f.__name__] = f"WITH {_SERIES}{sql}"
+        return query(f)
+
+    return keep
+
+
 def _events(s: SparkSession, d: str) -> DataFrame:
     """The event signal in units of its own deviation, about."""
     return V.event_signal(s, d).withColumn("x", F.col("x") / 10_000.0)
@@ -104,14 +122,20 @@ def greedy_fit(s, d):
     return _shape(_fit(s, d, algorithm="greedy", D_init=None), s)
 
 
+def _pass(s: SparkSession, d: str) -> dict:
+    """Three batches that hold every trial once."""
+    trials = V.table(s, d, "events").agg(F.countDistinct("user_id")).first()[0]
+    return {"batch_size": -(-trials // 3), "batch_selection": "cyclic"}
+
+
 @query
 def online_fit(s, d):
-    return _shape(_fit(s, d, algorithm="online", algorithm_params={"batch_size": 20, "alpha": 0.8}), s)
+    return _shape(_fit(s, d, algorithm="online", algorithm_params=_pass(s, d) | {"alpha": 0.8}), s)
 
 
 @query
 def stochastic_fit(s, d):
-    return _shape(_fit(s, d, algorithm="stochastic", algorithm_params={"batch_size": 20}), s)
+    return _shape(_fit(s, d, algorithm="stochastic", algorithm_params=_pass(s, d)), s)
 
 
 @query
@@ -158,51 +182,123 @@ def _by_series(x: DataFrame, f, schema: str = "trial long, channel int, t int, x
     return x.groupBy("trial", "channel").applyInPandas(run, schema)
 
 
-@query
+def _filtered(s: SparkSession, d: str, f) -> DataFrame:
+    return _by_series(P.as_univariate(V.embedding_signal(s, d)), f).withColumn("x", F.round("x", 6))
+
+
+@checked(f""", h AS (SELECT a.trial, a.t, any_value(a.x) AS x, sum(b.x * s) AS h FROM e a JOIN e b USING (trial)
+    JOIN (SELECT u, sum(sin({_TURN} * f * u)) / 32 AS s FROM range(-63, 64) r(u), range(1, 32) q(f) GROUP BY u) w ON w.u = a.t - b.t GROUP BY a.trial, a.t)
+SELECT trial, 0 AS channel, t, round(sqrt(x * x + h * h), 6) AS x FROM h""")
 def hilbert_envelope(s, d):
-    return _by_series(P.as_univariate(V.embedding_signal(s, d)), S.envelope)
+    return _filtered(s, d, S.envelope)
 
 
-@query
+_TAPS = S.fir_taps(64.0, 4.0, 16.0, 31)
+
+
+@checked(f""", h AS (SELECT unnest([{", ".join(repr(float(v)) for v in _TAPS)}]) AS h, unnest(range(31)) AS j),
+    i AS (SELECT trial, t, j, h, t + 15 - j AS i FROM (SELECT DISTINCT trial FROM e), range(64) r(t), h)
+SELECT trial, 0 AS channel, CAST(i.t AS INTEGER) AS t, round(sum(h * CASE WHEN i < 0 THEN 2 * lo.x - e.x WHEN i > 63 THEN 2 * hi.x - e.x ELSE e.x END), 6) AS x
+FROM i JOIN e USING (trial) JOIN e lo USING (trial) JOIN e hi USING (trial)
+WHERE lo.t = 0 AND hi.t = 63 AND e.t = CASE WHEN i < 0 THEN -i WHEN i > 63 THEN 126 - i ELSE i END GROUP BY trial, i.t""")
 def band_pass(s, d):
-    return _by_series(P.as_univariate(V.embedding_signal(s, d)), lambda x: S.fir_filter(x, 64.0, 4.0, 16.0, 31))
+    return _filtered(s, d, lambda x: S.fir_filter(x, 64.0, 4.0, 16.0, 31))
 
 
-@query
+@checked(f""", w AS (SELECT u, sum(cos({_TURN} * f * u)) / 32 AS c FROM range(-63, 64) r(u), range(9, 12) q(f) GROUP BY u)
+SELECT a.trial, 0 AS channel, a.t, round(any_value(a.x) - sum(b.x * c), 6) AS x FROM e a JOIN e b USING (trial) JOIN w ON w.u = a.t - b.t GROUP BY a.trial, a.t""")
 def notch_filter(s, d):
-    return _by_series(P.as_univariate(V.embedding_signal(s, d)), lambda x: S.notch(x, 64.0, 10.0, 2.0))
+    return _filtered(s, d, lambda x: S.notch(x, 64.0, 10.0, 2.0))
 
 
-@query
+@checked(f""", w AS (SELECT m, t, sum(CASE WHEN f = 0 THEN 1 WHEN f = 16 THEN cos({_TURN} * 16 * t) * cos(pi() * m) ELSE 2 * cos({_TURN} * f * (2 * m - t)) END) / 64 AS c
+    FROM range(32) a(m), range(64) b(t), range(17) q(f) GROUP BY m, t)
+SELECT trial, CAST(m AS INTEGER) AS t, round(sum(x * c), 6) AS x FROM e JOIN w USING (t) GROUP BY trial, m""")
 def resample(s, d):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = S.resample(pdf.sort_values("t")["x"].to_numpy(dtype=float), 32)
         return pd.DataFrame({"trial": pdf["trial"].iloc[0], "t": np.arange(32), "x": out})
 
-    return V.embedding_signal(s, d).groupBy("trial").applyInPandas(run, "trial long, t int, x double")
+    return V.embedding_signal(s, d).groupBy("trial").applyInPandas(run, "trial long, t int, x double").withColumn("x", F.round("x", 6))
 
 
-@query
+@checked(""", w AS (SELECT CAST(i AS INTEGER) AS i, 0.54 - 0.46 * cos(2 * pi() * i / 31) AS w FROM range(32) r(i)),
+    y AS (SELECT trial, b, i, w * (x - m) AS y FROM e JOIN (SELECT trial, avg(x) AS m FROM e GROUP BY trial) USING (trial), (SELECT b * 16 AS b FROM range(3) r(b)), w WHERE t = b + i),
+    r AS (SELECT trial, g, sum(a.y * c.y) / 3 / (SELECT sum(w * w) FROM w) AS r FROM y a JOIN y c USING (trial, b), range(4) q(g) WHERE c.i = (a.i + g) % 32 GROUP BY trial, g),
+    p AS (SELECT trial, sum(r) FILTER (g = 0) AS r0, sum(r) FILTER (g = 1) AS r1, sum(r) FILTER (g = 2) AS r2, sum(r) FILTER (g = 3) AS r3 FROM r GROUP BY trial),
+    one AS (SELECT *, r1 / r0 AS k1, r0 - r1 * r1 / r0 AS e1 FROM p),
+    two AS (SELECT *, (r2 - k1 * r1) / e1 AS k2 FROM one),
+    up AS (SELECT *, k1 - k2 * k1 AS a1, e1 * (1 - k2 * k2) AS e2 FROM two),
+    three AS (SELECT *, (r3 - a1 * r2 - k2 * r1) / e2 AS k3 FROM up)
+SELECT trial, CAST(i AS INTEGER) AS i, round(CASE i WHEN 0 THEN a1 - k3 * k2 WHEN 1 THEN k2 - k3 * a1 ELSE k3 END, 6) AS a, round(e2 * (1 - k3 * k3), 4) AS variance FROM three, range(3) q(i)""")
 def ar_model(s, d):
+    """Yule-Walker on averaged tapered blocks; the SQL sums circular autocorrelations and runs Levinson's recursion instead."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("t")["x"].to_numpy(dtype=float)
         a, v = S.yule_walker(S.periodogram(x - x.mean(), 32), 3)
         return pd.DataFrame({"trial": pdf["trial"].iloc[0], "i": np.arange(3), "a": a, "variance": v})
 
-    return V.embedding_signal(s, d).groupBy("trial").applyInPandas(run, "trial long, i int, a double, variance double")
+    found = V.embedding_signal(s, d).groupBy("trial").applyInPandas(run, "trial long, i int, a double, variance double")
+    return found.select("trial", "i", F.round("a", 6).alias("a"), F.round("variance", 4).alias("variance"))
 
 
-@query
-def motif_fit(s, d):
-    """Atoms of each label's vectors; a label's series are aligned in one task."""
+#: Fixed values of the unrolled steps: step length and regularisation, over the integer atoms and samples in units of 128: all sums are exact.
+_ISTA_STEP, _ISTA_REG, _ISTA_STEPS = 2.0**-7, 0.5, 3
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(e, dtype=float) for e in pdf["embedding"]])
-        atoms = M.motif_atoms(x, 2, 8, 5)
-        k, l = np.indices(atoms.shape)
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "k": k.ravel(), "l": l.ravel(), "d": atoms.ravel()})
 
-    return V.table(s, d, "embeddings").groupBy("label").applyInPandas(run, "label int, k int, l int, d double")
+def _ista_sql() -> str:
+    atoms = ", ".join(f"({k}, {l}, {x}.0)" for k, a in enumerate(V.ATOM_TIMES) for l, x in enumerate(a))
+    valid = V.EMBEDDING - V.LENGTH + 1
+    out = f", d AS (SELECT * FROM (VALUES {atoms}) v(k, l, d)), x AS (SELECT trial, t, x / 128 AS x FROM e)"
+    out += f", z0 AS (SELECT trial, k, CAST(t AS INTEGER) AS t, 0.0::DOUBLE AS z FROM (SELECT DISTINCT trial FROM e), range(2) w(k), range({valid}) r(t))"
+    for i in range(_ISTA_STEPS):
+        out += f""", r{i} AS (SELECT trial, t, sum(x) AS r FROM (SELECT * FROM x UNION ALL SELECT trial, t + l, -z * d FROM z{i} JOIN d USING (k)) GROUP BY ALL),
+    c{i} AS (SELECT trial, k, t - l AS t, sum(r * d) AS c FROM r{i}, d WHERE t - l BETWEEN 0 AND {valid - 1} GROUP BY trial, k, t - l),
+    z{i + 1} AS (SELECT trial, k, t, greatest(z + {_ISTA_STEP} * (c - {_ISTA_REG}), 0) AS z FROM z{i} JOIN c{i} USING (trial, k, t))"""
+    return out + f" SELECT trial, k, t, z FROM z{_ISTA_STEPS} WHERE z > 0"
+
+
+@checked(_ista_sql())
+def ista_fixed_steps(s, d):
+    """Three steps of the proximal encoder from zero, with a given step."""
+    atoms = np.array(V.ATOM_TIMES, dtype=float)[:, None, :]
+    encoder = E.Encoder(atoms, _ISTA_REG, "ista", {"fixed_steps": _ISTA_STEPS, "step": _ISTA_STEP})
+    x = P.as_univariate(V.embedding_signal(s, d).withColumn("x", F.col("x") / 128.0))
+    return E.codes(encoder.encode(E.blocks(x, 1, V.EMBEDDING)), 2)
+
+
+@query
+def motif_fit(s, d):
+    """Atoms of each label's vectors; tasks send sums of outer products of aligned patches, one for each label and batch."""
+    length, n_atoms, n_iter = 8, 2, 5
+    rows = settled(V.table(s, d, "embeddings").select("label", "vec_id", "embedding").where("embedding IS NOT NULL AND label IS NOT NULL"))
+    seeds = {r.label: np.array(r.first, dtype=float) for r in rows.groupBy("label").agg(F.min_by("embedding", F.xxhash64("vec_id")).alias("first")).collect()}  # one row a label
+    found: dict[int, list[np.ndarray]] = {label: [] for label in seeds}
+    for k in range(n_atoms):
+        now = {}
+        for label, x in seeds.items():
+            now[label] = x[k * length : (k + 1) * length] / (np.linalg.norm(x[k * length : (k + 1) * length]) or 1.0)
+        for _ in range(n_iter):
+            for label, total in _outer_sums(rows, now).items():
+                now[label] = M.next_atom(total, M.apart(found[label], length), now[label])
+        for label, atom in now.items():
+            found[label].append(atom)
+    out = [(int(label), k, l, float(v)) for label, atoms in sorted(found.items()) for k, a in enumerate(atoms) for l, v in enumerate(a)]
+    return s.createDataFrame(out, "label int, k int, l int, d double")
+
+
+def _outer_sums(rows: DataFrame, atoms: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """For each label the sum of outer products of its series' patches that align best with the label's atom."""
+
+    def run(batches):
+        for pdf in batches:
+            for label, mine in pdf.groupby("label"):
+                total = M.outer_sum(np.stack([np.asarray(e, dtype=float) for e in mine["embedding"]]), atoms[label])
+                yield pd.DataFrame({"label": label, "i": np.arange(total.size), "v": total.ravel()})
+
+    sums = rows.mapInPandas(run, "label int, i int, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).toPandas()  # labels x length^2 rows
+    return {label: mine.sort_values("i")["v"].to_numpy().reshape(len(atoms[label]), -1) for label, mine in sums.groupby("label")}
 
 
 @query
@@ -210,7 +306,7 @@ def window_matching(s, d):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros(V.SHIPDAYS)
         x[pdf["t"]] = pdf["x"]
-        _, starts, costs = M.match_windows(x, 30, 10, 20, 500)
+        _, starts, costs = M.match_windows(x, 30, 10, None, 500)
         return pd.DataFrame({"channel": pdf["channel"].iloc[0], "window": np.arange(len(starts)), "start": starts, "cost": costs.min()})
 
     return V.shipping_signal(s, d).groupBy("channel").applyInPandas(run, "channel int, window int, start int, cost double")

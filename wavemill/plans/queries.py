@@ -206,6 +206,12 @@ def objective_feasible(s, d):
     return found.select(F.round("objective", 2).alias("objective"))
 
 
+@query(_EMBEDDINGS, f"""SELECT round(sum(e) / 2 + {float(REG)} * (SELECT sum(z * n) FROM z JOIN (SELECT k, greatest(1, sqrt(sum(d * d))) AS n FROM d GROUP BY k) USING (k)), 2) AS objective
+FROM (SELECT CAST(r * r AS DOUBLE) AS e FROM r)""")
+def objective_feasible_univariate(s, d):
+    return O.feasible_objective_univariate(*_univariate(s, d), float(REG)).select(F.round("objective", 2).alias("objective"))
+
+
 @query(_EVENTS, "SELECT trial, k, t, CAST(g AS DOUBLE) AS g FROM gz")
 def grad_z(s, d):
     return O.gradient_z(*_xzd(s, d), float(REG), TV)
@@ -478,6 +484,12 @@ def activation_density(s, d):
     return A.activation_density(V.event_codes(s, d, TV), 7, 0.25).withColumn("density", F.round("density", 6))
 
 
+@query(_EVENTS, """SELECT k, CAST(t + o - 3 AS INTEGER) AS t, round(sum(z / total * (0.42 - 0.5 * cos(2 * pi() * o / 6) + 0.08 * cos(4 * pi() * o / 6)) / 2.52), 9) AS density
+FROM (SELECT k, t, CAST(sum(z) AS DOUBLE) AS z FROM z GROUP BY k, t) JOIN (SELECT k, CAST(sum(z) AS DOUBLE) AS total FROM z GROUP BY k) USING (k), range(7) r(o) GROUP BY k, t + o""")
+def kernel_density(s, d):
+    return A.kernel_density(V.event_codes(s, d, TV), 7).withColumn("density", F.round("density", 9))
+
+
 _DENSE = f"dz AS (SELECT trial, k, CAST(t AS INTEGER) AS t, coalesce(z.z, 0) AS z FROM (SELECT trial, k, t FROM trials, (VALUES (0), (1)) w(k), range({TV}) q(t)) LEFT JOIN z USING (trial, k, t)), be AS (SELECT trial, k, t, CAST(sum(z) OVER (PARTITION BY trial, k ORDER BY t ROWS 23 PRECEDING) AS DOUBLE) AS e FROM dz), lr AS (SELECT trial, k, t, log10(greatest(e, 1e-4) / greatest(b, 1e-4)) AS ratio FROM be JOIN (SELECT trial, k, avg(e) AS b FROM be WHERE t < 24 GROUP BY ALL) USING (trial, k))"
 
 
