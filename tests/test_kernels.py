@@ -224,3 +224,21 @@ def test_checks():
     for bad in (lambda: C.check_dimensions((2, 3), "NPT"), lambda: C.check_dimensions((2, 3), "NT", T=4), lambda: C.check_random_state("x"), lambda: C.check_same_length(a=[1], b=[])):
         with pytest.raises(ValueError):
             bad()
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_quantiles_by_rank(spark, ties):
+    """Against NumPy, with zeros that are left out, ties, nulls and a group of one."""
+    from wavemill.operators.quantiles import quantiles
+
+    rng = np.random.RandomState(0)
+    values = {0: rng.randint(-3, 4, 500) if ties else rng.randn(500), 1: rng.randn(7), 2: np.array([5.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [(1, None)]
+    zeros = spark.createDataFrame([(0, 90), (1, 0)], "g int, n long")
+    values[0] = np.append(values[0], np.zeros(90))
+    qs = {"a": 0.0, "b": 0.3, "c": 0.5, "d": 1.0}
+    got = quantiles(spark.createDataFrame(rows, "g int, x double"), ["g"], "x", qs, zeros).collect()
+    assert {r.g for r in got} == {0, 1, 2}
+    for r in got:
+        assert np.allclose([r[n] for n in qs], np.quantile(values[r.g], list(qs.values())))
+    assert quantiles(spark.createDataFrame([], "g int, x double"), ["g"], "x", qs).count() == 0

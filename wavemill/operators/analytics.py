@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import blackman
+from .quantiles import quantiles
 
 
 def on_one_axis(z: DataFrame, times: int) -> DataFrame:
@@ -97,8 +98,9 @@ def log_ratio(e: DataFrame, baseline: int, floor: float = 1e-4) -> DataFrame:
 def whiskers(ratio: DataFrame, second: int) -> DataFrame:
     """(k, part, q25, q50, q75) of baseline, evoked (0 to 1 s) and induced (1 to 2 s) samples; ``second`` samples make one, time 0 follows the baseline."""
     part = F.when(F.col("t") < second, "baseline").when(F.col("t") < 2 * second, "evoked").when(F.col("t") < 3 * second, "induced")
-    grouped = ratio.withColumn("part", part).where("part IS NOT NULL").groupBy("k", "part")
-    return grouped.agg(*(F.percentile("ratio", q / 100).alias(f"q{q}") for q in (25, 50, 75)))
+    named = ratio.withColumn("part", part).where("part IS NOT NULL").withColumnRenamed("part", "phase")
+    found = quantiles(named, ["k", "phase"], "ratio", {f"q{q}": q / 100 for q in (25, 50, 75)})
+    return found.withColumnRenamed("phase", "part")
 
 
 def convergence_curve(trace: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import convolution as C
+from .quantiles import quantiles
 
 
 def _half_square(r: DataFrame) -> DataFrame:
@@ -102,10 +103,10 @@ def lambda_max(x: DataFrame, d: DataFrame, valid: int, trials: DataFrame, q: flo
         all_positions = trials.select("trial").distinct().agg((F.count("*") * valid).alias("total"))
         floor = F.when(F.col("n") < F.col("total"), F.greatest("m", F.lit(0).cast(c.schema["c"].dataType))).otherwise(F.col("m"))
         return seen.crossJoin(all_positions).select("k", floor.cast("double").alias("lambda_max"))
-    atoms = d.select("k").distinct()
-    full = trials.select("trial").distinct().crossJoin(atoms).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(valid - 1))))
-    known = full.join(c, ["trial", "k", "t"], "left")
-    return known.groupBy("k").agg(F.percentile(F.coalesce("c", F.lit(0)).cast("double"), q).alias("lambda_max"))
+    places = trials.agg((F.countDistinct("trial") * valid).alias("places"))  # one row
+    seen = d.select("k").distinct().join(c.groupBy("k").agg(F.count("*").alias("seen")), "k", "left").crossJoin(places)
+    zeros = seen.select("k", (F.col("places") - F.coalesce("seen", F.lit(0))).alias("n"))
+    return quantiles(c, ["k"], "c", {"lambda_max": q}, zeros)
 
 
 def explained_variance(z: DataFrame, d: DataFrame, channels: int, times: int, trials: DataFrame) -> DataFrame:
