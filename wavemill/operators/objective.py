@@ -10,20 +10,21 @@ from . import convolution as C
 from .quantiles import quantiles
 
 
-def _half_square(r: DataFrame) -> DataFrame:
-    return r.agg((F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0)) / 2).cast("double").alias("fit"))
+def _fit(x: DataFrame, z: DataFrame, d: DataFrame) -> DataFrame:
+    """One row (fit): half the squared residual."""
+    return C.residual_energy(x, z, d).agg((F.coalesce(F.sum("e"), F.lit(0)) / 2).cast("double").alias("fit"))
 
 
 def objective(x: DataFrame, z: DataFrame, d: DataFrame, reg: float) -> DataFrame:
     """One row (objective): half the squared residual plus reg times the sum of |z|."""
     l1 = z.agg(F.coalesce(F.sum(F.abs("z")), F.lit(0)).cast("double").alias("l1"))
-    return _half_square(C.residual(x, z, d)).crossJoin(l1).select((F.col("fit") + reg * F.col("l1")).alias("objective"))  # one row each
+    return _fit(x, z, d).crossJoin(l1).select((F.col("fit") + reg * F.col("l1")).alias("objective"))  # one row each
 
 
 def per_atom_objective(x: DataFrame, z: DataFrame, d: DataFrame, reg: DataFrame) -> DataFrame:
     """The same with a regularisation (k, reg) for each atom, each on its own activations."""
     l1 = z.groupBy("k").agg(F.sum(F.abs("z")).alias("l1")).join(reg, "k").agg(F.coalesce(F.sum(F.col("l1") * F.col("reg")), F.lit(0.0)).alias("l1"))
-    return _half_square(C.residual(x, z, d)).crossJoin(l1).select((F.col("fit") + F.col("l1")).alias("objective"))
+    return _fit(x, z, d).crossJoin(l1).select((F.col("fit") + F.col("l1")).alias("objective"))
 
 
 def fast_objective(ztz: DataFrame, ztx: DataFrame, xtx: DataFrame, z: DataFrame, d: DataFrame, length: int, reg: float) -> DataFrame:
@@ -59,7 +60,11 @@ def feasible_objective_univariate(x: DataFrame, z: DataFrame, d: DataFrame, reg:
 
 def gradient_z(x: DataFrame, z: DataFrame, d: DataFrame, reg: float, valid: int) -> DataFrame:
     """(trial, k, t, g) where the residual reaches; elsewhere the gradient is reg."""
-    c = C.atom_correlation(C.residual(x, z, d), d, valid, "r")
+    atoms = C.wide_atoms(d)
+    if atoms is None:
+        c = C.atom_correlation(C.residual(x, z, d), d, valid, "r")
+    else:
+        c = C.wide_correlation(C.wide_residual(x, z, atoms)[0], atoms, valid)
     return c.select("trial", "k", "t", (F.lit(reg) - F.col("c")).alias("g"))
 
 

@@ -154,13 +154,13 @@ _PATCH = f"pe AS (SELECT trial, CAST(t - o AS INTEGER) AS t, CAST(sum(r * r) AS
 
 @query(_EVENTS + ",\n" + _PATCH, "SELECT trial, t, e FROM pe")
 def patch_error(s, d):
-    return C.patch_error(C.residual(*_xzd(s, d)), L, T)
+    return C.patch_error(C.residual_energy(*_xzd(s, d)), L, T)
 
 
 @query(_EVENTS + ",\n" + _PATCH + ", best AS (SELECT * FROM pe ORDER BY e DESC, trial, t LIMIT 1)", f"SELECT channel, CAST(x.t - best.t AS INTEGER) AS l, x AS d FROM x JOIN best ON x.trial = best.trial AND x.t - best.t BETWEEN 0 AND {L - 1}")
 def max_error_patch(s, d):
     x, z, atoms = _xzd(s, d)
-    return C.max_error_patch(C.residual(x, z, atoms), x, L, T)
+    return C.max_error_patch(C.residual_energy(x, z, atoms), x, L, T)
 
 
 @query(_EVENTS, f"SELECT (SELECT CAST(sum(v) AS BIGINT) FROM ztz) AS ztz, (SELECT CAST(sum(v) AS BIGINT) FROM ztx) AS ztx, (SELECT CAST(sum(x * x) AS BIGINT) FROM x) AS xtx, {P5} AS channels")
