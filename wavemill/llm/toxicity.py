@@ -197,6 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), 30.0 if counted.t else -30.0)
     keys, telling = chosen_terms(rows.select("_text", "_y"), counted.n, counted.t, max_terms)
 
+    place = "<u2" if len(keys) <= 1 << 16 else "<u4"
+
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, size, at, found in terms(batch.column(0)):
@@ -204,14 +206,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 hit = keys[near] == found if len(keys) else np.zeros(len(found), dtype=bool)
                 at, mine = _distinct(at[hit], near[hit])
                 ptr = np.searchsorted(at, np.arange(size + 1))
-                mine = mine.astype("<i4")
+                mine = mine.astype(place)
                 packed = pa.array([mine[ptr[i] : ptr[i + 1]].tobytes() for i in range(size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, size) for c in (1, 2)), packed], names=["_id", "_y", "terms"])
 
     source = rows.select("_text", "_id", "_y")
     held = source.mapInArrow(hold, source.select("_id", "_y").withColumn("terms", F.lit(b"")).schema)
     got = held.groupBy("_id").agg(F.max("_y").alias("y"), F.max("terms").alias("terms")).toPandas().sort_values("_id")  # max_rows rows, model terms only
-    learned = [np.frombuffer(t, dtype="<i4").astype(np.int64) for t in got["terms"]]
+    learned = [np.frombuffer(t, dtype=place).astype(np.int64) for t in got["terms"]]
     return fit(keys, learned, got["y"].to_numpy(dtype=float), l2=np.where(telling, TELLING_L2, FLAT_L2))
 
 
