@@ -4,10 +4,13 @@ Each task packs the documents of its own partition in groups, so nothing is shuf
 meets in one task. A document's ids are cut into whole windows and rests; the rests of a group are cut into pieces and dealt over the
 fewest windows that could hold them: each piece starts as a partial partition, and the two partitions of the widest spread are merged
 again and again, the largest sums of one with the smallest of the other. If a window then holds more than its capacity, the
-window count rises and the group is dealt anew. Windows come out near-equal, so all of them are nearly full.
+window count rises and the group is dealt anew. Windows come out near-equal, so all of them are nearly full. What is left of a task's
+last group above whole windows goes into sequences of lengths that are powers of two, which need no padding.
 
-Null and empty texts are documents of one id, the end id. Repeated rows are packed as often as they occur. Extra columns are
-ignored; an empty table gives an empty result.
+Null and empty texts are documents of one id, the end id. Texts are encoded as the library does by default: the string of a special token
+in a text is that token. A null document id stays null. Repeated rows are packed as often as they occur; of pieces of equal size the first
+comes first. A very long text is a slice of its own, and its ids are cut into whole windows at once. Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from ._shared import slack
 #: Tokens of rests packed together, and the most tokens of a piece: more and smaller pieces leave less padding.
 GROUP_TOKENS = 600_000
 PIECE_TOKENS = 1024
+#: Share of the windows of a task's last group that is left free, so that differencing can fill them.
+FREE = 1 / 128
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -85,6 +90,18 @@ PIECES = T.StructType(
 )
 
 
+def _cut_behind(pieces: list[tuple], size: int) -> list[tuple]:
+    """Takes what follows the first ``size`` ids away from the pieces, cutting one if need be, and returns it."""
+    upto = 0
+    for i, (doc, raw, start, n) in enumerate(pieces):
+        if upto + n > size:
+            rest = [(doc, raw, start + size - upto, upto + n - size), *pieces[i + 1 :]]
+            pieces[i:] = [(doc, raw, start, size - upto)] if size > upto else []
+            return rest
+        upto += n
+    return []
+
+
 def pack_partition(docs: Iterator[tuple[int | None, bytes]], first: int, capacity: int, with_ids: bool) -> Iterator[list[tuple]]:
     """Batches of packed pieces of (id, little-endian 32-bit ids) rows; sequence ids count up from ``first``."""
     sequence, waiting, held = first, [], 0
@@ -94,15 +111,26 @@ def pack_partition(docs: Iterator[tuple[int | None, bytes]], first: int, capacit
         part = raw[4 * start : 4 * (start + length)]
         return (doc, start, length, zlib.crc32(part), len(raw) // 4, sequence, offset, *([part] if with_ids else []))
 
-    def flush() -> None:
-        nonlocal sequence, held
-        for part in deal([n for _, _, _, n in waiting], capacity):
+    def lay(parts: list[list[tuple]]) -> None:
+        """A sequence of each part, whose pieces are (document, ids, start, length)."""
+        nonlocal sequence
+        for part in parts:
             offset = 0
-            for i in sorted(part):
-                doc, raw, start, n = waiting[i]
+            for doc, raw, start, n in part:
                 out.append(piece(doc, raw, start, n, sequence, offset))
                 offset += n
             sequence += 1
+
+    def flush(last: bool = False) -> None:
+        nonlocal held
+        tail = _cut_behind(waiting, int(held // capacity * capacity * (1 - FREE))) if last else []
+        lay([[waiting[i] for i in sorted(part)] for part in deal([n for _, _, _, n in waiting], capacity)])
+        left = sum(n for _, _, _, n in tail)
+        while left:
+            size = min(capacity, 1 << left.bit_length() - 1)
+            rest = _cut_behind(tail, size)
+            lay([tail])
+            tail, left = rest, left - size
         waiting.clear()
         held = 0
 
@@ -120,7 +148,7 @@ def pack_partition(docs: Iterator[tuple[int | None, bytes]], first: int, capacit
         if len(out) >= 4096:
             yield out
             out = []
-    flush()
+    flush(last=True)
     yield out
 
 
