@@ -58,3 +58,14 @@ def atom_shape(shape: str, l: Column, length: int, cycles: int = 1) -> Column:
     if shape in ("sin", "cos"):
         return (F.sin if shape == "sin" else F.cos)(2 * math.pi * l * cycles / F.lit(float(length)))
     raise ValueError(f"shape must be triangle, square, sin or cos, not {shape!r}")
+
+
+def uniform(salt: str, *of: Column | str) -> Column:
+    """A number between 0 and 1 from the MD5 of a salt and some columns: alike in every run, on every executor and in other engines."""
+    digits = F.substring(F.md5(F.concat_ws("/", F.lit(salt), *of)), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
+
+
+def gaussian(salt: str, *of: Column | str) -> Column:
+    """A standard normal number from two such."""
+    return F.sqrt(-2 * F.log(uniform(salt + "a", *of))) * F.cos(2 * math.pi * uniform(salt + "b", *of))

@@ -1,4 +1,4 @@
-"""Simulated signals: numbers are drawn on the driver in a fixed order, samples are column arithmetic."""
+"""Simulated signals, made on the executors: random numbers are hashes of a seed and a place, samples are column arithmetic."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import atom_shape
+from ..functions.columns import atom_shape, gaussian, tukey, uniform
 from ..operators import convolution as C
 from ..plans.model import atoms_table
 
@@ -31,33 +31,37 @@ def simulated_atoms(n_atoms: int, length: int) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
+def _trials(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("trial"))
+
+
 def simulate_data(spark: SparkSession, n_trials: int, n_times: int, n_times_atom: int, n_atoms: int, random_state: int = 42, constant_amplitude: bool = False) -> tuple[DataFrame, np.ndarray, DataFrame]:
-    """(signal, atoms (K, L), code): one activation of each atom in each trial."""
-    rng = np.random.RandomState(random_state)
+    """(signal, atoms (K, L), code): one activation of each atom in each trial, uniform in place and height."""
     d = simulated_atoms(n_atoms, n_times_atom)
-    rows = [(n, k, int(rng.randint(n_times - n_times_atom + 1)), 1.0 if constant_amplitude else float(rng.uniform())) for k in range(n_atoms) for n in range(n_trials)]
-    z = spark.createDataFrame(rows, "trial long, k int, t int, z double")
-    x = C.reconstruct(z, atoms_table(spark, d[:, None, :]))
-    return x, d, z
+    each = _trials(spark, n_trials).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_atoms - 1))))
+    place = F.floor(uniform(f"{random_state}t", "trial", "k") * (n_times - n_times_atom + 1)).cast("int")
+    height = F.lit(1.0) if constant_amplitude else uniform(f"{random_state}z", "trial", "k")
+    z = each.select("trial", "k", place.alias("t"), height.alias("z"))
+    return C.reconstruct(z, atoms_table(spark, d[:, None, :])), d, z
+
+
+def channel_map(n_channels: int, random_state: int) -> np.ndarray:
+    """Positive weights of unit norm, one for each channel."""
+    u = np.abs(np.random.RandomState(random_state).randn(n_channels))
+    return u / np.linalg.norm(u)
 
 
 def simulate_mu_wave(spark: SparkSession, n_trials: int = 40, n_channels: int = 4, n_times: int = 6, sigma: float = 0.01, sfreq: float = 300.0, random_state: int = 0) -> DataFrame:
     """A 10 Hz wave with bent crests in the middle second of each trial, mixed over channels, in noise, tapered; n_times in seconds."""
-    rng = np.random.RandomState(random_state)
     samples = int(n_times * sfreq)
-    u = np.abs(rng.randn(n_channels))
-    u /= np.linalg.norm(u)
-    phases = spark.createDataFrame([(n, float(rng.uniform(0, 2 * math.pi)), int(rng.randint(2**31 - 1))) for n in range(n_trials)], "trial long, phase double, seed long")
-    maps = F.create_map(*[F.lit(v) for p in range(n_channels) for v in (p, float(u[p]))])
-    full = phases.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("s", F.col("t") / sfreq)
+    maps = F.create_map(*[F.lit(v) for p, u in enumerate(channel_map(n_channels, random_state)) for v in (p, float(u))])
+    phase = 2 * math.pi * uniform(f"{random_state}p", "trial")
+    full = _trials(spark, n_trials).withColumn("phase", phase).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    full = full.withColumn("s", F.col("t") / sfreq)
     turn = 2 * math.pi * 10 * F.col("s") + F.col("phase")
     wave = F.when((F.col("s") >= 2) & (F.col("s") < 3), F.sin(turn + 0.8 * F.cos(turn))).otherwise(0.0)
     full = full.withColumn("wave", wave).withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(n_channels - 1))))
-    # noise from a hash of the place, so it is alike in every run and on every executor
-    uniform = lambda salt: (F.pmod(F.xxhash64("seed", "channel", "t", F.lit(salt)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    noise = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
-    from ..functions.columns import tukey
-
+    noise = gaussian(str(random_state), "trial", "channel", "t")
     value = (maps[F.col("channel")] * F.col("wave") + sigma * noise) * tukey(F.col("t"), samples, 0.05, floor=None)
     return full.select("trial", "channel", "t", value.alias("x"))
 
@@ -68,18 +72,18 @@ def shapes_table(spark: SparkSession, shape: str, length: int, cycles: int = 1,
     return at.crossJoin(F.broadcast(at.agg(F.avg("x").alias("m")))).select("l", (F.col("x") - F.col("m")).alias("x")) if zero_mean else at
 
 
-def rank1_signals(spark: SparkSession, n_trials: int, n_channels: int, valid: int, length: int, density: float = 0.05, sigma: float = 0.1, random_state: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(signal, u, v): triangle and square atoms with random sparse activations on sine and cosine channel maps, in noise."""
-    rng = np.random.RandomState(random_state)
-    v = simulated_atoms(2, length)
+def rank1_maps(n_channels: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): sine and cosine maps over the channels, a triangle and a square in time, all of unit norm."""
     p = np.linspace(0, np.pi, n_channels)
     u = np.stack([np.sin(p) + 1e-9, np.cos(p)])
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    hit = rng.uniform(size=(n_trials, 2, valid)) < density
-    n, k, t = np.nonzero(hit)
-    z = spark.createDataFrame(list(zip(n.tolist(), k.tolist(), t.tolist(), rng.uniform(size=len(n)).tolist(), strict=True)), "trial long, k int, t int, z double")
-    noise = sigma * rng.randn(n_trials, n_channels, valid + length - 1)
-    i, c, s = np.indices(noise.shape)
-    rows = spark.createDataFrame(list(zip(i.ravel().tolist(), c.ravel().tolist(), s.ravel().tolist(), noise.ravel().tolist(), strict=True)), "trial long, channel int, t int, x double")
-    x = C.reconstruct(z, atoms_table(spark, u[:, :, None] * v[:, None, :])).unionByName(rows).groupBy("trial", "channel", "t").agg(F.sum("x").alias("x"))
-    return x, u, v
+    return u / np.linalg.norm(u, axis=1, keepdims=True), simulated_atoms(2, length)
+
+
+def rank1_signals(spark: SparkSession, n_trials: int, n_channels: int, valid: int, length: int, density: float = 0.05, sigma: float = 0.1, random_state: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(signal, u, v): triangle and square atoms with random sparse activations on sine and cosine channel maps, in noise."""
+    u, v = rank1_maps(n_channels, length)
+    each = _trials(spark, n_trials).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(valid - 1))))
+    z = each.where(uniform(f"{random_state}hit", "trial", "k", "t") < density).select("trial", "k", "t", uniform(f"{random_state}z", "trial", "k", "t").alias("z"))
+    noise = C.grid(_trials(spark, n_trials), n_channels, valid + length - 1).withColumn("x", sigma * gaussian(str(random_state), "trial", "channel", "t"))
+    both = C.reconstruct(z, atoms_table(spark, u[:, :, None] * v[:, None, :])).unionByName(noise)
+    return both.groupBy("trial", "channel", "t").agg(F.sum("x").alias("x")), u, v
