@@ -28,12 +28,14 @@ def read_long_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_signal(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("trial long, channel int, t int, x double").parquet(path)
+    """A long signal; the bucket that ``write_signal`` adds is left out."""
+    return spark.read.schema("trial long, channel int, t int, x double").parquet(path).select("trial", "channel", "t", "x")
 
 
 def write_signal(x: DataFrame, path: str, partitions: int = 64) -> None:
     """Parquet, clustered by a bucket of the trial, so a filter on trials reads few files."""
-    x.withColumn("bucket", F.pmod(F.xxhash64("trial"), F.lit(partitions)).cast("int")).repartition("bucket").sortWithinPartitions("trial", "channel", "t").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows = x.withColumn("bucket", F.pmod(F.xxhash64("trial"), F.lit(partitions)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("trial", "channel", "t").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_results(rows: DataFrame, path: str) -> None:
