@@ -119,10 +119,37 @@ def _full(d: np.ndarray, rank1: bool, channels: int) -> np.ndarray:
     return dic.full(d, channels) if rank1 else d
 
 
-def _d_step(d, stats: E.Statistics, rank1: bool, channels: int, solver_d: str, constraint: str, window: bool, options: dict) -> np.ndarray:
-    if rank1:
-        return dic.update_uv(d, channels, stats.ztz, stats.ztx, stats.xtx, solver_d, constraint, window=window, **options)
-    return dic.update_full(d, stats.ztz, stats.ztx, stats.xtx, momentum=solver_d == "fista", window=window, **options)
+@dataclass
+class DictionarySolver:
+    """Dictionary steps of one kind: full-rank (K, P, L) or rank-1 (K, P + L) atoms, with or without a window.
+
+    ``of`` chooses what "auto" stands for and refuses what does not fit together.
+    """
+
+    channels: int
+    rank1: bool
+    solver: str
+    constraint: str
+    window: bool = False
+    options: dict = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, channels: int, solver_d: str = "auto", uv_constraint: str = "auto", rank1: bool = True, window: bool = False, options: dict | None = None) -> DictionarySolver:
+        return cls(channels, rank1, *resolve_solver(solver_d, uv_constraint, rank1), window, options or {})
+
+    def full(self, d: np.ndarray) -> np.ndarray:
+        return dic.full(d, self.channels) if self.rank1 else d
+
+    def step(self, d: np.ndarray, stats: E.Statistics) -> np.ndarray:
+        """The dictionary after one step from d, by the statistics of the codes."""
+        sums = (stats.ztz, stats.ztx, stats.xtx)
+        if self.rank1:
+            return dic.update_uv(d, self.channels, *sums, self.solver, self.constraint, window=self.window, **self.options)
+        return dic.update_full(d, *sums, momentum=self.solver == "fista", window=self.window, **self.options)
+
+    def add(self, d: np.ndarray, patch: np.ndarray) -> np.ndarray:
+        """d with an atom of a patch (P, L) behind the others."""
+        return _add(d, patch, self.rank1, self.channels, self.constraint, self.window)
 
 
 def _objective(d: np.ndarray, stats: E.Statistics, reg) -> float:
@@ -167,7 +194,8 @@ def learn(
         raise ValueError(f"lmbd_max must be one of {', '.join(LMBD_MAX)}, not {lmbd_max!r}")
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm must be one of {', '.join(ALGORITHMS)}, not {algorithm!r}")
-    solver_d, constraint = resolve_solver(solver_d, uv_constraint, rank1)
+    solver = DictionarySolver.of(channels, solver_d, uv_constraint, rank1, window, solver_d_kwargs)
+    constraint = solver.constraint
     params = {"alpha": 0.8, "batch_size": 1, "batch_selection": "random"} | (algorithm_params or {})
     if unknown := set(params) - {"alpha", "batch_size", "batch_selection"}:
         raise ValueError(f"algorithm_params has no {', '.join(sorted(unknown))}")
@@ -184,7 +212,7 @@ def learn(
     scale = float(np.sqrt(max(s.q / n - (s.s / n) ** 2, 0.0))) or 1.0 if rescale else 1.0
     table = settled(E.blocks(x, channels, times, scale=scale))
     d = initial_dictionary(table, n_atoms, n_times_atom, channels, times, "greedy" if algorithm == "greedy" and D_init is None else D_init, rank1, constraint, window, random_state)
-    patch = lambda t, a: _add(d, E.worst_patch(t, a, n_times_atom, channels), rank1, channels, constraint, window)
+    patch = lambda t, a: solver.add(d, E.worst_patch(t, a, n_times_atom, channels))
     if not len(d):
         d = patch(table, None)
     reg0 = np.asarray(reg, dtype=float)
@@ -225,7 +253,7 @@ def learn(
             if algorithm in ("batch", "greedy"):
                 break
             continue
-        d = _d_step(d, stats, rank1, channels, solver_d, constraint, window, solver_d_kwargs or {})
+        d = solver.step(d, stats)
         out.d, out.reg = _full(d, rank1, channels), now
         note(i, "d", _objective(out.d, stats, now))
         if callback:
@@ -233,15 +261,17 @@ def learn(
         dead = np.flatnonzero(stats.nnz < 2)
         if len(dead) and algorithm in ("batch", "greedy"):
             fresh = resampled(table, D_resample, out.d, n_times_atom, channels, times, rng)
-            d[dead[0]] = _add(d[:0], fresh, rank1, channels, constraint, window)[0]
+            d[dead[0]] = solver.add(d[:0], fresh)[0]
             continue
         if algorithm in ("batch", "greedy") and len(d) == n_atoms and i:
             values = out.pobj
             drop = (values[-3] - values[-1]) / max(abs(values[-3]), 1e-300)
             if raise_on_increase and drop < -1e-6 and lmbd_max in ("fixed", "scaled"):
                 raise RuntimeError(f"the objective rose from {values[-3]} to {values[-1]}")
-            if drop <= eps or (stopping_pobj is not None and values[-1] <= stopping_pobj):
+            if drop <= eps:
                 break
+        if stopping_pobj is not None and len(d) == n_atoms and out.pobj[-1] <= stopping_pobj:
+            break
     encoder = E.Encoder(out.d, out.reg, solver_z, solver_z_kwargs or {})
     table = settled(encoder.encode(table, warm=algorithm in ("batch", "greedy")))
     if sort_atoms:

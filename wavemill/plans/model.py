@@ -142,25 +142,22 @@ class OnlineCDL(ConvolutionalDictionaryLearning):
 
         p = self.params
         rank1 = p.get("rank1", True)
-        solver_d, constraint = L.resolve_solver(p.get("solver_d", "auto"), p.get("uv_constraint", "auto"), rank1)
+        solver = L.DictionarySolver.of(self.channels, p.get("solver_d", "auto"), p.get("uv_constraint", "auto"), rank1, p.get("window", False), p.get("solver_d_kwargs"))
         table = settled(E.blocks(batch, self.channels, self.times))
         if self._d is None:
-            self._d = L.initial_dictionary(table, self.n_atoms, self.n_times_atom, self.channels, self.times, p.get("D_init"), rank1, constraint, p.get("window", False), p.get("random_state"))
+            self._d = L.initial_dictionary(table, self.n_atoms, self.n_times_atom, self.channels, self.times, p.get("D_init"), rank1, solver.constraint, solver.window, p.get("random_state"))
             reg = p.get("reg", 0.1)
             if p["lmbd_max"] == "scaled":
-                reg = reg * E.lambda_max(table, L._full(self._d, rank1, self.channels)).max()
-            self.learned = Learned(L._full(self._d, rank1, self.channels), None, np.asarray(reg))
+                reg = reg * E.lambda_max(table, solver.full(self._d)).max()
+            self.learned = Learned(solver.full(self._d), None, np.asarray(reg))
         got = self.learned
         encoder = E.Encoder(got.d, got.reg, p["solver_z"], p.get("solver_z_kwargs") or {})
         table = settled(encoder.encode(table, warm=False))
-        new = encoder.statistics(table)
-        alpha = self.algorithm_params.get("alpha", 0.8)
-        if self.state is not None:
-            new.ztz, new.ztx, new.xtx = new.ztz + alpha * self.state.ztz, new.ztx + alpha * self.state.ztx, new.xtx + alpha * self.state.xtx
+        new = encoder.partial_statistics(table, self.state, self.algorithm_params.get("alpha", 0.8))
         self.state = new
         if new.nnz.any():
-            self._d = L._d_step(self._d, new, rank1, self.channels, solver_d, constraint, p.get("window", False), p.get("solver_d_kwargs") or {})
-            got.d = L._full(self._d, rank1, self.channels)
+            self._d = solver.step(self._d, new)
+            got.d = solver.full(self._d)
             got.uv = dic.flip(self._d, self.channels) if rank1 else None
         got.trace.append((len(got.trace), "partial", float(new.cost), 0.0))
         got.table = table
