@@ -653,6 +653,11 @@ def test_language_id(spark, docs):
     short = s[:6]
     best = max(product(range(3), repeat=6), key=lambda p: sum(short[i, c] for i, c in enumerate(p)) - 1.5 * sum(a != b for a, b in zip(p, p[1:])))
     assert viterbi(np.concatenate([short, s]), np.array([0, 6, 6, 46]), 1.5)[:6].tolist() == list(best)
+    rng = np.random.RandomState(2)
+    for n, states in ((37, 3), (200, 2), (401, 5)):  # a row in segments against the row as it is
+        long = np.round(rng.randn(n, states) * 2, 3)
+        worth = lambda p: long[np.arange(n), p].sum() - 1.5 * (np.diff(p) != 0).sum()  # noqa: B023, E731
+        assert worth(viterbi(long, np.array([0, n]), 1.5, segment=8)) == pytest.approx(worth(viterbi(long, np.array([0, n]), 1.5)))
     many = np.zeros((3, 300))
     many[:, 200] = 1.0
     assert viterbi(many, np.array([0, 3]), 1.0).tolist() == [200] * 3  # more languages than a small number can count

@@ -8,7 +8,7 @@ and its score is the share of those bytes. The recursion runs over many texts at
 Learned from about ``max_rows`` rows a language at most (a documented bound, taken by a hash of the id, so every run learns from the
 same rows). A null text or one without a letter is ``und`` with score 0, and so is every text when nothing was learned; null ids are
 labelled but not learned from. Of languages that tie the first by name is taken; repeated rows get the same label each. A very long text is
-one slice of a task, with a score for each of its words and languages. Extra columns are ignored; an empty table gives an empty result.
+one slice of a task, with a score for each of its words and languages, and its words are labelled by segments, with the same result. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ LEAST_SHARE = 0.002
 #: A training text tells no more than so many bytes of its language would at most: it is read whole, its counts are scaled.
 TEXT_WEIGHT = 4_000
 SLICE_BYTES = 1 << 22
+#: Words of a segment of a very long text.
+SEGMENT = 1024
 
 #: Fixed values: (first code point, script) of ranges in ascending order; a script reaches to the next entry.
 SCRIPTS = [(0x0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Indic"), (0xE00, "Thai"), (0xE80, "Other"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han"), (0x30000, "Other")]
@@ -114,16 +116,20 @@ class Model:
         return lang, score
 
 
-def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray:
-    """The best state of each item; rows are bounds[i] : bounds[i + 1], a switch costs ``penalty``."""
+def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float, segment: int = SEGMENT) -> np.ndarray:
+    """The best state of each item; rows are bounds[i] : bounds[i + 1], a switch costs ``penalty``.
+
+    The rows advance together, an item of each in every step; a row of many items is cut into segments that do so.
+    """
     n, states = scores.shape
     label = np.zeros(n, dtype=np.int64)
     lengths = np.diff(bounds)
+    for r in np.flatnonzero(lengths > 4 * segment).tolist():
+        label[bounds[r] : bounds[r + 1]] = _segmented(scores[bounds[r] : bounds[r + 1]], penalty, segment)
+    lengths = np.where(lengths > 4 * segment, 0, lengths)
     order = np.argsort(-lengths, kind="stable")
     begin, lengths = bounds[:-1][order], lengths[order]
-    if not n:
-        return label
-    longest = int(lengths[0])
+    longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # rows with more than t items
     switched = np.zeros((n, states), dtype=bool)
     source = np.zeros(n, dtype=np.min_scalar_type(states))
@@ -139,7 +145,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
             source[at] = top
             v = np.maximum(v, other)
         best[:a] = v + scores[at]
-    state = best.argmax(axis=1)
+    state = best.argmax(axis=1) if len(order) else np.zeros(0, np.int64)
     for t in range(longest - 1, -1, -1):
         a = active[t]
         at = begin[:a] + t
@@ -150,6 +156,39 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     return label
 
 
+def _segmented(scores: np.ndarray, penalty: float, segment: int) -> np.ndarray:
+    """viterbi of one row: segments advance together from every state, are linked one after the other, and traced back from every state."""
+    n, states = scores.shape
+    k = -(-n // segment)
+    padded = np.zeros((k * segment, states))  # what is behind the end prefers no state
+    padded[:n] = scores
+    items = padded.reshape(k, segment, states)
+    reach = np.full((k, states, states), -np.inf)  # best score of a segment by the state before it and its last
+    reach[:, np.arange(states), np.arange(states)] = 0
+    for t in range(segment):
+        reach = np.maximum(reach, reach.max(axis=2, keepdims=True) - penalty) + items[:, t, None, :]
+    best = np.zeros((k, states))
+    for j in range(1, k):
+        best[j] = (best[j - 1][:, None] + reach[j - 1]).max(axis=0)
+    switched = np.zeros((segment, k, states), dtype=bool)
+    source = np.zeros((segment, k), dtype=np.min_scalar_type(states))
+    for t in range(segment):
+        top = best.argmax(axis=1)
+        other = best[np.arange(k), top][:, None] - penalty
+        switched[t], source[t] = best < other, top
+        best = np.maximum(best, other) + items[:, t]
+    label = np.zeros((segment, k, states), dtype=np.min_scalar_type(states))
+    state = np.tile(np.arange(states), (k, 1))
+    for t in range(segment - 1, -1, -1):
+        label[t] = state
+        state = np.where(np.take_along_axis(switched[t], state, axis=1), source[t][:, None], state)
+    last = np.zeros(k, dtype=np.int64)
+    last[-1] = best[-1].argmax()
+    for j in range(k - 1, 0, -1):
+        last[j - 1] = state[j, last[j]]
+    return label[:, np.arange(k), last].T.reshape(-1)[:n].astype(np.int64)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
     """Counts trigrams and scripts on the executors, in at most about max_rows rows of each language."""
     slack(docs, [id_col, text_col, lang_col], "language_id")
