@@ -371,7 +371,7 @@ for _kind in ("tukey", "hamming", "blackman"):
     SQL[f"taper_{_kind}"] = f"WITH {_EMBEDDINGS.strip()}\nSELECT trial, t, round(x * ({_taper_sql(_kind)}), 6) AS x FROM e"
 
 
-@query(_EMBEDDINGS, "SELECT trial, 0 AS channel, t, round(x / sd, 6) AS x FROM e, (SELECT stddev_pop(x) AS sd FROM e)")
+@query(_EMBEDDINGS, "SELECT trial, 0 AS channel, t, round(x / stddev_pop(x) OVER (), 6) AS x FROM e")
 def rescale(s, d):
     return P.rescale(P.as_univariate(V.embedding_signal(s, d))).withColumn("x", F.round("x", 6))
 
