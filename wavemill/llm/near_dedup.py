@@ -291,12 +291,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = dealt_join(table.select("id", *key).distinct(), alike, key)
     # An id that repeats with texts of several classes is in the smallest of them.
     rows = rows.groupBy("id").agg(F.min(F.struct("class_id", "class_size")).alias("class"))
-    rows = written(rows.select("id", "class.*"), "members")
+    rows = written(rows.select(F.col("id").alias("_id"), "class.*"), "members")
     discard(table, texts, classes)
-    every = docs.select(column(id_col).alias(id_col), column(id_col).cast("long").alias("id"))
-    return every.join(rows, "id", "left").select(
-        column(id_col).alias(id_col),
-        F.coalesce("class_id", "id").alias("class_id"),
+    every = docs.select(column(id_col).alias("_own"), column(id_col).cast("long").alias("_id"))
+    return every.join(rows, "_id", "left").select(
+        F.col("_own").alias(id_col),
+        F.coalesce("class_id", "_id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.col("class_id").isNull() | (F.col("class_id") == F.col("id"))).alias("kept"),
+        (F.col("class_id").isNull() | (F.col("class_id") == F.col("_id"))).alias("kept"),
     )

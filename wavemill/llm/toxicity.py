@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     source = rows.select("_text", "_id", "_y")
     held = source.mapInArrow(hold, source.select("_id", "_y").withColumn("terms", F.lit(b"")).schema)
     got = held.groupBy("_id").agg(F.max("_y").alias("y"), F.max("terms").alias("terms")).toPandas().sort_values("_id")  # max_rows rows, model terms only
-    learned = [np.frombuffer(t, dtype=place).astype(np.int64) for t in got["terms"]]
+    learned = [np.frombuffer(t, dtype=place) for t in got["terms"]]
     return fit(keys, learned, got["y"].to_numpy(dtype=float), l2=np.where(telling, TELLING_L2, FLAT_L2))
 
 
