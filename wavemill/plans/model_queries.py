@@ -256,7 +256,7 @@ def _ista_sql() -> str:
         out += f""", r{i} AS (SELECT trial, t, sum(x) AS r FROM (SELECT * FROM x UNION ALL SELECT trial, t + l, -z * d FROM z{i} JOIN d USING (k)) GROUP BY ALL),
     c{i} AS (SELECT trial, k, t - l AS t, sum(r * d) AS c FROM r{i}, d WHERE t - l BETWEEN 0 AND {valid - 1} GROUP BY trial, k, t - l),
     z{i + 1} AS (SELECT trial, k, t, greatest(z + {_ISTA_STEP} * (c - {_ISTA_REG}), 0) AS z FROM z{i} JOIN c{i} USING (trial, k, t))"""
-    return out + f" SELECT trial, k, t, z FROM z{_ISTA_STEPS} WHERE z > 0"
+    return out + f" SELECT trial, CAST(k AS INTEGER) AS k, CAST(t AS INTEGER) AS t, z FROM z{_ISTA_STEPS} WHERE z > 0"
 
 
 @checked(_ista_sql())
