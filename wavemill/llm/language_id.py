@@ -119,14 +119,15 @@ class Model:
 def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float, segment: int = SEGMENT) -> np.ndarray:
     """The best state of each item; rows are bounds[i] : bounds[i + 1], a switch costs ``penalty``.
 
-    The rows advance together, an item of each in every step; a row of many items is cut into segments that do so.
+    The rows advance together, an item of each in every step; a row of more than 32 segments, which would advance
+    alone for long, is cut into segments that do so.
     """
     n, states = scores.shape
     label = np.zeros(n, dtype=np.int64)
     lengths = np.diff(bounds)
-    for r in np.flatnonzero(lengths > 4 * segment).tolist():
+    for r in np.flatnonzero(lengths > 32 * segment).tolist():
         label[bounds[r] : bounds[r + 1]] = _segmented(scores[bounds[r] : bounds[r + 1]], penalty, segment)
-    lengths = np.where(lengths > 4 * segment, 0, lengths)
+    lengths = np.where(lengths > 32 * segment, 0, lengths)
     order = np.argsort(-lengths, kind="stable")
     begin, lengths = bounds[:-1][order], lengths[order]
     longest = int(lengths[0]) if len(lengths) else 0
