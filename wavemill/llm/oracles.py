@@ -1,6 +1,35 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+
+
+def product_codes(rounds: int = 6) -> str:
+    """Plain Lloyd rounds over all parts and entries, one after another."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rid, p, min(d * 16 + k) AS m FROM
+            (SELECT rid, p, k, CAST(list_sum(list_transform(list_zip(s.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+             FROM s JOIN c{r} c USING (p)) GROUP BY rid, p)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN
+            (SELECT p, k, list(CAST((t - ((t % n + n) % n)) // n AS BIGINT) ORDER BY j) AS v FROM
+             (SELECT s.p, a.m % 16 AS k, j, sum(s.v[j]) AS t, count(*) AS n FROM s JOIN a{r} a USING (rid, p), range(1, len(s.v) + 1) g(j)
+              GROUP BY s.p, a.m % 16, j) GROUP BY p, k) n USING (p, k))""")
+    return f"""
+        WITH q AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label,
+                 list_transform(embedding, lambda v: CAST(floor(4096 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+             FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+             s AS MATERIALIZED (SELECT rid, p, x[p * len(x) // 8 + 1:(p + 1) * len(x) // 8] AS v FROM q, range(8) g(p)),
+             c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, v
+                 FROM s JOIN (SELECT rid, vec_id FROM q ORDER BY vec_id LIMIT 16) USING (rid)),
+             {", ".join(steps)},
+             f AS (SELECT rid, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+             h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM q JOIN f USING (rid), h"""
+
+
 SQL = {
+    "op13_hamerly_codes": product_codes(),
     "op1_cover_substrings": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
              one AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),

@@ -86,6 +86,12 @@ def op11_buffer_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
