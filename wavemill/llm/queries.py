@@ -86,6 +86,12 @@ def op11_buffer_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import language_model
+
+    return language_model(_table(spark, sf_dir, "documents"))
+
+
 def op13_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import vector_codes
 
