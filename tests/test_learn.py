@@ -153,6 +153,86 @@ def test_batches_hold_every_trial_once(signal):
     assert all(len(L.batch_of(table, i, 2, N, "random", 7).collect()) == 2 for i in range(3))
 
 
+def test_cyclic_batches_are_slices_in_order(spark):
+    """Batches of exactly the asked size, of trials with gaps in their ids, over several ranges; the last before a new pass is shorter."""
+    ids = [5, -3, 1 << 40, 8, 9, 700, 31, 2, 77, 1000, 12]
+    table = spark.createDataFrame([(i,) for i in ids], "trial long").repartition(3)
+    ranks = L.ranked(table)
+    assert [r.trial for r in ranks.orderBy("rank").collect()] == sorted(ids) and {r.rank for r in ranks.collect()} == set(range(11))
+    for i in range(7):
+        want = sorted(ids)[i * 4 % 11 : i * 4 % 11 + 4]
+        assert sorted(r.trial for r in L.batch_of(table, i, 4, 11, "cyclic", 0, ranks).collect()) == want
+
+
+def test_patches_are_cut_where_trials_are(spark):
+    """More patches than trials, one trial, none; every patch is a piece of some trial."""
+    rows = [(i, 0, t, float(1000 * i + t)) for i in range(3) for t in range(30)]
+    x = spark.createDataFrame(rows, "trial long, channel int, t int, x double")
+    source = E.Trials(E.blocks(x, 1, 30), 1, 5)
+    got = source.random_patches(7, np.random.RandomState(0))
+    assert got.shape == (7, 1, 5) and (np.diff(got[:, 0]) == 1).all() and len({int(p[0, 0] // 1000) for p in got[:3]}) == 3
+    assert (source.random_patches(7, np.random.RandomState(0)) == got).all()
+    with pytest.raises(ValueError, match="no trial"):
+        E.Trials(E.blocks(x.where("trial > 9"), 1, 30), 1, 5).random_patches(1, np.random.RandomState(0))
+
+
+def test_stopping():
+    """Both steps must have come to rest; rises are errors where they are asked for."""
+    assert L.converged(10.0, 10.0 - 1e-12, 10.0 - 2e-12, 1e-10, True)
+    assert not L.converged(10.0, 9.0, 9.0, 1e-10, True) and not L.converged(10.0, 10.0, 9.0, 1e-10, True)
+    assert L.converged(10.0, 11.0, 11.0, 1e-10, False)
+    for values in ((10.0, 11.0, 10.0), (10.0, 9.0, 9.5)):
+        with pytest.raises(RuntimeError, match="raised the objective"):
+            L.converged(*values, 1e-10, True)
+
+
+def test_a_fit_at_rest_stops(signal):
+    """Also in an iteration that drew an atom anew, and online."""
+    x = signal[0]
+    got = L.learn(x, K, LENGTH, 1, T, n_iter=50, reg=0.05, lmbd_max="scaled", rank1=False, D_init="chunk", random_state=0, eps=0.05)
+    assert len(got.trace) < 100
+    low = L.learn(x, K, LENGTH, 1, T, n_iter=50, reg=0.05, lmbd_max="scaled", rank1=False, D_init="chunk", random_state=0, stopping_pobj=got.pobj[0])
+    assert len(low.trace) == 2
+    params = {"batch_size": 3, "batch_selection": "cyclic", "alpha": 0.9}
+    streamed = L.learn(x, K, LENGTH, 1, T, n_iter=12, reg=0.05, lmbd_max="scaled", rank1=False, D_init="chunk", random_state=0, eps=10.0, algorithm="online", algorithm_params=params)
+    assert 2 < len(streamed.trace) < 24
+
+
+@pytest.mark.parametrize("how", ["greedy", "chunk", "random"])
+def test_online_draws_dead_atoms_anew(spark, signal, how):
+    """An atom that batch after batch does not use gives way, and its share of the sums is forgotten."""
+    x, d, _ = signal
+    start = np.zeros((K, 1, LENGTH))
+    start[0] = d[0]
+    start[1, 0, 0] = -1e-6  # fits nothing
+    model = OnlineCDL(K, LENGTH, 1, T, reg=0.05, lmbd_max="fixed", random_state=0, alpha=0.5, D_init=start, rank1=False, D_resample=how)
+    model.partial_fit(x.where("trial < 3"))
+    assert model.learned.redrawn == 1 and (model.state.ztz[1] == 0).all() and model.state.used[1] == 4
+    if how == "greedy":
+        assert np.abs(model.D_hat_[1]).max() > 0.1
+        model.partial_fit(x.where("trial >= 3"))
+        assert model.learned.redrawn == 1 and model.state.used[1] > 2 and (model.state.ztz[1, 1] > 0).any()
+
+
+def test_worst_patch_outlives_batches_and_restarts(spark, signal, tmp_path):
+    """The kept patch is of the batch that was worst after decay, and it, with the uses, comes back from the state table."""
+    from wavemill.streaming.online import restore, store
+
+    x = signal[0]
+    new = lambda: OnlineCDL(K, LENGTH, 1, T, reg=0.05, lmbd_max="fixed", random_state=0, alpha=0.5, D_init=np.ones((K, 1, LENGTH)) / 4, rank1=False)
+    model, again = new(), new()
+    model.partial_fit(x.withColumn("x", x["x"] * 10))
+    patch, error = model.state.patch, model.state.error
+    store(spark, model, str(tmp_path / "s"), 0)
+    model.partial_fit(x)
+    restore(spark, again, str(tmp_path / "s"), 1)
+    assert np.allclose(again.state.used, again.state.used) and np.allclose(again.state.patch, patch) and again.state.error == pytest.approx(error)
+    again.partial_fit(x)
+    assert np.allclose(model.state.patch, patch) and model.state.error == pytest.approx(error / 2)
+    for name in ("ztz", "ztx", "used", "l1", "patch"):
+        assert np.allclose(getattr(again.state, name), getattr(model.state, name))
+
+
 @pytest.mark.parametrize("how", ["greedy", "chunk", "random"])
 def test_unused_atoms_are_drawn_anew(signal, how):
     """An atom that never fires gives way, however its successor is drawn."""
@@ -160,8 +240,8 @@ def test_unused_atoms_are_drawn_anew(signal, how):
     start[0] = signal[1][0]
     start[1, 0, 0] = -1e-6
     got = L.learn(signal[0], K, LENGTH, 1, T, n_iter=1, reg=0.05, rank1=False, D_init=start, D_resample=how, random_state=0, rescale=False)
-    assert got.d.shape == (K, 1, LENGTH)
-    patch = L.resampled(E.blocks(signal[0], 1, T), how, start, LENGTH, 1, T, np.random.RandomState(0)) if how != "greedy" else np.ones((1, LENGTH))
+    assert got.d.shape == (K, 1, LENGTH) and got.redrawn == 1
+    patch = L.resampled(E.Trials(E.blocks(signal[0], 1, T), 1, LENGTH), how, start, np.random.RandomState(0)) if how != "greedy" else np.ones((1, LENGTH))
     assert patch.shape == (1, LENGTH)  # of a sparse signal it may be all zeros
     with pytest.raises(ValueError, match="D_resample"):
         L.learn(signal[0], K, LENGTH, 1, T, n_iter=1, D_resample="x")

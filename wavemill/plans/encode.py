@@ -118,8 +118,10 @@ class Encoder:
     def partial_statistics(self, table: DataFrame, older: Statistics | None, alpha: float) -> Statistics:
         """Sums over the table's trials plus alpha times older ones."""
         new = self.statistics(table)
+        new.used = new.nnz.astype(float)
         if older is not None:
             new.ztz, new.ztx, new.xtx = new.ztz + alpha * older.ztz, new.ztx + alpha * older.ztx, new.xtx + alpha * older.xtx
+            new.l1, new.used = new.l1 + alpha * older.l1, new.used + alpha * (older.nnz if older.used is None else older.used)
         return new
 
     def statistics(self, table: DataFrame) -> Statistics:
@@ -139,10 +141,7 @@ class Encoder:
                     yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
 
         summed = table.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()  # as large as the statistics
-        v = np.zeros(k * k * (2 * length - 1) + k * channels * length + 2 * k + 3)
-        v[summed["i"]] = summed["v"]
-        a, b = k * k * (2 * length - 1), k * channels * length
-        return Statistics(v[:a].reshape(k, k, -1), v[a : a + b].reshape(k, channels, length), v[-3], v[a + b : a + b + k].astype(int), v[a + b + k : a + b + 2 * k], v[-2], int(v[-1]))
+        return unpacked(summed, k, channels, length)
 
     def trial_costs(self, table: DataFrame) -> DataFrame:
         """(trial, nnz, loss, explained): the share of the trial's energy that its reconstruction takes away."""
@@ -161,8 +160,18 @@ class Encoder:
         return table.mapInPandas(run, "trial long, nnz long, loss double, explained double")
 
 
+def unpacked(summed: pd.DataFrame, k: int, channels: int, length: int) -> Statistics:
+    """Statistics of their numbers (i, v) in one row: ztz, ztX, activations and their sum by atom, energy, cost, trials."""
+    a, b = k * k * (2 * length - 1), k * channels * length
+    v = np.zeros(a + b + 2 * k + 3)
+    v[summed["i"]] = summed["v"]
+    return Statistics(v[:a].reshape(k, k, -1), v[a : a + b].reshape(k, channels, length), v[-3], v[a + b : a + b + k].astype(int), v[a + b + k : a + b + 2 * k], v[-2], int(v[-1]))
+
+
 @dataclass
 class Statistics:
+    """Sums over trials; ``used`` and ``patch`` (with its ``error``) are what online learning knows of earlier batches besides."""
+
     ztz: np.ndarray
     ztx: np.ndarray
     xtx: float
@@ -170,6 +179,69 @@ class Statistics:
     l1: np.ndarray
     cost: float
     trials: int
+    used: np.ndarray | None = None
+    patch: np.ndarray | None = None
+    error: float = 0.0
+
+
+class Trials:
+    """A block table and its codes, for learners; ``LongSignal`` is the same for signals that are cut in time."""
+
+    def __init__(self, table: DataFrame, channels: int, length: int) -> None:
+        self.table, self.channels, self.length = table, channels, length
+
+    def encode(self, encoder: Encoder, warm: bool = True, unbiased: bool = False) -> None:
+        from .shared import settled
+
+        self.table = settled(encoder.encode(self.table, warm, unbiased))
+
+    def statistics(self, encoder: Encoder) -> Statistics:
+        return encoder.statistics(self.table)
+
+    def worst_patch(self, d: np.ndarray | None) -> np.ndarray:
+        return worst_patch(self.table, d, self.length, self.channels)
+
+    def lambda_max(self, d: np.ndarray) -> np.ndarray:
+        return lambda_max(self.table, d)
+
+    def random_patches(self, n: int, rng: np.random.RandomState) -> np.ndarray:
+        return cut_patches(self.table.select("trial", "x"), ["trial"], self.channels, self.length, n, rng)
+
+    def energy(self) -> float:
+        """Half the (weighted) sum of all squares: the cost of no codes."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                squares = [np.frombuffer(x) ** 2 for x in pdf["x"]]
+                yield pd.DataFrame({"v": [0.5 * sum(float(np.sum(s)) if w is None else float(np.sum(s.reshape(-1, len(w) // 8) * np.frombuffer(w))) for s, w in zip(squares, pdf["w"], strict=True))]})
+
+        return self.table.select("x", "w").mapInPandas(run, "v double").agg(F.coalesce(F.sum("v"), F.lit(0.0))).first()[0]
+
+
+def cut_patches(table: DataFrame, key: list[str], channels: int, length: int, n: int, rng: np.random.RandomState) -> np.ndarray:
+    """(n, P, L): patches at random places of random rows (key, x), of different ones as far as there are so many.
+
+    Rows are picked by a hash of their key and cut on the executors: the driver sees n keys and n patches.
+    """
+    order = F.xxhash64(*key, F.lit(int(rng.randint(2**31 - 1))))
+    drawn = table.select(*key).orderBy(order, *key).limit(n).collect()
+    if not drawn:
+        raise ValueError("there is no trial to take a patch from")
+    places = rng.uniform(size=n)
+    kinds = ", ".join(f"{c} {table.schema[c].dataType.simpleString()}" for c in key)
+    wanted = table.sparkSession.createDataFrame([(*drawn[i % len(drawn)], i, float(u)) for i, u in enumerate(places)], f"{kinds}, i int, u double")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for x, u in zip(pdf["x"], pdf["u"], strict=True):
+                x = _array(x, channels)
+                t = int(u * (x.shape[1] - length + 1))
+                out.append(np.ascontiguousarray(x[:, t : t + length]).tobytes())
+            yield pd.DataFrame({"i": pdf["i"], "patch": out})
+
+    patches = {r.i: r.patch for r in table.join(wanted, key).mapInPandas(cut, "i int, patch binary").collect()}
+    return np.stack([np.frombuffer(patches[i]).reshape(channels, length) for i in range(n)])
 
 
 def codes(table: DataFrame, atoms: int) -> DataFrame:
@@ -200,6 +272,11 @@ def with_codes(table: DataFrame, z: DataFrame, atoms: int, valid: int) -> DataFr
 
 def worst_patch(table: DataFrame, d: np.ndarray | None, length: int, channels: int) -> np.ndarray:
     """(P, L): the signal where the reconstruction misses most; ties go to the first trial and start."""
+    return worst_patch_error(table, d, length, channels)[0]
+
+
+def worst_patch_error(table: DataFrame, d: np.ndarray | None, length: int, channels: int) -> tuple[np.ndarray, float]:
+    """The worst patch and its squared error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -211,7 +288,9 @@ def worst_patch(table: DataFrame, d: np.ndarray | None, length: int, channels: i
                 yield pd.DataFrame({"trial": [trial], "e": [float(e[t])], "patch": [np.ascontiguousarray(x[:, t : t + length]).tobytes()]})
 
     best = table.mapInPandas(run, "trial long, e double, patch binary").orderBy(F.desc("e"), "trial").limit(1).collect()
-    return np.frombuffer(best[0].patch, dtype=float).reshape(channels, length).copy()
+    if not best:
+        raise ValueError("there is no trial to take a patch from")
+    return np.frombuffer(best[0].patch, dtype=float).reshape(channels, length).copy(), best[0].e
 
 
 def lambda_max(table: DataFrame, d: np.ndarray, q: float = 1.0) -> np.ndarray:
@@ -235,90 +314,50 @@ def lambda_max(table: DataFrame, d: np.ndarray, q: float = 1.0) -> np.ndarray:
     if q >= 1.0:
         return hi.astype(float)
     rank = q * (n - 1)
-    values = [_nth(table, correlations, k, lo, hi, np.floor(rank).astype(int) + up) for up in (0, 1)]
-    share = rank - np.floor(rank)
-    return np.where(share > 0, values[0] + share * (values[1] - values[0]), values[0])
+    below = np.floor(rank).astype(int)
+    share = rank - below
+    values = _nth(table, correlations, np.tile(np.arange(k), 2), np.tile(lo, 2), np.tile(hi, 2), np.append(below, below + (share > 0)))
+    return np.where(share > 0, values[:k] + share * (values[k:] - values[:k]), values[:k])
 
 
-def _nth(table: DataFrame, correlations, k: int, lo: np.ndarray, hi: np.ndarray, rank: np.ndarray, bins: int = 4096) -> np.ndarray:
-    """The value of a rank (from 0) for each atom: histograms over ever narrower ranges, until one value is left in it.
+def _nth(table: DataFrame, correlations, atoms: np.ndarray, lo: np.ndarray, hi: np.ndarray, rank: np.ndarray, bins: int = 4096) -> np.ndarray:
+    """The values of ranks (from 0) of atoms: histograms over ever narrower ranges, until one value is left in each.
 
-    A round sends a histogram for each atom and task; equal values count together, so ties need no further rounds.
+    A round counts all ranks at once and sends a histogram for each range and task; equal values count together, so ties need no further
+    rounds, and ranks that lie in one range share it.
     """
-    lo, hi, below = lo.astype(float).copy(), hi.astype(float).copy(), np.zeros(k, dtype=np.int64)
-    for _ in range(40):
-        edges = [np.unique(np.linspace(lo[a], hi[a], bins + 1)) for a in range(k)]
+    lo, hi, below = lo.astype(float).copy(), hi.astype(float).copy(), np.zeros(len(atoms), dtype=np.int64)
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        ranges = sorted({(int(atoms[i]), lo[i], hi[i]) for i in open_})
+        edges = [np.unique(np.linspace(a, b, bins + 1)) for _, a, b in ranges]
 
-        def count(batches: Iterator[pd.DataFrame], edges=edges) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pd.DataFrame], ranges=ranges, edges=edges) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for c in correlations(pdf):
-                    for a, e in enumerate(edges):
-                        v = c[a][(c[a] >= e[0]) & (c[a] <= e[-1])]
-                        at, n = np.unique(np.searchsorted(e, v, side="right"), return_counts=True)
-                        least = [v[np.searchsorted(e, v, side="right") == i] for i in at]
-                        yield pd.DataFrame({"k": a, "i": at, "n": n, "lo": [x.min() for x in least], "hi": [x.max() for x in least]})
-
-        sums = table.mapInPandas(count, "k int, i int, n long, lo double, hi double").groupBy("k", "i").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()  # bins rows an atom
-        for a, mine in sums.sort_values("i").groupby("k"):
-            upto = below[a] + mine["n"].cumsum().to_numpy()
-            at = min(int(np.searchsorted(upto, rank[a], side="right")), len(mine) - 1)
-            below[a] = upto[at] - mine["n"].iloc[at]
-            lo[a], hi[a] = mine["lo"].iloc[at], mine["hi"].iloc[at]
-        if (lo == hi).all():
-            return lo
-    raise RuntimeError("the quantile did not settle")
+                    for j, ((a, _, _), e) in enumerate(zip(ranges, edges, strict=True)):
+                        v = np.sort(c[a][(c[a] >= e[0]) & (c[a] <= e[-1])])
+                        at, first, n = np.unique(np.searchsorted(e, v, side="right"), return_index=True, return_counts=True)
+                        yield pd.DataFrame({"j": j, "i": at, "n": n, "lo": v[first], "hi": v[first + n - 1]})
+
+        sums = table.mapInPandas(count, "j int, i int, n long, lo double, hi double").groupBy("j", "i").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()  # bins rows a range
+        found = {j: mine.sort_values("i") for j, mine in sums.groupby("j")}
+        for i in open_:
+            mine = found[ranges.index((int(atoms[i]), lo[i], hi[i]))]
+            upto = below[i] + mine["n"].cumsum().to_numpy()
+            at = min(int(np.searchsorted(upto, rank[i], side="right")), len(mine) - 1)
+            below[i] = upto[at] - mine["n"].iloc[at]
+            lo[i], hi[i] = mine["lo"].iloc[at], mine["hi"].iloc[at]
+    return lo
 
 
 def encode_long_signal(x: DataFrame, d: np.ndarray, reg: float, channels: int, times: int, block: int, tol: float = 1e-3, rounds: int = 60) -> DataFrame:
-    """The code of signals too long for one task: (trial, k, t, z).
+    """The code of signals too long for one task: (trial, k, t, z), by blocks of at least two atom lengths (``LongSignal``).
 
-    Time is cut into blocks of at least two atom lengths. Odd and even blocks are encoded in turn, each with the present codes of
-    its neighbours' borders fixed, so two blocks that move at once are a whole block apart and every round is a valid descent.
-    It ends when a pair of rounds moves nothing by more than the tolerance.
+    It ends when a round of all blocks moves nothing by more than the tolerance.
     """
+    from .long import LongSignal
     from .shared import settled
 
-    atoms, _, length = d.shape
-    if block < 2 * length:
-        raise ValueError("a block must hold two atoms")
-    valid, halo = times - length + 1, length - 1
-    count = -(-valid // block)
-    spread = x.select("trial", "channel", "t", F.col("x").cast("double").alias("v")).withColumn("b", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - (length - 1) - halo) / block)).cast("int"), F.least(F.lit(count - 1), F.floor((F.col("t") + halo) / block)).cast("int"))))
-    signal = settled(spread)
-    z = x.sparkSession.createDataFrame([], "trial long, k int, t int, z double")
-    dtd = csc.gram(d)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, trial = int(pdf["b"].iloc[0]), pdf["trial"].iloc[0]
-        lo, hi = b * block, min((b + 1) * block, valid)
-        begin, end = max(0, lo - halo), min(valid, hi + halo)  # codes seen: own ones and the borders
-        sample = pdf["channel"] >= 0
-        dense, start = np.zeros((channels, end - begin + length - 1)), np.zeros((atoms, end - begin))
-        s = pdf[sample]
-        s = s[(s["t"] >= begin) & (s["t"] < end + length - 1)]
-        dense[s["channel"], s["t"] - begin] = s["v"]
-        c = pdf[~sample]
-        c = c[(c["t"] >= begin) & (c["t"] < end)]
-        start[-1 - c["channel"], c["t"] - begin] = c["v"]
-        fixed = start.copy()
-        fixed[:, lo - begin : hi - begin] = 0
-        # what the fixed borders explain is taken away from the signal; the block's own part is solved alone
-        part = dense - csc.reconstruct(fixed, d)
-        own = part[:, lo - begin : hi - begin + length - 1]
-        new = csc.lgcd(own, d, reg, start[:, lo - begin : hi - begin], tol=tol, dtd=dtd)
-        moved = float(np.abs(new - start[:, lo - begin : hi - begin]).max(initial=0.0))
-        k, t = np.nonzero(new)
-        return pd.DataFrame({"trial": np.append(np.full(len(k), trial), trial), "k": np.append(k, -1).astype(np.int32), "t": np.append(t + lo, b).astype(np.int32), "z": np.append(new[k, t], moved)})
-
-    for i in range(rounds):
-        moved = 0.0
-        for parity in (0, 1):
-            here = z.select("trial", (-1 - F.col("k")).alias("channel"), "t", F.col("z").alias("v"), F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - halo) / block)).cast("int"), F.least(F.lit(count - 1), F.floor((F.col("t") + halo) / block)).cast("int"))).alias("b"))
-            rows = signal.unionByName(here).where(F.col("b") % 2 == parity)
-            new = settled(rows.groupBy("trial", "b").applyInPandas(solve, "trial long, k int, t int, z double"))
-            kept = z.where(F.floor(F.col("t") / block) % 2 != parity)
-            moved = max(moved, new.where("k < 0").agg(F.coalesce(F.max("z"), F.lit(0.0))).first()[0])
-            z = settled(kept.unionByName(new.where("k >= 0")))
-        if moved <= tol:
-            break
-    return z
+    with LongSignal(x, channels, times, d.shape[2], block) as signal:
+        signal.encode(Encoder(d, reg, "lgcd", {"tol": tol}), rounds, tol)
+        return settled(signal.sparse())

@@ -10,21 +10,25 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..kernels import dictionary as dic
 from . import encode as E
+from .long import LongSignal
 from .shared import settled
 
 
 @dataclass
 class Learned:
-    """A dictionary (K, P, L), its rank-1 form if it has one, the trace and the block table with the codes."""
+    """A dictionary (K, P, L), its rank-1 form if it has one, the trace, the block table with the codes, and how often an atom was drawn anew."""
 
     d: np.ndarray
     uv: np.ndarray | None
     reg: np.ndarray
     trace: list[tuple[int, str, float, float]] = field(default_factory=list)
     table: DataFrame | None = None
+    redrawn: int = 0
+    scale: float = 1.0
 
     @property
     def pobj(self) -> list[float]:
@@ -55,8 +59,9 @@ def resolve_solver(solver_d: str, uv_constraint: str, rank1: bool) -> tuple[str,
     return ("fista" if solver_d == "auto" else solver_d), "auto"
 
 
-def initial_dictionary(table: DataFrame, n_atoms: int, length: int, channels: int, times: int, how="random", rank1: bool = False, constraint: str = "separate", window: bool = False, seed: int | None = None) -> np.ndarray:
+def initial_dictionary(source: E.Trials | LongSignal, n_atoms: int, how="random", rank1: bool = False, constraint: str = "separate", window: bool = False, seed: int | None = None) -> np.ndarray:
     """"random", "chunk" (patches at random places), "greedy" (no atom yet) or an array; (K, P, L) or (K, P + L)."""
+    length, channels = source.length, source.channels
     rng = np.random.RandomState(seed)
     shape = (n_atoms, channels + length) if rank1 else (n_atoms, channels, length)
     if isinstance(how, np.ndarray):
@@ -68,7 +73,7 @@ def initial_dictionary(table: DataFrame, n_atoms: int, length: int, channels: in
     elif how == "greedy":
         return np.zeros((0, *shape[1:]))
     elif how == "chunk":
-        d = random_patches(table, n_atoms, length, channels, times, rng)
+        d = source.random_patches(n_atoms, rng)
         d = dic.rank1(d) if rank1 else d
     else:
         raise ValueError(f"D_init must be random, chunk, greedy or an array, not {how!r}")
@@ -77,46 +82,82 @@ def initial_dictionary(table: DataFrame, n_atoms: int, length: int, channels: in
     return _project(d, rank1, channels, constraint)
 
 
-def random_patches(table: DataFrame, n: int, length: int, channels: int, times: int, rng: np.random.RandomState) -> np.ndarray:
-    """(n, P, L): patches at random places of random trials, of different ones as far as there are so many."""
-    order = F.xxhash64("trial", F.lit(int(rng.randint(2**31 - 1))))
-    drawn = [np.frombuffer(r.x, dtype=float).reshape(channels, -1) for r in table.select("trial", "x").orderBy(order, "trial").limit(n).collect()]  # n trials
-    if not drawn:
-        raise ValueError("there is no trial to take a patch from")
-    starts = rng.randint(times - length + 1, size=n)
-    return np.stack([drawn[i % len(drawn)][:, s : s + length] for i, s in enumerate(starts.tolist())])
+def ranked(table: DataFrame) -> DataFrame:
+    """(trial, rank) of all trials in ascending order, from 0: trials are dealt over ranges and ranked in each, behind those before it."""
+    dealt = settled(table.select("trial").repartitionByRange("trial").withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("trial")) - 1
+    return settled(dealt.withColumn("inside", inside).join(before, "part").select("trial", (F.col("before") + F.col("inside")).alias("rank")))
 
 
-def batch_of(table: DataFrame, i: int, size: int, trials: int, selection: str, seed: int) -> DataFrame:
-    """The blocks of the i-th batch of trials, picked on the executors by a hash of the trial.
+def batch_of(table: DataFrame, i: int, size: int, trials: int, selection: str, seed: int, ranks: DataFrame | None = None) -> DataFrame:
+    """The blocks of the i-th batch of trials.
 
-    "random" takes ``size`` trials, others each time; "cyclic" deals all trials into ``ceil(trials / size)`` batches of about that size
-    once and for all, and takes them in turn.
+    "random" takes the ``size`` trials of the smallest hashes, others each time. "cyclic" takes the next ``size`` trials in ascending order and begins anew
+    behind the last one, where a batch may be shorter; ``ranks`` is ``ranked(table)``.
     """
     if selection == "random":
         chosen = table.select("trial").orderBy(F.xxhash64("trial", F.lit(seed + i)), "trial").limit(size)
-        return table.join(chosen, "trial", "left_semi")
-    parts = max(1, -(-trials // size))
-    return table.where(F.pmod(F.xxhash64("trial", F.lit(seed)), F.lit(parts)) == i % parts)
+    else:
+        first = i * size % trials
+        chosen = (ranked(table) if ranks is None else ranks).where((F.col("rank") >= first) & (F.col("rank") < first + size)).select("trial")
+    return table.join(chosen, "trial", "left_semi")
 
 
-def resampled(table: DataFrame, how: str, d: np.ndarray, length: int, channels: int, times: int, rng: np.random.RandomState) -> np.ndarray:
+def resampled(source: E.Trials | LongSignal, how: str, d: np.ndarray, rng: np.random.RandomState) -> np.ndarray:
     """(P, L): a patch for an atom that is not used: of largest error ("greedy"), at a random place ("chunk") or noise ("random")."""
     if how == "greedy":
-        return E.worst_patch(table, d, length, channels)
+        return source.worst_patch(d)
     if how == "chunk":
-        return random_patches(table, 1, length, channels, times, rng)[0]
+        return source.random_patches(1, rng)[0]
     if how == "random":
-        return rng.randn(channels, length)
+        return rng.randn(source.channels, source.length)
     raise ValueError(f"D_resample must be greedy, chunk or random, not {how!r}")
 
 
-def _project(d: np.ndarray, rank1: bool, channels: int, constraint: str) -> np.ndarray:
-    return dic.project_uv(d, channels, constraint) if rank1 else dic.project_d(d)
+def online_step(part: E.Trials, encoder: E.Encoder, solver: DictionarySolver, d: np.ndarray, older: E.Statistics | None, alpha: float, how: str, rng: np.random.RandomState) -> tuple[np.ndarray, E.Statistics, int | None]:
+    """One batch of online learning: (dictionary, decayed sums, the atom that was drawn anew or None).
+
+    Uses of atoms decay like the sums, and so does the error of the worst patch seen, which is kept until a batch has a worse one. An atom
+    of fewer than two uses is drawn anew, one a batch: "greedy" takes the kept patch. Its share of the sums is forgotten, since it was another atom's.
+    """
+    part.encode(encoder, warm=False)
+    stats = encoder.partial_statistics(part.table, older, alpha)
+    if not stats.trials:
+        return d, older or stats, None
+    patch, error = E.worst_patch_error(part.table, encoder.d, part.length, part.channels)
+    kept = older is not None and older.patch is not None and alpha * older.error > error
+    stats.patch, stats.error = (older.patch, alpha * older.error) if kept else (patch, error)
+    if not stats.used.any():
+        return d, stats, None
+    d = solver.step(d, stats)
+    dead = np.flatnonzero(stats.used < 2)
+    if not len(dead):
+        return d, stats, None
+    k = int(dead[0])
+    fresh = stats.patch if how == "greedy" else resampled(part, how, encoder.d, rng)
+    d = d.copy()
+    d[k] = solver.add(d[:0], fresh)[0]
+    stats.ztz[k], stats.ztz[:, k], stats.ztx[k], stats.l1[k] = 0.0, 0.0, 0.0, 0.0
+    stats.used[k] = 2 / alpha if alpha else 0.0  # the next batch has to use it
+    if how == "greedy":
+        stats.patch, stats.error = None, 0.0
+    return d, stats, k
+
+
+def converged(before: float, z: float, d: float, eps: float, raise_on_increase: bool) -> bool:
+    """Whether neither the codes' step (from ``before`` to z) nor the dictionary's (to d) lowers the objective by the share eps; a rise is an error if asked for."""
+    dz, du = (before - z) / max(min(before, z), 1e-300), (z - d) / max(min(z, d), 1e-300)
+    if raise_on_increase and dz < -1e-9:
+        raise RuntimeError(f"the codes' step raised the objective from {before} to {z}")
+    if raise_on_increase and du < -1e-9:
+        raise RuntimeError(f"the dictionary's step raised the objective from {z} to {d}")
+    return dz < eps and du < eps
 
 
-def _full(d: np.ndarray, rank1: bool, channels: int) -> np.ndarray:
-    return dic.full(d, channels) if rank1 else d
+def _project(d: np.ndarray, rank1: bool, channels: int, constraint: str) -> np.ndarray:
+    return dic.project_uv(d, channels, constraint) if rank1 else dic.project_d(d)
 
 
 @dataclass
@@ -184,11 +225,16 @@ def learn(
     rescale: bool = True,
     random_state: int | None = None,
     callback: Callable | None = None,
+    block: int | None = None,
 ) -> Learned:
     """Learns a dictionary of a long signal (trial, channel, t, x); callback(iteration, Learned, trace) after each iteration.
 
     The signal is divided by its deviation first and codes and regularisation are scaled back at the end. "greedy" adds an atom an
     iteration; "online" and "stochastic" take a batch of trials an iteration and decay the statistics by alpha (0 for stochastic).
+    Every iteration is tested: it ends where neither step lowers the objective by more than ``eps``, or at ``stopping_pobj``. A rise of
+    the objective is an error where the regularisation is fixed, unless an atom was drawn anew just before. With ``block`` trials are too long for
+    one task and are cut into blocks of so many places ("batch" and "greedy" only): all sums are those of the uncut trials, and
+    ``Learned.table`` is their sparse code.
     """
     if lmbd_max not in LMBD_MAX:
         raise ValueError(f"lmbd_max must be one of {', '.join(LMBD_MAX)}, not {lmbd_max!r}")
@@ -203,6 +249,8 @@ def learn(
         raise ValueError(f"batch_selection must be random or cyclic, not {params['batch_selection']!r}")
     if D_resample not in ("greedy", "chunk", "random"):
         raise ValueError(f"D_resample must be greedy, chunk or random, not {D_resample!r}")
+    if block is not None and algorithm not in ("batch", "greedy"):
+        raise ValueError("blocks of long trials are learned from all at once; use batch or greedy")
     rng = np.random.RandomState(random_state)
     value = F.col("x").cast("double")
     s = x.agg(F.sum(value).alias("s"), F.sum(value * value).alias("q"), F.countDistinct("trial").alias("trials")).first()
@@ -210,83 +258,91 @@ def learn(
         raise ValueError("the signal has no trial")
     n = s.trials * channels * times
     scale = float(np.sqrt(max(s.q / n - (s.s / n) ** 2, 0.0))) or 1.0 if rescale else 1.0
-    table = settled(E.blocks(x, channels, times, scale=scale))
-    d = initial_dictionary(table, n_atoms, n_times_atom, channels, times, "greedy" if algorithm == "greedy" and D_init is None else D_init, rank1, constraint, window, random_state)
-    patch = lambda t, a: solver.add(d, E.worst_patch(t, a, n_times_atom, channels))
+    source = E.Trials(settled(E.blocks(x, channels, times, scale=scale)), channels, n_times_atom) if block is None else LongSignal(x, channels, times, n_times_atom, block, scale)
+    d = initial_dictionary(source, n_atoms, "greedy" if algorithm == "greedy" and D_init is None else D_init, rank1, constraint, window, random_state)
     if not len(d):
-        d = patch(table, None)
+        d = solver.add(d, source.worst_patch(None))
     reg0 = np.asarray(reg, dtype=float)
     if lmbd_max == "scaled":
-        reg0 = reg0 * E.lambda_max(table, _full(d, rank1, channels)).max()
-    out = Learned(_full(d, rank1, channels), None, reg0)
+        reg0 = reg0 * source.lambda_max(solver.full(d)).max()
+    out = Learned(solver.full(d), None, reg0)
     deal = int(rng.randint(2**31 - 1))
-    decayed: E.Statistics | None = None
+    online = algorithm in ("online", "stochastic")
+    ranks = ranked(source.table) if online and params["batch_selection"] == "cyclic" else None
+    older: E.Statistics | None = None
+    before = None if online else source.energy()
+    redrawn = None
     started = time.time()
 
-    def note(i: int, step: str, value: float) -> None:
+    def note(i: int, step: str, value: float) -> float:
         nonlocal started
         out.trace.append((i, step, float(value), time.time() - started))
         started = time.time()
+        return float(value)
 
     for i in range(n_iter):
         if algorithm == "greedy" and i and len(d) < n_atoms:
-            d = patch(table, _full(d, rank1, channels))
-        atoms = _full(d, rank1, channels)
-        now = reg0
+            d = solver.add(d, source.worst_patch(solver.full(d)))
+        atoms, now = solver.full(d), reg0
         if lmbd_max in ("shared", "per_atom"):
-            top = E.lambda_max(table, atoms)
+            top = source.lambda_max(atoms)
             now = reg0 * (top if lmbd_max == "per_atom" else top.max())
         encoder = E.Encoder(atoms, now, solver_z, solver_z_kwargs or {})
-        if algorithm in ("batch", "greedy"):
-            table = settled(encoder.encode(table))
-            stats = encoder.statistics(table)
+        fresh = redrawn is not None
+        if online:
+            part = E.Trials(batch_of(source.table, i, params["batch_size"], s.trials, params["batch_selection"], deal, ranks), channels, n_times_atom)
+            d, stats, redrawn = online_step(part, encoder, solver, d, older, params["alpha"] if algorithm == "online" else 0.0, D_resample, rng)
+            used, older = stats.used, stats
+            z_cost = note(i, "z", _objective(atoms, stats, now))
         else:
-            part = batch_of(table, i, params["batch_size"], s.trials, params["batch_selection"], deal)
-            part = settled(encoder.encode(part, warm=False))
-            stats = encoder.partial_statistics(part, decayed, params["alpha"] if algorithm == "online" else 0.0)
-            if not stats.trials:
-                continue  # a batch that no trial fell into
-            decayed = stats
-        note(i, "z", stats.cost)
-        if not stats.nnz.any():
+            source.encode(encoder)
+            stats = source.statistics(encoder)
+            used, redrawn = stats.nnz, None
+            z_cost = note(i, "z", stats.cost)
+        if not used.any():
             warnings.warn("all codes are zero; the regularisation is too strong", stacklevel=2)
-            if algorithm in ("batch", "greedy"):
-                break
-            continue
-        d = solver.step(d, stats)
-        out.d, out.reg = _full(d, rank1, channels), now
-        note(i, "d", _objective(out.d, stats, now))
+            break
+        if not online:
+            d = solver.step(d, stats)
+        out.d, out.reg = solver.full(d), now
+        d_cost = note(i, "d", _objective(out.d, stats, now))
         if callback:
             callback(i, out, out.trace)
-        dead = np.flatnonzero(stats.nnz < 2)
-        if len(dead) and algorithm in ("batch", "greedy"):
-            fresh = resampled(table, D_resample, out.d, n_times_atom, channels, times, rng)
-            d[dead[0]] = solver.add(d[:0], fresh)[0]
-            continue
-        if algorithm in ("batch", "greedy") and len(d) == n_atoms and i:
-            values = out.pobj
-            drop = (values[-3] - values[-1]) / max(abs(values[-3]), 1e-300)
-            if raise_on_increase and drop < -1e-6 and lmbd_max in ("fixed", "scaled"):
-                raise RuntimeError(f"the objective rose from {values[-3]} to {values[-1]}")
-            if drop <= eps:
+        if not online and len(dead := np.flatnonzero(stats.nnz < 2)):
+            redrawn = int(dead[0])
+            d = d.copy()
+            d[redrawn] = solver.add(d[:0], resampled(source, D_resample, out.d, rng))[0]
+        out.redrawn += redrawn is not None
+        if len(d) == n_atoms:
+            fixed = lmbd_max in ("fixed", "scaled")
+            if fixed and before is not None and not (online and redrawn is not None) and converged(before, z_cost, d_cost, eps, raise_on_increase and not fresh and not online):
                 break
-        if stopping_pobj is not None and len(d) == n_atoms and out.pobj[-1] <= stopping_pobj:
-            break
+            if stopping_pobj is not None and d_cost < stopping_pobj:
+                break
+        before = d_cost
     encoder = E.Encoder(out.d, out.reg, solver_z, solver_z_kwargs or {})
-    table = settled(encoder.encode(table, warm=algorithm in ("batch", "greedy")))
+    source.encode(encoder, warm=not online) if block is None else source.encode(encoder)
     if sort_atoms:
-        gain = explained_variances(out.d, encoder.statistics(table), channels * times)
+        gain = explained_variances(out.d, source.statistics(encoder), channels * times)
         order = np.argsort(-gain, kind="stable")
         d, out.d = d[order], out.d[order]
         out.reg = out.reg[order] if np.ndim(out.reg) and len(np.ravel(out.reg)) == len(order) else out.reg
         encoder = E.Encoder(out.d, out.reg, solver_z, solver_z_kwargs or {})
-        table = settled(encoder.encode(table, warm=False))
+        if block is not None:
+            source.forget()
+            source.encode(encoder)
+        else:
+            source.encode(encoder, warm=False)
     if unbiased_z_hat:
-        table = settled(encoder.encode(table, unbiased=True))
+        source.encode(encoder, unbiased=True)
     out.uv = dic.flip(d, channels) if rank1 else None
     out.reg = out.reg * scale
-    out.table = table
     out.scale = scale
+    if block is None:
+        out.table = source.table
+    else:
+        out.table = settled(source.sparse())
+        source.close()
     return out
 
 
@@ -303,7 +359,7 @@ def init_dictionary(x: DataFrame, n_atoms: int, n_times_atom: int, channels: int
     if isinstance(D_init, str) and D_init == "greedy":
         raise ValueError("a greedy dictionary begins without atoms; use random, chunk or an array")
     table = settled(E.blocks(x, channels, times)) if isinstance(D_init, str) and D_init == "chunk" else E.blocks(x, channels, times)
-    return initial_dictionary(table, n_atoms, n_times_atom, channels, times, D_init, rank1, uv_constraint, window, random_state)
+    return initial_dictionary(E.Trials(table, channels, n_times_atom), n_atoms, D_init, rank1, uv_constraint, window, random_state)
 
 
 def _add(d: np.ndarray, patch: np.ndarray, rank1: bool, channels: int, constraint: str, window: bool) -> np.ndarray:

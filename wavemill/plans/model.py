@@ -74,8 +74,8 @@ class ConvolutionalDictionaryLearning:
     @property
     def z_hat_(self) -> DataFrame:
         got = self._fitted()
-        z = E.codes(got.table, len(got.d))
-        return z.withColumn("z", F.col("z") * getattr(got, "scale", 1.0))
+        z = got.table if "k" in got.table.columns else E.codes(got.table, len(got.d))  # long trials have a sparse code already
+        return z.withColumn("z", F.col("z") * got.scale)
 
     @property
     def pobj_(self) -> list[float]:
@@ -136,29 +136,27 @@ class OnlineCDL(ConvolutionalDictionaryLearning):
     def partial_fit(self, batch: DataFrame) -> DataFrame:
         """One step on a batch of trials, which the caller has normalised; returns their code.
 
-        A batch of zero codes decays the statistics and leaves the dictionary alone.
+        A batch of zero codes decays the statistics and leaves the dictionary alone, until an atom has been out of use for too long.
         """
         from . import learn as L
 
         p = self.params
         rank1 = p.get("rank1", True)
         solver = L.DictionarySolver.of(self.channels, p.get("solver_d", "auto"), p.get("uv_constraint", "auto"), rank1, p.get("window", False), p.get("solver_d_kwargs"))
-        table = settled(E.blocks(batch, self.channels, self.times))
+        part = E.Trials(settled(E.blocks(batch, self.channels, self.times)), self.channels, self.n_times_atom)
+        rng = np.random.RandomState(p.get("random_state"))
         if self._d is None:
-            self._d = L.initial_dictionary(table, self.n_atoms, self.n_times_atom, self.channels, self.times, p.get("D_init"), rank1, solver.constraint, solver.window, p.get("random_state"))
+            self._d = L.initial_dictionary(part, self.n_atoms, p.get("D_init"), rank1, solver.constraint, solver.window, p.get("random_state"))
             reg = p.get("reg", 0.1)
             if p["lmbd_max"] == "scaled":
-                reg = reg * E.lambda_max(table, solver.full(self._d)).max()
+                reg = reg * part.lambda_max(solver.full(self._d)).max()
             self.learned = Learned(solver.full(self._d), None, np.asarray(reg))
         got = self.learned
         encoder = E.Encoder(got.d, got.reg, p["solver_z"], p.get("solver_z_kwargs") or {})
-        table = settled(encoder.encode(table, warm=False))
-        new = encoder.partial_statistics(table, self.state, self.algorithm_params.get("alpha", 0.8))
-        self.state = new
-        if new.nnz.any():
-            self._d = solver.step(self._d, new)
-            got.d = solver.full(self._d)
-            got.uv = dic.flip(self._d, self.channels) if rank1 else None
-        got.trace.append((len(got.trace), "partial", float(new.cost), 0.0))
-        got.table = table
-        return E.codes(table, len(got.d))
+        self._d, self.state, redrawn = L.online_step(part, encoder, solver, self._d, self.state, self.algorithm_params.get("alpha", 0.8), p.get("D_resample", "greedy"), rng)
+        got.redrawn += redrawn is not None
+        got.d = solver.full(self._d)
+        got.uv = dic.flip(self._d, self.channels) if rank1 else None
+        got.trace.append((len(got.trace), "partial", float(self.state.cost), 0.0))
+        got.table = part.table
+        return E.codes(part.table, len(got.d))

@@ -23,7 +23,7 @@ def trial_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
 def learn_stream(stream: DataFrame, model: OnlineCDL, state: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Starts a query that takes each micro-batch as a step of ``model`` and keeps its state as a table.
 
-    The state (statistics, dictionary, last batch id) is one row in a folder of its own for each batch; a batch that is run again
+    The state (statistics, uses of atoms, worst patch, dictionary, last batch id) is one row in a folder of its own for each batch; a batch that is run again
     after a failure starts from the state before it, so its effect is the same as once.
     """
     spark = stream.sparkSession
@@ -41,7 +41,7 @@ def learn_stream(stream: DataFrame, model: OnlineCDL, state: str, checkpoint: st
 
 def store(spark: SparkSession, model: OnlineCDL, path: str, batch_id: int) -> None:
     s, got = model.state, model.learned
-    row = {"ztz": s.ztz.tolist(), "ztx": s.ztx.tolist(), "xtx": s.xtx, "d": model._d.tolist(), "full": got.d.tolist(), "reg": np.ravel(got.reg).tolist(), "cost": s.cost}
+    row = {"ztz": s.ztz.tolist(), "ztx": s.ztx.tolist(), "xtx": s.xtx, "d": model._d.tolist(), "full": got.d.tolist(), "reg": np.ravel(got.reg).tolist(), "cost": s.cost, "l1": s.l1.tolist(), "used": s.used.tolist(), "error": s.error, "patch": None if s.patch is None else s.patch.tolist()}
     spark.createDataFrame([(batch_id, json.dumps(row))], "batch_id long, state string").write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
 
 
@@ -61,7 +61,8 @@ def restore(spark: SparkSession, model: OnlineCDL, path: str, before: int) -> No
         return
     s = json.loads(found[0].state)
     ztz, ztx = np.array(s["ztz"]), np.array(s["ztx"])
-    model.state = E.Statistics(ztz, ztx, s["xtx"], np.ones(len(ztz), int), np.zeros(len(ztz)), s["cost"], 0)
+    patch = None if s["patch"] is None else np.array(s["patch"])
+    model.state = E.Statistics(ztz, ztx, s["xtx"], np.ones(len(ztz), int), np.array(s["l1"]), s["cost"], 0, np.array(s["used"]), patch, s["error"])
     model._d = np.array(s["d"])
     reg = np.array(s["reg"]) if len(s["reg"]) > 1 else np.array(s["reg"][0])
     trace = model.learned.trace if model.learned else []
