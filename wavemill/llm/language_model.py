@@ -41,7 +41,7 @@ SMOOTHING = 0.1
 #: Ranges of counts of which those above one are frequent: so many for each doubling.
 RANGES = 16
 #: Parameter tables averaged in one group, and rows of the parameters in a block.
-FAN, BLOCK = 32, 4096
+FAN, BLOCK = 8, 512
 SLICE_BYTES = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
