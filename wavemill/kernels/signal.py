@@ -39,6 +39,27 @@ def fir_taps(sfreq: float, low: float | None = None, high: float | None = None,
     return h
 
 
+def notch_taps(sfreq: float, freq: float, width: float = 1.0) -> np.ndarray:
+    """A symmetric filter that stops a band of this width around a frequency, long enough for its edges to be as steep as it is narrow."""
+    taps = 2 * int(np.ceil(3.3 * sfreq / width)) + 1
+    h = -fir_taps(sfreq, max(freq - width, width / 8), min(freq + width, sfreq / 2 * 0.999), taps)
+    h[taps // 2] += 1
+    return h
+
+
+def convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The whole overlaps of x and the taps; of long ones by their spectra, in pieces of a few times the taps."""
+    n = len(x) - len(taps) + 1
+    if len(taps) < 64:
+        return np.convolve(x, taps, "valid")
+    size = next_power_of_two(8 * len(taps))
+    f, step, out = np.fft.rfft(taps, size), size - len(taps) + 1, np.zeros(n)
+    for i in range(0, n, step):
+        piece = np.fft.irfft(np.fft.rfft(x[i : i + size], size) * f, size)[len(taps) - 1 :]
+        out[i : i + step] = piece[: min(step, n - i)]
+    return out
+
+
 def fir_filter(x: np.ndarray, sfreq: float, low: float | None = None, high: float | None = None, taps: int = 101) -> np.ndarray:
     """Zero-phase filtering, the ends continued by their point reflections."""
     h = fir_taps(sfreq, low, high, taps)

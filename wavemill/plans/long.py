@@ -250,6 +250,22 @@ class LongSignal:
                 return i + 1
         return rounds
 
+    def put(self, z: DataFrame, atoms: int) -> None:
+        """Takes the codes of a sparse table (trial, k, t, z) in place of the present ones."""
+        self.forget()
+        self.atoms, block, span = atoms, self.block, self._span()
+        rows = z.where((F.col("t") >= 0) & (F.col("t") < self.valid)).select("trial", F.floor(F.col("t") / block).cast("int").alias("b"), "k", "t", F.col("z").cast("double").alias("z"))
+        every = self.spark.table(self.signal).select("trial", "b", F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("t"), F.lit(None).cast("double").alias("z"))
+
+        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+            lo, hi = span(int(pdf["b"].iloc[0]))
+            dense, some = np.zeros((atoms, hi - lo)), pdf[pdf["k"].notna()]
+            dense[some["k"].to_numpy(dtype=int), some["t"].to_numpy(dtype=int) - lo] = some["z"]
+            return pd.DataFrame({"trial": [pdf["trial"].iloc[0]], "b": [pdf["b"].iloc[0]], "z": [dense.tobytes()], "moved": [0.0], "seen": [None]})
+
+        packed = rows.unionByName(every).repartition(self.buckets, *KEY).groupBy(*KEY).applyInPandas(pack, CODES)
+        self.codes = [self._kept(packed.where(F.col("b") % 2 == parity), "z") for parity in range(2)]
+
     def sparse(self) -> DataFrame:
         """(trial, k, t, z)."""
         parts = [self.spark.table(n).select("trial", "b", "z") for n in self.codes if n is not None]

@@ -11,12 +11,16 @@ from ..kernels import dictionary as dic
 from ..kernels import motifs as M
 from ..kernels import signal as S
 from ..operators import preprocess as P
+from ..operators import series as SE
 from ..sources import simulate as SIM
 from ..sources import views as V
+from ..sources.memo import Memo
 from . import encode as E
 from . import learn as L
+from .long import LongSignal
 from .model import OnlineCDL, atoms_table
-from .shared import settled
+from .queries import SQL as TABLE_SQL
+from .shared import scratch, settled
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -172,6 +176,69 @@ def long_signal_encode(s, d):
     return E.encode_long_signal(flat, dic.project_d(atoms), 0.05, 3, V.SHIPDAYS, 500, tol=0.05, rounds=6)
 
 
+#: Quantities of the days and integer codes on them, for sums over blocks of 100 days.
+_CODED = f"""WITH c AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS channel FROM (SELECT DISTINCT l_returnflag FROM lineitem)),
+    x AS (SELECT channel, date_diff('day', DATE '{V.FIRST_SHIPDAY}', CAST(l_shipdate AS DATE)) AS t, sum(CAST(l_quantity AS BIGINT)) AS x
+        FROM lineitem JOIN c USING (l_returnflag) GROUP BY ALL HAVING t BETWEEN 0 AND {V.SHIPDAYS - 1}),
+    z AS (SELECT 0 AS k, t, 1 AS z FROM x WHERE channel = 0 AND t <= {V.SHIPDAYS - V.LENGTH} AND x % 3 = 0
+        UNION ALL SELECT 1, t, 2 FROM x WHERE channel = 0 AND t <= {V.SHIPDAYS - V.LENGTH} AND t % 5 = 0)"""
+
+
+def coded(sql: str):
+    def keep(f):
+        SQL[f.__name__] = _CODED + sql
+        return query(f)
+
+    return keep
+
+
+def _long_coded(s: SparkSession, d: str) -> LongSignal:
+    signal = LongSignal(V.shipping_signal(s, d), 3, V.SHIPDAYS, V.LENGTH, 100)
+    signal.put(V.shipping_codes(s, d, V.SHIPDAYS - V.LENGTH + 1), 2)
+    return signal
+
+
+@coded(f"""
+SELECT 'ztz' AS what, a.k AS k, b.k AS other, CAST(b.t - a.t AS INTEGER) AS lag, CAST(sum(a.z * b.z) AS BIGINT) AS v FROM z a JOIN z b ON abs(b.t - a.t) < {V.LENGTH} GROUP BY a.k, b.k, b.t - a.t
+UNION ALL SELECT 'ztX', k, CAST(channel AS INTEGER), CAST(x.t - z.t AS INTEGER), CAST(sum(z * x) AS BIGINT) FROM z JOIN x ON x.t - z.t BETWEEN 0 AND {V.LENGTH - 1} GROUP BY k, channel, x.t - z.t""")
+def long_statistics(s, d):
+    """Sufficient statistics of one long signal, block by block with their borders: (what, k, other atom or channel, lag, v)."""
+    with _long_coded(s, d) as signal:
+        got = signal.statistics(E.Encoder(np.zeros((2, 3, V.LENGTH)), 0.0))
+    rows = [("ztz", *map(int, i[:2]), int(i[2]) - V.LENGTH + 1, int(got.ztz[i])) for i in zip(*np.nonzero(got.ztz))]
+    rows += [("ztX", *map(int, i), int(got.ztx[i])) for i in zip(*np.nonzero(got.ztx))]
+    return s.createDataFrame(rows, "what string, k int, other int, lag int, v long")  # as large as the statistics
+
+
+@coded(f""", d AS (SELECT * FROM (VALUES {", ".join(f"({k}, {p}, {l}, {(p + 1) * v})" for k, a in enumerate(V.ATOM_TIMES) for p in range(3) for l, v in enumerate(a))}) v(k, channel, l, d)),
+    r AS (SELECT channel, t, sum(x) AS r FROM (SELECT channel, t, x FROM x UNION ALL SELECT channel, t + l, -z * d FROM z JOIN d USING (k)) GROUP BY channel, t),
+    s AS (SELECT q.t, sum(r * r) AS e FROM range({V.SHIPDAYS - V.LENGTH + 1}) q(t) JOIN r ON r.t - q.t BETWEEN 0 AND {V.LENGTH - 1} GROUP BY q.t),
+    b AS (SELECT t FROM s ORDER BY e DESC, t LIMIT 1)
+SELECT CAST(c.channel AS INTEGER) AS channel, CAST(l AS INTEGER) AS l, CAST(coalesce(x, 0) AS BIGINT) AS x
+FROM b, range({V.LENGTH}) q(l), range(3) c(channel) LEFT JOIN x ON x.channel = c.channel AND x.t = b.t + l""")
+def long_worst_patch(s, d):
+    """The patch of a long signal that its codes explain worst, across the borders of blocks."""
+    atoms = np.array([[[(p + 1) * v for v in a] for p in range(3)] for a in V.ATOM_TIMES], dtype=float)
+    with _long_coded(s, d) as signal:
+        patch = signal.worst_patch(atoms)
+    return s.createDataFrame([(int(p), int(l), int(patch[p, l])) for p, l in np.ndindex(*patch.shape)], "channel int, l int, x long")
+
+
+def _split_days(s: SparkSession, lineitem: str, parts: int = 10) -> DataFrame:
+    return P.split_signal(V.shipping_signal(s, lineitem.rsplit("/", 1)[0]), V.SHIPDAYS, parts)
+
+
+@query
+def memoised_trials(s, d):
+    """Trials that are cut once for each state of their input; the second call reads them back."""
+    memo = Memo(s, scratch(s, "memo"))
+    memo.table(_split_days, [f"{d}/lineitem.parquet"])
+    return memo.table(_split_days, [f"{d}/lineitem.parquet"])
+
+
+SQL["memoised_trials"] = TABLE_SQL["split_signal"]
+
+
 def _by_series(x: DataFrame, f, schema: str = "trial long, channel int, t int, x double") -> DataFrame:
     """Each (trial, channel) series through a NumPy function of the same length."""
 
@@ -202,7 +269,47 @@ SELECT trial, 0 AS channel, CAST(i.t AS INTEGER) AS t, round(sum(h * CASE WHEN i
 FROM i JOIN e USING (trial) JOIN e lo USING (trial) JOIN e hi USING (trial)
 WHERE lo.t = 0 AND hi.t = 63 AND e.t = CASE WHEN i < 0 THEN -i WHEN i > 63 THEN 126 - i ELSE i END GROUP BY trial, i.t""")
 def band_pass(s, d):
-    return _filtered(s, d, lambda x: S.fir_filter(x, 64.0, 4.0, 16.0, 31))
+    """In blocks of 31 samples and more, which is two for each series."""
+    x = SE.band(P.as_univariate(V.embedding_signal(s, d)), 64.0, 4.0, 16.0, 31, V.EMBEDDING, block=31)
+    return x.withColumn("x", F.round("x", 6))
+
+
+#: The daily quantities as one series of each flag, on every day.
+_DAYS = f"""WITH c AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS channel FROM (SELECT DISTINCT l_returnflag FROM lineitem)),
+    q AS (SELECT channel, date_diff('day', DATE '{V.FIRST_SHIPDAY}', CAST(l_shipdate AS DATE)) AS t, sum(CAST(l_quantity AS BIGINT)) AS x FROM lineitem JOIN c USING (l_returnflag) GROUP BY ALL),
+    e AS (SELECT c.channel, r.t, coalesce(x, 0) AS x FROM c CROSS JOIN range({V.SHIPDAYS}) r(t) LEFT JOIN q ON q.channel = c.channel AND q.t = r.t)"""
+
+
+def _long(sql: str):
+    def keep(f):
+        SQL[f.__name__] = _DAYS + sql
+        return query(f)
+
+    return keep
+
+
+_WEEK = S.fir_taps(1.0, None, 1 / 14, 29)
+
+
+@_long(f""", h AS (SELECT unnest([{", ".join(repr(float(v)) for v in _WEEK)}]) AS h, unnest(range(29)) AS j),
+    i AS (SELECT e.channel, e.t, j, h, e.t + 14 - j AS i FROM e, h)
+SELECT CAST(0 AS BIGINT) AS trial, CAST(i.channel AS INTEGER) AS channel, CAST(i.t AS INTEGER) AS t,
+    round(sum(h * CASE WHEN i < 0 THEN 2 * lo.x - e.x WHEN i > {V.SHIPDAYS - 1} THEN 2 * hi.x - e.x ELSE e.x END), 3) AS x
+FROM i JOIN e ON e.channel = i.channel AND e.t = CASE WHEN i < 0 THEN -i WHEN i > {V.SHIPDAYS - 1} THEN {2 * V.SHIPDAYS - 2} - i ELSE i END
+JOIN e lo ON lo.channel = i.channel AND lo.t = 0 JOIN e hi ON hi.channel = i.channel AND hi.t = {V.SHIPDAYS - 1} GROUP BY i.channel, i.t""")
+def long_low_pass(s, d):
+    """Two weeks and slower, of one long series in blocks of 400 days with halos of 14."""
+    return SE.fir(V.shipping_signal(s, d), _WEEK, V.SHIPDAYS, 400).withColumn("x", F.round("x", 3))
+
+
+@_long(f""", w AS (SELECT CAST(i AS INTEGER) AS i, 0.54 - 0.46 * cos(2 * pi() * i / 63) AS w FROM range(64) r(i)),
+    y AS (SELECT channel, b, i, w * x AS y FROM e, w, (SELECT b * 32 AS b FROM range({(V.SHIPDAYS - 64) // 32 + 1}) r(b)) WHERE t = b + i),
+    z AS (SELECT channel, b, f, sum(y * cos(2 * pi() * f * i / 64)) AS re, sum(y * sin(2 * pi() * f * i / 64)) AS im FROM y, range(64) q(f) GROUP BY channel, b, f)
+SELECT CAST(0 AS BIGINT) AS trial, CAST(channel AS INTEGER) AS channel, CAST(f AS INTEGER) AS f,
+    round(sum(re * re + im * im) / {(V.SHIPDAYS - 64) // 32 + 1} / (SELECT sum(w * w) FROM w), 2) AS power FROM z GROUP BY channel, f""")
+def long_periodogram(s, d):
+    """Averaged spectra of windows of 64 days of one long series."""
+    return SE.periodogram(V.shipping_signal(s, d), 64, times=V.SHIPDAYS).withColumn("power", F.round("power", 2))
 
 
 @checked(f""", w AS (SELECT u, sum(cos({_TURN} * f * u)) / 32 AS c FROM range(-63, 64) r(u), range(9, 12) q(f) GROUP BY u)
@@ -234,12 +341,10 @@ SELECT trial, CAST(i AS INTEGER) AS i, round(CASE i WHEN 0 THEN a1 - k3 * k2 WHE
 def ar_model(s, d):
     """Yule-Walker on averaged tapered blocks; the SQL sums circular autocorrelations and runs Levinson's recursion instead."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["x"].to_numpy(dtype=float)
-        a, v = S.yule_walker(S.periodogram(x - x.mean(), 32), 3)
-        return pd.DataFrame({"trial": pdf["trial"].iloc[0], "i": np.arange(3), "a": a, "variance": v})
-
-    found = V.embedding_signal(s, d).groupBy("trial").applyInPandas(run, "trial long, i int, a double, variance double")
+    x = P.as_univariate(V.embedding_signal(s, d))
+    mean = x.groupBy("trial").agg(F.avg("x").alias("m"))
+    flat = x.join(mean, "trial").select("trial", "channel", "t", (F.col("x") - F.col("m")).alias("x"))
+    found = SE.ar_models(SE.periodogram(flat, 32, times=V.EMBEDDING), 32, 3)
     return found.select("trial", "i", F.round("a", 6).alias("a"), F.round("variance", 4).alias("variance"))
 
 

@@ -1,7 +1,8 @@
 """Recordings in Parquet, cleaned and cut into trials: chains of the preprocessing operators.
 
 A recording is a long signal (trial, channel, t, x), an event table has rows (sample, event_id). Filters run on each series of a
-channel; everything else is relational. A trial may be as long as a task can hold, since a filter needs all of a series.
+channel; everything else is relational. With ``block`` filters and resampling go by blocks of so many samples (``operators.series``), for
+recordings of any length; without it each series is one task's, and notches and resampling are those of its whole spectrum.
 """
 
 from __future__ import annotations
@@ -16,13 +17,19 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.columns import tukey
 from ..kernels import signal as S
 from ..operators import preprocess as P
+from ..operators import series
 from .files import pick_trials, read_signal
 
 
-def filtered(x: DataFrame, sfreq: float, notch: tuple[float, ...] = (), low: float | None = None, high: float | None = None) -> DataFrame:
+def filtered(x: DataFrame, sfreq: float, notch: tuple[float, ...] = (), low: float | None = None, high: float | None = None, block: int | None = None, times: int | None = None) -> DataFrame:
     """x without narrow bands around the notch frequencies, passed between low and high (None: open); x itself if nothing is asked for."""
     if not notch and low is None and high is None:
         return x
+    if block is not None:
+        times = series.length_of(x, times)
+        for f in notch:
+            x = series.without_line(x, sfreq, f, times=times, block=block)
+        return x if low is None and high is None else series.band(x, sfreq, low, high, times=times, block=block)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -37,10 +44,12 @@ def filtered(x: DataFrame, sfreq: float, notch: tuple[float, ...] = (), low: flo
     return rows.groupBy("trial", "channel").applyInPandas(run, "trial long, channel int, t int, x double")
 
 
-def resampled(x: DataFrame, sfreq: float, to: float) -> DataFrame:
-    """Each series at another rate, by its spectrum."""
+def resampled(x: DataFrame, sfreq: float, to: float, block: int | None = None, times: int | None = None) -> DataFrame:
+    """Each series at another rate, by its spectrum or, in blocks, by interpolation."""
     if to == sfreq:
         return x
+    if block is not None:
+        return series.resampled(x, sfreq, to, times, block)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -82,11 +91,12 @@ def load_data(
     low: float | None = 2.0,
     high: float | None = None,
     to_sfreq: float | None = None,
+    block: int | None = None,
 ) -> DataFrame:
     """A recording of ``times`` samples: filtered, resampled, cut into epochs or ``n_splits`` splits, tapered, over its deviation."""
-    x = filtered(read_signal(spark, path), sfreq, notch, low, high)
+    x = filtered(read_signal(spark, path), sfreq, notch, low, high, block, times)
     if to_sfreq is not None and to_sfreq != sfreq:
-        x, times = resampled(x, sfreq, to_sfreq), max(1, round(times * to_sfreq / sfreq))
+        x, times = resampled(x, sfreq, to_sfreq, block, times), max(1, round(times * to_sfreq / sfreq))
     if epoch is not None:
         if events is None:
             raise ValueError("epochs need events")
@@ -96,12 +106,12 @@ def load_data(
     return P.rescale(tapered(x, size))
 
 
-def load_one_record(spark: SparkSession, path: str, sfreq: float, channels: list[int] | int | None = None, to_sfreq: float | None = None, notch: tuple[float, ...] = (60.0, 120.0), low: float | None = 2.0, high: float | None = None) -> DataFrame:
+def load_one_record(spark: SparkSession, path: str, sfreq: float, channels: list[int] | int | None = None, to_sfreq: float | None = None, notch: tuple[float, ...] = (60.0, 120.0), low: float | None = 2.0, high: float | None = None, block: int | None = None) -> DataFrame:
     """One recording: chosen channels, notches, a band, another rate."""
     x = read_signal(spark, path)
     x = x if channels is None else P.pick_channels(x, channels)
-    x = filtered(x, sfreq, tuple(f for f in notch if f < sfreq / 2), low, high)
-    return x if to_sfreq is None else resampled(x, sfreq, to_sfreq)
+    x = filtered(x, sfreq, tuple(f for f in notch if f < sfreq / 2), low, high, block)
+    return x if to_sfreq is None else resampled(x, sfreq, to_sfreq, block)
 
 
 def load_records(spark: SparkSession, path: str, n_trials: int, seed: int = 0, equalise: str = "crop") -> DataFrame:

@@ -51,7 +51,7 @@ def embedding_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_codes(spark: SparkSession, sf_dir: str, valid: int) -> DataFrame:
-    """Integer spikes where the signal is above 1000 (atom 0) or below -1000 (atom 1)."""
+    """Integer spikes where the signal is above 150 (atom 0) or below -150 (atom 1)."""
     x = embedding_signal(spark, sf_dir).where(F.col("t") < valid)
     return x.where("abs(x) > 150").select("trial", F.when(F.col("x") > 0, 0).otherwise(1).alias("k"), "t", F.lit(1).cast("long").alias("z"))
 
@@ -62,6 +62,13 @@ def shipping_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(li, "l_returnflag", "channel").groupBy("channel", "t").agg(F.sum("q").alias("x")).select(F.lit(0).cast("long").alias("trial"), "channel", "t", "x")
 
 
+def shipping_codes(spark: SparkSession, sf_dir: str, valid: int) -> DataFrame:
+    """Integer spikes on days whose first quantity can be divided by 3 (atom 0), and twos on every fifth day (atom 1)."""
+    x = shipping_signal(spark, sf_dir).where(f"channel = 0 AND t >= 0 AND t < {valid}")
+    one = x.where("x % 3 = 0").select("trial", F.lit(0).alias("k"), "t", F.lit(1).cast("long").alias("z"))
+    return one.unionByName(x.where("t % 5 = 0").select("trial", F.lit(1).alias("k"), "t", F.lit(2).cast("long").alias("z")))
+
+
 #: Integer atoms of length 6, by (atom); channel p carries them times p + 1, so each has rank one.
 ATOM_TIMES = [[1, 2, 3, 3, 2, 1], [1, 1, 1, -1, -1, -1]]
 LENGTH = 6
