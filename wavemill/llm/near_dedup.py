@@ -14,6 +14,8 @@ fewer words is one shingle. Shingles are 64-bit hashes in signatures and 32 bits
    pair is taken in the first band it shares and the members of the largest class are not held against each other. No pair of
    texts that shares a band and could join two classes is left out.
 
+What is returned are classes and links that connect them, not all pairs of a class: those grow with its square.
+
 Null ids are classes of their own (class_id null). Null and empty texts and texts without a word are linked to nothing. A repeated row
 is in the class of its text. A very long text is one slice of a task and one list of shingles. Extra columns are ignored; an empty
 table gives an empty result.
@@ -22,6 +24,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ SIMILARITY = 0.8
 WIDTH, BANDS = 4, 24
 SMALL = 16
 #: Texts of a block; a task holds two blocks with their shingles at a time.
-BLOCK = 128
+BLOCK = 512
 #: Shingles of a slice of the incidence matrices whose product counts what two blocks have in common.
 COLUMNS = 4096
 #: Bits of the table that tells which ids to read again, about eight for each id; ids that share a bit are read too and fall out in the join.
@@ -255,8 +258,8 @@ def _rest(rows: DataFrame, reps: DataFrame, sets: DataFrame, key: list[str], sim
     return met.groupBy(*key, "i", "j").applyInArrow(lambda t: block_links(t, similarity), "a long, b long, similarity double")
 
 
-def classes_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(id, class_id) of the texts (id, bands) that are linked to another."""
+def classes_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """((id, class_id) of the texts (id, bands) that are linked to another, verified links (a, b, similarity) that connect the classes)."""
     each = reps.select("id", F.posexplode("bands").alias("band", "value"))
     key = ["band", "value"]
     shared = each.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
@@ -270,33 +273,63 @@ def classes_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, sim
     small = written(_across(left.where(f"n <= {SMALL}"), key).join(tested, ["a", "b"], "left_anti"), "pairs")
     more = verified(small, sets, similarity).union(_rest(left.where(f"n > {SMALL}"), reps, sets, key, similarity))
     more = written(more, "links")
+    links = written(found.union(more).distinct(), "links")
     if not more.isEmpty():
         discard(classes)
-        classes = components(found.union(more))
+        classes = components(links)
     discard(rows, tested, sets, found, left, small, more)
-    return classes
+    return classes, links
+
+
+def best_links(links: DataFrame) -> DataFrame:
+    """(id, link_id, link_similarity): the most similar text that each text is known to be linked to, the smallest id of equals."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"), "similarity")
+    best = ends.groupBy("e.id").agg(F.max(F.struct("similarity", (-F.col("e.other")).alias("other"))).alias("best"))
+    return best.select("id", (-F.col("best.other")).alias("link_id"), F.col("best.similarity").alias("link_similarity"))
+
+
+@dataclass
+class NearDuplicates:
+    """Rows of ``near_dedup``, and verified links (a, b, similarity) between representatives, whose components are the classes."""
+
+    rows: DataFrame
+    links: DataFrame
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: id, class_id (smallest id of the class), class_size, kept (whether the row's id is the class id)."""
+    """One row for each row of docs: id, class_id (smallest id of the class), class_size, kept (whether the row's id is the class id), link_id, link_similarity.
+
+    The link is a verified one of the row's text: to its representative, the smallest id of the same word sequence, where that is another row's, else
+    to the most similar text that it was found to be linked to; null for a row that is alone or the representative of nothing but copies.
+    """
+    return near_duplicates(docs, id_col, text_col, similarity).rows
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> NearDuplicates:
+    """Membership and representative pairs; no pair of texts that could join two classes is left out of what was verified."""
     slack(docs, [id_col, text_col], "near_dedup")
     table = written(signed(docs, id_col, text_col), "signed")
     key = ["key1", "key2"]
     texts = written(table.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
-    classes = classes_of(texts.select("id", "bands"), docs, id_col, text_col, similarity)
-    known = texts.select(*key, "id", "copies").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    classes, links = classes_of(texts.select("id", "bands"), docs, id_col, text_col, similarity)
+    known = texts.select(*key, "id", "copies").join(classes.join(best_links(links), "id"), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     size = known.groupBy("class_id").agg(F.sum("copies").alias("class_size")).where("class_size > 1")
     # Only texts that are not alone are joined back, all others are their own class.
-    alike = known.join(size, "class_id").select(*key, "class_id", "class_size")
+    alike = known.join(size, "class_id").select(*key, "class_id", "class_size", F.col("id").alias("of"), "link_id", "link_similarity")
     rows = dealt_join(table.select("id", *key).distinct(), alike, key)
+    same = F.col("id") == F.col("of")
+    linked = [F.when(same, F.col("link_id")).otherwise(F.col("of")).alias("link_id"), F.when(same, F.col("link_similarity")).otherwise(F.lit(1.0)).alias("link_similarity")]
     # An id that repeats with texts of several classes is in the smallest of them.
-    rows = rows.groupBy("id").agg(F.min(F.struct("class_id", "class_size")).alias("class"))
+    rows = rows.select("id", "class_id", "class_size", *linked).groupBy("id").agg(F.min(F.struct("class_id", "class_size", "link_id", "link_similarity")).alias("class"))
     rows = written(rows.select(F.col("id").alias("_id"), "class.*"), "members")
     discard(table, texts, classes)
     every = docs.select(column(id_col).alias("_own"), column(id_col).cast("long").alias("_id"))
-    return every.join(rows, "_id", "left").select(
+    out = every.join(rows, "_id", "left").select(
         F.col("_own").alias(id_col),
         F.coalesce("class_id", "_id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         (F.col("class_id").isNull() | (F.col("class_id") == F.col("_id"))).alias("kept"),
+        "link_id",
+        "link_similarity",
     )
+    return NearDuplicates(out, links)
