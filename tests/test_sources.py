@@ -114,6 +114,25 @@ def test_channels_as_columns_or_rows_are_alike(spark, channels):
     assert np.allclose(found, csc.correlate(x[:channels], d))
 
 
+def test_sparse_atoms_give_the_same_rows_in_both_layouts(spark, monkeypatch):
+    """Atoms on different channels and with gaps, a signal on one of them: rows where they meet, and every atom in lambda max."""
+    from wavemill.operators import objective as O
+
+    x = spark.createDataFrame([(n, p, t, float(n + t + 1)) for n in range(2) for p, t in ((0, 3), (0, 9), (2, 5))], "trial long, channel int, t int, x double")
+    z = spark.createDataFrame([(0, 0, 2, 1.0), (1, 1, 4, 2.0)], "trial long, k int, t int, z double")
+    d = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 2, -1.0), (1, 1, 0, 2.0), (1, 1, 3, 1.0), (2, 2, 1, 5.0), (2, 0, 0, 1.0)], "k int, channel int, l int, d double")
+    found = []
+    for most in (32, 0):
+        monkeypatch.setattr(C, "MOST_WIDE", most)
+        sets = [sorted(map(tuple, f.collect())) for f in (
+            C.atom_correlation(x, d, 9), O.gradient_z(x, z, d, 0.5, 9), C.residual(x, z, d), C.residual_energy(x, z, d), C.reconstruct(z, d),
+            O.lambda_max(x, d, 9, x), O.lambda_max(x, d, 9, x, 0.8), O.ista_step(x, z, d, 0.5, 0.1, 9),
+        )]
+        found.append(sets)
+    assert found[0] == found[1] and all(found[0])
+    assert not [r for r in found[0][0] if r[1] == 1] and [r[0] for r in found[0][5]] == [0, 1, 2] and found[0][5][1][1] == 0.0
+
+
 def test_surrogates_lie_on_the_axis(spark):
     events = spark.createDataFrame([(i, 10 * i) for i in range(20)], "epoch long, sample long")
     got = A.surrogate_events(events, 7, 300, -3, 8, 5).toPandas()

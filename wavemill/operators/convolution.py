@@ -67,11 +67,11 @@ class WideAtoms:
 
 
 def wide_atoms(d: DataFrame) -> WideAtoms | None:
-    """The dictionary (k, channel, l, d), or None where it has too many channels; it is read on the driver."""
-    rows = d.select("k", "channel", "l", "d").collect()
-    channels = sorted({r.channel for r in rows})
+    """The dictionary (k, channel, l, d), or None where it has too many channels; one of few channels is read on the driver."""
+    channels = sorted(r.channel for r in d.select("channel").distinct().limit(MOST_WIDE + 1).collect())
     if not channels or len(channels) > MOST_WIDE:
         return None
+    rows = d.select("k", "channel", "l", "d").collect()
     taps: dict[tuple[int, int], list] = {}
     for r in rows:
         taps.setdefault((r.k, r.l), [None] * len(channels))[channels.index(r.channel)] = r.d
@@ -103,11 +103,16 @@ def wide_residual(x: DataFrame, z: DataFrame, atoms: WideAtoms) -> tuple[Wide, D
 
 
 def wide_correlation(x: Wide, d: WideAtoms, valid: int) -> DataFrame:
-    """(trial, k, t, c): the lag is exploded on the row, and a row meets an atom's place with all its channels at once."""
+    """(trial, k, t, c): the lag is exploded on the row, and a row meets an atom's place with all its channels at once.
+
+    As with channels as rows, there is a row where atom and signal have a sample in common, and none where they have not.
+    """
     zero = F.lit(0).cast(x.rows.schema["c0"].dataType)
-    dot = reduce(lambda a, b: a + b, (F.coalesce(F.col(c) * F.col(f"d{i}"), zero) for i, c in enumerate(x.columns)))
+    products = [F.col(c) * F.col(f"d{i}") for i, c in enumerate(x.columns)]
+    dot = reduce(lambda a, b: a + b, (F.coalesce(p, zero) for p in products))
     placed = x.rows.withColumn("l", offsets(d.length)).withColumn("s", F.col("t") - F.col("l")).where((F.col("s") >= 0) & (F.col("s") < valid))
-    joined = placed.join(d.rows, "l").select("trial", "k", F.col("s").alias("t"), dot.alias("c"))
+    met = placed.join(d.rows, "l").where(F.coalesce(*products).isNotNull())
+    joined = met.select("trial", "k", F.col("s").alias("t"), dot.alias("c"))
     return joined.groupBy("trial", "k", "t").agg(F.sum("c").alias("c"))
 
 

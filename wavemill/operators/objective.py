@@ -107,7 +107,8 @@ def lambda_max(x: DataFrame, d: DataFrame, valid: int, trials: DataFrame, q: flo
         seen = c.groupBy("k").agg(F.max("c").alias("m"), F.count("*").alias("n"))
         all_positions = trials.select("trial").distinct().agg((F.count("*") * valid).alias("total"))
         floor = F.when(F.col("n") < F.col("total"), F.greatest("m", F.lit(0).cast(c.schema["c"].dataType))).otherwise(F.col("m"))
-        return seen.crossJoin(all_positions).select("k", floor.cast("double").alias("lambda_max"))
+        every = d.select("k").distinct().join(seen, "k", "left").crossJoin(all_positions)  # one row; an atom without overlap has zeros alone
+        return every.select("k", F.coalesce(floor, F.lit(0)).cast("double").alias("lambda_max"))
     places = trials.agg((F.countDistinct("trial") * valid).alias("places"))  # one row
     seen = d.select("k").distinct().join(c.groupBy("k").agg(F.count("*").alias("seen")), "k", "left").crossJoin(places)
     zeros = seen.select("k", (F.col("places") - F.coalesce("seen", F.lit(0))).alias("n"))
