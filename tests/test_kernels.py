@@ -120,7 +120,10 @@ def test_stable_weights_shrink_outliers():
     r = np.concatenate([np.zeros(50), np.full(50, 30.0)])
     tau = stable.expected_precision(r, 1.5, 200, 100, 0)
     assert tau[:50].mean() > 5 * tau[50:].mean()
-    s = stable.positive_stable(0.75, 200_000, np.random.RandomState(0))
+    key = stable.key(3, 0, np.arange(200_000))
+    u = [stable.drawn(key, 0, i) for i in range(3)]
+    assert all(abs(v.mean() - 0.5) < 3e-3 and abs(v.var() - 1 / 12) < 1e-3 for v in u) and np.abs(np.corrcoef(u) - np.eye(3)).max() < 0.01
+    s = stable.positive_stable(0.75, u[0], u[1])
     assert np.isclose(np.exp(-s).mean(), np.exp(-1), atol=5e-3)
 
 
@@ -138,6 +141,40 @@ def test_motifs_recover_a_shape():
     assert len(starts) == 6 and (np.diff(starts) > 4).all() and len(costs)
 
 
+def test_chains_do_not_depend_on_batches():
+    r = np.random.RandomState(0).randn(40)
+    trial, t = np.repeat([-3, 1 << 40], 20), np.tile(np.arange(20), 2)
+    whole = stable.expected_precision(r, 1.4, 20, 5, 11, trial, t)
+    order = np.random.RandomState(1).permutation(40)
+    parts = np.concatenate([stable.expected_precision(r[p], 1.4, 20, 5, 11, trial[p], t[p]) for p in np.split(order, [7, 19])])
+    assert np.array_equal(whole[order], parts) and len(set(whole)) > 20
+    with pytest.raises(ValueError):
+        stable.expected_precision(r, 1.4, 5, 5, 0)
+
+
+def test_moved_windows_cost_what_the_closed_form_says():
+    rng = np.random.RandomState(0)
+    x = rng.randn(500).cumsum()
+    windows = motifs.Windows(x, np.arange(0, 400, 40), 25)
+    for _ in range(200):
+        k, start = rng.randint(10), rng.randint(476)
+        cost, new = windows.moved(k, start)
+        windows.move(k, start, new)
+        assert windows.cost == pytest.approx(cost) == pytest.approx(motifs.window_cost(x, windows.starts, 25))
+    pairs = [np.sum((motifs.scored(x, a, 25) - motifs.scored(x, b, 25)) ** 2) for i, a in enumerate(windows.starts) for b in windows.starts[i + 1 :]]
+    assert windows.cost == pytest.approx(np.sum(pairs) / (25 * 9))
+
+
+def test_matching_keeps_gaps_and_says_when_there_is_no_room():
+    x = np.sin(np.arange(600) / 5) + 0.1 * np.random.RandomState(0).randn(600)
+    _, starts, costs = motifs.match_windows(x, 30, 15, max_iter=800, temperature=0.05, cooling=True)
+    assert len(starts) == len(range(0, 570, 30)) and (np.diff(starts) > 15).all() and costs[-1] < costs[0] / 2
+    with pytest.raises(ValueError, match="no place"):
+        motifs.match_windows(x, 30, 600, starts=np.array([0, 570]), max_iter=50)
+    with pytest.raises(ValueError, match="two windows"):
+        motifs.match_windows(x, 30, 290, n_windows=1)
+
+
 def test_adaptive_proximal_steps_agree(data):
     _, x, d, reg = data
     best = csc.cost(x, csc.lgcd(x, d, reg, tol=1e-7), d, reg)

@@ -49,15 +49,22 @@ def offsets(length: int) -> Column:
 
 
 def atom_shape(shape: str, l: Column, length: int, cycles: int = 1) -> Column:
-    """Sample l of a triangle, square, sin or cos of ``cycles`` periods over ``length``."""
-    phase = l * cycles / F.lit(float(length)) - F.floor(l * cycles / F.lit(float(length)))
-    if shape == "triangle":
-        return 1 - F.abs(2 * phase - 1) * 2
-    if shape == "square":
-        return F.when(phase < 0.5, 1.0).otherwise(-1.0)
+    """Sample l of a triangle from 0 to 1 and back, a square of 0.5 and -0.5, or a sin or cos whose last sample ends the last period.
+
+    Half a period of a triangle or a square has length // (2 cycles) samples, both its ends among them; what is left behind the last is 0.
+    """
     if shape in ("sin", "cos"):
-        return (F.sin if shape == "sin" else F.cos)(2 * math.pi * l * cycles / F.lit(float(length)))
-    raise ValueError(f"shape must be triangle, square, sin or cos, not {shape!r}")
+        return (F.sin if shape == "sin" else F.cos)(2 * math.pi * cycles * l / F.lit(float(max(1, length - 1))))
+    half = length // (2 * cycles)
+    place, falls = l % max(half, 1), (F.floor(l / max(half, 1)) % 2) == 1
+    if shape == "triangle":
+        rise = place / F.lit(float(max(1, half - 1)))
+        value = F.when(falls, (half - 1 - place) / F.lit(float(max(1, half - 1)))).otherwise(rise)
+    elif shape == "square":
+        value = F.when(falls, -0.5).otherwise(0.5)
+    else:
+        raise ValueError(f"shape must be triangle, square, sin or cos, not {shape!r}")
+    return F.when(l < 2 * cycles * half, value).otherwise(0.0)
 
 
 def uniform(salt: str, *of: Column | str) -> Column:

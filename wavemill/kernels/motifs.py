@@ -69,41 +69,73 @@ def motif_atoms(x: np.ndarray, n_atoms: int, length: int, n_iter: int = 10, max_
     return np.array(atoms)
 
 
+def scored(x: np.ndarray, start: int, length: int) -> np.ndarray:
+    """A window less its mean over its deviation."""
+    w = x[start : start + length]
+    return (w - w.mean()) / (w.std() + 1e-12)
+
+
 def window_cost(x: np.ndarray, starts: np.ndarray, length: int) -> float:
-    """Mean squared distance over pairs of z-scored windows, in closed form."""
-    w = x[starts[:, None] + np.arange(length)]
-    w = (w - w.mean(axis=1, keepdims=True)) / (w.std(axis=1, keepdims=True) + 1e-12)
-    n, s = len(w), w.sum(axis=0)
-    return float(2 * (n * np.sum(w * w) - s @ s) / (n * (n - 1)))
+    """Sum of squared distances over pairs of scored windows, over length and number less one, in closed form."""
+    w = np.stack([scored(x, s, length) for s in starts])
+    s = w.sum(axis=0)
+    return float((len(w) * np.sum(w * w) - s @ s) / (length * (len(w) - 1)))
+
+
+class Windows:
+    """Starts of windows with the sums that tell the cost of moving one of them, by its length alone."""
+
+    def __init__(self, x: np.ndarray, starts: np.ndarray, length: int) -> None:
+        self.x, self.length, self.starts = x, length, np.array(starts)
+        self.held = np.stack([scored(x, s, length) for s in self.starts])
+        self.total, self.squares = self.held.sum(axis=0), float(np.sum(self.held**2))
+
+    def _cost(self, total: np.ndarray, squares: float) -> float:
+        n = len(self.starts)
+        return float((n * squares - total @ total) / (self.length * (n - 1)))
+
+    @property
+    def cost(self) -> float:
+        return self._cost(self.total, self.squares)
+
+    def moved(self, k: int, start: int) -> tuple[float, np.ndarray]:
+        """(the cost with window k at a start, that window)."""
+        new = scored(self.x, start, self.length)
+        old = self.held[k]
+        return self._cost(self.total - old + new, self.squares - float(old @ old) + float(new @ new)), new
+
+    def move(self, k: int, start: int, new: np.ndarray) -> None:
+        old = self.held[k]
+        self.total, self.squares = self.total - old + new, self.squares - float(old @ old) + float(new @ new)
+        self.held[k], self.starts[k] = new, start
+
 
+def match_windows(x: np.ndarray, length: int, gap: int, n_windows: int | None = None, max_iter: int = 2000, temperature: float = 1.0, starts: np.ndarray | None = None, seed: int = 0, cooling: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean window, starts, costs): windows moved one at a time to places more than ``gap`` from all others, by Metropolis steps.
 
-def match_windows(x: np.ndarray, length: int, gap: int, n_windows: int | None = None, max_iter: int = 2000, temperature: float = 1.0, starts: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean window, starts, costs): window starts moved one at a time by simulated annealing, more than ``gap`` apart."""
+    Without ``starts`` there is a window every two gaps, or ``n_windows`` evenly spread. The temperature is constant, or falls to zero with ``cooling``.
+    """
     rng = np.random.RandomState(seed)
     if starts is None:
-        # by default a window every two gaps, as far as windows of this length fit
-        n_windows = max(2, (len(x) - length) // (2 * gap)) if n_windows is None else n_windows
-        starts = np.arange(n_windows) * max(1, (len(x) - length) // n_windows)
-    starts = np.array(starts)
-    cost, costs = window_cost(x, starts, length), []
-    best = (cost, starts.copy())
+        starts = np.arange(0, len(x) - length, 2 * gap) if n_windows is None else np.arange(n_windows) * max(1, (len(x) - length) // n_windows)
+    if len(starts) < 2:
+        raise ValueError("matching needs two windows at least")
+    windows, costs = Windows(x, starts, length), []
     for i in range(max_iter):
-        k = rng.randint(len(starts))
-        others = np.delete(starts, k)
+        k = rng.randint(len(windows.starts))
         for _ in range(1000):
             new = rng.randint(len(x) - length + 1)
-            if np.all(np.abs(others - new) > gap):
+            near = np.abs(windows.starts - new) <= gap
+            near[k] = False
+            if not near.any():
                 break
         else:
-            continue
-        moved = starts.copy()
-        moved[k] = new
-        found = window_cost(x, moved, length)
-        heat = temperature * (1 - i / max_iter) + 1e-9
-        if found < cost or rng.uniform() < np.exp(-(found - cost) / heat):
-            starts, cost = moved, found
-            if cost < best[0]:
-                best = (cost, starts.copy())
-        costs.append(cost)
-    starts = np.sort(best[1])
+            raise ValueError(f"there is no place more than {gap} from {len(windows.starts) - 1} windows; take a smaller gap or fewer windows")
+        now = windows.cost
+        found, window = windows.moved(k, new)
+        heat = temperature * (1 - i / max_iter if cooling else 1.0)
+        if found < now or rng.uniform() < np.exp(-(found - now) / max(heat, 1e-12)):
+            windows.move(k, new, window)
+        costs.append(windows.cost)
+    starts = np.sort(windows.starts)
     return x[starts[:, None] + np.arange(length)].mean(axis=0), starts, np.array(costs)

@@ -147,3 +147,32 @@ def ar_models(spectra: DataFrame, size: int, order: int) -> DataFrame:
         return pd.DataFrame({"trial": pdf["trial"].iloc[0], "channel": pdf["channel"].iloc[0], "i": np.arange(order, dtype=np.int32), "a": a, "variance": variance})
 
     return spectra.groupBy("trial", "channel").applyInPandas(run, "trial long, channel int, i int, a double, variance double")
+
+
+def matched_windows(x: DataFrame, length: int, gap: int, times: int, chains: int = 8, max_iter: int = 500, temperature: float = 1.0, cooling: bool = True, seed: int = 0) -> DataFrame:
+    """(trial, channel, chain, cost, starts) of the best of several chains of sliding window matching for each series; ties go to the first chain.
+
+    Each chain of each series is a row, so that chains of one series run in different tasks; a series itself fits in a task. One that has not two windows
+    has none.
+    """
+    from ..kernels.motifs import match_windows
+
+    at = F.collect_list(F.struct(F.col("t").cast("int").alias("i"), F.col("x").cast("double").alias("v")))
+    packed = x.where((F.col("t") >= 0) & (F.col("t") < times)).groupBy("trial", "channel").agg(at.alias("at"))
+    each = packed.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    dealt = each.repartition("trial", "channel", "chain")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for trial, channel, chain, at in zip(pdf["trial"], pdf["channel"], pdf["chain"], pdf["at"], strict=True):
+                v = np.zeros(times)
+                v[[p["i"] for p in at]] = [p["v"] for p in at]
+                if times - length > 2 * gap:
+                    _, starts, costs = match_windows(v, length, gap, max_iter=max_iter, temperature=temperature, cooling=cooling, seed=seed + int(chain))
+                    out.append((trial, channel, chain, float(costs[-1]), starts.tolist()))
+            yield pd.DataFrame(out, columns=["trial", "channel", "chain", "cost", "starts"])
+
+    found = dealt.select("trial", "channel", "chain", "at").mapInPandas(run, "trial long, channel int, chain int, cost double, starts array<int>")
+    best = found.groupBy("trial", "channel").agg(F.min_by(F.struct("chain", "cost", "starts"), F.struct("cost", "chain")).alias("best"))
+    return best.select("trial", "channel", "best.*")

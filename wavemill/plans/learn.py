@@ -447,7 +447,7 @@ def weighted_equations(table: DataFrame, atoms: int, length: int) -> tuple[np.nd
 def learn_robust(x: DataFrame, n_atoms: int, n_times_atom: int, times: int, reg: float = 0.1, alpha: float = 1.9, n_iter_global: int = 10, n_iter_optim: int = 10, n_iter_mcmc: int = 100, n_burnin_mcmc: int = 50, init_tau: bool = False, lmbd_max: str = "fixed", random_state: int = 0, **kwargs) -> tuple[Learned, DataFrame]:
     """Alpha-stable noise by Monte Carlo EM: weights from a Metropolis-Hastings chain a sample, then a weighted fit.
 
-    Returns the fit and the last weights (trial, t, w). Each trial's chain has a seed of its own, drawn in trial order.
+    Returns the fit and the last weights (trial, t, w). Each sample has a chain of its own, whose draws are hashes of a seed, its trial and its time.
     """
     if init_tau:
         var = x.groupBy("trial").agg(F.var_pop("x").alias("v"))
@@ -462,20 +462,36 @@ def learn_robust(x: DataFrame, n_atoms: int, n_times_atom: int, times: int, reg:
             break
         d, seed = fit.d, int(rng.randint(2**31 - 1))
 
-        weights = settled(fit.table.groupBy("trial").applyInPandas(_chains(d, alpha, n_iter_mcmc, n_burnin_mcmc, seed), "trial long, t int, w double"))
+        weights = settled(fit.table.mapInPandas(_chains(d, alpha, n_iter_mcmc, n_burnin_mcmc, seed), "trial long, t int, w double"))
     return fit, weights
 
 
 def _chains(d: np.ndarray, alpha: float, n_iter: int, n_burnin: int, seed: int):
-    """The chain of one trial's residual, as a function of its block row."""
+    """The chains of the residuals of block rows, a narrow step."""
     import pandas as pd
 
     from ..kernels import csc
     from ..kernels.stable import expected_precision
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, z = np.frombuffer(pdf["x"].iloc[0]).reshape(1, -1), np.frombuffer(pdf["z"].iloc[0]).reshape(len(d), -1)
-        tau = expected_precision((x - csc.reconstruct(z, d))[0], alpha, n_iter, n_burnin, seed + int(pdf["trial"].iloc[0]))
-        return pd.DataFrame({"trial": pdf["trial"].iloc[0], "t": np.arange(len(tau), dtype=np.int32), "w": 2 * tau})
+    def run(batches):
+        for pdf in batches:
+            for trial, x, z in zip(pdf["trial"], pdf["x"], pdf["z"], strict=True):
+                r = (np.frombuffer(x).reshape(1, -1) - csc.reconstruct(np.frombuffer(z).reshape(len(d), -1), d))[0]
+                tau = expected_precision(r, alpha, n_iter, n_burnin, seed, int(trial))
+                yield pd.DataFrame({"trial": int(trial), "t": np.arange(len(tau), dtype=np.int32), "w": 2 * tau})
 
     return run
+
+
+def robust_weights(r: DataFrame, alpha: float, n_iter: int, n_burnin: int, seed: int) -> DataFrame:
+    """(trial, t, tau) of residuals (trial, t, r): the expected precision of each sample's noise, batch by batch, whatever the length of a trial."""
+    import pandas as pd
+
+    from ..kernels.stable import expected_precision
+
+    def run(batches):
+        for pdf in batches:
+            trial, t = pdf["trial"].to_numpy(), pdf["t"].to_numpy()
+            yield pd.DataFrame({"trial": trial, "t": t, "tau": expected_precision(pdf["r"].to_numpy(dtype=float), alpha, n_iter, n_burnin, seed, trial, t)})
+
+    return r.select("trial", "t", F.col("r").cast("double").alias("r")).mapInPandas(run, "trial long, t int, tau double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..kernels import dictionary as dic
 from ..kernels import motifs as M
 from ..kernels import signal as S
+from ..kernels import stable as ST
 from ..operators import preprocess as P
 from ..operators import series as SE
 from ..sources import simulate as SIM
@@ -408,13 +409,70 @@ def _outer_sums(rows: DataFrame, atoms: dict[int, np.ndarray]) -> dict[int, np.n
 
 @query
 def window_matching(s, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(V.SHIPDAYS)
-        x[pdf["t"]] = pdf["x"]
-        _, starts, costs = M.match_windows(x, 30, 10, None, 500)
-        return pd.DataFrame({"channel": pdf["channel"].iloc[0], "window": np.arange(len(starts)), "start": starts, "cost": costs.min()})
+    """The best of eight chains for each flag's series, cooled to rest: (channel, window, start, cost)."""
+    best = SE.matched_windows(V.shipping_signal(s, d), 30, 10, V.SHIPDAYS)
+    return best.select("channel", F.posexplode("starts").alias("window", "start"), "cost")
+
+
+@_long(f""", s AS (SELECT channel, w, w * 50 AS s FROM (SELECT DISTINCT channel FROM e), range({(V.SHIPDAYS - 30) // 50 + 1}) q(w)),
+    w AS (SELECT channel, w, t - s AS i, x FROM s JOIN e USING (channel) WHERE t - s BETWEEN 0 AND 29),
+    m AS (SELECT channel, w, avg(x) AS m, stddev_pop(x) AS d FROM w GROUP BY channel, w),
+    z AS (SELECT channel, i, sum((x - m) / (d + 1e-12)) AS z, sum(((x - m) / (d + 1e-12)) ** 2) AS q, count(*) AS n FROM w JOIN m USING (channel, w) GROUP BY channel, i)
+SELECT CAST(channel AS INTEGER) AS channel, round((any_value(n) * sum(q) - sum(z * z)) / (30 * (any_value(n) - 1)), 6) AS cost FROM z GROUP BY channel""")
+def window_cost(s, d):
+    """The cost of windows of 30 days every 50 days, by the running sums after they were moved there one by one from elsewhere."""
 
-    return V.shipping_signal(s, d).groupBy("channel").applyInPandas(run, "channel int, window int, start int, cost double")
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for channel, at in zip(pdf["channel"], pdf["at"], strict=True):
+                x = np.zeros(V.SHIPDAYS)
+                x[[p["t"] for p in at]] = [p["x"] for p in at]
+                goal = np.arange(0, V.SHIPDAYS - 29, 50)
+                windows = M.Windows(x, goal // 2, 30)
+                for k, start in enumerate(goal.tolist()):
+                    windows.move(k, start, windows.moved(k, start)[1])
+                rows.append((channel, round(windows.cost, 6)))
+            yield pd.DataFrame(rows, columns=["channel", "cost"])
+
+    packed = V.shipping_signal(s, d).where(f"t BETWEEN 0 AND {V.SHIPDAYS - 1}").groupBy("channel").agg(F.collect_list(F.struct("t", "x")).alias("at"))
+    return packed.mapInPandas(run, "channel int, cost double")
+
+
+def _chain_sql(alpha: float, n_iter: int, n_burnin: int, seed: int) -> str:
+    """The chain of each sample, a subquery for each step of the mixer and of the chain."""
+    out, mask, names = [f"s0 AS (SELECT trial, t, x / 125 AS r, {seed}::BIGINT AS h0 FROM e)"], 0xFFFFFFFF, "trial, t, r"
+
+    def stage(columns: str) -> None:
+        out.append(f"s{len(out)} AS MATERIALIZED (SELECT {names}, {columns} FROM s{len(out) - 1})")
+
+    def mix(of: dict[str, str]) -> None:
+        """Columns by name, mixed."""
+        stage(", ".join(f"({x}) & {mask} AS {c}" for c, x in of.items()))
+        stage(", ".join(f"(xor({c}, {c} >> 16) * {ST.FIRST}) & {mask} AS {c}" for c in of))
+        stage(", ".join(f"(xor({c}, {c} >> 15) * {ST.SECOND}) & {mask} AS {c}" for c in of))
+        stage(", ".join(f"xor({c}, {c} >> 15) AS {c}" for c in of))
+
+    mix({"h0": "h0"})
+    for part in ("trial", "trial >> 32", "t"):
+        mix({"h0": f"h0 + (({part}) & {mask})"})
+    mix({f"d{i}_{stream}": f"h0 + {3 * i + stream}" for i in range(n_iter) for stream in (ST.ANGLE, ST.HEIGHT, ST.CHOICE)})
+    number, half = lambda i, stream: f"((d{i}_{stream} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)", alpha / 2
+    turn, up = (lambda i: f"(pi() * {number(i, ST.ANGLE)})"), (lambda i: f"(-ln({number(i, ST.HEIGHT)}))")
+    new = [f"2 * sin({half} * {turn(i)}) / pow(sin({turn(i)}), {1 / half!r}) * pow(sin({1 - half!r} * {turn(i)}) / {up(i)}, {(1 - half) / half!r}) AS new{i}" for i in range(n_iter)]
+    stage(", ".join([*new, *(f"ln({number(i, ST.CHOICE)}) AS choice{i}" for i in range(n_iter)), "2.0::DOUBLE AS phi", "0.0::DOUBLE AS total"]))
+    for i in range(n_iter):
+        later = [f"{c}{j}" for j in range(i + 1, n_iter) for c in ("new", "choice")]
+        stage(", ".join([*later, "total", f"CASE WHEN choice{i} < 0.5 * ln(phi / new{i}) + 0.5 * r * r * (1 / phi - 1 / new{i}) THEN new{i} ELSE phi END AS phi"]))
+        stage(", ".join([*later, "phi", f"total + {'1 / phi' if i >= n_burnin else '0'} AS total"]))
+    return f", {', '.join(out)} SELECT trial, t, round(total / {n_iter - n_burnin}, 6) AS tau FROM s{len(out) - 1}"
+
+
+@checked(_chain_sql(1.5, 4, 1, 7))
+def robust_weights(s, d):
+    """Expected precisions of the vectors' samples under alpha-stable noise, by short chains."""
+    r = _unit_embeddings(s, d).select("trial", "t", F.col("x").alias("r"))
+    return L.robust_weights(r, 1.5, 4, 1, 7).withColumn("tau", F.round("tau", 6))
 
 
 # Simulated signals: the SQL draws the same hashes and sums the same shapes.

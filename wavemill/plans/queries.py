@@ -418,11 +418,12 @@ def power_of_two(s, d):
     return n.select("trial", "n", K.next_power_of_two(F.col("n")).alias("p"), K.is_power_of_two(F.col("n")).alias("is_power"))
 
 
-@query(_EVENTS, """SELECT s AS shape, CAST(l AS INTEGER) AS l, round(CASE s WHEN 'triangle' THEN 1 - abs(2 * p - 1) * 2 WHEN 'square' THEN CASE WHEN p < 0.5 THEN 1.0 ELSE -1.0 END WHEN 'sin' THEN sin(2 * pi() * l * 2 / 32.0) ELSE cos(2 * pi() * l * 2 / 32.0) END, 9) AS x
-FROM (SELECT s, l, l * 2 / 32.0 - floor(l * 2 / 32.0) AS p FROM (VALUES ('triangle'), ('square'), ('sin'), ('cos')) w(s), range(32) r(l))""")
+@query(_EVENTS, """SELECT s AS shape, CAST(l AS INTEGER) AS l, round(CASE s WHEN 'sin' THEN sin(4 * pi() * l / 32) WHEN 'cos' THEN cos(4 * pi() * l / 32)
+    ELSE CASE WHEN l >= 32 THEN 0 WHEN s = 'square' THEN CASE WHEN (l // 8) % 2 = 0 THEN 0.5 ELSE -0.5 END WHEN (l // 8) % 2 = 0 THEN (l % 8) / 7.0 ELSE 1 - (l % 8) / 7.0 END END, 9) AS x
+FROM (VALUES ('triangle'), ('square'), ('sin'), ('cos')) w(s), range(33) r(l)""")
 def atom_shapes(s, d):
-    at = s.range(32).select(F.col("id").cast("int").alias("l"))
-    parts = [at.select(F.lit(n).alias("shape"), "l", F.round(K.atom_shape(n, F.col("l"), 32, 2), 9).alias("x")) for n in ("triangle", "square", "sin", "cos")]
+    at = s.range(33).select(F.col("id").cast("int").alias("l"))
+    parts = [at.select(F.lit(n).alias("shape"), "l", F.round(K.atom_shape(n, F.col("l"), 33, 2), 9).alias("x")) for n in ("triangle", "square", "sin", "cos")]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 

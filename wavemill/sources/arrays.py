@@ -214,9 +214,10 @@ class _Reader(DataSourceReader):
                 take(part.at)
             for i in range(part.begin, part.end, PIECE):
                 n = min(PIECE, part.end - i)
-                x = np.frombuffer(take(n * size), dtype=part.kind)
-                if len(x) < n:
+                raw = take(n * size)
+                if len(raw) < n * size:
                     raise ValueError(f"{part.file} ends before its array")
+                x = np.frombuffer(raw, dtype=part.kind)
                 index = dict(zip(part.axes, np.unravel_index(np.arange(i, i + n), part.shape, order=part.order), strict=True))
                 yield rows(part.file, index.get("trial", np.zeros(n)), index.get("channel", np.zeros(n)), index.get("t", np.zeros(n)), x)
 

@@ -21,14 +21,20 @@ def shape_cycle(length: int):
 
 
 def simulated_atoms(n_atoms: int, length: int) -> np.ndarray:
-    """(K, L) of unit norm."""
+    """(K, L) without a mean, of unit norm."""
     out = []
     for (shape, cycles), _ in zip(shape_cycle(length), range(n_atoms)):
-        phase = np.arange(length) * cycles / length
-        part = phase - np.floor(phase)
-        out.append({"triangle": 1 - np.abs(2 * part - 1) * 2, "square": np.where(part < 0.5, 1.0, -1.0), "sin": np.sin(2 * np.pi * phase)}[shape])
+        if shape == "sin":
+            out.append(np.sin(2 * np.pi * cycles * np.linspace(0, 1, length)))
+            continue
+        half = length // (2 * cycles)
+        rise = np.linspace(0, 1, half) if shape == "triangle" else np.full(half, 0.5)
+        period = np.concatenate([rise, rise[::-1] if shape == "triangle" else -rise])
+        out.append(np.pad(np.tile(period, cycles), (0, length - 2 * cycles * half)))
+    out = [d - d.mean() for d in out]
     d = np.array(out)
-    return d / np.linalg.norm(d, axis=1, keepdims=True)
+    size = np.linalg.norm(d, axis=1, keepdims=True)
+    return d / np.where(size > 0, size, 1.0)
 
 
 def _trials(spark: SparkSession, n: int) -> DataFrame:
