@@ -687,3 +687,66 @@ def test_word_buffers():
     one = h.spans(data, np.array([0, 5, 3]), np.array([3, 8, 5]))
     assert one[0] == one[1] != one[2]
     assert pd.Series(h.spans(np.frombuffer(np.random.RandomState(0).bytes(60_000), np.uint8), np.arange(0, 60_000, 6), np.arange(6, 60_001, 6))).is_unique
+
+
+def test_id_and_text_columns_with_dots(spark):
+    """Names that hold dots, for the operators that write files or pack."""
+    import public_tokenizers
+    from wavemill.llm.packing import pack_documents
+    from wavemill.llm.token_output import encode_documents
+    from wavemill.llm.warc import read_warc, write_warc
+
+    df = spark.createDataFrame([(i, f"http://{i}", "text " * i, 1) for i in range(1, 5)], "`a.id` long, `b.url` string, `c.text` string, id int")
+    tokens = encode_documents(df, public_tokenizers.path("byte_bpe_50k.json"), 0, "a.id", "c.text")
+    assert tokens.columns == ["a.id", "start", "n_tokens", "ids_crc32"] and sorted(r["a.id"] for r in tokens.collect()) == [1, 2, 3, 4]
+    packed = pack_documents(df, public_tokenizers.path("word_bpe_49k.json"), 2, 64, "a.id", "c.text")
+    assert packed.columns[0] == "a.id" and {r["a.id"] for r in packed.collect()} == {1, 2, 3, 4}
+    assert sorted(r.page_id for r in read_warc(write_warc(df, "a.id", "b.url", "c.text")).collect()) == [1, 2, 3, 4]
+
+
+def test_warc_hot_digest(spark):
+    """A third of all pages is one error page: each refers to the first, and rows of one digest may be dealt over tasks."""
+    from wavemill.llm.warc import _decided, read_warc, write_warc
+
+    error = "<html>" + "not found " * 20 + "</html>"
+    rows = [(i, f"http://x/{i}", error if i % 3 == 0 else f"<p>{i}</p>" * 30) for i in range(1, 301)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.refers_to for r in read_warc(write_warc(pages)).collect()}
+    assert got == {i: 3 if i % 3 == 0 and i != 3 else None for i in range(1, 301)}
+    plan = _decided(pages, "page_id", "url", "html")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_second" in plan
+
+
+def test_differencing_against_plain_karmarkar_karp():
+    """The same sums as the textbook's method with dense partitions, and the same parts of all items."""
+    from wavemill.llm.packing import differencing
+
+    def plain(sizes, k):
+        parts = [([s, *[0] * (k - 1)], i) for i, s in enumerate(sizes)]
+        count = len(parts)
+        while len(parts) > 1:
+            parts.sort(key=lambda p: (-(p[0][0] - p[0][-1]), p[1]))
+            (a, _), (b, _) = parts[:2]
+            parts = [*parts[2:], (sorted((x + y for x, y in zip(a, b[::-1])), reverse=True), count)]
+            count += 1
+        return parts[0][0]
+
+    rng = np.random.RandomState(0)
+    for n, k, most in ((8, 3, 20), (30, 4, 50), (40, 7, 9), (5, 5, 9), (60, 6, 1000)):
+        sizes = rng.randint(1, most, n).tolist()
+        parts = differencing(sizes, k)
+        assert sorted(i for p in parts for i in p) == list(range(n))
+        sums = sorted((sum(sizes[i] for i in p) for p in parts), reverse=True)
+        assert sums + [0] * (k - len(sums)) == plain(sizes, k)
+
+
+def test_many_tiny_tasks_pack_without_padding(spark):
+    """Tasks of less than a window have sequences of powers of two alone, and nothing is lost."""
+    import public_tokenizers
+    from wavemill.llm.packing import pack_documents
+
+    df = spark.createDataFrame([(i, "some words here " * (i % 5 + 1)) for i in range(120)], "doc_id long, text string").repartition(40)
+    got = pack_documents(df, public_tokenizers.path("word_bpe_49k.json"), 2).toPandas()
+    sizes = got.groupby("sequence_id")["length"].sum()
+    assert all(n & (n - 1) == 0 for n in sizes) and set(got["doc_id"]) == set(range(120))
+    assert (got.groupby("doc_id")["length"].sum() == got.groupby("doc_id")["doc_tokens"].first()).all()

@@ -59,6 +59,12 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as tasks can run at once, where it has fewer: a small file is one split, and one task would do all the work."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """mapInArrow over all columns of df, whatever they are called; run's columns are taken in the order of the schema."""
 

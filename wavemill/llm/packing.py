@@ -22,10 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import slack
+from ._shared import column, slack
 
 #: Tokens of rests packed together, and the most tokens of a piece: more and smaller pieces leave less padding.
 GROUP_TOKENS = 600_000
@@ -155,7 +154,7 @@ def pack_partition(docs: Iterator[tuple[int | None, bytes]], first: int, capacit
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each packed piece (PIECES, and ``ids`` with its bytes if with_ids); sequence ids are unique."""
     slack(docs, [id_col, text_col], "pack_documents")
-    schema = T.StructType([T.StructField(id_col, T.LongType()), *PIECES.fields[1:], *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
+    schema = T.StructType([T.StructField("_id", T.LongType()), *PIECES.fields[1:], *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,4 +175,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(column(id_col).cast("long").alias("_id"), column(text_col).alias("_text")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)

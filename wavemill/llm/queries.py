@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import spread
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,13 +41,13 @@ def tokenizer_path(name: str) -> str:
 def op4_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import encode_documents
 
-    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return encode_documents(spread(_table(spark, sf_dir, "documents")), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
 def op5_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_id
 
-    return language_id(_table(spark, sf_dir, "documents"))
+    return language_id(spread(_table(spark, sf_dir, "documents")))
 
 
 def op6_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def op6_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, capacity=4096)
+    return pack_documents(spread(_table(spark, sf_dir, "documents")), tokenizer_path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import filesystem, fresh, slack, written
+from ._shared import column, filesystem, fresh, slack, written
 
 MAGIC = b"S8B1"
 BLOCK_IDS = 1024
@@ -220,7 +220,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         if writer is not None:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     order = ["id", F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     files = written(ordered.mapInArrow(run, schema), "token-files")
@@ -232,7 +232,7 @@ def read_tokens(files: DataFrame, id_col: str = "doc_id", with_ids: bool = False
     """One row for each document, read from the files: id, start, n_tokens, ids_crc32 and, if with_ids, the ids' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [id_col, "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+        names = ["_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, name = filesystem(path)
@@ -253,8 +253,8 @@ def read_tokens(files: DataFrame, id_col: str = "doc_id", with_ids: bool = False
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows[: len(names)], kinds, strict=False)], names=names)
 
     n = max(files.sparkSession.sparkContext.defaultParallelism, 1)
-    schema = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return files.select("path", "start").repartition(max(n, _count(files)), "path").mapInArrow(run, schema)
+    schema = f"_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return files.select("path", "start").repartition(max(n, _count(files)), "path").mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def _count(files: DataFrame) -> int:

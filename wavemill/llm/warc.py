@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import filesystem, fresh, slack, written
+from ._shared import column, dealt_join, filesystem, fresh, slack, written
 
 MIN_REVISIT = 100
 #: A file is closed once it holds so many bytes.
@@ -89,11 +89,11 @@ def ranges(spans: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
 
 def _decided(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """pages with digest and refers_to; only narrow rows meet by digest, whole pages are joined by id and digest."""
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("digest"))
+    payload = F.coalesce(column(html_col), F.lit("")).cast("binary")
+    rows = pages.select(column(id_col).cast("long").alias("page_id"), F.coalesce(column(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("digest"))
     large = rows.where(F.octet_length("payload") >= MIN_REVISIT)
     first = large.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL")
-    revisit = large.select("page_id", "digest").join(first.drop("n"), "digest").where("NOT page_id <=> first_id").distinct()
+    revisit = dealt_join(large.select("page_id", "digest"), first.drop("n"), ["digest"]).where("NOT page_id <=> first_id").distinct()
     keyed = revisit.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("first_id").alias("refers_to"))
     return rows.join(keyed, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
