@@ -492,6 +492,14 @@ def _values(*columns: str, rows: np.ndarray) -> str:
     return f"(SELECT * FROM (VALUES {listed}) v({', '.join(columns)}))"
 
 
+#: As many trials as the events have users.
+_USERS = "(SELECT unnest(range((SELECT count(DISTINCT user_id) FROM events))) AS trial)"
+
+
+def _users(s: SparkSession, d: str) -> int:
+    return V.table(s, d, "events").agg(F.countDistinct("user_id")).first()[0]
+
+
 def simulated(sql: str):
     def keep(f):
         SQL[f.__name__] = sql
@@ -505,24 +513,24 @@ def _rounded(x: DataFrame) -> DataFrame:
 
 
 @simulated(f"""WITH d AS {_values("k", "l", "d", rows=SIM.simulated_atoms(2, 16))},
-z AS (SELECT trial, k, CAST(floor({_uniform("42t", "trial", "k")} * 113) AS INTEGER) AS t, {_uniform("42z", "trial", "k")} AS z FROM range(10) r(trial), range(2) q(k))
+z AS (SELECT trial, k, CAST(floor({_uniform("42t", "trial", "k")} * 113) AS INTEGER) AS t, {_uniform("42z", "trial", "k")} AS z FROM {_USERS}, range(2) q(k))
 SELECT trial, 0 AS channel, CAST(t + l AS INTEGER) AS t, round(sum(z * d), 9) AS x FROM z JOIN d USING (k) GROUP BY trial, t + l""")
 def simulate_csc(s, d):
-    return _rounded(SIM.simulate_data(s, 10, 128, 16, 2)[0])
+    return _rounded(SIM.simulate_data(s, _users(s, d), 128, 16, 2)[0])
 
 
 @simulated(f"""WITH u AS {_values("channel", "u", rows=SIM.channel_map(3, 0))},
-w AS (SELECT trial, CAST(t AS INTEGER) AS t, t / 60.0 AS s, 2 * pi() * 10 * (t / 60.0) + 2 * pi() * {_uniform("0p", "trial")} AS turn, 0.05 * 239 / 2.0 AS edge FROM range(4) r(trial), range(240) q(t))
+w AS (SELECT trial, CAST(t AS INTEGER) AS t, t / 60.0 AS s, 2 * pi() * 10 * (t / 60.0) + 2 * pi() * {_uniform("0p", "trial")} AS turn, 0.05 * 239 / 2.0 AS edge FROM {_USERS}, range(240) q(t))
 SELECT trial, channel, t, round((u * CASE WHEN s >= 2 AND s < 3 THEN sin(turn + 0.8 * cos(turn)) ELSE 0 END + 0.01 * {_gaussian("0", "trial", "channel", "t")})
   * CASE WHEN t < edge THEN 0.5 * (1 + cos(pi() * (t / edge - 1))) WHEN t > 239 - edge THEN 0.5 * (1 + cos(pi() * ((239 - t) / edge - 1))) ELSE 1 END, 9) AS x FROM w, u""")
 def simulate_mu_wave(s, d):
-    return _rounded(SIM.simulate_mu_wave(s, 4, 3, 4, sfreq=60.0))
+    return _rounded(SIM.simulate_mu_wave(s, _users(s, d), 3, 4, sfreq=60.0))
 
 
 @simulated(f"""WITH u AS {_values("k", "channel", "u", rows=SIM.rank1_maps(3, 16)[0])}, v AS {_values("k", "l", "v", rows=SIM.rank1_maps(3, 16)[1])},
-z AS (SELECT trial, k, t, {_uniform("0z", "trial", "k", "t")} AS z FROM range(4) r(trial), range(2) q(k), range(100) p(t) WHERE {_uniform("0hit", "trial", "k", "t")} < 0.05),
-n AS (SELECT trial, channel, t, 0.1 * {_gaussian("0", "trial", "channel", "t")} AS x FROM range(4) r(trial), range(3) q(channel), range(115) p(t))
+z AS (SELECT trial, k, t, {_uniform("0z", "trial", "k", "t")} AS z FROM {_USERS}, range(2) q(k), range(100) p(t) WHERE {_uniform("0hit", "trial", "k", "t")} < 0.05),
+n AS (SELECT trial, channel, t, 0.1 * {_gaussian("0", "trial", "channel", "t")} AS x FROM {_USERS}, range(3) q(channel), range(115) p(t))
 SELECT trial, CAST(channel AS INTEGER) AS channel, CAST(t AS INTEGER) AS t, round(sum(x), 9) AS x
 FROM (SELECT trial, channel, t + l AS t, z * u * v AS x FROM z JOIN u USING (k) JOIN v USING (k) UNION ALL SELECT trial, channel, t, x FROM n) GROUP BY ALL""")
 def simulate_rank1(s, d):
-    return _rounded(SIM.rank1_signals(s, 4, 3, 100, 16)[0])
+    return _rounded(SIM.rank1_signals(s, _users(s, d), 3, 100, 16)[0])

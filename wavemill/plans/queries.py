@@ -43,6 +43,16 @@ ztx AS (SELECT k, channel, CAST(x.t - z.t AS INTEGER) AS l, CAST(sum(z * x) AS B
 zd AS (SELECT ztz.k, d.channel, CAST(l + dt AS INTEGER) AS l, CAST(sum(v * d) AS BIGINT) AS v FROM ztz JOIN d ON ztz.k2 = d.k WHERE l + dt BETWEEN 0 AND {L - 1} GROUP BY ALL),
 gz AS (SELECT trial, k, CAST(t - l AS INTEGER) AS t, CAST({REG} - sum(r * d) AS BIGINT) AS g FROM r JOIN d USING (channel) WHERE t - l BETWEEN 0 AND {TV - 1} GROUP BY ALL),
 gd AS (SELECT k, channel, l, CAST(sum(v) AS BIGINT) AS g FROM (SELECT * FROM zd UNION ALL SELECT k, channel, l, -v FROM ztx) GROUP BY ALL)"""
+#: The same names for atoms that are drawn from the events.
+_DRAWN = f"""
+types AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS channel FROM (SELECT DISTINCT event_type FROM events)),
+x AS (SELECT user_id AS trial, channel, CAST(floor((epoch(ts) - {V.EPOCH_2024}) / 3600) AS INTEGER) AS t,
+             CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS x FROM events JOIN types USING (event_type) GROUP BY ALL),
+p AS (SELECT CAST(trial % 2 AS INTEGER) AS k, channel, CAST(t % {L} AS INTEGER) AS l, t, x FROM x WHERE t >= 0),
+u AS (SELECT k, channel, CAST(sum(CASE WHEN x % 3 = 0 THEN 2 ELSE -1 END) AS BIGINT) AS u FROM p GROUP BY k, channel),
+a AS (SELECT k, l, CAST(sum(CASE WHEN x % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS v FROM p GROUP BY k, l),
+d AS (SELECT k, channel, l, CAST(sum(CASE WHEN x % 2 = 0 THEN 1 + t % 3 ELSE -1 END) AS BIGINT) AS d FROM p GROUP BY k, channel, l),
+uv AS (SELECT k, channel, l, CAST(u * v AS BIGINT) AS d FROM u JOIN a USING (k))"""
 _EMBEDDINGS = f"""
 e AS (SELECT vec_id AS trial, CAST(i - 1 AS INTEGER) AS t, CAST(round(CAST(embedding[i] AS DOUBLE) * 1000) AS BIGINT) AS x FROM embeddings, range(1, {E + 1}) r(i)),
 z AS (SELECT trial, CASE WHEN x > 0 THEN 0 ELSE 1 END AS k, t, CAST(1 AS BIGINT) AS z FROM e WHERE t < {EV} AND abs(x) > 150),
@@ -112,14 +122,14 @@ def code_signal_correlation(s, d):
     return C.signal_correlation(z, x, L)
 
 
-@query(_EVENTS, f"SELECT p.k, q.k AS k2, CAST(q.l - p.l AS INTEGER) AS dt, CAST(sum(p.d * q.d) AS BIGINT) AS v FROM d p JOIN d q ON p.channel = q.channel AND abs(q.l - p.l) < {L} GROUP BY ALL")
+@query(_DRAWN, f"SELECT p.k, q.k AS k2, CAST(q.l - p.l AS INTEGER) AS dt, CAST(sum(p.d * q.d) AS BIGINT) AS v FROM d p JOIN d q ON p.channel = q.channel AND abs(q.l - p.l) < {L} GROUP BY ALL")
 def atom_gram(s, d):
-    return C.atom_gram(V.integer_atoms(s, P5), L)
+    return C.atom_gram(V.event_atoms(s, d, L), L)
 
 
-@query(_EVENTS, f"SELECT p.k, q.k AS k2, CAST(q.l - p.l AS INTEGER) AS dt, CAST(sum(p.d * q.d) AS BIGINT) AS v FROM d p JOIN d q ON p.channel = q.channel AND abs(q.l - p.l) < {L} GROUP BY ALL")
+@query(_DRAWN, f"SELECT p.k, q.k AS k2, CAST(q.l - p.l AS INTEGER) AS dt, CAST(sum(p.d * q.d) AS BIGINT) AS v FROM uv p JOIN uv q ON p.channel = q.channel AND abs(q.l - p.l) < {L} GROUP BY ALL")
 def atom_gram_rank1(s, d):
-    return C.rank1_gram(*V.integer_uv(s, P5), L)
+    return C.rank1_gram(*V.event_uv(s, d, L), L)
 
 
 @query(_EVENTS, "SELECT k, channel, l, v FROM zd")
@@ -299,9 +309,9 @@ def ista_step(s, d):
 # Atoms
 
 
-@query(_EVENTS, "SELECT k, channel, l, round(d / norm, 9) AS d, round(norm, 9) AS norm FROM d JOIN (SELECT k, greatest(1.0, sqrt(CAST(sum(d * d) AS DOUBLE))) AS norm FROM d GROUP BY k) USING (k)")
+@query(_DRAWN, "SELECT k, channel, l, round(d / norm, 9) AS d, round(norm, 9) AS norm FROM d JOIN (SELECT k, greatest(1.0, sqrt(CAST(sum(d * d) AS DOUBLE))) AS norm FROM d GROUP BY k) USING (k)")
 def project_d(s, d):
-    found = AT.project_d(V.integer_atoms(s, P5))
+    found = AT.project_d(V.event_atoms(s, d, L))
     return found.select("k", "channel", "l", F.round("d", 9).alias("d"), F.round("norm", 9).alias("norm"))
 
 
@@ -312,31 +322,31 @@ def _uv(u: DataFrame, v: DataFrame) -> DataFrame:
 _NORMS = "nu AS (SELECT k, CAST(sum(u * u) AS DOUBLE) AS q FROM u GROUP BY k), nv AS (SELECT k, CAST(sum(v * v) AS DOUBLE) AS q FROM a GROUP BY k)"
 
 
-@query(_EVENTS + ",\n" + _NORMS, "SELECT k, 0 AS part, channel AS i, round(u / greatest(1.0, sqrt(q)), 9) AS x FROM u JOIN nu USING (k) UNION ALL SELECT k, 1, l, round(v / greatest(1.0, sqrt(q)), 9) FROM a JOIN nv USING (k)")
+@query(_DRAWN + ",\n" + _NORMS, "SELECT k, 0 AS part, channel AS i, round(u / greatest(1.0, sqrt(q)), 9) AS x FROM u JOIN nu USING (k) UNION ALL SELECT k, 1, l, round(v / greatest(1.0, sqrt(q)), 9) FROM a JOIN nv USING (k)")
 def project_uv(s, d):
-    return _uv(*AT.project_uv(*V.integer_uv(s, P5), "separate"))
+    return _uv(*AT.project_uv(*V.event_uv(s, d, L), "separate"))
 
 
-@query(_EVENTS + ",\n" + _NORMS + ", nj AS (SELECT k, nu.q + nv.q AS q FROM nu JOIN nv USING (k))", "SELECT k, 0 AS part, channel AS i, round(u / greatest(1.0, sqrt(q)), 9) AS x FROM u JOIN nj USING (k) UNION ALL SELECT k, 1, l, round(v / greatest(1.0, sqrt(q)), 9) FROM a JOIN nj USING (k)")
+@query(_DRAWN + ",\n" + _NORMS + ", nj AS (SELECT k, nu.q + nv.q AS q FROM nu JOIN nv USING (k))", "SELECT k, 0 AS part, channel AS i, round(u / greatest(1.0, sqrt(q)), 9) AS x FROM u JOIN nj USING (k) UNION ALL SELECT k, 1, l, round(v / greatest(1.0, sqrt(q)), 9) FROM a JOIN nj USING (k)")
 def project_uv_joint(s, d):
-    return _uv(*AT.project_uv(*V.integer_uv(s, P5), "joint"))
+    return _uv(*AT.project_uv(*V.event_uv(s, d, L), "joint"))
 
 
-@query(_EVENTS, "SELECT k, channel, l, d FROM d")
+@query(_DRAWN, "SELECT k, channel, l, d FROM uv")
 def uv_to_full(s, d):
-    return AT.uv_to_full(*V.integer_uv(s, P5))
+    return AT.uv_to_full(*V.event_uv(s, d, L))
 
 
-@query(_EVENTS, """SELECT k, 0 AS part, channel AS i, CAST(-u * s AS BIGINT) AS x FROM u JOIN g USING (k) UNION ALL SELECT k, 1, l, CAST(-v * s AS BIGINT) FROM a JOIN g USING (k)""".replace("g USING", "(SELECT k, CASE WHEN arg_max(-v, abs(v) * 100 - l) < 0 THEN -1 ELSE 1 END AS s FROM a GROUP BY k) USING"))
+@query(_DRAWN, """SELECT k, 0 AS part, channel AS i, CAST(-u * s AS BIGINT) AS x FROM u JOIN g USING (k) UNION ALL SELECT k, 1, l, CAST(-v * s AS BIGINT) FROM a JOIN g USING (k)""".replace("g USING", "(SELECT k, CASE WHEN arg_max(-v, abs(v) * 100 - l) < 0 THEN -1 ELSE 1 END AS s FROM a GROUP BY k) USING"))
 def flip_uv(s, d):
-    u, v = V.integer_uv(s, P5)
+    u, v = V.event_uv(s, d, L)
     u, v = AT.flip_uv(u.withColumn("u", -F.col("u")), v.withColumn("v", -F.col("v")))
     return u.select("k", F.lit(0).alias("part"), F.col("channel").alias("i"), F.col("u").alias("x")).union(v.select("k", F.lit(1), "l", "v"))
 
 
-@query(_EVENTS, "SELECT CAST(max(k) + 1 AS INTEGER) AS atoms, CAST(max(channel) + 1 AS INTEGER) AS channels, CAST(max(l) + 1 AS INTEGER) AS length FROM d")
+@query(_DRAWN, "SELECT CAST(max(k) + 1 AS INTEGER) AS atoms, CAST(max(channel) + 1 AS INTEGER) AS channels, CAST(max(l) + 1 AS INTEGER) AS length FROM d")
 def dictionary_shape(s, d):
-    return AT.dictionary_shape(V.integer_atoms(s, P5)).select(*(F.col(c).cast("int").alias(c) for c in ("atoms", "channels", "length")))
+    return AT.dictionary_shape(V.event_atoms(s, d, L)).select(*(F.col(c).cast("int").alias(c) for c in ("atoms", "channels", "length")))
 
 
 @query(_EVENTS, f"SELECT k, channel, CAST(x.t - t0 AS INTEGER) AS l, x AS d FROM x JOIN (VALUES (0, 1, 10), (1, 3, 200), (2, 5, 500)) w(k, trial, t0) ON x.trial = w.trial AND x.t - t0 BETWEEN 0 AND {L - 1}")
@@ -516,12 +526,13 @@ def normalized_codes(s, d):
     return A.normalized_codes(V.event_codes(s, d, TV))
 
 
-_TRACE = [(i, "z" if i % 2 else "d", 100.0 / (i + 1) + 3, 0.5 * (i + 1)) for i in range(12)]
-
-
-@query("tr AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {o!r}, {x!r})" for i, _, o, x in _TRACE) + ") w(iter, objective, seconds))", "SELECT iter, CAST(sum(seconds) OVER (ORDER BY iter) AS DOUBLE) AS seconds, round((objective - min(objective) OVER ()) / min(objective) OVER () + 1e-6, 9) AS gap FROM (SELECT iter, CAST(objective AS DOUBLE) AS objective, CAST(seconds AS DOUBLE) AS seconds FROM tr)")
+@query(_EVENTS, """SELECT iter, sum(seconds) OVER (ORDER BY iter) AS seconds, round((objective - min(objective) OVER ()) / min(objective) OVER () + 1e-6, 9) AS gap
+FROM (SELECT CAST(t // 24 AS INTEGER) AS iter, CAST(sum(abs(x)) AS DOUBLE) AS objective, CAST(count(*) AS DOUBLE) AS seconds FROM x WHERE t >= 0 GROUP BY t // 24)""")
 def convergence_curve(s, d):
-    return A.convergence_curve(s.createDataFrame(_TRACE, "iter int, step string, objective double, seconds double")).withColumn("gap", F.round("gap", 9))
+    """The days of the events as a trace: amounts as the objective, numbers of events as seconds."""
+    day = V.event_signal(s, d).where("t >= 0").groupBy(F.expr("cast(t div 24 AS int)").alias("iter"))
+    trace = day.agg(F.sum(F.abs("x")).cast("double").alias("objective"), F.count("*").cast("double").alias("seconds")).withColumn("step", F.lit("z"))
+    return A.convergence_curve(trace).withColumn("gap", F.round("gap", 9))
 
 
 @query(_EVENTS, "SELECT channel, round(exp(avg(ln(CAST(x AS DOUBLE)))), 6) AS gmean FROM x WHERE x > 0 GROUP BY channel")

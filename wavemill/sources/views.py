@@ -69,6 +69,20 @@ def shipping_codes(spark: SparkSession, sf_dir: str, valid: int) -> DataFrame:
     return one.unionByName(x.where("t % 5 = 0").select("trial", F.lit(1).alias("k"), "t", F.lit(2).cast("long").alias("z")))
 
 
+def event_uv(spark: SparkSession, sf_dir: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of two integer atoms, of even and of odd users: counts by channel and by time of day, with signs that the amounts give."""
+    x = event_signal(spark, sf_dir).where("t >= 0").select((F.col("trial") % 2).cast("int").alias("k"), "channel", (F.col("t") % length).cast("int").alias("l"), "x")
+    u = x.groupBy("k", "channel").agg(F.sum(F.when(F.col("x") % 3 == 0, 2).otherwise(-1)).alias("u"))
+    return u, x.groupBy("k", "l").agg(F.sum(F.when(F.col("x") % 2 == 0, 1).otherwise(-1)).alias("v"))
+
+
+def event_atoms(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    """Two integer atoms (k, channel, l, d), of even and of odd users."""
+    x = event_signal(spark, sf_dir).where("t >= 0")
+    height = F.when(F.col("x") % 2 == 0, 1 + F.col("t") % 3).otherwise(-1)
+    return x.groupBy((F.col("trial") % 2).cast("int").alias("k"), "channel", (F.col("t") % length).cast("int").alias("l")).agg(F.sum(height).cast("long").alias("d"))
+
+
 #: Integer atoms of length 6, by (atom); channel p carries them times p + 1, so each has rank one.
 ATOM_TIMES = [[1, 2, 3, 3, 2, 1], [1, 1, 1, -1, -1, -1]]
 LENGTH = 6
