@@ -67,7 +67,19 @@ def test_shape_checks(signal):
 def test_zero_mean_shapes(spark):
     for shape in ("triangle", "square", "sin", "cos"):
         x = np.array([r.x for r in simulate.shapes_table(spark, shape, 24, 2, zero_mean=True).orderBy("l").collect()])
-        assert len(x) == 24 and abs(x.mean()) < 1e-12 and np.ptp(x) > 1
+        assert len(x) == 24 and abs(x.mean()) < 1e-12 and np.ptp(x) > 0.999
+
+
+@pytest.mark.parametrize("length,cycles", [(24, 2), (33, 2), (7, 3), (10, 1)])
+def test_shapes_by_their_definition(spark, length, cycles):
+    """Ramps whose ends are both samples, halves of 0.5 and -0.5, and waves whose last sample ends their last period."""
+    half = length // (2 * cycles)
+    ramp = np.linspace(0, 1, half)
+    turn = 2 * np.pi * cycles * np.linspace(0, 1, length)
+    want = {"triangle": [*ramp, *ramp[::-1]] * cycles, "square": ([0.5] * half + [-0.5] * half) * cycles, "sin": np.sin(turn), "cos": np.cos(turn)}
+    for shape, x in want.items():
+        got = [r.x for r in simulate.shapes_table(spark, shape, length, cycles).orderBy("l").collect()]
+        assert np.allclose(got, np.pad(np.asarray(x, dtype=float), (0, length - len(x))))
 
 
 def test_uniform_and_gaussian_numbers(spark):

@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checks import check_dimensions, check_same_length
 from ..kernels import csc
+from ..operators.shared import settled
 
 BLOCKS = "trial long, x binary, w binary, z binary"
 
@@ -65,10 +67,9 @@ class Encoder:
     def __post_init__(self) -> None:
         if self.solver not in (*csc.SOLVERS, "l_bfgs"):
             raise ValueError(f"solver_z must be one of {', '.join(csc.SOLVERS)}, not {self.solver!r}")
-        if np.ndim(self.d) != 3:
-            raise ValueError(f"the dictionary has {np.ndim(self.d)} dimensions, not atoms, channels and length")
-        if np.size(self.reg) not in (1, len(self.d)):
-            raise ValueError(f"{np.size(self.reg)} regularisations for {len(self.d)} atoms")
+        check_dimensions(np.shape(self.d), "kpl")
+        if np.size(self.reg) != 1:
+            check_same_length(regularisations=np.ravel(self.reg), atoms=self.d)
         if np.min(self.reg) < 0:
             raise ValueError("the regularisation must not be negative")
         if not self.positive and self.solver in ("l-bfgs", "l_bfgs"):
@@ -95,10 +96,9 @@ class Encoder:
 
     def set_d(self, d: np.ndarray) -> None:
         """Takes another dictionary, of the same channels and length; a regularisation for each atom must fit it."""
-        if d.ndim != 3 or d.shape[1:] != self.d.shape[1:]:
-            raise ValueError(f"the dictionary has shape {d.shape}, not (atoms, {self.d.shape[1]}, {self.d.shape[2]})")
-        if np.size(self.reg) not in (1, len(d)):
-            raise ValueError(f"{np.size(self.reg)} regularisations for {len(d)} atoms")
+        check_dimensions(d.shape, "kpl", p=self.d.shape[1], l=self.d.shape[2])
+        if np.size(self.reg) != 1:
+            check_same_length(regularisations=np.ravel(self.reg), atoms=d)
         self.d = d
 
     def update_reg(self, table: DataFrame, share: float, mode: str) -> None:
@@ -191,8 +191,6 @@ class Trials:
         self.table, self.channels, self.length = table, channels, length
 
     def encode(self, encoder: Encoder, warm: bool = True, unbiased: bool = False) -> None:
-        from .shared import settled
-
         self.table = settled(encoder.encode(self.table, warm, unbiased))
 
     def statistics(self, encoder: Encoder) -> Statistics:
@@ -356,7 +354,6 @@ def encode_long_signal(x: DataFrame, d: np.ndarray, reg: float, channels: int, t
     It ends when a round of all blocks moves nothing by more than the tolerance.
     """
     from .long import LongSignal
-    from .shared import settled
 
     with LongSignal(x, channels, times, d.shape[2], block) as signal:
         signal.encode(Encoder(d, reg, "lgcd", {"tol": tol}), rounds, tol)

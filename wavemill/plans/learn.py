@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.checks import check_random_state
 from ..kernels import dictionary as dic
 from . import encode as E
 from .long import LongSignal
-from .shared import settled
+from ..operators.shared import settled
 
 
 @dataclass
@@ -62,7 +63,7 @@ def resolve_solver(solver_d: str, uv_constraint: str, rank1: bool) -> tuple[str,
 def initial_dictionary(source: E.Trials | LongSignal, n_atoms: int, how="random", rank1: bool = False, constraint: str = "separate", window: bool = False, seed: int | None = None) -> np.ndarray:
     """"random", "chunk" (patches at random places), "greedy" (no atom yet) or an array; (K, P, L) or (K, P + L)."""
     length, channels = source.length, source.channels
-    rng = np.random.RandomState(seed)
+    rng = check_random_state(seed)
     shape = (n_atoms, channels + length) if rank1 else (n_atoms, channels, length)
     if isinstance(how, np.ndarray):
         if how.shape != shape:
@@ -251,7 +252,7 @@ def learn(
         raise ValueError(f"D_resample must be greedy, chunk or random, not {D_resample!r}")
     if block is not None and algorithm not in ("batch", "greedy"):
         raise ValueError("blocks of long trials are learned from all at once; use batch or greedy")
-    rng = np.random.RandomState(random_state)
+    rng = check_random_state(random_state)
     value = F.col("x").cast("double")
     s = x.agg(F.sum(value).alias("s"), F.sum(value * value).alias("q"), F.countDistinct("trial").alias("trials")).first()
     if not s.trials:
@@ -379,7 +380,7 @@ def learn_univariate(x: DataFrame, n_atoms: int, n_times_atom: int, times: int,
     """
     signal = x.select("trial", F.lit(0).alias("channel"), "t", "x")
     table = settled(E.blocks(signal, 1, times, sample_weights))
-    rng = np.random.RandomState(random_state)
+    rng = check_random_state(random_state)
     d = (rng.randn(n_atoms, n_times_atom) if ds_init is None else ds_init.astype(float)).copy()
     d /= np.maximum(1.0, np.linalg.norm(d, axis=1, keepdims=True)) if ds_init is not None else np.linalg.norm(d, axis=1, keepdims=True)
     reg0 = np.asarray(reg, dtype=float)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import csc
 from . import encode as E
-from .shared import scratch
+from ..operators.shared import scratch
 
 KEY = ["trial", "b"]
 CODES = "trial long, b int, z binary, moved double, seen long"

@@ -12,7 +12,7 @@ from ..kernels import dictionary as dic
 from ..operators import convolution as C
 from . import encode as E
 from .learn import Learned, learn
-from .shared import settled
+from ..operators.shared import settled
 
 
 class ConvolutionalDictionaryLearning:

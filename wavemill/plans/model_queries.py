@@ -21,7 +21,7 @@ from . import learn as L
 from .long import LongSignal
 from .model import OnlineCDL, atoms_table
 from .queries import SQL as TABLE_SQL
-from .shared import scratch, settled
+from ..operators.shared import scratch, settled
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
