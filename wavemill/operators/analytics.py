@@ -91,8 +91,10 @@ def box_energy(dense_z: DataFrame, width: int) -> DataFrame:
 
 def log_ratio(e: DataFrame, baseline: int, floor: float = 1e-4) -> DataFrame:
     """(trial, k, t, ratio): log10 of the energy over its mean in the first ``baseline`` samples, both at least ``floor``."""
-    base = e.where(F.col("t") < baseline).groupBy("trial", "k").agg(F.avg("e").alias("b"))
-    return e.join(base, ["trial", "k"]).select("trial", "k", "t", F.log10(F.greatest("e", F.lit(floor)) / F.greatest("b", F.lit(floor))).alias("ratio"))
+    # Over the same groups as ``box_energy``, so the energies are neither shuffled nor made again.
+    base = F.avg(F.when(F.col("t") < baseline, F.col("e"))).over(Window.partitionBy("trial", "k"))
+    based = e.withColumn("b", base).where("b IS NOT NULL")
+    return based.select("trial", "k", "t", F.log10(F.greatest("e", F.lit(floor)) / F.greatest("b", F.lit(floor))).alias("ratio"))
 
 
 def whiskers(ratio: DataFrame, second: int) -> DataFrame:

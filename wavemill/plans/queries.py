@@ -506,7 +506,8 @@ _DENSE = f"dz AS (SELECT trial, k, CAST(t AS INTEGER) AS t, coalesce(z.z, 0) AS
 
 def _ratio(s: SparkSession, d: str) -> DataFrame:
     z = V.event_codes(s, d, TV)
-    full = C.grid(V.event_signal(s, d), 2, TV).withColumnRenamed("channel", "k")
+    users = V.table(s, d, "events").where("event_type IS NOT NULL").select(F.col("user_id").alias("trial"))
+    full = C.grid(users, 2, TV).withColumnRenamed("channel", "k")
     return A.log_ratio(A.box_energy(full.join(z, ["trial", "k", "t"], "left").fillna(0, ["z"]), 24), 24)
 
 
