@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from wavemill.plans import model_queries as M
 from wavemill.plans import queries as Q
+from wavemill.plans import step_queries as T
 from wavemill.sources import views as V
 
 
@@ -26,9 +27,9 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
     return df.astype(str).sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES) + sorted(M.SQL))
+@pytest.mark.parametrize("name", sorted(Q.QUERIES) + sorted(M.SQL) + sorted(T.SQL))
 def test_matches_duckdb(spark, sf, duck, name):
-    found, sql = Q.QUERIES | M.QUERIES, Q.SQL | M.SQL
+    found, sql = Q.QUERIES | M.QUERIES | T.QUERIES, Q.SQL | M.SQL | T.SQL
     got, want = found[name](spark, sf).toPandas(), duck.execute(sql[name]).df()
     assert len(got) and sorted(got.columns) == sorted(want.columns)
     pd.testing.assert_frame_equal(tidy(got), tidy(want))

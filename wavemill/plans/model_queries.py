@@ -34,7 +34,7 @@ def query(f):
 
 
 #: Vectors as series of 64 samples, in thousandths.
-_SERIES = f"""e AS (SELECT vec_id AS trial, CAST(i - 1 AS INTEGER) AS t, round(CAST(embedding[i] AS DOUBLE) * 1000) AS x
+SERIES = f"""e AS (SELECT vec_id AS trial, CAST(i - 1 AS INTEGER) AS t, round(CAST(embedding[i] AS DOUBLE) * 1000) AS x
     FROM embeddings, range(1, {V.EMBEDDING + 1}) r(i))"""
 _TURN = f"2 * pi() / {V.EMBEDDING}"
 
@@ -43,7 +43,7 @@ def checked(sql: str):
     """Registers a query of the vectors' series with its SQL."""
 
     def keep(f):
-        SQL[f.__name__] = f"WITH {_SERIES}{sql}"
+        SQL[f.__name__] = f"WITH {SERIES}{sql}"
         return query(f)
 
     return keep
