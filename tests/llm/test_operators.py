@@ -750,3 +750,22 @@ def test_many_tiny_tasks_pack_without_padding(spark):
     sizes = got.groupby("sequence_id")["length"].sum()
     assert all(n & (n - 1) == 0 for n in sizes) and set(got["doc_id"]) == set(range(120))
     assert (got.groupby("doc_id")["length"].sum() == got.groupby("doc_id")["doc_tokens"].first()).all()
+
+
+@pytest.mark.parametrize("bucket_rows,chunk", [(20_000, 10_000), (3, 2)])
+def test_slots_of_the_sql(spark, docs, plain, monkeypatch, bucket_rows, chunk):
+    """Many buckets and chunks give the slots of one; a row that is repeated often fills a row of slots."""
+    import duckdb
+    from wavemill.llm import oracles, sharding
+
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(sharding, "CHUNK", chunk)
+    hot = spark.createDataFrame([(5, "again", None, None, None)] * 45, nasty.SCHEMA)
+    rows = docs.select("doc_id", "text").unionByName(hot.select("doc_id", "text"))
+    documents = pd.DataFrame({"doc_id": pd.array([r[0] for r in plain] + [5] * 45, dtype="Int64"), "text": [r[1] for r in plain] + ["again"] * 45})
+    c = duckdb.connect()
+    c.register("documents", documents)
+    want = c.execute(oracles.SQL["op3_jump_sharding"]).fetchall()
+    names = [x[0] for x in c.description]
+    got = [tuple(r) for r in sharding.shard_documents(rows, 8).select(*names).collect()]
+    assert Counter(got) == Counter(want)

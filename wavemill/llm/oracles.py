@@ -28,7 +28,34 @@ def product_codes(rounds: int = 6) -> str:
         FROM q JOIN f USING (rid), h"""
 
 
+def _crc32(hexed: str) -> str:
+    """The checksum of hexadecimal text, bit by bit of each byte: the remainder of a byte is the sum of its bits' remainders."""
+    of_bit = []
+    for bit in range(8):
+        c = 1 << bit
+        for _ in range(8):
+            c = c >> 1 ^ (c & 1) * 0xEDB88320  # the polynomial
+        of_bit.append(c)
+    low = "c >> 8"
+    for bit, rest in enumerate(of_bit):
+        low = f"xor({low}, ((xor(c, v) >> {bit}) & 1) * {rest})"
+    values = f"list_transform(regexp_extract_all({hexed}, '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce({values}, lambda c, v: {low}, 4294967295), 4294967295)"
+
+
 SQL = {
+    "op3_jump_sharding": f"""
+        WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, CAST(strlen(x) + 1 AS BIGINT) AS size, {_crc32("hex(encode(x))")} AS text_crc32
+                 FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)),
+             j AS (SELECT id, n, CAST(CAST('0x' || md5(id)[1:16] AS UBIGINT) AS HUGEINT) AS key, -1::DOUBLE AS here, 0::DOUBLE AS next
+                   FROM (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null') AS id FROM documents), range(8, 10) s(n)
+                   UNION ALL
+                   SELECT id, n, key, next, floor((next + 1) * (2147483648::DOUBLE / (CAST(key // 8589934592 AS DOUBLE) + 1)))
+                   FROM (SELECT id, n, next, (key * 2862933555777941757 + 1) % 18446744073709551616 AS key FROM j WHERE next < n)),
+             p AS (SELECT id, CAST(max(CASE n WHEN 8 THEN here END) AS INTEGER) AS shard, CAST(max(CASE n WHEN 9 THEN here END) AS INTEGER) AS grown_shard FROM j GROUP BY id)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY
+                   CAST('0x' || md5(concat(id, ':', text_crc32, ':', size))[1:15] AS BIGINT), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+        FROM t JOIN p ON id = coalesce(CAST(doc_id AS VARCHAR), 'null')""",
     "op13_hamerly_codes": product_codes(),
     "op1_cover_substrings": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

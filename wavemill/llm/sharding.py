@@ -25,6 +25,8 @@ from ._shared import slack, written
 
 #: Rows of a bucket, about; the number of buckets follows the number of rows.
 BUCKET_ROWS = 20_000
+#: The most rows that are alike which one task deals out at a time.
+CHUNK = 10_000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -64,18 +66,25 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", name: st
 
 
 def slots(rows: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
-    """rows with ``slot``, gapless from 0 in each shard; ``order`` decides within a bucket.
+    """rows with ``slot``, gapless from 0 in each shard, in the order of the first 60 bits of the MD5 of ``order``, then of ``order`` itself.
 
-    A bucket is picked by ``order`` and by the task that wrote the row, so rows that are alike in all of it spread over buckets too.
+    Rows that are alike are counted before anything is shuffled and dealt out again, CHUNK at a time, once their slots are known; columns
+    besides ``order`` and the shard must follow from ``order``. A bucket is a range of the MD5, so slots do not depend on how many there are.
     """
-    rows = written(rows.withColumn("_task", F.spark_partition_id()), "slots")
-    buckets = max(1, rows.count() // BUCKET_ROWS)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order, "_task"), F.lit(buckets)).cast("int")).drop("_task")
-    counts = rows.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    text = F.concat_ws(":", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in order))
+    alike = rows.groupBy(*(f"`{c}`" for c in rows.columns)).agg(F.count("*").alias("_n"))
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK)))
+    alike = written(alike.withColumn("_key", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")).withColumn("_chunk", chunk), "slots")
+    own = F.least(F.lit(CHUNK), F.col("_n") - F.col("_chunk") * CHUNK)
+    bits = max(0, (alike.count() // BUCKET_ROWS).bit_length())
+    alike = alike.withColumn("_n", own.cast("long")).withColumn("_bucket", F.shiftright("_key", 60 - bits))
+    counts = alike.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_all"))
+    before = F.coalesce(F.sum("_all").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = counts.select(shard, "_bucket", before.alias("_first"))  # one row for each bucket, BUCKET_ROWS times fewer than rows
-    rank = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*order))
-    return rows.withColumn("_rank", rank).join(first, [shard, "_bucket"]).withColumn("slot", (F.col("_first") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_rank", "_first")
+    inside = Window.partitionBy(shard, "_bucket").orderBy("_key", *(F.col(f"`{c}`") for c in order), "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(first, [shard, "_bucket"])
+    placed = placed.withColumn("_at", F.col("_first") + F.col("_inside")).repartition("_key", "_chunk")  # a hot row's chunks part again
+    return placed.withColumn("slot", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_n") - 1))).select(*(f"`{c}`" for c in rows.columns), "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
