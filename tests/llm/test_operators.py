@@ -769,3 +769,21 @@ def test_slots_of_the_sql(spark, docs, plain, monkeypatch, bucket_rows, chunk):
     names = [x[0] for x in c.description]
     got = [tuple(r) for r in sharding.shard_documents(rows, 8).select(*names).collect()]
     assert Counter(got) == Counter(want)
+
+
+def test_blocks_of_the_benchmark_are_one_scan(spark, docs, monkeypatch):
+    """Many blocks, held against a few texts at a time, give the hits of one block, and documents are read once."""
+    from wavemill.llm import decontamination as D
+
+    rows = docs.select("doc_id", "text")
+    bench = rows.where("length(text) BETWEEN 30 AND 2000").selectExpr("coalesce(doc_id, -1) AS item_id", "text")
+    want = Counter((r.doc_id, r.item_id, round(r.coverage, 9)) for r in D.contaminated(rows, bench).collect())
+    assert len(D.blocks(bench, "item_id", "text", 5, 0.5, 2000)) > 5
+    monkeypatch.setattr(D, "HELD_BYTES", 1000)
+    got = D.contaminated(rows, bench, block_bytes=2000)
+    assert want and Counter((r.doc_id, r.item_id, round(r.coverage, 9)) for r in got.collect()) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    hit = {d for d, _, _ in want}
+    named = rows.where("doc_id IS NOT NULL")
+    left = D.clean(named, bench, block_bytes=2000).collect()
+    assert Counter(tuple(r) for r in left) == Counter(tuple(r) for r in named.collect() if r.doc_id not in hit)

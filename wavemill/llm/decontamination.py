@@ -6,8 +6,9 @@ ones are extended, the longest are marked first, and the search length falls unt
 were cut and put in another order still cover the item. A pair is a hit when its tiles cover at least ``threshold`` of the item.
 
 Tokens are runs of letters and digits, lower-cased; case, punctuation and white space do not matter. The benchmark is a stated
-query set: it is read in blocks of at most BLOCK_BYTES of text (a single item may exceed that), each sent to the tasks once, and
-every block is held against all documents in a narrow step, so neither hot items nor copies meet in one task.
+query set: tasks write it as blocks of at most BLOCK_BYTES of text (a single item may exceed that) to the shared folder. Documents are
+read once, in a narrow step that loads one block after another for every HELD_BYTES of text, so neither hot items nor copies meet in one
+task, nothing of the benchmark passes through the driver, and a task holds one block at a time.
 
 Items of fewer than LEAST tokens, which hold no seed, are matched whole: a text with all their tokens in a row is a hit, once.
 
@@ -18,7 +19,10 @@ task. Extra columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,13 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._shared import column as named
-from ._shared import map_batches, slack
+from ._shared import filesystem, fresh, map_batches, slack
 
 LEAST = 5
 THRESHOLD = 0.5
 BLOCK_BYTES = 1 << 24
+#: Text that a task holds against all blocks, if there are several, before it reads on.
+HELD_BYTES = 1 << 26
 
 
 def tokens(column: pa.Array, hasher: W.Hasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -175,20 +181,59 @@ class Block:
                 yield row, k, coverage, got
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int, threshold: float, most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The benchmark, block by block; the driver holds one block at a time."""
-    ids, texts, size = [], [], 0
-    for item, text in benchmark.select(named(item_col), named(text_col)).toLocalIterator():
-        if text is None:
-            continue
-        if ids and size + len(text.encode()) > most:
-            yield Block(ids, texts, least, threshold)
-            ids, texts, size = [], [], 0
-        ids.append(item)
-        texts.append(text)
-        size += len(text.encode())
-    if ids:
-        yield Block(ids, texts, least, threshold)
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int, threshold: float, most: int = BLOCK_BYTES) -> list[str]:
+    """Files of the benchmark's blocks, built and written by tasks to the shared folder; the driver sees their names only."""
+    rows = benchmark.select(named(item_col).alias("_item"), named(text_col).alias("_text")).where("_text IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0]
+    if size is None:
+        return []
+    folder = fresh(benchmark.sparkSession, "blocks")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = filesystem(folder)
+        fs.create_dir(path, recursive=True)
+
+        def write() -> pa.RecordBatch:
+            name = uuid.uuid4().hex  # of this attempt: only files of attempts that end well are named in the result
+            with fs.open_output_stream(f"{path}/{name}") as file:
+                file.write(pickle.dumps(Block(ids, texts, least, threshold), 5))
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+        ids, texts, held = [], [], 0
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(text.encode())
+                if ids and held + n > most:
+                    yield write()
+                    ids, texts, held = [], [], 0
+                ids.append(item)
+                texts.append(text)
+                held += n
+        if ids:
+            yield write()
+
+    found = rows.coalesce(-(-max(size, 1) // most)).mapInArrow(build, "path string").collect()  # a name for each block
+    return sorted(r.path for r in found)
+
+
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> Block:
+    fs, name = filesystem(path)
+    with fs.open_input_file(name) as file:
+        return pickle.loads(file.readall())
+
+
+def _held(batches: Iterator[pa.RecordBatch], column: int, paths: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that are held against one block after another: HELD_BYTES of text, so that blocks are seldom loaded; a single block stays."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.column(column).nbytes
+        if len(paths) == 1 or size >= HELD_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -202,40 +247,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = f"`{id_col}` {key}, `{item_col}` {other}, coverage double, tiles {tile}"
     kind = pa.list_(pa.struct([("item_token", pa.int32()), ("doc_token", pa.int32()), ("length", pa.int32())]))
 
-    def against(sent) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            for batch in batches:
-                found = list(block.hits(batch.column(1)))
-                if found:
-                    parts = [[{"item_token": p, "doc_token": t, "length": n} for p, t, n in sorted(f[3])] for f in found]
-                    item = pa.array([block.ids[f[1]] for f in found])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found])), item, pa.array([f[2] for f in found]), pa.array(parts, kind)], names=[id_col, item_col, "coverage", "tiles"])
+    paths = blocks(benchmark, item_col, item_text_col, least, threshold, block_bytes)
+    if not paths:
+        return spark.createDataFrame([], schema)
 
-        return rows.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _held(batches, 1, paths):
+            for path in paths:
+                block = _loaded(path)
+                for batch in some:
+                    found = list(block.hits(batch.column(1)))
+                    if found:
+                        parts = [[{"item_token": p, "doc_token": t, "length": n} for p, t, n in sorted(f[3])] for f in found]
+                        item = pa.array([block.ids[f[1]] for f in found])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found])), item, pa.array([f[2] for f in found]), pa.array(parts, kind)], names=[id_col, item_col, "coverage", "tiles"])
 
-    out = None
-    for block in blocks(benchmark, item_col, item_text_col, least, threshold, block_bytes):
-        part = against(spark.sparkContext.broadcast(block))
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    return rows.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs without a hit: a narrow filter for each block, so no text is shuffled."""
+    """The rows of docs without a hit: a narrow filter, so no text is shuffled."""
     slack(docs, [text_col], "clean")
     slack(benchmark, [item_col, item_text_col], "clean benchmark")
     at = docs.columns.index(text_col)
-
-    def without(rows: DataFrame, sent) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = np.zeros(batch.num_rows, dtype=bool)
-                hit[[r for r, *_ in sent.value.hits(batch.column(at))]] = True
+    paths = blocks(benchmark, item_col, item_text_col, least, threshold, block_bytes)
+    if not paths:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _held(batches, at, paths):
+            hits = [np.zeros(batch.num_rows, dtype=bool) for batch in some]
+            for path in paths:
+                for batch, hit in zip(some, hits, strict=True):
+                    hit[[r for r, *_ in _loaded(path).hits(batch.column(at))]] = True
+            for batch, hit in zip(some, hits, strict=True):
                 yield batch.filter(pa.array(~hit)) if hit.any() else batch
 
-        return map_batches(rows, run, rows.schema)
-
-    for block in blocks(benchmark, item_col, item_text_col, least, threshold, block_bytes):
-        docs = without(docs, docs.sparkSession.sparkContext.broadcast(block))
-    return docs
+    return map_batches(docs, run, docs.schema)
