@@ -4,20 +4,21 @@ The generator that makes the shift stands on the row (``explode`` of a sequence)
 optimiser sees an equality on (trial, time) and hashes on both. All sums are two-phase aggregations; their results are as small as
 the dictionary. Dictionaries come from the driver, so Spark knows their size and picks the join; nothing is hinted.
 
-Where atoms of a few channels meet a signal or a code, channels are columns of a row (``Wide``): shifts then widen a row by atoms and
-lags only, and one aggregation sums all channels. With more than MOST_WIDE channels they stay rows, with the same results.
+Where atoms of a few channels meet a signal or a code, blocks of trials are sorted and widened a few thousand rows at a time
+(``spread``), so that no task hashes the widened rows. With more than MOST_WIDE channels they stay rows, with the same results.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import lags, offsets
+from ..kernels.sparse import Taps
+from . import spread as S
+from .spread import value_type
 
 
 def grid(trials: DataFrame, channels: int, times: int) -> DataFrame:
@@ -31,96 +32,39 @@ def dense(x: DataFrame, channels: int, times: int, trials: DataFrame | None = No
     return full.join(x, ["trial", "channel", "t"], "left").select("trial", "channel", "t", F.coalesce("x", F.lit(0).cast(x.schema["x"].dataType)).alias("x"))
 
 
-#: Channels that are columns at most.
+#: Channels of a dictionary that blocks take at most.
 MOST_WIDE = 32
 
 
-@dataclass
-class Wide:
-    """Rows (trial, t, c0, c1, ...), a column for each of ``channels``; null where a channel has no row."""
-
-    rows: DataFrame
-    channels: list[int]
-
-    @property
-    def columns(self) -> list[str]:
-        return [f"c{i}" for i in range(len(self.channels))]
-
-    def long(self, name: str = "x") -> DataFrame:
-        """(trial, channel, t, name) of what is there."""
-        each = F.explode(F.array(*(F.struct(F.lit(p).alias("channel"), F.col(c).alias(name)) for p, c in zip(self.channels, self.columns, strict=True)))).alias("at")
-        return self.rows.select("trial", "t", each).select("trial", "at.channel", "t", f"at.{name}").where(F.col(name).isNotNull())
-
-    def energy(self) -> Column:
-        """The sum of squares over channels of a row."""
-        zero = F.lit(0).cast(self.rows.schema[self.columns[0]].dataType)
-        return reduce(lambda a, b: a + b, (F.coalesce(F.col(c) * F.col(c), zero) for c in self.columns))
-
-
-@dataclass
-class WideAtoms:
-    """A dictionary as rows (k, l, d0, d1, ...), a column for each of ``channels``."""
-
-    rows: DataFrame
-    channels: list[int]
-    length: int
-
-
-def wide_atoms(d: DataFrame) -> WideAtoms | None:
-    """The dictionary (k, channel, l, d), or None where it has too many channels; one of few channels is read on the driver."""
-    channels = sorted(r.channel for r in d.select("channel").distinct().limit(MOST_WIDE + 1).collect())
-    if not channels or len(channels) > MOST_WIDE:
+def taps(d: DataFrame) -> Taps | None:
+    """The dictionary (k, channel, l, d) on the driver, or None where it is empty or has too many channels."""
+    channels = sorted(r.channel for r in d.select("channel").where("channel IS NOT NULL").distinct().limit(MOST_WIDE + 1).collect())
+    if not channels or len(channels) > MOST_WIDE or value_type(d) is None:
+        return None
+    rows = d.select("k", "channel", "l", "d").where("k IS NOT NULL AND channel IS NOT NULL AND l IS NOT NULL AND d IS NOT NULL").collect()
+    if not rows or min(r.l for r in rows) < 0:
         return None
-    rows = d.select("k", "channel", "l", "d").collect()
-    taps: dict[tuple[int, int], list] = {}
+    ks = sorted({r.k for r in rows})
+    shape = (len(ks), max(r.l for r in rows) + 1, len(channels))
+    value, there = np.zeros(shape, dtype=np.int64 if value_type(d) == "bigint" else float), np.zeros(shape, dtype=bool)
     for r in rows:
-        taps.setdefault((r.k, r.l), [None] * len(channels))[channels.index(r.channel)] = r.d
-    kind = d.schema["d"].dataType.simpleString()
-    schema = "k int, l int, " + ", ".join(f"d{i} {kind}" for i in range(len(channels)))
-    table = d.sparkSession.createDataFrame([(*at, *v) for at, v in sorted(taps.items())], schema)
-    return WideAtoms(table, channels, max(r.l for r in rows) + 1)
-
-
-def _moved(z: DataFrame, d: WideAtoms, sign: int = 1) -> DataFrame:
-    height = F.col("z") if sign > 0 else -F.col("z")
-    parts = ((height * F.col(f"d{i}")).alias(f"c{i}") for i in range(len(d.channels)))
-    return z.join(d.rows, "k").select("trial", (F.col("t") + F.col("l")).alias("t"), *parts)
-
+        at = ks.index(r.k), r.l, channels.index(r.channel)
+        value[at] += r.d
+        there[at] = True
+    return Taps(np.array(ks), np.array(channels), value, there)
 
-def _as_columns(x: DataFrame, channels: list[int], value: str = "x") -> DataFrame:
-    return x.select("trial", "t", *(F.when(F.col("channel") == p, F.col(value)).alias(f"c{i}") for i, p in enumerate(channels)))
 
-
-def _summed(rows: DataFrame, channels: list[int]) -> Wide:
-    return Wide(rows.groupBy("trial", "t").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(channels)))), channels)
-
-
-def wide_residual(x: DataFrame, z: DataFrame, atoms: WideAtoms) -> tuple[Wide, DataFrame]:
-    """Signal minus reconstruction, by a union and one sum instead of an outer join: in the atoms' channels, and the rows of others."""
-    inside = _as_columns(x.where(F.col("channel").isin(atoms.channels)), atoms.channels)
-    rest = x.where(~F.col("channel").isin(atoms.channels)).groupBy("trial", "channel", "t").agg(F.sum("x").alias("r"))
-    return _summed(inside.union(_moved(z, atoms, -1)), atoms.channels), rest
-
-
-def wide_correlation(x: Wide, d: WideAtoms, valid: int) -> DataFrame:
-    """(trial, k, t, c): the lag is exploded on the row, and a row meets an atom's place with all its channels at once.
-
-    As with channels as rows, there is a row where atom and signal have a sample in common, and none where they have not.
-    """
-    zero = F.lit(0).cast(x.rows.schema["c0"].dataType)
-    products = [F.col(c) * F.col(f"d{i}") for i, c in enumerate(x.columns)]
-    dot = reduce(lambda a, b: a + b, (F.coalesce(p, zero) for p in products))
-    placed = x.rows.withColumn("l", offsets(d.length)).withColumn("s", F.col("t") - F.col("l")).where((F.col("s") >= 0) & (F.col("s") < valid))
-    met = placed.join(d.rows, "l").where(F.coalesce(*products).isNotNull())
-    joined = met.select("trial", "k", F.col("s").alias("t"), dot.alias("c"))
-    return joined.groupBy("trial", "k", "t").agg(F.sum("c").alias("c"))
+def blockwise(d: DataFrame, *of: tuple[DataFrame | None, str]) -> tuple[Taps, str] | None:
+    """(taps, type of the sums) where blocks take the dictionary and these columns."""
+    kind = value_type(d, *of)
+    found = None if kind is None else taps(d)
+    return None if found is None else (found, kind)
 
 
 def reconstruct(z: DataFrame, d: DataFrame) -> DataFrame:
     """(trial, channel, t, x): the sum of the atoms at their activations; zeros are left out."""
-    atoms = wide_atoms(d)
-    if atoms is not None:
-        return _summed(_moved(z, atoms), atoms.channels).long()
+    if (by := blockwise(d, (z, "z"))) is not None:
+        return S.reconstructed(z, *by)
     shifted = z.join(d, "k").select("trial", "channel", (F.col("t") + F.col("l")).alias("t"), (F.col("z") * F.col("d")).alias("x"))
     return shifted.groupBy("trial", "channel", "t").agg(F.sum("x").alias("x"))
 
@@ -132,16 +76,16 @@ def reconstruct_univariate(z: DataFrame, d: DataFrame) -> DataFrame:
 
 def reconstruct_atoms(z: DataFrame, d: DataFrame) -> DataFrame:
     """(k, trial, channel, t, x): each atom's own part."""
+    if (by := blockwise(d, (z, "z"))) is not None:
+        return S.reconstructed_atoms(z, *by)
     shifted = z.join(d, "k").select("k", "trial", "channel", (F.col("t") + F.col("l")).alias("t"), (F.col("z") * F.col("d")).alias("x"))
     return shifted.groupBy("k", "trial", "channel", "t").agg(F.sum("x").alias("x"))
 
 
 def residual(x: DataFrame, z: DataFrame, d: DataFrame) -> DataFrame:
     """(trial, channel, t, r): signal minus reconstruction, by a union and a sum instead of an outer join."""
-    atoms = wide_atoms(d)
-    if atoms is not None:
-        inside, rest = wide_residual(x, z, atoms)
-        return inside.long("r").unionByName(rest)
+    if (by := blockwise(d, (x, "x"), (z, "z"))) is not None:
+        return S.residuals(x, z, *by)
     hat = reconstruct(z, d).withColumn("x", -F.col("x"))
     return x.select("trial", "channel", "t", "x").union(hat.select("trial", "channel", "t", "x")).groupBy("trial", "channel", "t").agg(F.sum("x").alias("r"))
 
@@ -190,16 +134,17 @@ def convolve_statistics_rank1(ztz: DataFrame, u: DataFrame, v: DataFrame, length
 
 def atom_correlation(x: DataFrame, d: DataFrame, valid: int, value: str = "x") -> DataFrame:
     """(trial, k, t, c): correlation of the signal with each atom at the ``valid`` positions."""
-    atoms = wide_atoms(d)
-    if atoms is not None:
-        inside = x.where(F.col("channel").isin(atoms.channels))
-        return wide_correlation(_summed(_as_columns(inside, atoms.channels, value), atoms.channels), atoms, valid)
+    if (by := blockwise(d, (x, value))) is not None:
+        return S.correlations(x.select("trial", "channel", "t", F.col(value).alias("x")), None, *by, valid)
     joined = x.join(d, "channel").withColumn("s", F.col("t") - F.col("l")).where((F.col("s") >= 0) & (F.col("s") < valid))
     return joined.groupBy("trial", "k", F.col("s").alias("t")).agg(F.sum(F.col(value) * F.col("d")).alias("c"))
 
 
 def rank1_correlation(x: DataFrame, u: DataFrame, v: DataFrame, valid: int, value: str = "x") -> DataFrame:
-    """The same for D = u x v: channels are summed before the time join widens the rows."""
+    """The same for D = u x v; where blocks do not take it, channels are summed before the time join widens the rows."""
+    full = u.join(v, "k").select("k", "channel", "l", (F.col("u") * F.col("v")).alias("d"))
+    if (by := blockwise(full, (x, value))) is not None:
+        return S.correlations(x.select("trial", "channel", "t", F.col(value).alias("x")), None, *by, valid)
     mixed = x.join(u, "channel").groupBy("trial", "k", "t").agg(F.sum(F.col(value) * F.col("u")).alias("x"))
     joined = mixed.join(v, "k").withColumn("s", F.col("t") - F.col("l")).where((F.col("s") >= 0) & (F.col("s") < valid))
     return joined.groupBy("trial", "k", F.col("s").alias("t")).agg(F.sum(F.col("x") * F.col("v")).alias("c"))
@@ -207,29 +152,48 @@ def rank1_correlation(x: DataFrame, u: DataFrame, v: DataFrame, valid: int, valu
 
 def residual_energy(x: DataFrame, z: DataFrame, d: DataFrame) -> DataFrame:
     """(trial, t, e): the squared residual of a sample, summed over channels."""
-    atoms = wide_atoms(d)
-    if atoms is None:
-        r = residual(x, z, d)
-        return r.groupBy("trial", "t").agg(F.sum(F.col("r") * F.col("r")).alias("e"))
-    inside, rest = wide_residual(x, z, atoms)
-    both = inside.rows.select("trial", "t", inside.energy().alias("e")).unionByName(rest.select("trial", "t", (F.col("r") * F.col("r")).alias("e")))
-    return both.groupBy("trial", "t").agg(F.sum("e").alias("e"))
+    if (by := blockwise(d, (x, "x"), (z, "z"))) is not None:
+        return S.energies(x, z, *by)
+    r = residual(x, z, d)
+    return r.groupBy("trial", "t").agg(F.sum(F.col("r") * F.col("r")).alias("e"))
+
+
+def residual_patch_error(x: DataFrame, z: DataFrame, d: DataFrame, length: int, times: int) -> DataFrame:
+    """patch_error of the residual, from the signal: no residual is shuffled."""
+    if (by := blockwise(d, (x, "x"), (z, "z"))) is not None:
+        return S.patch_energies(x, z, *by, length, times - length)
+    return patch_error(residual_energy(x, z, d), length, times)
+
+
+def residual_correlation(z: DataFrame, x: DataFrame, d: DataFrame, length: int) -> DataFrame:
+    """signal_correlation of the codes with the residual, from the signal."""
+    if (by := blockwise(d, (x, "x"), (z, "z"))) is not None:
+        return S.code_products(x, z, *by, length).groupBy("k", "channel", "l").agg(F.sum("v").alias("v"))
+    return signal_correlation(z, residual(x, z, d).withColumnRenamed("r", "x"), length)
 
 
 def patch_error(r: DataFrame, length: int, times: int) -> DataFrame:
     """(trial, t, e) for 0 <= t <= times - length: squared residual over the patch that starts at t.
 
-    Sparse residuals (trial, channel, t, r), or their energies (trial, t, e), are spread to the starts they belong to, so no trial is
-    ever sorted in one task.
+    Sparse residuals (trial, channel, t, r), or their energies (trial, t, e), are spread to the starts they belong to, by blocks, so no
+    long trial is ever sorted in one task.
     """
-    square = r if "e" in r.columns else r.groupBy("trial", "t").agg(F.sum(F.col("r") * F.col("r")).alias("e"))
+    square = r if "e" in r.columns else r.select("trial", "t", (F.col("r") * F.col("r")).alias("e"))
+    kind = value_type(square.withColumnRenamed("e", "d"), (square, "e"))
+    if kind is not None:
+        return S.spread_energies(square, kind, length, times - length)
     spread = square.withColumn("o", offsets(length)).withColumn("s", F.col("t") - F.col("o"))
     return spread.where((F.col("s") >= 0) & (F.col("s") <= times - length)).groupBy("trial", F.col("s").alias("t")).agg(F.sum("e").alias("e"))
 
 
 def max_error_patch(r: DataFrame, x: DataFrame, length: int, times: int) -> DataFrame:
     """(channel, l, d): the signal in the patch of largest error; ties go to the first trial, then the first start."""
-    best = patch_error(r, length, times).orderBy(F.desc("e"), "trial", "t").limit(1).select(F.col("trial").alias("n0"), F.col("t").alias("t0"))
+    return worst_patch(patch_error(r, length, times), x, length)
+
+
+def worst_patch(errors: DataFrame, x: DataFrame, length: int) -> DataFrame:
+    """The same from the errors (trial, t, e) of patches."""
+    best = errors.orderBy(F.desc("e"), "trial", "t").limit(1).select(F.col("trial").alias("n0"), F.col("t").alias("t0"))
     at = best.withColumn("l", offsets(length)).select(F.col("n0").alias("trial"), (F.col("t0") + F.col("l")).alias("t"), "l")
     return x.join(F.broadcast(at), ["trial", "t"]).select("channel", "l", F.col("x").alias("d"))  # length rows
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import convolution as C
+from . import spread as S
 from .quantiles import quantiles
 
 
@@ -38,8 +39,12 @@ def fast_objective(ztz: DataFrame, ztx: DataFrame, xtx: DataFrame, z: DataFrame,
 
 def weighted_objective(x: DataFrame, z: DataFrame, d: DataFrame, w: DataFrame, reg: float) -> DataFrame:
     """Univariate: half the squared residual, each sample by its weight w (trial, t, w), plus reg times the sum of z."""
-    r = C.residual(x.withColumn("channel", F.lit(0)), z, d.withColumn("channel", F.lit(0))).join(w, ["trial", "t"])
-    fit = r.agg((F.sum(F.col("w") * F.col("r") * F.col("r")) / 2).cast("double").alias("fit"))
+    x, d = x.withColumn("channel", F.lit(0)), d.withColumn("channel", F.lit(0))
+    if (by := C.blockwise(d, (x, "x"), (z, "z"), (w, "w"))) is not None:
+        fit = S.energies(x, z, *by, w).agg((F.sum("e") / 2).cast("double").alias("fit"))
+    else:
+        r = C.residual(x, z, d).join(w, ["trial", "t"])
+        fit = r.agg((F.sum(F.col("w") * F.col("r") * F.col("r")) / 2).cast("double").alias("fit"))
     l1 = z.agg(F.coalesce(F.sum("z"), F.lit(0)).cast("double").alias("l1"))
     return fit.crossJoin(l1).select((F.col("fit") + reg * F.col("l1")).alias("objective"))
 
@@ -60,19 +65,22 @@ def feasible_objective_univariate(x: DataFrame, z: DataFrame, d: DataFrame, reg:
 
 def gradient_z(x: DataFrame, z: DataFrame, d: DataFrame, reg: float, valid: int) -> DataFrame:
     """(trial, k, t, g) where the residual reaches; elsewhere the gradient is reg."""
-    atoms = C.wide_atoms(d)
-    if atoms is None:
-        c = C.atom_correlation(C.residual(x, z, d), d, valid, "r")
+    if (by := C.blockwise(d, (x, "x"), (z, "z"))) is not None:
+        c = S.correlations(x, z, *by, valid)
     else:
-        c = C.wide_correlation(C.wide_residual(x, z, atoms)[0], atoms, valid)
+        c = C.atom_correlation(C.residual(x, z, d), d, valid, "r")
     return c.select("trial", "k", "t", (F.lit(reg) - F.col("c")).alias("g"))
 
 
 def weighted_gradient_z(x: DataFrame, z: DataFrame, d: DataFrame, w: DataFrame, reg: float, valid: int) -> DataFrame:
     """The univariate gradient with sample weights w (trial, t, w)."""
     one = d.withColumn("channel", F.lit(0))
-    r = C.residual(x.withColumn("channel", F.lit(0)), z, one).join(w, ["trial", "t"]).withColumn("r", F.col("r") * F.col("w"))
-    return C.atom_correlation(r, one, valid, "r").select("trial", "k", "t", (F.lit(reg) - F.col("c")).alias("g"))
+    x = x.withColumn("channel", F.lit(0))
+    if (by := C.blockwise(one, (x, "x"), (z, "z"), (w, "w"))) is not None:
+        c = S.correlations(x, z, *by, valid, w)
+    else:
+        c = C.atom_correlation(C.residual(x, z, one).join(w, ["trial", "t"]).withColumn("r", F.col("r") * F.col("w")), one, valid, "r")
+    return c.select("trial", "k", "t", (F.lit(reg) - F.col("c")).alias("g"))
 
 
 def gradient_d(ztz: DataFrame, ztx: DataFrame, d: DataFrame, length: int) -> DataFrame:
@@ -83,8 +91,7 @@ def gradient_d(ztz: DataFrame, ztx: DataFrame, d: DataFrame, length: int) -> Dat
 
 def gradient_d_from_residual(x: DataFrame, z: DataFrame, d: DataFrame, length: int) -> DataFrame:
     """The same from the signal."""
-    r = C.residual(x, z, d).select("trial", "channel", "t", F.col("r").alias("x"))
-    return C.signal_correlation(z, r, length).select("k", "channel", "l", (-F.col("v")).alias("g"))
+    return C.residual_correlation(z, x, d, length).select("k", "channel", "l", (-F.col("v")).alias("g"))
 
 
 def gradient_uv(g: DataFrame, u: DataFrame, v: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,8 +102,15 @@ def gradient_uv(g: DataFrame, u: DataFrame, v: DataFrame) -> tuple[DataFrame, Da
 
 
 def gradient_norm(gz: DataFrame, gd: DataFrame) -> DataFrame:
-    """One row: the norm of the gradient in d plus that of the gradient in z over the rows given."""
-    total = lambda g: g.agg(F.sqrt(F.coalesce(F.sum(F.col("g") * F.col("g")), F.lit(0)).cast("double")).alias("n"))
+    """One row: the norm of the gradient in d plus that of the gradient in z over the rows given.
+
+    Integers are squared and summed as decimals of 38 digits, since their squares soon need more than 64 bits.
+    """
+
+    def total(g: DataFrame) -> DataFrame:
+        of = F.col("g").cast("decimal(19,0)") if g.schema["g"].dataType.simpleString() in S.INTEGERS else F.col("g")
+        return g.agg(F.sqrt(F.coalesce(F.sum(of * of).cast("double"), F.lit(0.0))).alias("n"))
+
     return total(gd).select(F.col("n").alias("a")).crossJoin(total(gz)).select((F.col("a") + F.col("n")).alias("norm"))
 
 
@@ -117,7 +131,11 @@ def lambda_max(x: DataFrame, d: DataFrame, valid: int, trials: DataFrame, q: flo
 
 def explained_variance(z: DataFrame, d: DataFrame, channels: int, times: int, trials: DataFrame) -> DataFrame:
     """(k, variance, rank): population variance of each atom's part, implicit zeros counted, largest first."""
-    part = C.reconstruct_atoms(z, d).groupBy("k").agg(F.sum("x").cast("double").alias("s"), F.sum(F.col("x") * F.col("x")).cast("double").alias("q"))
+    if (by := C.blockwise(d, (z, "z"))) is not None:
+        moments = S.atom_moments(z, *by)
+    else:
+        moments = C.reconstruct_atoms(z, d).select("k", F.col("x").alias("s"), (F.col("x") * F.col("x")).alias("q"))
+    part = moments.groupBy("k").agg(F.sum("s").cast("double").alias("s"), F.sum("q").cast("double").alias("q"))
     count = trials.select("trial").distinct().agg((F.count("*") * (channels * times)).cast("double").alias("n"))
     every = d.select("k").distinct().join(part, "k", "left").fillna(0.0).crossJoin(count)
     value = F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))
@@ -137,12 +155,27 @@ def cross_correlation_score(x: DataFrame, hat: DataFrame) -> DataFrame:
     """(trial, score): normalised correlation of each trial with its reconstruction."""
     both = x.select("trial", "channel", "t", "x", F.lit(None).cast(hat.schema["x"].dataType).alias("h")).unionByName(hat.select("trial", "channel", "t", F.lit(None).cast(x.schema["x"].dataType).alias("x"), F.col("x").alias("h")))
     row = both.groupBy("trial", "channel", "t").agg(F.coalesce(F.sum("x"), F.lit(0)).cast("double").alias("x"), F.coalesce(F.sum("h"), F.lit(0)).cast("double").alias("h"))
-    s = row.groupBy("trial").agg(F.sum(F.col("x") * F.col("h")).alias("xh"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("h") * F.col("h")).alias("hh"))
+    return _score(row.select("trial", (F.col("x") * F.col("h")).alias("xh"), (F.col("x") * F.col("x")).alias("xx"), (F.col("h") * F.col("h")).alias("hh")))
+
+
+def reconstruction_score(x: DataFrame, z: DataFrame, d: DataFrame) -> DataFrame:
+    """cross_correlation_score of the signal and the codes' reconstruction, which is never shuffled."""
+    if (by := C.blockwise(d, (x, "x"), (z, "z"))) is not None:
+        return _score(S.score_sums(x, z, *by))
+    return cross_correlation_score(x, C.reconstruct(z, d))
+
+
+def _score(parts: DataFrame) -> DataFrame:
+    s = parts.groupBy("trial").agg(*(F.sum(c).cast("double").alias(c) for c in ("xh", "xx", "hh")))
     return s.select("trial", F.when((F.col("xx") > 0) & (F.col("hh") > 0), F.col("xh") / F.sqrt(F.col("xx") * F.col("hh"))).alias("score"))
 
 
 def ista_step(x: DataFrame, z: DataFrame, d: DataFrame, reg: float, step: float, valid: int) -> DataFrame:
     """z after one proximal gradient step, positive entries only."""
+    if (by := C.blockwise(d, (x, "x"), (z, "z"))) is not None:
+        both = S.correlations(x, z, *by, valid, codes=True)
+        step_by = F.coalesce(-step * (F.lit(reg) - F.col("c")), F.lit(0.0))
+        return both.select("trial", "k", "t", (F.coalesce(F.col("z").cast("double"), F.lit(0.0)) + step_by).alias("z")).where("z > 0")
     g = gradient_z(x, z, d, reg, valid)
     moved = z.select("trial", "k", "t", F.col("z").cast("double").alias("z")).unionByName(g.select("trial", "k", "t", (-step * F.col("g")).alias("z")))
     return moved.groupBy("trial", "k", "t").agg(F.sum("z").alias("z")).where("z > 0")

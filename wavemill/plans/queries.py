@@ -145,7 +145,7 @@ def statistics_times_rank1(s, d):
 @query(_EVENTS, f"SELECT k, channel, CAST(r.t - z.t AS INTEGER) AS l, CAST(sum(z * r) AS BIGINT) AS v FROM z JOIN r ON z.trial = r.trial AND r.t - z.t BETWEEN 0 AND {L - 1} GROUP BY ALL")
 def residual_code_correlation(s, d):
     x, z, atoms = _xzd(s, d)
-    return C.signal_correlation(z, C.residual(x, z, atoms).withColumnRenamed("r", "x"), L)
+    return C.residual_correlation(z, x, atoms, L)
 
 
 @query(_EVENTS, f"SELECT trial, k, CAST(t - l AS INTEGER) AS t, CAST(sum(x * d) AS BIGINT) AS c FROM x JOIN d USING (channel) WHERE t - l BETWEEN 0 AND {TV - 1} GROUP BY ALL")
@@ -164,13 +164,13 @@ _PATCH = f"pe AS (SELECT trial, CAST(t - o AS INTEGER) AS t, CAST(sum(r * r) AS
 
 @query(_EVENTS + ",\n" + _PATCH, "SELECT trial, t, e FROM pe")
 def patch_error(s, d):
-    return C.patch_error(C.residual_energy(*_xzd(s, d)), L, T)
+    return C.residual_patch_error(*_xzd(s, d), L, T)
 
 
 @query(_EVENTS + ",\n" + _PATCH + ", best AS (SELECT * FROM pe ORDER BY e DESC, trial, t LIMIT 1)", f"SELECT channel, CAST(x.t - best.t AS INTEGER) AS l, x AS d FROM x JOIN best ON x.trial = best.trial AND x.t - best.t BETWEEN 0 AND {L - 1}")
 def max_error_patch(s, d):
     x, z, atoms = _xzd(s, d)
-    return C.max_error_patch(C.residual_energy(x, z, atoms), x, L, T)
+    return C.worst_patch(C.residual_patch_error(x, z, atoms, L, T), x, L)
 
 
 @query(_EVENTS, f"SELECT (SELECT CAST(sum(v) AS BIGINT) FROM ztz) AS ztz, (SELECT CAST(sum(v) AS BIGINT) FROM ztx) AS ztx, (SELECT CAST(sum(x * x) AS BIGINT) FROM x) AS xtx, {P5} AS channels")
@@ -257,7 +257,7 @@ def grad_uv(s, d):
 def grad_norm(s, d):
     x, z, atoms = _xzd(s, d)
     gd = O.gradient_d(C.code_correlation(z, L), C.signal_correlation(z, x, L), atoms, L)
-    return O.gradient_norm(O.gradient_z(x, z, atoms, float(REG), TV), gd).select(F.round("norm", 3).alias("norm"))
+    return O.gradient_norm(O.gradient_z(x, z, atoms, REG, TV), gd).select(F.round("norm", 3).alias("norm"))
 
 
 _CORRELATION = f"c AS (SELECT trial, k, t - l AS t, CAST(sum(x * d) AS BIGINT) AS c FROM x JOIN d USING (channel) WHERE t - l BETWEEN 0 AND {TV - 1} GROUP BY ALL)"
@@ -295,7 +295,7 @@ SELECT trial, CAST(sum(x * h) AS DOUBLE) AS xh, CAST(sum(x * x) AS DOUBLE) AS xx
 SELECT trial, channel, t, sum(x) AS x, sum(h) AS h FROM (SELECT trial, channel, t, x, 0 AS h FROM x UNION ALL SELECT trial, channel, t, 0, x FROM hat) GROUP BY ALL) GROUP BY trial)""")
 def correlation_score(s, d):
     x, z, atoms = _xzd(s, d)
-    return O.cross_correlation_score(x, C.reconstruct(z, atoms)).withColumn("score", F.round("score", 9))
+    return O.reconstruction_score(x, z, atoms).withColumn("score", F.round("score", 9))
 
 
 _STEP = 2.0**-10
