@@ -34,9 +34,11 @@ def evoked(epochs: DataFrame, n_epochs: int) -> DataFrame:
 def surrogate_events(events: DataFrame, n_surrogates: int, samples: int, lo: int, hi: int, seed: int) -> DataFrame:
     """(surrogate, epoch, sample): for each surrogate as many random times as there are events, their windows inside the axis.
 
-    A time is a hash of the event and the surrogate's number, so it is alike in every run and no table of times is drawn anywhere.
+    A time is a hash of the event and the surrogate's number, so it is alike in every run and no table of times is drawn anywhere. The
+    events are dealt over all cores first: they are few and small, and every one of them is hashed many times.
     """
-    each = events.withColumn("surrogate", F.explode(F.sequence(F.lit(0), F.lit(n_surrogates - 1))))
+    dealt = events.repartition(4 * events.sparkSession.sparkContext.defaultParallelism, "sample")
+    each = dealt.withColumn("surrogate", F.explode(F.sequence(F.lit(0), F.lit(n_surrogates - 1))))
     drawn = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), "surrogate", "sample")), 1, 8), 16, 10).cast("long")
     return each.select("surrogate", "epoch", (F.lit(-min(lo, 0)) + drawn % (samples - max(hi, 0) + min(lo, 0))).cast("long").alias("sample"))
 
@@ -44,11 +46,16 @@ def surrogate_events(events: DataFrame, n_surrogates: int, samples: int, lo: int
 def surrogate_evoked(axis: DataFrame, events: DataFrame, lo: int, hi: int, n_events: int) -> DataFrame:
     """(surrogate, k, o, mean) for all surrogates in one job; events (surrogate, epoch, sample), ``n_events`` of each surrogate.
 
-    Times that several surrogates drew, and one more than once, are summed up first: the join then has a row for each time at most.
+    Times meet the activations of their block of the axis, which is as wide as a window, and of the block behind it: a time is shuffled
+    once and not once for each place of its window. There are far more times than activations, so those are hashed in the tasks; they
+    grow with the axis and are never broadcast through the driver.
     """
-    times = events.groupBy("surrogate", "sample").agg(F.count("*").alias("n"))
-    around = times.withColumn("o", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).select("surrogate", "n", "o", (F.col("sample") + F.col("o")).cast("long").alias("sample"))
-    sums = axis.join(around, "sample").groupBy("surrogate", "k", "o").agg(F.sum(F.col("z") * F.col("n")).alias("s"))
+    width = hi - lo + 1
+    reached = F.explode(F.sequence(F.floor((F.col("sample") - hi) / width), F.floor((F.col("sample") - lo) / width)))
+    near = axis.select(reached.alias("block"), "k", F.col("sample").alias("at"), "z").hint("shuffle_hash")
+    times = events.select("surrogate", F.floor(F.col("sample") / width).alias("block"), "sample")
+    met = times.join(near, "block").withColumn("o", (F.col("at") - F.col("sample")).cast("int")).where((F.col("o") >= lo) & (F.col("o") <= hi))
+    sums = met.groupBy("surrogate", "k", "o").agg(F.sum("z").alias("s"))
     return sums.select("surrogate", "k", "o", (F.col("s") / float(n_events)).alias("mean"))
 
 
