@@ -71,3 +71,8 @@ def test_integers_that_overflow_are_an_error(spark, made):
     z = spark.createDataFrame([(0, 0, 3, 2**62)], "trial long, k int, t int, z long")
     with pytest.raises(Exception, match="64 bits"):
         C.reconstruct(z, made[2].withColumn("d", F.lit(3).cast("long"))).collect()
+
+
+def test_squares_of_gradients_may_need_more_than_64_bits(spark):
+    g = spark.createDataFrame([(3_000_000_000,), (-4_000_000_000,)], "g long")
+    assert O.gradient_norm(g, g).first().norm == 10_000_000_000.0
