@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -59,6 +61,21 @@ def gradient(x: np.ndarray, z: np.ndarray, d: np.ndarray, w: np.ndarray | None =
     return correlate(r if w is None else w * r, d)
 
 
+def gram_gradient(x: np.ndarray, d: np.ndarray, dtd: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """``gradient`` as a function of the codes, without the channels: the Gram matrix against the codes around each place."""
+    k, _, length = d.shape
+    n = x.shape[1] - length + 1
+    of_signal, taps = correlate(x, d), np.ascontiguousarray(dtd[:, :, ::-1]).reshape(k, -1)
+    padded = np.zeros((k, n + 2 * length - 2))
+    around = np.lib.stride_tricks.sliding_window_view(padded, n, axis=1)
+
+    def slope(z: np.ndarray) -> np.ndarray:
+        padded[:, length - 1 : length - 1 + n] = z
+        return taps @ around.reshape(-1, n) - of_signal
+
+    return slope
+
+
 def shrink(v: np.ndarray, by, positive: bool) -> np.ndarray:
     return np.maximum(v - by, 0) if positive else np.sign(v) * np.maximum(np.abs(v) - by, 0)
 
@@ -164,11 +181,13 @@ class GramOperator:
         return self @ np.eye(self.shape[0])
 
 
-def proximal(x, d, reg, z0=None, tol: float = 1e-4, max_iter: int = 15_000, positive: bool = True, frozen: bool = False, momentum: bool = True, w=None, fixed_steps: int | None = None, restart: bool = False, adaptive: bool = False, step: float | None = None) -> np.ndarray:
+def proximal(x, d, reg, z0=None, tol: float = 1e-4, max_iter: int = 15_000, positive: bool = True, frozen: bool = False, momentum: bool = True, w=None, fixed_steps: int | None = None, restart: bool = False, adaptive: bool = False, step: float | None = None, dtd: np.ndarray | None = None) -> np.ndarray:
     """ISTA or FISTA with a fixed step, by default by the largest curvature; ``fixed_steps`` runs exactly so many iterations.
 
-    ``adaptive`` doubles and halves the step as it goes.
+    ``adaptive`` doubles and halves the step as it goes. With no more atoms than channels and the Gram matrix ``dtd`` the gradient is taken from
+    it and from one correlation with the signal.
     """
+    slope = gram_gradient(x, d, dtd) if dtd is not None and w is None and len(d) <= len(x) else lambda y: gradient(x, y, d, w)
     n = x.shape[1] - d.shape[2] + 1
     z = np.zeros((d.shape[0], n)) if z0 is None else np.array(z0, dtype=float)
     support = z != 0 if frozen else None
@@ -181,7 +200,7 @@ def proximal(x, d, reg, z0=None, tol: float = 1e-4, max_iter: int = 15_000, posi
         return out if support is None else np.where(support, out, 0.0)
 
     for _ in range(max_iter if fixed_steps is None else fixed_steps):
-        g = gradient(x, y, d, w)
+        g = slope(y)
         if adaptive:  # the longest step of 2s, s, s / 2 and so on under which the quadratic bound holds
             here, step = cost(x, y, d, 0.0, w), 2 * step
             while True:
@@ -267,7 +286,7 @@ def encode(x, d, reg, z0=None, solver: str = "lgcd", positive: bool = True, froz
             raise ValueError("lgcd takes no sample weights; use l-bfgs, ista or fista")
         return lgcd(x, d, reg, z0, positive=positive, frozen=frozen, dtd=dtd, **options)
     if solver in ("ista", "fista"):
-        return proximal(x, d, reg, z0, positive=positive, frozen=frozen, momentum=solver == "fista", w=w, **options)
+        return proximal(x, d, reg, z0, positive=positive, frozen=frozen, momentum=solver == "fista", w=w, dtd=dtd, **options)
     if solver in ("l-bfgs", "l_bfgs"):
         if not positive:
             raise ValueError("l-bfgs codes are positive; use lgcd, ista or fista")

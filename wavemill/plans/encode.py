@@ -20,6 +20,16 @@ from ..kernels import csc
 from ..operators.shared import settled
 
 BLOCKS = "trial long, x binary, w binary, z binary"
+#: Bytes of dense rows that a task makes at once.
+CHUNK = 8 << 20
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches of a block table in slices of about CHUNK bytes."""
+    for pdf in batches:
+        few = max(1, CHUNK // max(1, len(pdf["x"].iloc[0]))) if len(pdf) else 1
+        for start in range(0, len(pdf), few):
+            yield pdf.iloc[start : start + few]
 
 
 def blocks(x: DataFrame, channels: int, times: int, w: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
@@ -38,14 +48,16 @@ def blocks(x: DataFrame, channels: int, times: int, w: DataFrame | None = None,
             lists = batch.column(1)
             bounds, pairs = lists.offsets.to_numpy(), lists.values
             place, value = (pairs.field(c).to_numpy(zero_copy_only=False)[pairs.offset :] for c in (0, 1))
-            xs, ws = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                row = np.zeros(size + times * weighted)
-                row[place[a:b]] = value[a:b]
-                xs.append((row[:size] / scale).tobytes())
-                ws.append(row[size:].tobytes() if weighted else None)
-            columns = [batch.column(0), *(pa.array(c, pa.binary()) for c in (xs, ws, [None] * len(xs)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["trial", "x", "w", "z"])
+            few = max(1, CHUNK // (8 * size))  # dense rows take far more memory than the samples of a batch
+            for start in range(0, batch.num_rows, few):
+                xs, ws = [], []
+                for a, b in zip(bounds[start : start + few], bounds[start + 1 : start + few + 1]):
+                    row = np.zeros(size + times * weighted)
+                    row[place[a:b]] = value[a:b]
+                    xs.append((row[:size] / scale).tobytes())
+                    ws.append(row[size:].tobytes() if weighted else None)
+                columns = [batch.column(0).slice(start, few), *(pa.array(c, pa.binary()) for c in (xs, ws, [None] * len(xs)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["trial", "x", "w", "z"])
 
     return packed.mapInArrow(lay, BLOCKS)
 
@@ -80,15 +92,25 @@ class Encoder:
         d, reg, solver, options, positive = self.d, self.reg, self.solver, dict(self.options), self.positive
         k, channels, _ = d.shape
         dtd = csc.gram(d)
+        steps: dict[int, float] = {}
+        own_step = solver in ("ista", "fista") and not options.get("step") and not options.get("adaptive")
+
+        def step(n: int) -> float:
+            """The step for n places without weights, found once for all trials of a task."""
+            if n not in steps:
+                steps[n] = 0.99 / csc.lipschitz(d, None, n)
+            return steps[n]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in _slices(batches):
                 out = []
                 for x, w, z in zip(pdf["x"], pdf["w"], pdf["z"], strict=True):
                     x, w = _array(x, channels), _array(w, 1)
                     start = _array(z, k) if z is not None and len(z) and len(z) % (8 * k) == 0 else None
-                    extra = {"dtd": dtd} if solver == "lgcd" else {}
-                    new = csc.encode(x, d, 0.0 if unbiased else reg, start if warm or unbiased else None, solver, positive, unbiased, w, **extra, **options)
+                    extra = {"dtd": dtd} if solver in ("lgcd", "ista", "fista") else {}
+                    if own_step and w is None:
+                        extra["step"] = step(x.shape[1] - d.shape[2] + 1)
+                    new = csc.encode(x, d, 0.0 if unbiased else reg, start if warm or unbiased else None, solver, positive, unbiased, w, **(options | extra))
                     out.append(np.ascontiguousarray(new).tobytes())
                 yield pdf.assign(z=out)
 
