@@ -159,6 +159,31 @@ def lipschitz(d: np.ndarray, w: np.ndarray | None, n: int, seed: int = 0, rounds
     return max(new, 1e-12)
 
 
+def lipschitz_weighted(d: np.ndarray, w: np.ndarray, seed: int = 0, rounds: int = 200) -> np.ndarray:
+    """``lipschitz`` of many rows of weights (B, T) at once, each stopped at its own round; trials are the last axis, so a lag is one product."""
+    k, channels, length = d.shape
+    many, times = w.shape
+    n, by = times - length + 1, np.ascontiguousarray(w.T)
+    v = np.repeat(np.random.RandomState(seed).randn(k, n)[:, :, None], many, axis=2)
+    norm, value, found, open_ = np.sqrt(np.sum(v * v, axis=(0, 1))), np.zeros(many), np.zeros(many), np.ones(many, dtype=bool)
+    for _ in range(rounds):
+        v /= norm
+        r = np.zeros((channels, times, many))
+        for lag in range(length):
+            r[:, lag : lag + n] += (d[:, :, lag].T @ v.reshape(k, -1)).reshape(channels, n, many)
+        r *= by
+        v = np.zeros((k, n, many))
+        for lag in range(length):
+            v += (d[:, :, lag] @ r[:, lag : lag + n].reshape(channels, -1)).reshape(v.shape)
+        new = np.sqrt(np.sum(v * v, axis=(0, 1)))
+        found[open_] = new[open_]
+        open_ &= ~(np.abs(new - value) <= 1e-6 * new)
+        if not open_.any():
+            break
+        value, norm = new, np.where(new > 0, new, 1.0)
+    return np.maximum(found, 1e-12)
+
+
 class GramOperator:
     """z -> D'(w * D z) over flat codes of K * valid values, the block-circulant matrix of the normal equations, never formed.
 

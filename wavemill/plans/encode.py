@@ -103,12 +103,16 @@ class Encoder:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in _slices(batches):
-                out = []
-                for x, w, z in zip(pdf["x"], pdf["w"], pdf["z"], strict=True):
+                out, own = [], [None] * len(pdf)
+                if own_step and pdf["w"].notna().all() and pdf["w"].map(len).nunique() == 1:
+                    own = 0.99 / csc.lipschitz_weighted(d, np.stack([np.frombuffer(w) for w in pdf["w"]]))
+                for x, w, z, by in zip(pdf["x"], pdf["w"], pdf["z"], own, strict=True):
                     x, w = _array(x, channels), _array(w, 1)
                     start = _array(z, k) if z is not None and len(z) and len(z) % (8 * k) == 0 else None
                     extra = {"dtd": dtd} if solver in ("lgcd", "ista", "fista") else {}
-                    if own_step and w is None:
+                    if by is not None:
+                        extra["step"] = float(by)
+                    elif own_step and w is None:
                         extra["step"] = step(x.shape[1] - d.shape[2] + 1)
                     new = csc.encode(x, d, 0.0 if unbiased else reg, start if warm or unbiased else None, solver, positive, unbiased, w, **(options | extra))
                     out.append(np.ascontiguousarray(new).tobytes())

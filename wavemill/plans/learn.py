@@ -476,10 +476,12 @@ def _chains(d: np.ndarray, alpha: float, n_iter: int, n_burnin: int, seed: int):
 
     def run(batches):
         for pdf in batches:
-            for trial, x, z in zip(pdf["trial"], pdf["x"], pdf["z"], strict=True):
-                r = (np.frombuffer(x).reshape(1, -1) - csc.reconstruct(np.frombuffer(z).reshape(len(d), -1), d))[0]
-                tau = expected_precision(r, alpha, n_iter, n_burnin, seed, int(trial))
-                yield pd.DataFrame({"trial": int(trial), "t": np.arange(len(tau), dtype=np.int32), "w": 2 * tau})
+            for start in range(0, len(pdf), 256):  # many trials' chains side by side
+                part = pdf.iloc[start : start + 256]
+                rs = [(np.frombuffer(x).reshape(1, -1) - csc.reconstruct(np.frombuffer(z).reshape(len(d), -1), d))[0] for x, z in zip(part["x"], part["z"], strict=True)]
+                trial, t = np.repeat(part["trial"].to_numpy(), [len(r) for r in rs]), np.concatenate([np.arange(len(r), dtype=np.int32) for r in rs])
+                tau = expected_precision(np.concatenate(rs), alpha, n_iter, n_burnin, seed, trial, t)
+                yield pd.DataFrame({"trial": trial, "t": t, "w": 2 * tau})
 
     return run
 
