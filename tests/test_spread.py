@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wavemill.operators import convolution as C
 from wavemill.operators import objective as O
 from wavemill.operators import spread as S
+from wavemill.sources import views as V
 
 L, T = 4, 3000
 
@@ -76,3 +77,14 @@ def test_integers_that_overflow_are_an_error(spark, made):
 def test_squares_of_gradients_may_need_more_than_64_bits(spark):
     g = spark.createDataFrame([(3_000_000_000,), (-4_000_000_000,)], "g long")
     assert O.gradient_norm(g, g).first().norm == 10_000_000_000.0
+
+
+@pytest.mark.parametrize("signal", [V.event_signal, V.shipping_signal])
+def test_large_tables_are_not_shuffled_by_a_column_of_few_values(spark, sf, signal):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as it is where the table is too large to be broadcast
+    try:
+        plan = signal(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -21,11 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the rank of a low-cardinality column among its sorted distinct values; rows without a value are left out.
 
-    The ranked values are a table of their own, joined by equality: Spark broadcasts it only if it is small.
+    The ranked values, few as they are, are broadcast: rows shuffled by a column of few values would meet in as many tasks, however many
+    partitions there are.
     """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
     ranked = values.withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))  # one row for each distinct value
-    return df.join(ranked, column)
+    return df.join(F.broadcast(ranked), column)
 
 
 def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
