@@ -88,3 +88,18 @@ def test_large_tables_are_not_shuffled_by_a_column_of_few_values(spark, sf, sign
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(FORMS))
+def test_rows_without_a_value_or_a_trial_are_those_of_the_joins(spark, made, monkeypatch, name):
+    x, z, d = made
+    some = spark.createDataFrame([(0, 1, 2000, None), (0, 2, 2001, None), (0, 2, None, None), (5, 1, 9, None), (5, 2, 12, None), (77, 0, 3, None), (None, 2, 5, None)], x.schema)
+    x = x.where("channel IS NOT NULL").unionByName(some)
+    forms = FORMS | {"residual": lambda x, z, d: C.residual(x, z, d), "residual_energy": lambda x, z, d: C.residual_energy(x, z, d)}
+    forms |= {"patch_error": lambda x, z, d: C.residual_patch_error(x, z, d, L, T), "atom_correlation": lambda x, z, d: C.atom_correlation(x, d, T - L + 1)}
+    forms |= {"residual_correlation": lambda x, z, d: C.residual_correlation(z, x, d, L), "gradient_z": lambda x, z, d: O.gradient_z(x, z, d, 3.0, T - L + 1)}
+    forms |= {"ista_step": lambda x, z, d: O.ista_step(x, z, d, 3.0, 2.0**-10, T - L + 1), "score": lambda x, z, d: O.reconstruction_score(x, z, d)}
+    z = z.unionByName(spark.createDataFrame([(5, 0, 300, None), (0, 1, 2500, None)], z.schema))
+    got = sorted(map(repr, forms[name](x, z, d).collect()))
+    monkeypatch.setattr(C, "MOST_WIDE", 0)
+    assert got == sorted(map(repr, forms[name](x, z, d).collect()))

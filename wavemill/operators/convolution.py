@@ -168,6 +168,7 @@ def residual_patch_error(x: DataFrame, z: DataFrame, d: DataFrame, length: int,
 def residual_correlation(z: DataFrame, x: DataFrame, d: DataFrame, length: int) -> DataFrame:
     """signal_correlation of the codes with the residual, from the signal."""
     if (by := blockwise(d, (x, "x"), (z, "z"))) is not None:
+        x, z = (df.where("trial IS NOT NULL") for df in (x, z))  # they meet by their trials
         return S.code_products(x, z, *by, length).groupBy("k", "channel", "l").agg(F.sum("v").alias("v"))
     return signal_correlation(z, residual(x, z, d).withColumnRenamed("r", "x"), length)
 

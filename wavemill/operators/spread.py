@@ -8,7 +8,7 @@ was dealt and not with atoms, lags and channels.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,10 @@ from ..kernels import sparse as S
 from ..kernels.sparse import Table, Taps
 
 SIGNAL, CODE, WEIGHT = 0, 1, 2
+#: Added to the kind of a row without a value.
+NULL = 4
+#: Columns that tell rows of results apart; all others are sums.
+KEYS = ("k", "channel", "l", "t")
 #: Times of a block.
 BLOCK = 1024
 INTEGERS, FLOATS = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
@@ -91,16 +95,44 @@ class Chunk:
 Found = tuple[np.ndarray | None, dict[str, tuple[np.ndarray, np.ndarray | None]]]
 
 
+def _with_nulls(work: Callable[[Chunk], Found], c: Chunk) -> Found:
+    """The work of a chunk as SQL adds up: rows without a value have sums too, which are null where no value is added."""
+    null = c.kind >= NULL
+    if not null.any():
+        return work(c)
+    has = ~null
+    groups, columns = work(replace(c, kind=c.kind % NULL))
+    known, parts = work(replace(c, g=c.g[has], kind=c.kind[has], i=c.i[has], t=c.t[has], v=c.v[has]))
+    keys = [name for name in columns if name in KEYS]
+    pairs = [] if groups is None else [(groups, known)]
+    for name in keys:
+        pairs.append((columns[name][0], parts[name][0]))
+        if columns[name][1] is not None:
+            pairs.append((columns[name][1], parts[name][1]))
+    n = len(pairs[0][0])
+    at = np.zeros(n + len(pairs[0][1]), dtype=np.int64)
+    for pair in pairs:
+        found, place = np.unique(np.concatenate(pair), return_inverse=True)
+        at = at * max(1, len(found)) + place
+    for name in columns.keys() - set(keys):
+        mask = parts[name][1]
+        some = at[n:] if mask is None else at[n:][~mask]
+        columns[name] = columns[name][0], ~np.isin(at[:n], some)
+    return groups, columns
+
+
 def by_blocks(parts: list[Part], taps: Taps, kind: str, work: Callable[[Chunk], Found], schema: str, widens: int) -> DataFrame:
     """The rows of ``work`` over all chunks; one input row may widen to ``widens`` numbers."""
     rows = None
     for p in parts:
-        known = p.rows.where(F.col(p.value).isNotNull() if p.index is None else F.col(p.value).isNotNull() & F.col(p.index).isNotNull())
+        known = p.rows if p.index is None else p.rows.where(F.col(p.index).isNotNull())
         at = F.coalesce(F.col("t").cast("long"), F.lit(S.NO_TIME))
         edges = [F.floor((at + by) / BLOCK) for by in (-p.back, p.on)]
         block = F.explode(F.sequence(*edges)) if p.back or p.on else edges[0]
         index = F.lit(0) if p.index is None else F.col(p.index).cast("int")
-        one = known.select("trial", block.alias("b"), F.lit(p.kind).alias("kind"), index.alias("i"), at.alias("t"), F.col(p.value).cast(kind).alias("v"))
+        value = F.col(p.value).cast(kind)
+        of = F.when(value.isNull(), p.kind + NULL).otherwise(p.kind)
+        one = known.select("trial", block.alias("b"), of.alias("kind"), index.alias("i"), at.alias("t"), F.coalesce(value, F.lit(0).cast(kind)).alias("v"))
         rows = one if rows is None else rows.unionByName(one)
     dealt = rows.repartition("trial", "b").sortWithinPartitions("trial", "b")
     trial = dealt.schema["trial"].dataType.simpleString()
@@ -112,7 +144,7 @@ def by_blocks(parts: list[Part], taps: Taps, kind: str, work: Callable[[Chunk],
 
         def chunks(c: dict[str, np.ndarray], first: np.ndarray) -> Iterator[pa.RecordBatch]:
             ends, channels = np.append(first[1:], len(c["t"])), taps.channels
-            seen = np.unique(c["i"][c["kind"] == SIGNAL])
+            seen = np.unique(c["i"][c["kind"] % NULL == SIGNAL])
             if not np.isin(seen, channels).all():
                 channels = np.union1d(seen, channels)
             most, a = max(1, S.MOST // (widens * max(1, len(channels) // max(1, len(taps.channels))))), 0
@@ -120,7 +152,7 @@ def by_blocks(parts: list[Part], taps: Taps, kind: str, work: Callable[[Chunk],
                 z = max(a + 1, int(np.searchsorted(ends, first[a] + most, side="right")))
                 lo, hi = first[a], ends[z - 1]
                 g = np.repeat(np.arange(z - a), ends[a:z] - first[a:z])
-                groups, columns = work(Chunk(c["b"][first[a:z]], g, *(c[n][lo:hi] for n in ("kind", "i", "t", "v")), taps.over(channels)))
+                groups, columns = _with_nulls(work, Chunk(c["b"][first[a:z]], g, *(c[n][lo:hi] for n in ("kind", "i", "t", "v")), taps.over(channels)))
                 if groups is not None:
                     columns = columns | {"trial": (c["trial"][first[a:z]][groups], c["none"][first[a:z]][groups])}
                 a = z
