@@ -353,6 +353,25 @@ def test_pieces_are_whole_encodings(name, monkeypatch):
         assert got == want
 
 
+
+def test_new_pieces_take_few_bytes():
+    """A worker meets ever new words and holds up to CACHE of them; a dictionary of them takes about 200 bytes each."""
+    import tracemalloc
+
+    import public_tokenizers
+    from wavemill.llm._tokenize import Encoder
+
+    e, rng = Encoder(public_tokenizers.path("word_bpe_49k.json")), np.random.RandomState(3)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (60_000, 9))]
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for i in range(0, len(words), 5000):
+        for _ in e.encode(pa.array([" ".join(words[i : i + 5000])])):
+            pass
+    assert tracemalloc.get_traced_memory()[0] - before < 120 * len(words)
+    tracemalloc.stop()
+
+
 def test_packing(spark, docs, plain):
     import public_tokenizers
     from tokenizers import Tokenizer

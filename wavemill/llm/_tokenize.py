@@ -1,8 +1,8 @@
 """Token ids of whole texts with the tokenizers library, each distinct piece encoded once.
 
 A text is cut only where the tokenizer's own splitting ends a pre-token, so the ids of the pieces, put together, are the ids of the
-text. Cutting, looking up and putting together are NumPy over a slice of texts; the library sees a piece when it is new. Texts with
-the string of a special token, with control characters or with white space beyond ASCII go to the library whole.
+text. Cutting, looking up and putting together are NumPy over a slice of texts; the library sees a piece when it is new. Pieces of up
+to 16 bytes, nearly all, are held as two numbers each in arrays, since a worker meets ever new ones. Texts with the string of a special token, with control characters or with white space beyond ASCII go to the library whole.
 Ids are little-endian unsigned 32-bit integers throughout.
 """
 
@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 from . import _words as W
 
-#: Pieces held at most, and bytes of pieces longer than LONGEST; a full table is emptied, which costs time and changes no result.
-CACHE, LONGEST = 1_000_000, 64
+#: Pieces held at most, and bytes of pieces longer than SHORT; a full table is emptied, which costs time and changes no result.
+CACHE, SHORT = 1_000_000, 16
 _TOGETHER = 200
 _WHITE, _LETTER, _DIGIT, _OTHER = range(4)
 #: Byte classes of ASCII; what continues a longer UTF-8 sequence counts as a letter.
@@ -54,10 +54,12 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.bytes = 0  # of pieces longer than LONGEST
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.begin, self.count = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.long: dict[bytes, int] = {}
+        self.bytes = 0  # of those
+        self.held = 0
+        self.flat, self.upto = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64)  # ids, and where those of each piece end
+        self.low, self.high = np.zeros(1 << 14, dtype=W.U64), np.zeros(1 << 14, dtype=W.U64)  # bytes of each shorter piece
+        self.keys, self.at = np.zeros(0, dtype=W.U64), np.zeros(0, dtype=np.int32)  # their hashes in order, and their numbers
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ends) of the pieces of a slice of texts."""
@@ -91,7 +93,7 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, new: list[bytes]) -> Iterator[np.ndarray]:
+    def _encoded(self, new: list[bytes]) -> list[np.ndarray]:
         """Ids of pieces; runs of letters or signs go to the library many in one string, set apart by a digit, an id of its own."""
         texts = [p.decode() for p in new]
         plain = [i for i, t in enumerate(texts) if (b := t[1:] if t[0] == " " and len(t) > 1 else t).isalpha() or b.isascii() and not any(c.isalnum() or c in "' \n\t\r" for c in b)]
@@ -112,27 +114,46 @@ class Encoder:
     def _store(self, new: list[bytes]) -> np.ndarray:
         """Numbers of new pieces, whose ids are put behind those of all others."""
         found = self._encoded(new)
-        at, size = len(self.known), np.array([len(x) for x in found], dtype=np.int64)
-        total = int(size.sum())
-        while self.used + total > len(self.flat):
+        at, size = self.held, np.array([len(x) for x in found], dtype=np.int64)
+        used, total = int(self.upto[at - 1]) if at else 0, int(size.sum())
+        while used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while at + len(new) > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        self.flat[self.used : self.used + total] = np.concatenate(found)
-        self.count[at : at + len(new)] = size
-        self.begin[at : at + len(new)] = self.used + np.cumsum(size) - size
-        self.used += total
-        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        while at + len(new) > len(self.upto):
+            self.upto, self.low, self.high = (np.concatenate([x, np.zeros_like(x)]) for x in (self.upto, self.low, self.high))
+        self.flat[used : used + total] = np.concatenate(found)
+        self.upto[at : at + len(new)] = used + np.cumsum(size)
+        self.held += len(new)
         return np.arange(at, at + len(new))
 
-    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+    def _numbers(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The number of each of some pieces."""
-        numbers = np.array([self.known.get(p, -1) for p in pieces], dtype=np.int64)
+        short = ends - starts <= SHORT
+        numbers = np.full(len(starts), -1, dtype=np.int64)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            at = self.at[place]
+            known = short & (self.keys[place] == key) & (self.low[at] == low) & (self.high[at] == high)
+            numbers[known] = at[known]
+        for i in np.flatnonzero(~short).tolist():
+            numbers[i] = self.long.get(raw[starts[i] : ends[i]], -1)
         absent = np.flatnonzero(numbers < 0)
         if len(absent):
-            new = dict.fromkeys(pieces[i] for i in absent.tolist())
-            self._store(list(new))
-            numbers[absent] = [self.known[pieces[i]] for i in absent.tolist()]
+            pieces = [raw[a:b] for a, b in zip(starts[absent].tolist(), ends[absent].tolist(), strict=True)]
+            new: dict[bytes, int] = {}
+            for p, i in zip(pieces, absent.tolist(), strict=True):
+                new.setdefault(p, i)
+            at, where = self._store(list(new)), np.array(list(new.values()))
+            self.low[at], self.high[at] = low[where], high[where]
+            numbers[where] = at
+            numbers[absent] = numbers[[new[p] for p in pieces]]
+            mine = short[where]
+            order = np.argsort(key[where[mine]], kind="stable")
+            keys = key[where[mine]][order]
+            place = np.searchsorted(self.keys, keys)
+            self.keys, self.at = np.insert(self.keys, place, keys), np.insert(self.at, place, at[mine][order])
+            for i in where[~mine].tolist():
+                self.long[raw[starts[i] : ends[i]]] = int(numbers[i])
+                self.bytes += int(ends[i] - starts[i])
         return numbers
 
     def _ordinary(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +167,7 @@ class Encoder:
         low = eight[starts] & _MASK[np.minimum(size, 8)]
         high = eight[np.minimum(starts + 8, len(data))] & _MASK[np.clip(size - 8, 0, 8)]
         key = W.mix(low ^ W.mix(high + size.astype(W.U64)))
-        long = np.flatnonzero(size > 16)
+        long = np.flatnonzero(size > SHORT)
         key[long] = long.astype(W.U64)  # each on its own
         which, _ = pd.factorize(key)
         first = np.full(int(which.max()) + 1 if len(which) else 0, -1, dtype=np.int64)
@@ -154,14 +175,13 @@ class Encoder:
         same = (low == low[first][which]) & (high == high[first][which]) & (size == size[first][which])
         if not same.all():  # two pieces with one key: look each up by itself
             first, which = np.arange(len(starts)), np.arange(len(starts))
-        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.known) + len(pieces) > CACHE or self.bytes > CACHE:
+        if self.held + len(first) > CACHE or self.bytes > CACHE:
             self._clear()
-        self.bytes += int(size[first][size[first] > LONGEST].sum())
-        numbers = self._numbers(pieces)[which]
-        many = self.count[numbers]
+        numbers = self._numbers(raw, starts[first], ends[first], key[first], low[first], high[first])[which]
+        begin = np.where(numbers > 0, self.upto[numbers - 1], 0)
+        many = self.upto[numbers] - begin
         upto = np.concatenate([[0], np.cumsum(many)])
-        ids = self.flat[np.repeat(self.begin[numbers] - upto[:-1], many) + np.arange(upto[-1])]
+        ids = self.flat[np.repeat(begin - upto[:-1], many) + np.arange(upto[-1])]
         return ids, upto[np.searchsorted(starts, offsets)]
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
