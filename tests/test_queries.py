@@ -64,3 +64,16 @@ def test_reconstruction_is_convolution(spark):
     for r in C.reconstruct(rows, atoms_table(spark, d)).collect():
         got[r.channel, r.t] = r.x
     assert np.allclose(got, csc.reconstruct(z, d))
+
+
+@pytest.mark.parametrize("where", ["false", "ts >= '2024-01-30 20:00:00'", "hour(ts) % 3 <> 0 AND value < 0"])
+def test_objectives_and_variances_of_few_rows_as_sql(spark, tmp_path, where):
+    """No events; events, but no codes; codes of one atom alone or none."""
+    events = f"{tmp_path}/events.parquet"
+    db = duckdb.connect()
+    db.execute("SET timezone = 'UTC'")
+    db.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.001/events.parquet' WHERE {where}) TO '{events}'")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{events}'")
+    for name in ("objective", "objective_per_atom", "objective_feasible", "fast_objective", "explained_variance"):
+        got = sorted(tuple(r) for r in Q.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(db.execute(Q.SQL[name]).fetchall()), name

@@ -11,33 +11,33 @@ from . import spread as S
 from .quantiles import quantiles
 
 
-def _fit(x: DataFrame, z: DataFrame, d: DataFrame) -> DataFrame:
+def _fit(x: DataFrame, z: DataFrame, d: DataFrame, none: int | None = 0) -> DataFrame:
     """One row (fit): half the squared residual."""
-    return C.residual_energy(x, z, d).agg((F.coalesce(F.sum("e"), F.lit(0)) / 2).cast("double").alias("fit"))
+    return C.residual_energy(x, z, d).agg((F.coalesce(F.sum("e"), F.lit(none)) / 2).cast("double").alias("fit"))
 
 
-def objective(x: DataFrame, z: DataFrame, d: DataFrame, reg: float) -> DataFrame:
-    """One row (objective): half the squared residual plus reg times the sum of |z|."""
-    l1 = z.agg(F.coalesce(F.sum(F.abs("z")), F.lit(0)).cast("double").alias("l1"))
-    return _fit(x, z, d).crossJoin(l1).select((F.col("fit") + reg * F.col("l1")).alias("objective"))  # one row each
+def objective(x: DataFrame, z: DataFrame, d: DataFrame, reg: float, none: int | None = 0) -> DataFrame:
+    """One row (objective): half the squared residual plus reg times the sum of |z|; ``none`` is what a sum over no rows is, null in SQL."""
+    l1 = z.agg(F.coalesce(F.sum(F.abs("z")), F.lit(none)).cast("double").alias("l1"))
+    return _fit(x, z, d, none).crossJoin(l1).select((F.col("fit") + reg * F.col("l1")).alias("objective"))  # one row each
 
 
-def per_atom_objective(x: DataFrame, z: DataFrame, d: DataFrame, reg: DataFrame) -> DataFrame:
+def per_atom_objective(x: DataFrame, z: DataFrame, d: DataFrame, reg: DataFrame, none: int | None = 0) -> DataFrame:
     """The same with a regularisation (k, reg) for each atom, each on its own activations."""
-    l1 = z.groupBy("k").agg(F.sum(F.abs("z")).alias("l1")).join(reg, "k").agg(F.coalesce(F.sum(F.col("l1") * F.col("reg")), F.lit(0.0)).alias("l1"))
-    return _fit(x, z, d).crossJoin(l1).select((F.col("fit") + F.col("l1")).alias("objective"))
+    l1 = z.groupBy("k").agg(F.sum(F.abs("z")).alias("l1")).join(reg, "k").agg(F.coalesce(F.sum(F.col("l1") * F.col("reg")), F.lit(none).cast("double")).alias("l1"))
+    return _fit(x, z, d, none).crossJoin(l1).select((F.col("fit") + F.col("l1")).alias("objective"))
 
 
-def fast_objective(ztz: DataFrame, ztx: DataFrame, xtx: DataFrame, z: DataFrame, d: DataFrame, length: int, reg: float) -> DataFrame:
+def fast_objective(ztz: DataFrame, ztx: DataFrame, xtx: DataFrame, z: DataFrame, d: DataFrame, length: int, reg: float, none: int | None = 0) -> DataFrame:
     """The objective from the sufficient statistics alone."""
     quadratic = C.convolve_statistics(ztz, d, length).join(d, ["k", "channel", "l"]).agg(F.coalesce(F.sum(F.col("v") * F.col("d")), F.lit(0)).alias("q"))
     linear = ztx.join(d, ["k", "channel", "l"]).agg(F.coalesce(F.sum(F.col("v") * F.col("d")), F.lit(0)).alias("m"))
-    l1 = z.agg(F.coalesce(F.sum(F.abs("z")), F.lit(0)).alias("l1"))
+    l1 = z.agg(F.coalesce(F.sum(F.abs("z")), F.lit(none)).alias("l1"))
     value = (F.col("q") / 2).cast("double") - F.col("m") + F.col("xtx") / 2 + reg * F.col("l1")
     return quadratic.crossJoin(linear).crossJoin(xtx).crossJoin(l1).select(value.cast("double").alias("objective"))
 
 
-def weighted_objective(x: DataFrame, z: DataFrame, d: DataFrame, w: DataFrame, reg: float) -> DataFrame:
+def weighted_objective(x: DataFrame, z: DataFrame, d: DataFrame, w: DataFrame, reg: float, none: int | None = 0) -> DataFrame:
     """Univariate: half the squared residual, each sample by its weight w (trial, t, w), plus reg times the sum of z."""
     x, d = x.withColumn("channel", F.lit(0)), d.withColumn("channel", F.lit(0))
     if (by := C.blockwise(d, (x, "x"), (z, "z"), (w, "w"))) is not None:
@@ -45,22 +45,22 @@ def weighted_objective(x: DataFrame, z: DataFrame, d: DataFrame, w: DataFrame, r
     else:
         r = C.residual(x, z, d).join(w, ["trial", "t"])
         fit = r.agg((F.sum(F.col("w") * F.col("r") * F.col("r")) / 2).cast("double").alias("fit"))
-    l1 = z.agg(F.coalesce(F.sum("z"), F.lit(0)).cast("double").alias("l1"))
+    l1 = z.agg(F.coalesce(F.sum("z"), F.lit(none)).cast("double").alias("l1"))
     return fit.crossJoin(l1).select((F.col("fit") + reg * F.col("l1")).alias("objective"))
 
 
-def feasible_objective(x: DataFrame, z: DataFrame, d: DataFrame, reg: float) -> DataFrame:
+def feasible_objective(x: DataFrame, z: DataFrame, d: DataFrame, reg: float, none: int | None = 0) -> DataFrame:
     """The objective after atoms are brought into the unit ball and their activations are scaled up instead."""
     norm = d.groupBy("k").agg(F.greatest(F.lit(1.0), F.sqrt(F.sum(F.col("d") * F.col("d")))).alias("norm"))
     inside = d.join(norm, "k").select("k", "channel", "l", (F.col("d") / F.col("norm")).alias("d"))
     scaled = z.join(norm, "k").select("trial", "k", "t", (F.col("z") * F.col("norm")).alias("z"))
-    return objective(x, scaled, inside, reg)
+    return objective(x, scaled, inside, reg, none)
 
 
-def feasible_objective_univariate(x: DataFrame, z: DataFrame, d: DataFrame, reg: float) -> DataFrame:
+def feasible_objective_univariate(x: DataFrame, z: DataFrame, d: DataFrame, reg: float, none: int | None = 0) -> DataFrame:
     """The same for signals (trial, t, x) and atoms (k, l, d) without channels."""
     one = lambda df: df.withColumn("channel", F.lit(0))
-    return feasible_objective(one(x), z, one(d), reg)
+    return feasible_objective(one(x), z, one(d), reg, none)
 
 
 def gradient_z(x: DataFrame, z: DataFrame, d: DataFrame, reg: float, valid: int) -> DataFrame:
@@ -129,16 +129,16 @@ def lambda_max(x: DataFrame, d: DataFrame, valid: int, trials: DataFrame, q: flo
     return quantiles(c, ["k"], "c", {"lambda_max": q}, zeros)
 
 
-def explained_variance(z: DataFrame, d: DataFrame, channels: int, times: int, trials: DataFrame) -> DataFrame:
-    """(k, variance, rank): population variance of each atom's part, implicit zeros counted, largest first."""
+def explained_variance(z: DataFrame, d: DataFrame, channels: int, times: int, trials: DataFrame, unused: bool = True) -> DataFrame:
+    """(k, variance, rank): population variance of each atom's part, implicit zeros counted, largest first; of atoms without activations, if ``unused``, and without trials 0."""
     if (by := C.blockwise(d, (z, "z"))) is not None:
         moments = S.atom_moments(z, *by)
     else:
         moments = C.reconstruct_atoms(z, d).select("k", F.col("x").alias("s"), (F.col("x") * F.col("x")).alias("q"))
     part = moments.groupBy("k").agg(F.sum("s").cast("double").alias("s"), F.sum("q").cast("double").alias("q"))
     count = trials.select("trial").distinct().agg((F.count("*") * (channels * times)).cast("double").alias("n"))
-    every = d.select("k").distinct().join(part, "k", "left").fillna(0.0).crossJoin(count)
-    value = F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))
+    every = d.select("k").distinct().join(part, "k", "left" if unused else "inner").fillna(0.0).crossJoin(count)
+    value = F.when(F.col("n") > 0, F.col("q") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))).otherwise(0.0)
     return every.select("k", value.alias("variance")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("variance"), "k")))  # one row for each atom
 
 

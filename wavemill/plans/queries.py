@@ -187,39 +187,39 @@ _OBJECTIVE = f"SELECT CAST((SELECT sum(r * r) FROM r) AS DOUBLE) / 2 + {float(RE
 
 @query(_EVENTS, _OBJECTIVE)
 def objective(s, d):
-    return O.objective(*_xzd(s, d), float(REG))
+    return O.objective(*_xzd(s, d), float(REG), none=None)
 
 
 @query(_EVENTS, _OBJECTIVE)
 def fast_objective(s, d):
     x, z, atoms = _xzd(s, d)
     ztz, ztx, xtx = C.constants(z, x, L)
-    return O.fast_objective(ztz, ztx, xtx, z, atoms, L, REG)
+    return O.fast_objective(ztz, ztx, xtx, z, atoms, L, REG, none=None)
 
 
 @query(_EVENTS, "SELECT CAST((SELECT sum(r * r) FROM r) AS DOUBLE) / 2 + (SELECT CAST(sum(CASE WHEN k = 0 THEN 2.0 ELSE 5.0 END * z) AS DOUBLE) FROM z) AS objective")
 def objective_per_atom(s, d):
-    return O.per_atom_objective(*_xzd(s, d), s.createDataFrame([(0, 2.0), (1, 5.0)], "k int, reg double"))
+    return O.per_atom_objective(*_xzd(s, d), s.createDataFrame([(0, 2.0), (1, 5.0)], "k int, reg double"), none=None)
 
 
 @query(_EMBEDDINGS, f"SELECT (SELECT CAST(sum((1 + t % 3) * r * r) AS DOUBLE) / 2 FROM r) + {float(REG)} * (SELECT CAST(sum(z) AS DOUBLE) FROM z) AS objective")
 def objective_weighted(s, d):
     x, z, atoms = _univariate(s, d)
     w = x.select("trial", "t", (1 + F.col("t") % 3).cast("long").alias("w"))
-    return O.weighted_objective(x, z, atoms, w, float(REG))
+    return O.weighted_objective(x, z, atoms, w, float(REG), none=None)
 
 
 @query(_EVENTS, f"""SELECT round(sum(e) / 2 + {float(REG)} * (SELECT sum(z * n) FROM z JOIN (SELECT k, greatest(1, sqrt(sum(d * d))) AS n FROM d GROUP BY k) USING (k)), 2) AS objective
 FROM (SELECT CAST(r * r AS DOUBLE) AS e FROM r)""")
 def objective_feasible(s, d):
-    found = O.feasible_objective(*_xzd(s, d), float(REG))
+    found = O.feasible_objective(*_xzd(s, d), float(REG), none=None)
     return found.select(F.round("objective", 2).alias("objective"))
 
 
 @query(_EMBEDDINGS, f"""SELECT round(sum(e) / 2 + {float(REG)} * (SELECT sum(z * n) FROM z JOIN (SELECT k, greatest(1, sqrt(sum(d * d))) AS n FROM d GROUP BY k) USING (k)), 2) AS objective
 FROM (SELECT CAST(r * r AS DOUBLE) AS e FROM r)""")
 def objective_feasible_univariate(s, d):
-    return O.feasible_objective_univariate(*_univariate(s, d), float(REG)).select(F.round("objective", 2).alias("objective"))
+    return O.feasible_objective_univariate(*_univariate(s, d), float(REG), none=None).select(F.round("objective", 2).alias("objective"))
 
 
 @query(_EVENTS, "SELECT trial, k, t, CAST(g AS DOUBLE) AS g FROM gz")
@@ -281,7 +281,7 @@ SELECT k, CAST(sum(x * x) AS DOUBLE) / n - (CAST(sum(x) AS DOUBLE) / n) * (CAST(
 FROM (SELECT k, trial, channel, t + l AS t, sum(z * d) AS x FROM z JOIN d USING (k) GROUP BY ALL), (SELECT CAST(count(*) * {P5 * T} AS DOUBLE) AS n FROM trials) GROUP BY k, n)""")
 def explained_variance(s, d):
     x, z, atoms = _xzd(s, d)
-    return O.explained_variance(z, atoms, P5, T, x).withColumn("variance", F.round("variance", 6))
+    return O.explained_variance(z, atoms, P5, T, x, unused=False).withColumn("variance", F.round("variance", 6))
 
 
 @query(_EVENTS, f"SELECT k, count(*) AS nnz, count(*) / ((SELECT count(*) FROM trials) * {float(TV)}) AS density FROM z GROUP BY k")
