@@ -51,6 +51,27 @@ def test_scan_reads_only_needed_columns(spark, sf):
     assert "props" not in plan
 
 
+def test_events_are_read_once_and_dealt_before_they_are_summed(spark, sf):
+    for df in (V.event_signal(spark, sf), V.event_codes(spark, sf, V.HOURS - V.LENGTH + 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet [ts#") == 1
+        first_sum = plan[plan.rindex("HashAggregate(keys=[user_id#") : plan.index("FileScan parquet [ts#")]
+        assert "Exchange hashpartitioning(user_id#" in first_sum  # or a task's sums are as large as its split of the file
+
+
+def test_reconstruction_of_odd_events_in_one_row_group_is_that_of_sql(spark, tmp_path):
+    day, c = pd.Timestamp("2024-01-05"), duckdb.connect()
+    rows = [(u, day + pd.Timedelta(hours=h), e, v) for u in (1, 2, None) for h in (0, 1, 2, 3) for e, v in (("buy", 1.5), ("view", -2.25), ("buy", 0.75), (None, 9.0))]
+    rows += [(1, day + pd.Timedelta(hours=9), "buy", None), (1, day + pd.Timedelta(hours=9), "view", 3.0), (2, day, "cart", None), (2, day + pd.Timedelta(hours=30), "buy", 0.0)]
+    rows += [(3, None, "buy", 4.0), (3, pd.Timestamp("2023-12-31 21:30"), "buy", 4.0), (3, pd.Timestamp("2024-01-30 18:59:59.9"), "buy", 4.0), (3, pd.Timestamp("2024-01-30 19:00"), "buy", 4.0)]
+    events = pd.DataFrame(rows, columns=["user_id", "ts", "event_type", "value"]).astype({"user_id": "Int64", "ts": "datetime64[us]"})
+    events.assign(event_id=range(len(events)), props="").to_parquet(tmp_path / "events.parquet")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = Q.QUERIES["reconstruct"](spark, str(tmp_path)).toPandas(), c.execute(Q.SQL["reconstruct"]).df()
+    assert len(want)
+    pd.testing.assert_frame_equal(tidy(got), tidy(want))
+
+
 def test_reconstruction_is_convolution(spark):
     from wavemill.kernels import csc
     from wavemill.operators import convolution as C

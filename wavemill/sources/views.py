@@ -30,19 +30,25 @@ def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trial = user, channel = event type, t = hour, x = cents; zeros are left out."""
+    """trial = user, channel = event type, t = hour, x = cents; zeros are left out.
+
+    Events are dealt out before they are summed: nearly each one is a group of its own, so sums beside the scan would hold all events
+    of a split, and a split may be as large as the writer of the file made its row groups. The amount is among the columns that events
+    are dealt by so that the first and the second half of the sum, a table of groups each, stay tasks of their own.
+    """
     hour = F.floor((F.unix_timestamp("ts") - EPOCH_2024) / 3600).cast("int").alias("t")
     ev = table(spark, sf_dir, "events").select("user_id", "event_type", hour, F.round(F.col("value") * 100).cast("long").alias("cents"))
-    return dense_index(ev, "event_type", "channel").groupBy(F.col("user_id").alias("trial"), "channel", "t").agg(F.sum("cents").alias("x"))
+    dealt = dense_index(ev, "event_type", "channel").repartition("user_id", "t", "cents")
+    return dealt.groupBy(F.col("user_id").alias("trial"), "channel", "t").agg(F.sum("cents").alias("x"))
 
 
 def event_codes(spark: SparkSession, sf_dir: str, valid: int) -> DataFrame:
     """Integer spikes of two atoms: hours of positive totals, and the number of active channels in busy hours."""
     x = event_signal(spark, sf_dir)
     hour = x.groupBy("trial", "t").agg(F.sum("x").alias("s"), F.count("*").alias("n")).where(F.col("t") < valid)
-    one = hour.where("s > 0").select("trial", F.lit(0).alias("k"), "t", F.lit(1).cast("long").alias("z"))
-    two = hour.where("t % 3 = 0").select("trial", F.lit(1).alias("k"), "t", F.col("n").alias("z"))
-    return one.unionByName(two)
+    spikes = (F.lit(0), F.when(F.col("s") > 0, F.lit(1).cast("long"))), (F.lit(1), F.when(F.col("t") % 3 == 0, F.col("n")))
+    both = F.array(*(F.struct(k.alias("k"), z.alias("z")) for k, z in spikes))  # one pass over the events for both atoms
+    return hour.select("trial", "t", F.inline(both)).where("z IS NOT NULL").select("trial", "k", "t", "z")
 
 
 def embedding_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
