@@ -41,6 +41,37 @@ def test_many_rows_of_weights_have_the_curvatures_of_each():
     assert np.allclose(csc.lipschitz_weighted(d, w), [csc.lipschitz(d, row[None], 35) for row in w], rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("kw", [{}, {"momentum": False}, {"restart": True}, {"positive": False}, {"fixed_steps": 7}, {"max_iter": 3}, {"frozen": True}, {"step": 0.005}, {"step": "bound"}])
+@pytest.mark.parametrize("channels", [1, 2])
+def test_trials_solved_side_by_side_are_as_one_by_one(kw, channels, monkeypatch):
+    rng = np.random.RandomState(5)
+    d, x, w = rng.randn(3, channels, 6), rng.randn(9, channels, 30), rng.uniform(0.1, 2, (9, 30))
+    w[4] = 0.0
+    z0 = np.abs(rng.randn(9, 3, 25)) * (rng.uniform(size=(9, 3, 25)) < 0.3)
+    monkeypatch.setattr(csc, "ABREAST", 300)  # in several parts
+    for start in (None, z0):
+        got = csc.proximal_many(x, d, [0.1, 0.2, 0.3], w, start, **kw)
+        for i in range(len(x)):
+            alone = csc.proximal(x[i], d, [0.1, 0.2, 0.3], None if start is None else start[i], w=w[i : i + 1], **kw)
+            assert np.allclose(got[i], alone, atol=1e-9)
+
+
+def test_a_step_by_a_bound_leads_to_the_same_codes(spark, monkeypatch):
+    """Of trials side by side and one by one, never longer than by the curvature itself."""
+    rng, d, _ = _problem()
+    xs, w = rng.randn(5, 40), rng.uniform(0.1, 3, size=(5, 40))
+    assert (csc.bound_step(d[:, :1], 35, w) <= 0.99 / csc.lipschitz_weighted(d[:, :1], w) + 1e-12).all()
+    x = spark.createDataFrame([(n, 0, t, float(xs[n, t])) for n, t in np.ndindex(xs.shape)], "trial long, channel int, t int, x double")
+    table = E.blocks(x, 1, 40, spark.createDataFrame([(n, t, float(w[n, t])) for n, t in np.ndindex(w.shape)], "trial long, t int, w double")).cache()
+    want = {n: csc.encode(xs[n : n + 1], d[:, :1], 0.5, None, "fista", w=w[n : n + 1], tol=1e-9) for n in range(5)}
+    for side_by_side in (True, False):
+        encoder = E.Encoder(d[:, :1], 0.5, "fista", {"tol": 1e-9, "step": "bound", "restart": True})
+        if not side_by_side:
+            monkeypatch.setattr(E, "stacked", lambda *_: None)
+        for r in encoder.encode(table).collect():
+            assert np.allclose(np.frombuffer(r.z).reshape(2, -1), want[r.trial], atol=1e-5)
+
+
 def test_dense_rows_are_made_a_few_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(E, "CHUNK", 8 * 3 * 40 * 2)
     x = spark.range(9).select(F.col("id").alias("trial"), F.lit(1).alias("channel"), F.lit(7).alias("t"), (F.col("id") + 1.0).alias("x"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from wavemill.plans import encode as E
 from wavemill.plans import learn as L
 from wavemill.plans.model import BatchCDL, GreedyCDL, OnlineCDL, atoms_table, load
@@ -76,6 +77,78 @@ def test_univariate_and_weights(spark, signal):
     assert fit.d.shape == (K, 1, LENGTH) and w.where("w <= 0").count() == 0
 
 
+def test_robust_fit_runs_all_rounds_of_its_learner(spark, sf, monkeypatch):
+    """The query leaves rounds, steps and chains to the learner's defaults, and codes to the tolerance of its solver."""
+    import inspect
+
+    from wavemill.plans import model_queries as M
+
+    seen, known = {}, inspect.signature(L.learn_robust)
+
+    def learn_robust(*args, **kw):
+        seen.update(known.bind(*args, **kw).arguments)
+        return L.Learned(np.zeros((2, 1, 8)), None, np.array(0.5)), None
+
+    monkeypatch.setattr(L, "learn_robust", learn_robust)
+    M.robust_fit(spark, sf)
+    for name in ("n_iter_global", "n_iter_optim", "n_iter_mcmc", "n_burnin_mcmc"):
+        assert seen.get(name, known.parameters[name].default) == known.parameters[name].default, name
+    assert not {"max_iter", "fixed_steps", "tol"} & set(seen["kwargs"]["solver_z_kwargs"])
+    assert seen["x"].count() == spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("sum(size(embedding)) AS n").first().n
+
+
+def _robust_by_hand(x, k, length, reg, alpha, rounds, steps, mcmc, burnin, seed):
+    """Plain loops over whole arrays x (N, T): chains before each fit, which go on where they were; codes from zero in each round."""
+    from wavemill.kernels import csc, dictionary as dic, stable
+
+    rng, n = np.random.RandomState(seed), x.shape[1] - length + 1
+    d = np.random.RandomState(seed).randn(k, length)
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    r, phi = x, np.full(x.shape, 2.0)
+    trial, t = np.indices(x.shape)
+    for _ in range(rounds):
+        tau, phi = (v.reshape(x.shape) for v in stable.expected_precision(r.ravel(), alpha, mcmc, burnin, int(rng.randint(2**31 - 1)), trial.ravel(), t.ravel(), phi.ravel(), state=True))
+        w, z = 2 * tau, np.zeros((len(x), k, n))
+        for _ in range(steps):
+            equations, right = np.zeros((k, k, length, length)), np.zeros((k, length))
+            for i in range(len(x)):
+                z[i] = csc.proximal(x[i : i + 1], d[:, None], reg, z[i], w=w[i : i + 1], step="bound")
+                at = lambda a, m: np.concatenate([np.zeros(m), z[i, a], np.zeros(length - 1 - m)])  # noqa: B023, E731
+                for a, m in np.ndindex(k, length):
+                    right[a, m] += np.sum(w[i] * x[i] * at(a, m))
+                    for b, j in np.ndindex(k, length):
+                        equations[a, b, m, j] += np.sum(w[i] * at(a, m) * at(b, j))
+            d = dic.update_block(d, equations, right, 1)
+        r = x - np.stack([csc.reconstruct(z[i], d[:, None])[0] for i in range(len(x))])
+    cost = sum(csc.cost(x[i : i + 1], z[i], d[:, None], reg, w[i : i + 1]) for i in range(len(x)))
+    return d, w, z, cost
+
+
+def test_robust_learner_equals_plain_loops(spark, signal):
+    x = signal[0].select("trial", "t", F.round("x", 3).alias("x"))
+    dense = np.zeros((N, T))
+    for r in x.collect():
+        dense[r.trial, r.t] = r.x
+    d, w, z, cost = _robust_by_hand(dense, K, 8, 0.05, 1.5, 3, 2, 8, 3, 0)
+    fit, weights = L.learn_robust(x, K, 8, T, reg=0.05, alpha=1.5, n_iter_global=3, n_iter_optim=2, n_iter_mcmc=8, n_burnin_mcmc=3, solver_z="fista", solver_z_kwargs={"step": "bound"})
+    assert np.allclose(fit.d[:, 0], d, atol=1e-6) and fit.pobj[-1] == pytest.approx(cost, rel=1e-6)
+    got = {(r.trial, r.t): r.w for r in weights.collect()}
+    assert len(got) == N * T and np.allclose([got[i, t] for i, t in np.ndindex(N, T)], w.ravel(), rtol=1e-6)
+    codes = {(r.trial, r.k, r.t): r.z for r in E.codes(fit.table, K).collect()}
+    assert np.allclose([codes.get(i, 0.0) for i in np.ndindex(z.shape)], z.ravel(), atol=1e-5)
+
+
+def test_robust_weights_come_before_the_first_fit(spark, signal):
+    x = signal[0].select("trial", "t", "x")
+    fit, w = L.learn_robust(x, K, LENGTH, T, reg=0.05, n_iter_global=1, n_iter_optim=1, n_iter_mcmc=6, n_burnin_mcmc=3, solver_z="fista")
+    assert w.where("w <> 1").count() > 0 and not fit.table.is_cached
+    _, by_variance = L.learn_robust(x, K, LENGTH, T, reg=0.05, n_iter_global=1, n_iter_optim=1, n_iter_mcmc=1, n_burnin_mcmc=0, init_tau=True, solver_z="fista")
+    assert by_variance.where("w <= 0").count() == 0
+    for bad in ({"n_iter_global": 0}, {"n_iter_mcmc": 3, "n_burnin_mcmc": 3}):
+        with pytest.raises(ValueError, match="n_"):
+            L.learn_robust(x, K, LENGTH, T, **bad)
+
+
 def test_long_signal_equals_one_block(spark):
     from wavemill.kernels import csc
 

@@ -206,10 +206,22 @@ class GramOperator:
         return self @ np.eye(self.shape[0])
 
 
-def proximal(x, d, reg, z0=None, tol: float = 1e-4, max_iter: int = 15_000, positive: bool = True, frozen: bool = False, momentum: bool = True, w=None, fixed_steps: int | None = None, restart: bool = False, adaptive: bool = False, step: float | None = None, dtd: np.ndarray | None = None) -> np.ndarray:
+def bound_step(d: np.ndarray, n: int, w: np.ndarray | None = None) -> float | np.ndarray:
+    """A step of n places, by the curvature without weights over the largest weight; one for each row of weights (B, T)."""
+    step = 0.99 / lipschitz(d, None, n)
+    return step if w is None else step / largest_weights(w)
+
+
+def largest_weights(w: np.ndarray) -> np.ndarray:
+    """Of each row; 1 where all are zero."""
+    top = w.max(axis=1)
+    return np.where(top > 0, top, 1.0)
+
+
+def proximal(x, d, reg, z0=None, tol: float = 1e-4, max_iter: int = 15_000, positive: bool = True, frozen: bool = False, momentum: bool = True, w=None, fixed_steps: int | None = None, restart: bool = False, adaptive: bool = False, step: float | str | None = None, dtd: np.ndarray | None = None) -> np.ndarray:
     """ISTA or FISTA with a fixed step, by default by the largest curvature; ``fixed_steps`` runs exactly so many iterations.
 
-    ``adaptive`` doubles and halves the step as it goes. With no more atoms than channels and the Gram matrix ``dtd`` the gradient is taken from
+    A step "bound" is by a bound of that curvature, which takes no search of its own for each row of weights. ``adaptive`` doubles and halves the step as it goes. With no more atoms than channels and the Gram matrix ``dtd`` the gradient is taken from
     it and from one correlation with the signal.
     """
     slope = gram_gradient(x, d, dtd) if dtd is not None and w is None and len(d) <= len(x) else lambda y: gradient(x, y, d, w)
@@ -217,6 +229,8 @@ def proximal(x, d, reg, z0=None, tol: float = 1e-4, max_iter: int = 15_000, posi
     z = np.zeros((d.shape[0], n)) if z0 is None else np.array(z0, dtype=float)
     support = z != 0 if frozen else None
     reg = np.asarray(reg, dtype=float).reshape(-1, 1)
+    if step == "bound":
+        step = float(np.min(bound_step(d, n, w)))
     step = step or (1.0 if adaptive else 0.99 / lipschitz(d, w, n))
     y, a = z.copy(), 1.0
 
@@ -250,6 +264,72 @@ def proximal(x, d, reg, z0=None, tol: float = 1e-4, max_iter: int = 15_000, posi
     return z
 
 
+#: Entries of the matrix of all shifts of the atoms up to which trials are solved many at a time, and codes that are solved at once.
+DENSE, ABREAST = 1 << 20, 1 << 15
+
+
+def shifts(d: np.ndarray, n: int) -> np.ndarray:
+    """(P * T, K * n): the reconstruction of n places as one matrix."""
+    k, channels, length = d.shape
+    out = np.zeros((channels, n + length - 1, k, n))
+    for t in range(n):
+        out[:, t : t + length, :, t] = d.transpose(1, 2, 0)
+    return out.reshape(-1, k * n)
+
+
+def proximal_many(x: np.ndarray, d: np.ndarray, reg, w: np.ndarray, z0: np.ndarray | None = None, tol: float = 1e-4, max_iter: int = 15_000, positive: bool = True, frozen: bool = False, momentum: bool = True, fixed_steps: int | None = None, restart: bool = False, step: float | str | np.ndarray | None = None) -> np.ndarray:
+    """``proximal`` of many short trials x (B, P, T) with weights w (B, T) side by side: (B, K, T - L + 1), each trial stopped at its own round.
+
+    A step may be given for all trials or for each.
+    """
+    many, channels, times = x.shape
+    k, n = d.shape[0], times - d.shape[2] + 1
+    if step is None or isinstance(step, str):
+        step = 0.99 / lipschitz_weighted(d, w) if step is None else bound_step(d, n, w)
+    step = np.broadcast_to(np.asarray(step, dtype=float), (many,))
+    whole = shifts(d, n)
+    turned, level = np.ascontiguousarray(whole.T), np.repeat(np.broadcast_to(np.asarray(reg, dtype=float).reshape(-1, 1), (k, 1)), n, axis=1).reshape(-1, 1)
+    out, few = np.zeros((k * n, many)), max(1, ABREAST // (k * n))
+    if z0 is not None:
+        out[:] = z0.reshape(many, -1).T
+    for start in range(0, many, few):
+        at = np.arange(start, min(start + few, many))
+        z, by = out[:, at], step[at]
+        support = z != 0 if frozen else None
+        weight = np.tile(w[at].T, (channels, 1))
+        signal, y, a, open_ = weight * x[at].reshape(len(at), -1).T, z.copy(), np.ones(len(at)), np.ones(len(at), dtype=bool)
+        for _ in range(max_iter if fixed_steps is None else fixed_steps):
+            r = whole @ y
+            r *= weight
+            r -= signal
+            new = shrink(y - by * (turned @ r), by * level, positive)
+            if support is not None:
+                new *= support
+            change = new - z
+            if momentum:
+                if restart:
+                    a = np.where(np.sum((y - new) * change, axis=0) > 0, 1.0, a)
+                b = (1 + np.sqrt(1 + 4 * a * a)) / 2
+                y, a = new + (a - 1) / b * change, b
+            else:
+                y = new
+            z = new
+            if fixed_steps is not None:
+                continue
+            done = open_ & (np.abs(change).max(axis=0, initial=0.0) <= tol * np.maximum(1e-12, np.abs(z).max(axis=0, initial=0.0)))
+            if done.any():
+                out[:, at[done]] = z[:, done]
+                open_ &= ~done
+                if not open_.any():
+                    break
+                if np.count_nonzero(open_) < 0.8 * len(open_):  # columns that are done are carried along until they are many
+                    z, y, weight, signal = (v[:, open_] for v in (z, y, weight, signal))
+                    support = support if support is None else support[:, open_]
+                    at, by, a, open_ = at[open_], by[open_], a[open_], open_[open_]
+        out[:, at[open_]] = z[:, open_]
+    return np.ascontiguousarray(out.T).reshape(many, k, n)
+
+
 def lbfgs(x, d, reg, z0=None, tol: float = 1e-5, max_iter: int = 500, frozen: bool = False, w=None, memory: int = 10) -> np.ndarray:
     """Projected L-BFGS for z >= 0: the two-loop direction on free coordinates, backtracking along the projection."""
     n = x.shape[1] - d.shape[2] + 1

@@ -42,19 +42,20 @@ def positive_stable(alpha: float, u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.sin(alpha * angle) / np.sin(angle) ** (1 / alpha) * (np.sin((1 - alpha) * angle) / height) ** ((1 - alpha) / alpha)
 
 
-def expected_precision(r: np.ndarray, alpha: float, n_iter: int, n_burnin: int, seed: int, trial: np.ndarray | int = 0, t: np.ndarray | None = None) -> np.ndarray:
-    """Mean of 1 / Phi after burn-in for each residual, by independence Metropolis-Hastings with the prior as proposal.
+def expected_precision(r: np.ndarray, alpha: float, n_iter: int, n_burnin: int, seed: int, trial: np.ndarray | int = 0, t: np.ndarray | None = None, start: np.ndarray | float = 2.0, state: bool = False):
+    """Mean of 1 / Phi after burn-in for each residual, by independence Metropolis-Hastings with the prior as proposal; with ``state`` the last Phi too.
 
-    Phi is such that sqrt(Phi) times a standard normal is symmetric alpha-stable of unit scale; each sample is a chain of its own.
+    Phi is such that sqrt(Phi) times a standard normal is symmetric alpha-stable of unit scale; each sample is a chain of its own, from ``start``.
     """
     if n_burnin >= n_iter:
         raise ValueError("n_burnin must be below n_iter")
     at = key(seed, trial, np.arange(len(r)) if t is None else t)
-    phi, total = np.full(r.shape, 2.0), np.zeros(r.shape)
+    phi, total = np.broadcast_to(np.asarray(start, dtype=float), r.shape), np.zeros(r.shape)
     for i in range(n_iter):
         new = 2.0 * positive_stable(alpha / 2, drawn(at, i, ANGLE), drawn(at, i, HEIGHT))
         gain = 0.5 * np.log(phi / new) + 0.5 * r * r * (1 / phi - 1 / new)
         phi = np.where(np.log(drawn(at, i, CHOICE)) < gain, new, phi)
         if i >= n_burnin:
             total += 1 / phi
-    return total / (n_iter - n_burnin)
+    tau = total / (n_iter - n_burnin)
+    return (tau, phi) if state else tau

@@ -33,3 +33,9 @@ def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir, which all executors share."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``scratch`` named."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

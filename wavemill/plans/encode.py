@@ -66,6 +66,19 @@ def _array(raw, rows: int) -> np.ndarray | None:
     return None if raw is None else np.frombuffer(raw, dtype=float).reshape(rows, -1)
 
 
+def stacked(pdf: pd.DataFrame, k: int, channels: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """x (B, P, T), w (B, T) and codes (B, K, n), zeros where there are none, of weighted block rows; None if trials are long or of several lengths."""
+    sizes = set(pdf["w"].map(len))
+    times = min(sizes) // 8
+    n = times - length + 1
+    if len(sizes) > 1 or n < 1 or channels * times * k * n > csc.DENSE:
+        return None
+    x, w = (np.frombuffer(b"".join(pdf[c])).reshape(len(pdf), -1) for c in ("x", "w"))
+    empty = bytes(8 * k * n)
+    z = np.frombuffer(b"".join(z if z is not None and len(z) == len(empty) else empty for z in pdf["z"]))
+    return x.reshape(len(pdf), channels, times), w, z.reshape(len(pdf), k, n)
+
+
 @dataclass
 class Encoder:
     """Encodes blocks with a dictionary (K, P, L) and a regularisation of one value or one for each atom."""
@@ -90,10 +103,11 @@ class Encoder:
     def encode(self, table: DataFrame, warm: bool = True, unbiased: bool = False) -> DataFrame:
         """The block table with new codes; ``unbiased`` refits them on their support without regularisation."""
         d, reg, solver, options, positive = self.d, self.reg, self.solver, dict(self.options), self.positive
-        k, channels, _ = d.shape
+        k, channels, length = d.shape
         dtd = csc.gram(d)
         steps: dict[int, float] = {}
         own_step = solver in ("ista", "fista") and not options.get("step") and not options.get("adaptive")
+        abreast, bound = solver in ("ista", "fista") and not options.get("adaptive"), options.get("step") == "bound"
 
         def step(n: int) -> float:
             """The step for n places without weights, found once for all trials of a task."""
@@ -103,6 +117,12 @@ class Encoder:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in _slices(batches):
+                if abreast and len(pdf) and pdf["w"].notna().all() and (several := stacked(pdf, k, channels, length)):
+                    x, w, z = several
+                    given = options | ({"step": step(x.shape[2] - length + 1) / csc.largest_weights(w)} if bound else {})
+                    new = csc.proximal_many(x, d, 0.0 if unbiased else reg, w, z if warm or unbiased else None, positive=positive, frozen=unbiased, momentum=solver == "fista", **given)
+                    yield pdf.assign(z=[row.tobytes() for row in new])
+                    continue
                 out, own = [], [None] * len(pdf)
                 if own_step and pdf["w"].notna().all() and pdf["w"].map(len).nunique() == 1:
                     own = 0.99 / csc.lipschitz_weighted(d, np.stack([np.frombuffer(w) for w in pdf["w"]]))
@@ -112,13 +132,13 @@ class Encoder:
                     extra = {"dtd": dtd} if solver in ("lgcd", "ista", "fista") else {}
                     if by is not None:
                         extra["step"] = float(by)
-                    elif own_step and w is None:
-                        extra["step"] = step(x.shape[1] - d.shape[2] + 1)
+                    elif bound or own_step and w is None:
+                        extra["step"] = step(x.shape[1] - d.shape[2] + 1) / (1.0 if w is None else float(csc.largest_weights(w)[0]))
                     new = csc.encode(x, d, 0.0 if unbiased else reg, start if warm or unbiased else None, solver, positive, unbiased, w, **(options | extra))
                     out.append(np.ascontiguousarray(new).tobytes())
                 yield pdf.assign(z=out)
 
-        return table.mapInPandas(run, BLOCKS)
+        return table.mapInPandas(run, table.schema)
 
     def set_d(self, d: np.ndarray) -> None:
         """Takes another dictionary, of the same channels and length; a regularisation for each atom must fit it."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from ..functions.checks import check_random_state
 from ..kernels import dictionary as dic
 from . import encode as E
 from .long import LongSignal
-from ..operators.shared import settled
+from ..operators.shared import dropped, scratch, settled
 
 
 @dataclass
@@ -380,6 +381,13 @@ def learn_univariate(x: DataFrame, n_atoms: int, n_times_atom: int, times: int,
     """
     signal = x.select("trial", F.lit(0).alias("channel"), "t", "x")
     table = settled(E.blocks(signal, 1, times, sample_weights))
+    weighted = sample_weights is not None
+    fit = _univariate(table, n_atoms, n_times_atom, reg, lmbd_max, n_iter, func_d, projection, solver_z, solver_z_kwargs, ds_init, weighted, stopping_pobj, random_state, callback)
+    return _kept(fit) if weighted else fit
+
+
+def _univariate(table: DataFrame, n_atoms: int, n_times_atom: int, reg: float = 0.1, lmbd_max: str = "fixed", n_iter: int = 60, func_d="block", projection: str = "dual", solver_z: str = "l-bfgs", solver_z_kwargs: dict | None = None, ds_init: np.ndarray | None = None, weighted: bool = False, stopping_pobj: float | None = None, random_state: int | None = None, callback: Callable | None = None) -> Learned:
+    """``learn_univariate`` on a block table. With weights the last table is cached, not settled."""
     rng = check_random_state(random_state)
     d = (rng.randn(n_atoms, n_times_atom) if ds_init is None else ds_init.astype(float)).copy()
     d /= np.maximum(1.0, np.linalg.norm(d, axis=1, keepdims=True)) if ds_init is not None else np.linalg.norm(d, axis=1, keepdims=True)
@@ -393,22 +401,26 @@ def learn_univariate(x: DataFrame, n_atoms: int, n_times_atom: int, times: int,
             top = E.lambda_max(table, d[:, None])
             now = reg0 * (top if lmbd_max == "per_atom" else top.max())
         encoder = E.Encoder(d[:, None], now, solver_z, solver_z_kwargs or {})
-        table = settled(encoder.encode(table))
-        stats = encoder.statistics(table)
-        out.trace.append((i, "z", float(stats.cost), time.time() - started))
+        if weighted:  # one job makes the codes, keeps them and sums
+            older, table = table, encoder.encode(table).persist()
+            sums = weighted_sums(table, n_atoms, n_times_atom)
+            older.unpersist()
+            nnz, before = sums.nnz, sums.cost(d, now)
+        else:
+            table = settled(encoder.encode(table))
+            stats = encoder.statistics(table)
+            nnz, before = stats.nnz, stats.cost
+        out.trace.append((i, "z", float(before), time.time() - started))
         started = time.time()
-        if not stats.nnz.any():
+        if not nnz.any():
             warnings.warn("all codes are zero; the regularisation is too strong", stacklevel=2)
             break
-        if sample_weights is None:
-            equations, right = dic.toeplitz_blocks(stats.ztz), stats.ztx[:, 0]
-        else:
-            equations, right = weighted_equations(table, n_atoms, n_times_atom)
+        equations, right = (sums.equations, sums.right) if weighted else (dic.toeplitz_blocks(stats.ztz), stats.ztx[:, 0])
         if callable(func_d):
             d = func_d(d, equations, right)
         else:
             d = dic.update_joint_dual(equations, right) if func_d == "joint" else dic.update_block(d, equations, right, 1, projection)
-        after = E.Encoder(d[:, None], now).statistics(table).cost
+        after = sums.cost(d, now) if weighted else E.Encoder(d[:, None], now).statistics(table).cost
         out.d, out.reg = d[:, None], now
         out.trace.append((i, "d", float(after), time.time() - started))
         started = time.time()
@@ -420,68 +432,121 @@ def learn_univariate(x: DataFrame, n_atoms: int, n_times_atom: int, times: int,
     return out
 
 
-def weighted_equations(table: DataFrame, atoms: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """((K, K, L, L), (K, L)) of sum of w (z-shift of k, l) (z-shift of j, m) and of w x."""
+def _kept(fit: Learned) -> Learned:
+    """The fit with its cached table settled."""
+    cached, fit.table = fit.table, settled(fit.table)
+    cached.unpersist()
+    return fit
+
+
+@dataclass
+class WeightedSums:
+    """Of weighted trials and their codes: the normal equations (K, K, L, L) and (K, L) of the atoms, the energy, activations and their sum by atom."""
+
+    equations: np.ndarray
+    right: np.ndarray
+    energy: float
+    nnz: np.ndarray
+    l1: np.ndarray
+
+    def cost(self, d: np.ndarray, reg) -> float:
+        """The objective of atoms (K, L) with these codes."""
+        fit = 0.5 * np.einsum("kl,kjlm,jm->", d, self.equations, d) - np.sum(d * self.right) + 0.5 * self.energy
+        return float(fit + np.sum(np.asarray(reg) * self.l1))
+
+
+def weighted_sums(table: DataFrame, atoms: int, length: int) -> WeightedSums:
+    """Sums of w (z-shift of k, l) (z-shift of j, m), of w x (z-shift of k, l), of w x x, and of the codes."""
     import pandas as pd
 
     def run(batches):
         for pdf in batches:
-            lhs, rhs = np.zeros((atoms, length, atoms, length)), np.zeros((atoms, length))
-            for x, w, z in zip(pdf["x"], pdf["w"], pdf["z"], strict=True):
-                x, w, z = np.frombuffer(x), np.frombuffer(w), np.frombuffer(z).reshape(atoms, -1)
-                shifted = np.zeros((atoms, length, len(x)))
+            if not len(pdf):
+                continue
+            total, few = 0.0, max(1, E.CHUNK // max(1, atoms * length * len(pdf["x"].iloc[0])))
+            for start in range(0, len(pdf), few):
+                part = pdf.iloc[start : start + few]
+                x, w, z = (np.frombuffer(b"".join(part[c])).reshape(len(part), *shape) for c, shape in (("x", (-1,)), ("w", (-1,)), ("z", (atoms, -1))))
+                shifted = np.zeros((atoms, length, *x.shape))
                 for m in range(length):
-                    shifted[:, m, m : m + z.shape[1]] = z
+                    shifted[:, m, :, m : m + z.shape[2]] = z.transpose(1, 0, 2)
                 flat = shifted.reshape(atoms * length, -1)
-                lhs += ((flat * w) @ flat.T).reshape(atoms, length, atoms, length)
-                rhs += (flat @ (w * x)).reshape(atoms, length)
-            if len(pdf):
-                both = np.concatenate([lhs.ravel(), rhs.ravel()])
-                yield pd.DataFrame({"i": np.arange(len(both)), "v": both})
-
-    found = table.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    v = np.zeros((atoms * length) ** 2 + atoms * length)
+                sums = [((flat * w.ravel()) @ flat.T).ravel(), flat @ (w * x).ravel(), [np.sum(w * x * x)], np.count_nonzero(z, axis=(0, 2)), np.abs(z).sum(axis=(0, 2))]
+                total += np.concatenate(sums)
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+    found = table.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()  # as large as the equations
+    size = atoms * length
+    v = np.zeros(size**2 + size + 1 + 2 * atoms)
     v[found["i"]] = found["v"]
-    return v[: (atoms * length) ** 2].reshape(atoms, length, atoms, length).transpose(0, 2, 1, 3), v[(atoms * length) ** 2 :].reshape(atoms, length)
+    equations, right, energy, nnz, l1 = np.split(v, np.cumsum([size**2, size, 1, atoms]))
+    return WeightedSums(equations.reshape(atoms, length, atoms, length).transpose(0, 2, 1, 3), right.reshape(atoms, length), float(energy[0]), nnz.astype(int), l1)
 
 
 def learn_robust(x: DataFrame, n_atoms: int, n_times_atom: int, times: int, reg: float = 0.1, alpha: float = 1.9, n_iter_global: int = 10, n_iter_optim: int = 10, n_iter_mcmc: int = 100, n_burnin_mcmc: int = 50, init_tau: bool = False, lmbd_max: str = "fixed", random_state: int = 0, **kwargs) -> tuple[Learned, DataFrame]:
-    """Alpha-stable noise by Monte Carlo EM: weights from a Metropolis-Hastings chain a sample, then a weighted fit.
+    """Alpha-stable noise by Monte Carlo EM: each round takes weights from a Metropolis-Hastings chain a sample, then fits with them.
 
-    Returns the fit and the last weights (trial, t, w). Each sample has a chain of its own, whose draws are hashes of a seed, its trial and its time.
+    Returns the fit and the last weights (trial, t, w). Each sample has a chain of its own, whose draws are hashes of a seed, its trial and its time;
+    the chain goes on from round to round, the first on the signal itself. ``init_tau`` begins it at the trial's variance.
+    Chains and codes stay with the packed trials: nothing is shuffled after these are made.
     """
-    if init_tau:
-        var = x.groupBy("trial").agg(F.var_pop("x").alias("v"))
-        weights = settled(x.join(var, "trial").select("trial", "t", (1.0 / F.col("v")).alias("w")))
-    else:
-        weights = settled(x.select("trial", "t", F.lit(1.0).alias("w")))
-    ds, fit, rng = None, None, np.random.RandomState(random_state)
-    for g in range(n_iter_global):
-        fit = learn_univariate(x, n_atoms, n_times_atom, times, reg, lmbd_max, n_iter_optim, sample_weights=weights, ds_init=ds, random_state=random_state, **kwargs)
-        ds, reg, lmbd_max = fit.d[:, 0], fit.reg, "fixed"
-        if g == n_iter_global - 1:
-            break
-        d, seed = fit.d, int(rng.randint(2**31 - 1))
+    if n_iter_global < 1:
+        raise ValueError("n_iter_global must be at least 1")
+    if n_burnin_mcmc >= n_iter_mcmc:
+        raise ValueError("n_burnin_mcmc must be below n_iter_mcmc")
+    signal = x.select("trial", F.lit(0).alias("channel"), "t", "x")
+    spark = x.sparkSession
+    parts = 2 * spark.sparkContext.defaultParallelism  # by the cores: a trial is few bytes and much work
+    table = E.blocks(signal, 1, times).repartition(parts).withColumn("phi", F.lit(None).cast("binary"))
+    ds, fit, rng, folder, kind = None, None, np.random.RandomState(random_state), scratch(spark, f"robust_{uuid.uuid4().hex}"), table.schema
+    try:
+        for g in range(n_iter_global):
+            d, seed = None if fit is None else fit.d, int(rng.randint(2**31 - 1))
+            table.mapInPandas(_chains(d, alpha, n_iter_mcmc, n_burnin_mcmc, seed, init_tau), kind).write.parquet(f"{folder}/{g}")
+            table.unpersist()
+            dropped(spark, f"{folder}/{g - 1}")
+            table = spark.read.schema(kind).parquet(f"{folder}/{g}")
+            fit = _univariate(table, n_atoms, n_times_atom, reg, lmbd_max, n_iter_optim, ds_init=ds, weighted=True, random_state=random_state, **kwargs)
+            ds, reg, lmbd_max, table = fit.d[:, 0], fit.reg, "fixed", fit.table
+        fit = _kept(fit)
+    finally:
+        table.unpersist()
+        dropped(spark, folder)
+
+    def samples(batches):
+        import pandas as pd
 
-        weights = settled(fit.table.mapInPandas(_chains(d, alpha, n_iter_mcmc, n_burnin_mcmc, seed), "trial long, t int, w double"))
-    return fit, weights
+        for pdf in batches:
+            few = max(1, E.CHUNK // max(1, len(pdf["w"].iloc[0]))) if len(pdf) else 1
+            for start in range(0, len(pdf), few):
+                part = pdf.iloc[start : start + few]
+                w = np.frombuffer(b"".join(part["w"])).reshape(len(part), -1)
+                yield pd.DataFrame({"trial": np.repeat(part["trial"].to_numpy(), w.shape[1]), "t": np.tile(np.arange(w.shape[1], dtype=np.int32), len(part)), "w": w.ravel()})
 
+    return fit, fit.table.select("trial", "w").mapInPandas(samples, "trial long, t int, w double")
 
-def _chains(d: np.ndarray, alpha: float, n_iter: int, n_burnin: int, seed: int):
-    """The chains of the residuals of block rows, a narrow step."""
-    import pandas as pd
 
+def _chains(d: np.ndarray | None, alpha: float, n_iter: int, n_burnin: int, seed: int, by_variance: bool):
+    """Block rows with the weights and the state of the chains of their residuals, and without codes; a narrow step. Without atoms the signal is the residual."""
     from ..kernels import csc
     from ..kernels.stable import expected_precision
 
     def run(batches):
         for pdf in batches:
-            for start in range(0, len(pdf), 256):  # many trials' chains side by side
-                part = pdf.iloc[start : start + 256]
-                rs = [(np.frombuffer(x).reshape(1, -1) - csc.reconstruct(np.frombuffer(z).reshape(len(d), -1), d))[0] for x, z in zip(part["x"], part["z"], strict=True)]
-                trial, t = np.repeat(part["trial"].to_numpy(), [len(r) for r in rs]), np.concatenate([np.arange(len(r), dtype=np.int32) for r in rs])
-                tau = expected_precision(np.concatenate(rs), alpha, n_iter, n_burnin, seed, trial, t)
-                yield pd.DataFrame({"trial": trial, "t": t, "w": 2 * tau})
+            few = max(1, 16_384 * 8 // max(1, len(pdf["x"].iloc[0]))) if len(pdf) else 1  # many trials' chains side by side
+            for start in range(0, len(pdf), few):
+                part = pdf.iloc[start : start + few]
+                x = np.frombuffer(b"".join(part["x"])).reshape(len(part), -1)
+                r = x if d is None else x - np.concatenate([csc.reconstruct(np.frombuffer(z).reshape(len(d), -1), d) for z in part["z"]])
+                if d is not None:
+                    phi = np.frombuffer(b"".join(part["phi"])).reshape(r.shape)
+                else:
+                    var = x.var(axis=1, keepdims=True)
+                    phi = np.broadcast_to(np.where(var > 0, var, 2.0), r.shape) if by_variance else np.full(r.shape, 2.0)
+                trial, t = np.repeat(part["trial"].to_numpy(), r.shape[1]), np.tile(np.arange(r.shape[1]), len(part))
+                tau, phi = expected_precision(r.ravel(), alpha, n_iter, n_burnin, seed, trial, t, phi.ravel(), state=True)
+                w, phi = (2 * tau).reshape(r.shape), phi.reshape(r.shape)
+                yield part.assign(w=[v.tobytes() for v in w], z=None, phi=[v.tobytes() for v in phi])
 
     return run
 

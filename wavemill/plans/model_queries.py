@@ -164,7 +164,8 @@ def univariate_fit(s, d):
 
 @query
 def robust_fit(s, d):
-    got, _ = L.learn_robust(_unit_embeddings(s, d), 2, 8, V.EMBEDDING, reg=0.5, n_iter_global=2, n_iter_optim=1, n_iter_mcmc=10, n_burnin_mcmc=5, solver_z="fista", solver_z_kwargs={"max_iter": 20})
+    """All rounds, steps and chains of the learner, codes to its solver's tolerance."""
+    got, _ = L.learn_robust(_unit_embeddings(s, d), 2, 8, V.EMBEDDING, reg=0.5, solver_z="fista", solver_z_kwargs={"restart": True, "step": "bound"})
     return atoms_table(s, got.d)
 
 
